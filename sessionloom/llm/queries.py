@@ -4,26 +4,40 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sessionloom.llm import repeats
+from sessionloom.llm import bpe, quality, repeats
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality statistics and verdict of each document, by rules learned from `labels`."""
+    docs = _read(spark, sf_dir, "documents")
+    out = quality.quality_rules(docs, quality.fit(docs, _read(spark, sf_dir, "labels")))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words left after copies of 20-word windows are removed, for each document."""
     out = repeats.substring_dedup(_read(spark, sf_dir, "documents"))
     return out.selectExpr("doc_id", "n AS n_words", "n_removed", "kept_sha256")
 
 
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token count, ids and decoded bytes of each document under a byte-level BPE."""
+    import public_tokenizers
+
+    return bpe.byte_bpe(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes left after every repeated 200-byte string is removed, for each document."""
     out = repeats.suffix_array_dedup(_read(spark, sf_dir, "documents"))
     return out.selectExpr("doc_id", "n AS n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op8_substring_dedup, op10_suffix_array_dedup)}
+QUERIES = {f.__name__: f for f in (op7_quality_rules, op8_substring_dedup, op9_byte_bpe, op10_suffix_array_dedup)}
 
 #: Words of each document, as DuckDB lists.
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\v\f\r]+'), lambda x: x <> '')"
