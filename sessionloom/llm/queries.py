@@ -4,13 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sessionloom.llm import bpe, quality, repeats
+from sessionloom.llm import bpe, decontam, quality, repeats, simhash
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprint and near-duplicate component of each document."""
+    return simhash.simhash_dedup(_read(spark, sf_dir, "documents"))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of each document occurs in `benchmark`."""
+    out = decontam.decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality statistics and verdict of each document, by rules learned from `labels`."""
     docs = _read(spark, sf_dir, "documents")
@@ -37,12 +48,36 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.selectExpr("doc_id", "n AS n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op7_quality_rules, op8_substring_dedup, op9_byte_bpe, op10_suffix_array_dedup)}
+QUERIES = {f.__name__: f for f in (op4_simhash_dedup, op5_decontamination, op7_quality_rules, op8_substring_dedup, op9_byte_bpe, op10_suffix_array_dedup)}
 
 #: Words of each document, as DuckDB lists.
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\v\f\r]+'), lambda x: x <> '')"
 
+#: The same for decontamination: letters, digits and everything beyond ASCII, A-Z lower-cased.
+_FOLDED = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+
 ORACLE_SQL = {
+    "op5_decontamination": f"""
+WITH d AS (SELECT doc_id, {_FOLDED} AS ws FROM documents),
+b AS (SELECT item_id, {_FOLDED} AS ws FROM benchmark),
+tests AS (
+  SELECT DISTINCT item_id, len(w) AS n, array_to_string(w, ' ') AS k FROM (
+    SELECT item_id, ws[s : s + 9] AS w FROM (SELECT item_id, ws, unnest(range(1, len(ws) - 8)) AS s FROM b WHERE len(ws) >= 10)
+    UNION ALL SELECT item_id, ws FROM b WHERE len(ws) BETWEEN 1 AND 9)),
+sizes AS (SELECT DISTINCT n FROM tests),
+windows AS (
+  SELECT doc_id, s, n, array_to_string(ws[s : s + n - 1], ' ') AS k
+  FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS s FROM d JOIN sizes ON len(ws) >= n)),
+found AS (SELECT doc_id, s, w.n AS n, item_id FROM windows w JOIN tests t ON w.n = t.n AND w.k = t.k),
+hit AS (SELECT doc_id, count(DISTINCT i) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS i FROM found) GROUP BY doc_id),
+items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found WHERE item_id IS NOT NULL) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words,
+       CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+""",
     "op8_substring_dedup": f"""
 WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
 windows AS (

@@ -27,8 +27,8 @@ shards from it. Bins and shards are as many as the input's size asks. Nothing
 is collected on the driver but one sum. Documents are shuffled once; the three
 passes read the same exchange.
 
-Repeats are told apart by 128 bits of hash across shards, and byte for byte
-within a shard for `suffix_array_dedup`.
+Across shards contexts are told apart by 127 bits of hash and windows by 95;
+within a shard `suffix_array_dedup` checks copies byte for byte.
 
 Nulls and ties: a null text is an empty one; null ids go last in the order of
 ids; rows of the same id are ordered by their text and count as separate
@@ -46,12 +46,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sessionloom.llm import rolling
-from sessionloom.llm.common import keyed_text, shard_count, text_bytes
+from sessionloom.llm.common import keyed_text, release_memory, shard_count, text_bytes
 from sessionloom.llm.rolling import U, Prefix
 
 #: Bytes of text in a shard, and in what is hashed at once.
 SHARD_BYTES = 4 << 20
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 FULL, EDGE = 1, 2
 _ANSWER, _LOCAL = 0, 1
@@ -239,98 +239,93 @@ class _Plan:
         by = np.argsort(known)
         known, known_code = known[by], known_code[by]
 
-        held = []
+        spans, edges = [], []
+        seen = np.empty(0, dtype=np.uint64)
         for chunk, a in self._anchors(shard):
             key = rolling.mix(a.gram + a.context * U(0x9E3779B97F4A7C15))
             code = np.zeros(len(key), dtype=np.uint8)
             if len(known):
                 at = np.minimum(np.searchsorted(known, key), len(known) - 1)
                 code[:] = np.where(known[at] == key, known_code[at], 0)
-            held.append((chunk, a, key, code))
-        keys = np.concatenate([h[2] for h in held])
-        codes = np.concatenate([h[3] for h in held])
-        _, first_of = np.unique(keys, return_index=True)  # the first occurrence
-        first = np.zeros(len(keys), dtype=bool)
-        first[first_of] = True
-        if self.first_stays:
-            full = (codes == FULL) | ~first
-            edge = (codes == EDGE) & first
-        else:
-            full = (codes & FULL) > 0
-            edge = ((codes & EDGE) > 0) & first
-
-        spans, edges, at = [], [], 0
-        for chunk, a, *_ in held:
-            f, e = (x[at : at + len(a.at)] for x in (full, edge))
-            at += len(a.at)
+            distinct, first_of = np.unique(key, return_index=True)
+            first = np.zeros(len(key), dtype=bool)
+            first[first_of] = True
+            first &= ~np.isin(key, seen)
+            seen = np.union1d(seen, distinct)
+            if self.first_stays:
+                full = (code == FULL) | ~first
+                edge = (code == EDGE) & first
+            else:
+                full = (code & FULL) > 0
+                edge = ((code & EDGE) > 0) & first
             base = chunk.starts[a.doc]
-            spans.append(np.stack([a.doc[f] + chunk.first_doc, (a.left - base)[f], (a.right - base)[f]]))
-            edges.append(self._edge_symbols(chunk, a, e))
-        doc, start, window = self._windows(edges)
-        hashes, multi, more, one = window
+            spans.append(np.stack([a.doc[full] + chunk.first_doc, (a.left - base)[full], (a.right - base)[full]]))
+            edges.append(self._edge_windows(chunk, a, edge))
+        layout, doc, start, (hashes, multi, more, one) = self._windows(edges)
         spans.append(np.stack([doc[more], start[more], start[more] + self.size]))
-        spans = np.concatenate(spans, axis=1).astype(np.uint32)
-        ref = np.arange(len(one), dtype=np.uint32)
+        span_doc, span_start, span_end = np.concatenate(spans, axis=1)
+        # one number line for all documents: spans that touch become one
+        span_start, span_end = rolling.merged(span_start + (span_doc << 32), span_end + (span_doc << 32))
+        spans = [(span_start >> 32), span_start & 0xFFFFFFFF, span_end & 0xFFFFFFFF]
         rank = shard.rank[doc[one]] if self.first_stays else np.empty(0, dtype=np.int64)
         pick = (lambda x: rank[x]) if self.first_stays else (lambda x: rank)
-        a128, b128 = hashes
-        out = [(b, shard.number, _ANSWER, _pack(a128[x], b128[x], multi[x], ref[x], pick(x))) for b, x in _deal(a128, self.bins)]
-        local = _pack(*spans, doc[one].astype(np.uint32), start[one].astype(np.uint32))
+        key = hashes[0]
+        rest = ((hashes[1] >> U(32)) & ~U(1) | multi).astype(np.uint32)
+        out = [(b, shard.number, _ANSWER, _pack(key[x], rest[x], one[x].astype(np.uint32), pick(x))) for b, x in _deal(key, self.bins)]
+        local = _pack(*(x.astype(np.uint32) for x in (*spans, *layout)))
         return _bin_rows([*out, (shard.number % self.bins, shard.number, _LOCAL, local)])
 
-    def _edge_symbols(self, chunk: _Chunk, a: rolling.Anchors, edge: np.ndarray) -> tuple:
-        """The windows that chose an edge anchor, with their symbols cut out of the chunk."""
-        first, last = a.first[edge], a.last[edge]
-        at, _ = rolling.spread(first, last + self.size - 1)
-        return (
-            [v[at] for v in chunk.values],
-            None if self.words else chunk.buf[at],
-            a.gram[edge],
-            a.doc[edge] + chunk.first_doc,
-            first - chunk.starts[a.doc[edge]],
-            last - first + 1,
-            first - a.at[edge],
-        )
+    def _edge_windows(self, chunk: _Chunk, a: rolling.Anchors, edge: np.ndarray) -> tuple:
+        """The windows that chose an edge anchor: runs (doc, first start, number), hashes, and what a suffix sort needs."""
+        first, last, doc = a.first[edge], a.last[edge], a.doc[edge]
+        start, of = rolling.spread(first, last)
+        hashes = rolling.window_ids(*chunk.prefix, start, self.size)
+        new = np.append(True, (first[1:] != last[:-1] + 1) | (doc[1:] != doc[:-1]))[: len(first)]
+        head = np.flatnonzero(new)
+        tail = np.append(head[1:] - 1, len(first) - 1)[: len(head)]
+        runs = doc[head] + chunk.first_doc, first[head] - chunk.starts[doc[head]], last[tail] - first[head] + 1
+        if self.words:
+            return runs, hashes, None, None
+        # only windows that chose equal anchors at equal offsets can be equal
+        group = rolling.mix(a.gram[edge][of] + (start - a.at[edge][of]).view(np.uint64) * U(0x9E3779B97F4A7C15))
+        at, _ = rolling.spread(first[head], last[tail] + self.size - 1)
+        return runs, hashes, group, chunk.buf[at]
 
     def _windows(self, edges: list[tuple]) -> tuple:
         """The windows at edges as classes of equals.
 
-        Returns doc and start of each window and (hashes of each class, whether
-        it has several windows here, the windows that are known to go, and for
-        each class the one window on which an answer is still to come, or which
-        stands for the class).
+        Returns the runs of windows as (doc, first start, number), doc and
+        start of each window, and (hashes of each class, whether it has several
+        windows here, the windows that are known to go, and the one window of
+        each class which stands for it).
         """
-        values = [np.concatenate([e[0][i] for e in edges]) for i in (0, 1)]
-        gram, doc, start, n, offset = (np.concatenate([e[i] for e in edges]) for i in (2, 3, 4, 5, 6))
-        none = np.empty(0, dtype=np.int64)
-        if not len(n):
-            return none, none, ((none.astype(np.uint64),) * 2, none.astype(np.uint8), none, none)
-        prefix = [Prefix(v, i) for i, v in enumerate(values)]
-        reach = n + self.size - 1
-        base = np.cumsum(reach) - reach
-        at, of = rolling.spread(base, base + n - 1)
-        doc, start, shift = doc[of], start[of] + at - base[of], offset[of] + at - base[of]
-        hashes = rolling.window_ids(*prefix, at, self.size)
+        doc, start, n = layout = tuple(np.concatenate([e[0][i] for e in edges]) for i in range(3))
+        hashes = tuple(np.concatenate([e[1][i] for e in edges]) for i in (0, 1))
+        step, of = rolling.spread(np.zeros_like(n), n - 1)
+        doc, start = doc[of], start[of] + step
         if self.words:
             order, new = _classes(*hashes)
         else:
-            group = rolling.mix(gram[of] + shift.astype(np.int64).view(np.uint64) * U(0x9E3779B97F4A7C15))
-            symbols = np.concatenate([e[1] for e in edges])
-            order, ext = rolling.suffix_order(prefix[0], symbols, at, group, self.size)
+            symbols = np.concatenate([e[3] for e in edges])
+            reach = n + self.size - 1
+            at = (np.cumsum(reach) - reach)[of] + step
+            prefix = Prefix(rolling.BYTE_VALUES[0][symbols], 0)
+            order, ext = rolling.suffix_order(prefix, symbols, at, np.concatenate([e[2] for e in edges]), self.size)
             new = ext < self.size
-            for i in np.array_split(np.flatnonzero(~new), max(1, int((~new).sum()) >> 14)):  # a hash's word is checked
+            same = np.flatnonzero(~new)
+            for i in np.array_split(same, max(1, len(same) >> 14)):  # what hashes say is checked byte for byte
                 x, y = at[order[i - 1]], at[order[i]]
-                reachable = np.arange(self.size)
-                new[i[(symbols[x[:, None] + reachable] != symbols[y[:, None] + reachable]).any(axis=1)]] = True
+                along = np.arange(self.size)
+                new[i[(symbols[x[:, None] + along] != symbols[y[:, None] + along]).any(axis=1)]] = True
         head = np.flatnonzero(new)
         count = np.diff(np.append(head, len(order)))
         one = order[head]
         if self.first_stays:
-            # windows were laid out in the order of documents and starts; the sort is stable, so `one` is the first
+            # windows are laid out in the order of documents and starts; the sort is stable, so `one` is the first
             more = order[~new]
         else:
             more = order[np.repeat(count > 1, count)]
-        return doc, start, ((hashes[0][one], hashes[1][one]), (count > 1).astype(np.uint8), more, one)
+        return layout, doc, start, ((hashes[0][one], hashes[1][one]), (count > 1).astype(np.uint64), more, one)
 
     # 4. bin: which windows occur again
     def judge_windows(self, table: pa.Table) -> pa.Table:
@@ -339,7 +334,8 @@ class _Plan:
         rows = [(s, d) for s, kind, d in rows if kind == _ANSWER]
         if not rows:
             return out
-        a, b, multi, ref, rank, shard = self._gather(rows, "<u8", "<u8", "u1", "<u4", "<i8")
+        a, rest, ref, rank, shard = self._gather(rows, "<u8", "<u4", "<u4", "<i8")
+        b, multi = rest >> 1, rest & 1
         order = np.lexsort((shard, rank, b, a)) if self.first_stays else np.lexsort((shard, b, a))
         x, y = a[order], b[order]
         new = np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1]))
@@ -358,12 +354,14 @@ class _Plan:
         doc = start = end = np.empty(0, dtype=np.int64)
         kinds, data = answers.column("kind").to_pylist(), answers.column("data").to_pylist()
         for d in (d for kind, d in zip(kinds, data, strict=True) if kind == _LOCAL):
-            doc, start, end, one_doc, one_start = (x.astype(np.int64) for x in _unpack(d, *["<u4"] * 5))
+            doc, start, end, edge_doc, edge_start, edge_n = (x.astype(np.int64) for x in _unpack(d, *["<u4"] * 6))
             refs = [_unpack(d, "<u4")[0] for kind, d in zip(kinds, data, strict=True) if kind == _ANSWER]
             if refs:
-                r = np.concatenate(refs)
-                doc, start = np.append(doc, one_doc[r]), np.append(start, one_start[r])
-                end = np.append(end, one_start[r] + self.size)
+                r = np.concatenate(refs).astype(np.int64)
+                before = np.cumsum(edge_n) - edge_n
+                e = np.searchsorted(before, r, side="right") - 1
+                more = edge_start[e] + r - before[e]
+                doc, start, end = np.append(doc, edge_doc[e]), np.append(start, more), np.append(end, more + self.size)
         order = np.argsort(doc, kind="stable")
         doc, start, end = doc[order], start[order], end[order]
         cut = np.searchsorted(doc, np.arange(len(shard.ids) + 1))
@@ -406,6 +404,26 @@ def _finish_words(ids: list, texts: list[bytes], spans: list) -> pa.Table:
     return _columns(ids, rows)
 
 
+def _tidy(step: Callable) -> Callable:
+    """`step` as a plain function (Spark would count a method's `self` as a key) that gives memory back."""
+
+    def run(table: pa.Table) -> pa.Table:
+        out = step(table)
+        release_memory()
+        return out
+
+    return run
+
+
+def _tidy_two(step: Callable) -> Callable:
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = step(left, right)
+        release_memory()
+        return out
+
+    return run
+
+
 def _run(df: DataFrame, id_col: str, text_col: str, words: bool, size: int, gram: int, first_stays: bool, finish: Callable, shard_bytes: int) -> DataFrame:
     spark = df.sparkSession
     if not 1 <= gram <= size:
@@ -415,11 +433,10 @@ def _run(df: DataFrame, id_col: str, text_col: str, words: bool, size: int, gram
     docs = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     plan = _Plan(words, size, gram, first_stays, shards, finish)
     by_shard = docs.groupBy("shard")
-    # plain functions: Spark counts a bound method's `self` as a key
-    contexts = by_shard.applyInArrow(lambda t: plan.announce(t), _TO_BIN).groupBy("bin").applyInArrow(lambda t: plan.judge_contexts(t), _TO_SHARD)
-    windows = by_shard.cogroup(contexts.groupBy("shard")).applyInArrow(lambda d, t: plan.compare(d, t), _TO_BIN)
-    answers = windows.groupBy("bin").applyInArrow(lambda t: plan.judge_windows(t), _TO_SHARD)
-    return by_shard.cogroup(answers.groupBy("shard")).applyInArrow(lambda d, t: plan.conclude(d, t), _RESULT)
+    contexts = by_shard.applyInArrow(_tidy(plan.announce), _TO_BIN).groupBy("bin").applyInArrow(_tidy(plan.judge_contexts), _TO_SHARD)
+    windows = by_shard.cogroup(contexts.groupBy("shard")).applyInArrow(_tidy_two(plan.compare), _TO_BIN)
+    answers = windows.groupBy("bin").applyInArrow(_tidy(plan.judge_windows), _TO_SHARD)
+    return by_shard.cogroup(answers.groupBy("shard")).applyInArrow(_tidy_two(plan.conclude), _RESULT)
 
 
 def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, phrase: int = 8, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -441,7 +458,7 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return _run(df, id_col, text_col, True, window, phrase, True, _finish_words, shard_bytes)
 
 
-def suffix_array_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 200, gram: int = 100, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def suffix_array_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 200, gram: int = 120, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Removes every byte of a `window`-byte string that starts more than once in the corpus.
 
     Suffixes that can have a copy are sorted in their shard by a mergesort that
