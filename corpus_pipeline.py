@@ -1,23 +1,84 @@
-"""The corpus pipeline: stages over `documents`, each written as Parquet and read again."""
+"""The corpus pipeline: stages over `documents`, each written as Parquet and read again.
+
+Each stage takes (spark, docs, sf_dir), works on all rows it is given and
+returns the columns of `documents`, but for the last, which returns tokens. A
+row of `documents` is known by its doc_id; rows that share an id share a
+stage's decision.
+"""
 
 from __future__ import annotations
 
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from sessionloom.llm import bpe, decontam, quality, secrets, simhash
 from sessionloom.llm.common import shared_dir
 
-STAGES: list = []
+
+def _kept(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of `docs` whose doc_id is in `ids`, a null id counting as a value."""
+    return docs.join(ids.select(F.col("doc_id").alias("__kept_id")), docs["doc_id"].eqNullSafe(F.col("__kept_id")), "left_semi")
+
+
+def _place(spark: SparkSession, kind: str) -> str:
+    return f"{shared_dir(spark)}/sessionloom/{kind}-{uuid.uuid4().hex}"
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    rules = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.with_verdict(docs, rules).where("__kept").drop("__kept")
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each SimHash component only the document of least id stays."""
+    found = simhash.simhash_dedup(docs)
+    return _kept(docs, found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of `benchmark` go."""
+    found = decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    dirty = found.where("contaminated").select(F.col("doc_id").alias("__hit_id")).distinct()
+    return docs.join(dirty, docs["doc_id"].eqNullSafe(F.col("__hit_id")), "left_anti")
+
+
+def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are cut out of the texts; n_chars is the new length."""
+    found = secrets.scan_secrets(docs, _place(spark, "ledger")).where(F.size("spans") > 0)
+    found = found.groupBy(F.col("doc_id").alias("__id"), F.col("blob").alias("__blob")).agg(F.first("spans").alias("__spans"))
+    same = docs["doc_id"].eqNullSafe(F.col("__id")) & (F.sha2(docs["text"].cast("binary"), 256) == F.col("__blob"))
+    text = F.when(F.col("__spans").isNotNull(), secrets.redact(F.col("text"), F.col("__spans"))).otherwise(F.col("text"))
+    out = docs.join(found, same, "left").withColumn("text", text).withColumn("n_chars", F.when(F.col("__spans").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.drop("__id", "__blob", "__spans")
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each text, with the digests that show the round trip."""
+    import public_tokenizers
+
+    return bpe.byte_bpe(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("decontamination", decontamination_stage),
+    ("secrets", secret_stage),
+    ("tokens", token_stage),
+]
+
+#: SQL cannot express the learned and hashed stages.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, in order, on the table `documents`."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_dir(spark)}/sessionloom/pipeline-{uuid.uuid4().hex}"
+    folder = _place(spark, "pipeline")
     for name, stage in STAGES:
-        place = f"{folder}/{name}"
-        stage(spark, docs, sf_dir).write.parquet(place)
-        docs = spark.read.parquet(place)
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
     return docs

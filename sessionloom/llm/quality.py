@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sessionloom.llm.common import keyed_text, slices
 
@@ -228,3 +229,20 @@ def quality_rules(df: DataFrame, rules: list[Rule], id_col: str = "doc_id", text
     out = out.withColumn("base_failed", F.expr("n_words < 20 OR 100 * n_repeat_words > 30 * n_words"))
     out = out.withColumn("rule", verdict(rules))
     return out.withColumn("kept", F.expr("NOT base_failed AND rule = 0"))
+
+
+def with_verdict(df: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFrame:
+    """All rows and columns of `df`, and `__kept` as in `quality_rules`; texts are not shuffled."""
+    schema = T.StructType([*df.schema.fields, T.StructField("__kept", T.BooleanType())])
+    names = [*_COUNTS, *_RATIOS]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            rows = [statistics(t) for t in batch.column(text_col).to_pylist()]
+            x = {n: np.array(c, dtype=float) for n, c in zip(names, zip(*rows, strict=True), strict=True)}
+            bad = (x["n_words"] < 20) | (100 * x["n_repeat_words"] > 30 * x["n_words"])
+            for rule in rules:
+                bad |= rule.holds(x)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(~bad)], names=[*batch.schema.names, "__kept"])
+
+    return df.mapInArrow(run, schema)

@@ -2,15 +2,38 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sessionloom.llm import bpe, decontam, quality, repeats, simhash
+from sessionloom.llm import bpe, decontam, language, quality, repeats, secrets, simhash, url_rules, wrappers
+from sessionloom.llm.common import shared_dir
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of each page by its host's wrapper."""
+    return wrappers.extract_pages(_read(spark, sf_dir, "pages"))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of each document, by family, then within it."""
+    docs = _read(spark, sf_dir, "documents")
+    return language.language_id(docs, language.fit(docs))
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on each page's url: listed rules, else rules mined from `labels` of the pages' ids."""
+    pages, labels = _read(spark, sf_dir, "pages"), _read(spark, sf_dir, "labels")
+    bad = labels.groupBy("doc_id").agg(F.max((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    labelled = pages.select("page_id", "url").join(bad, F.col("page_id") == F.col("doc_id")).select("page_id", "url", "bad")
+    return url_rules.filter_urls(pages, labelled).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprint and near-duplicate component of each document."""
     return simhash.simhash_dedup(_read(spark, sf_dir, "documents"))
@@ -22,6 +45,12 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in each document, through a ledger that starts empty."""
+    ledger = f"{shared_dir(spark)}/sessionloom/ledger-{uuid.uuid4().hex}"
+    return secrets.digest(secrets.scan_secrets(_read(spark, sf_dir, "documents"), ledger))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality statistics and verdict of each document, by rules learned from `labels`."""
     docs = _read(spark, sf_dir, "documents")
@@ -48,7 +77,21 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.selectExpr("doc_id", "n AS n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op4_simhash_dedup, op5_decontamination, op7_quality_rules, op8_substring_dedup, op9_byte_bpe, op10_suffix_array_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_html_extraction,
+        op2_language_id,
+        op3_url_filter,
+        op4_simhash_dedup,
+        op5_decontamination,
+        op6_secret_scan,
+        op7_quality_rules,
+        op8_substring_dedup,
+        op9_byte_bpe,
+        op10_suffix_array_dedup,
+    )
+}
 
 #: Words of each document, as DuckDB lists.
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\v\f\r]+'), lambda x: x <> '')"

@@ -13,7 +13,8 @@ anchor's hash. An anchor's *context* is all that lies within a window's reach
 of it.
 
 1. Each shard sends, once for each distinct (anchor, context) it has, a record
-   to the bin of the anchor's hash. A bin answers each shard for anchors that
+   to the bin of the anchor's hash, but no more than a few for one anchor: an
+   anchor with many contexts in a shard is marked as such. A bin answers each shard for anchors that
    occur again: the context is a copy as a whole, or it is an edge, where only
    some of its windows can be copies.
 2. Shards compare the windows at edges among themselves, then send one record
@@ -21,9 +22,9 @@ of it.
    windows that occur again.
 3. Shards unite the spans and give each document's result.
 
-A passage that a third of all documents holds costs each shard one record, not
-one for each document, so no bin and no task gets more than the number of
-shards from it. Bins and shards are as many as the input's size asks. Nothing
+A passage that a third of all documents holds costs each shard a few records,
+not one for each document, so no bin gets more from it than a few for each
+shard. Bins and shards are as many as the input's size asks. Nothing
 is collected on the driver but one sum. Documents are shuffled once; the three
 passes read the same exchange.
 
@@ -53,6 +54,11 @@ from sessionloom.llm.rolling import U, Prefix
 SHARD_BYTES = 4 << 20
 CHUNK_BYTES = 1 << 19
 
+#: Contexts of one anchor that a shard sends. With more it sends the mark MANY
+#: in their place, and all of them count as edges.
+VARIANTS = 4
+MANY = np.uint64(0)
+
 FULL, EDGE = 1, 2
 _ANSWER, _LOCAL = 0, 1
 _LAST = np.iinfo(np.int64).max
@@ -166,7 +172,7 @@ class _Plan:
 
     def __init__(self, words: bool, size: int, gram: int, first_stays: bool, bins: int, finish: Callable):
         self.words, self.size, self.gram = words, size, gram
-        self.first_stays, self.bins, self.finish = first_stays, bins, finish
+        self.first_stays, self.bins, self.finish, self.variants = first_stays, bins, finish, VARIANTS
 
     def _anchors(self, shard: _Shard) -> Iterator[tuple[_Chunk, rolling.Anchors]]:
         for chunk in shard.chunks(self.words):
@@ -186,6 +192,12 @@ class _Plan:
         count = np.diff(np.append(head, len(order)))
         i = order[head]
         gram, context, rank = gram[i], context[i] | (count > 1), shard.rank[doc[i].astype(np.int64)]
+        start = np.append(True, gram[1:] != gram[:-1])[: len(gram)]
+        of = np.cumsum(start) - 1
+        many = (np.bincount(of) > self.variants)[of] if len(of) else start
+        context = np.where(many, MANY, context)
+        keep = ~many | start
+        gram, context, rank = gram[keep], context[keep], rank[keep]
         return _bin_rows([(b, shard.number, 0, _pack(gram[x], context[x], rank[x] if self.first_stays else rank[:0])) for b, x in _deal(gram, self.bins)])
 
     def _gather(self, rows: list[tuple[int, bytes]], *kinds: str) -> list[np.ndarray]:
@@ -213,7 +225,7 @@ class _Plan:
         else:
             times = np.bincount(of_context, weights=1 + (context[order] & U(1)).astype(np.int64))[of_context]
             code = np.where(times > 1, FULL + EDGE * (variants & new_context), EDGE * variants)
-        keep = code > 0
+        code = np.where(c == MANY, EDGE, code)
         back = np.empty(len(order), dtype=np.uint8)
         back[order] = code
         keep = back > 0
@@ -236,6 +248,7 @@ class _Plan:
         parts.append([np.empty(0, dtype=k) for k in ("<u8", "<u8", "u1")])
         known_gram, known_context, known_code = (np.concatenate(x) for x in zip(*parts, strict=True))
         known = rolling.mix(known_gram + known_context * U(0x9E3779B97F4A7C15))
+        many = known_gram[known_context == MANY]
         by = np.argsort(known)
         known, known_code = known[by], known_code[by]
 
@@ -247,6 +260,8 @@ class _Plan:
             if len(known):
                 at = np.minimum(np.searchsorted(known, key), len(known) - 1)
                 code[:] = np.where(known[at] == key, known_code[at], 0)
+            varied = np.isin(a.gram, many)
+            code[varied] = EDGE
             distinct, first_of = np.unique(key, return_index=True)
             first = np.zeros(len(key), dtype=bool)
             first[first_of] = True
@@ -257,7 +272,7 @@ class _Plan:
                 edge = (code == EDGE) & first
             else:
                 full = (code & FULL) > 0
-                edge = ((code & EDGE) > 0) & first
+                edge = ((code & EDGE) > 0) & (first | varied)
             base = chunk.starts[a.doc]
             spans.append(np.stack([a.doc[full] + chunk.first_doc, (a.left - base)[full], (a.right - base)[full]]))
             edges.append(self._edge_windows(chunk, a, edge))
