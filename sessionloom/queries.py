@@ -1,0 +1,320 @@
+"""The registered queries over the evidence operators, with DuckDB SQL for each that SQL can express."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sessionloom.config import Limits
+from sessionloom.functions import classify, redact, text
+from sessionloom.operators import archive, block_log, discovery, evidence, patch_log, relevance, rollout_log
+from sessionloom.sources.jsonl import parsed
+from sessionloom.tables import block_lines, conversation_events, log_events, patch_lines, patch_operations, read, rollout_lines
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+#: `conversations` and `events` as event tables, in SQL.
+_TURNS = """turns AS (SELECT CAST(conv_id AS VARCHAR) AS session_key, turn AS line_no, text, role,
+  CASE role WHEN 'user' THEN 'user_message' WHEN 'assistant' THEN 'assistant_message' WHEN 'system' THEN 'session_metadata' ELSE 'other' END AS kind FROM conversations)"""
+_LOG = """log AS (SELECT CAST(user_id AS VARCHAR) AS session_key, ts, event_id AS line_no, event_type, props,
+  event_type = 'error' AS is_error, event_type IN ('purchase', 'signup') AS mutating,
+  CASE WHEN event_type = 'error' THEN 'tool_error' WHEN event_type IN ('purchase', 'signup') THEN 'tool_call' ELSE 'tool_result' END AS kind FROM events)"""
+_STRIP = r"'^\s+|\s+$'"
+
+
+def _conversations(spark: SparkSession, d: str) -> DataFrame:
+    return conversation_events(read(spark, d, "conversations"))
+
+
+def _log(spark: SparkSession, d: str) -> DataFrame:
+    return log_events(read(spark, d, "events"))
+
+
+def _bucket(spark: SparkSession, d: str, name: str) -> DataFrame:
+    limits = Limits()
+    only = [b for b in evidence.buckets_of(limits) if b[0] == name]
+    rows = evidence.select_buckets(_log(spark, d), limits, only)
+    return rows.select("session_key", F.col("rank").cast("long").alias("rank"), "line_no", "kind", "text")
+
+
+def _bucket_sql(where: str, last: bool, most: int) -> str:
+    order = "ts DESC, line_no DESC" if last else "ts, line_no"
+    return f"""WITH {_LOG}, kept AS (
+  SELECT * FROM log WHERE {where} QUALIFY row_number() OVER (PARTITION BY session_key ORDER BY {order}) <= {most})
+SELECT session_key, row_number() OVER (PARTITION BY session_key ORDER BY ts, line_no) AS rank, line_no, kind, props AS text FROM kept"""
+
+
+@query(f"WITH {_TURNS} SELECT session_key, kind, count(*) AS n FROM turns GROUP BY ALL")
+def event_kind_counts(spark: SparkSession, d: str) -> DataFrame:
+    return evidence.kind_counts(_conversations(spark, d)).select("session_key", "kind", "n")
+
+
+@query(_bucket_sql("true", False, 20))
+def first_events_per_session(spark: SparkSession, d: str) -> DataFrame:
+    return _bucket(spark, d, "first_events")
+
+
+@query(_bucket_sql("true", True, 60))
+def last_events_per_session(spark: SparkSession, d: str) -> DataFrame:
+    return _bucket(spark, d, "last_events")
+
+
+@query(_bucket_sql("is_error", True, 30))
+def session_errors_last_n(spark: SparkSession, d: str) -> DataFrame:
+    return _bucket(spark, d, "errors")
+
+
+@query(_bucket_sql("mutating AND kind = 'tool_call'", True, 80))
+def session_changes_last_n(spark: SparkSession, d: str) -> DataFrame:
+    return _bucket(spark, d, "mutating_tools")
+
+
+@query(f"""WITH {_TURNS}, u AS (SELECT * FROM turns WHERE kind = 'user_message'),
+a AS (SELECT 'first_user_messages' AS bucket, * FROM u QUALIFY row_number() OVER (PARTITION BY session_key ORDER BY line_no) <= 2),
+b AS (SELECT 'last_user_messages' AS bucket, * FROM u QUALIFY row_number() OVER (PARTITION BY session_key ORDER BY line_no DESC) <= 2)
+SELECT session_key, bucket, line_no, text FROM a UNION ALL SELECT session_key, bucket, line_no, text FROM b""")
+def user_messages_first_last(spark: SparkSession, d: str) -> DataFrame:
+    """The first and last two user messages of each conversation."""
+    limits = Limits(max_user_messages=4)
+    only = [b for b in evidence.buckets_of(limits) if b[0].endswith("user_messages")]
+    return evidence.select_buckets(_conversations(spark, d), limits, only).select("session_key", "bucket", "line_no", "text")
+
+
+@query(f"""WITH {_LOG}, s AS (
+  (SELECT session_key, line_no FROM log QUALIFY row_number() OVER (PARTITION BY session_key ORDER BY ts, line_no) <= 20)
+  UNION ALL (SELECT session_key, line_no FROM log QUALIFY row_number() OVER (PARTITION BY session_key ORDER BY ts DESC, line_no DESC) <= 60)
+  UNION ALL (SELECT session_key, line_no FROM log WHERE is_error QUALIFY row_number() OVER (PARTITION BY session_key ORDER BY ts DESC, line_no DESC) <= 30)
+  UNION ALL (SELECT session_key, line_no FROM log WHERE mutating QUALIFY row_number() OVER (PARTITION BY session_key ORDER BY ts DESC, line_no DESC) <= 80))
+SELECT session_key, count(DISTINCT line_no) AS events_selected FROM s GROUP BY session_key""")
+def selected_distinct_count(spark: SparkSession, d: str) -> DataFrame:
+    return evidence.distinct_selected(evidence.select_buckets(_log(spark, d)))
+
+
+@query(f"""WITH {_LOG}, g AS (SELECT session_key, event_type, count(*) AS n, min((ts, line_no)) AS f FROM log GROUP BY ALL)
+SELECT session_key, event_type AS tool_name, n, row_number() OVER (PARTITION BY session_key ORDER BY n DESC, f) AS rank FROM g
+QUALIFY row_number() OVER (PARTITION BY session_key ORDER BY n DESC, f) <= 3""")
+def top_types_tie_first_seen(spark: SparkSession, d: str) -> DataFrame:
+    """The three most used tools of each session; of equals the one that came first."""
+    return evidence.tool_counts(_log(spark, d), 3).select("session_key", "tool_name", "n", F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"""WITH {_LOG} SELECT session_key, 'item/' || json_extract_string(props, '$.k') AS path, count(*) AS n,
+  count(*) FILTER (mutating) AS n_mutating FROM log GROUP BY ALL""")
+def touched_file_counts(spark: SparkSession, d: str) -> DataFrame:
+    return evidence.touched_files(_log(spark, d)).select("session_key", "path", "n", "n_mutating")
+
+
+@query(f"""WITH {_LOG} SELECT session_key, count(*) AS total_events, CAST(0 AS BIGINT) AS redactions, CAST(0 AS BIGINT) AS invalid_lines FROM log GROUP BY session_key""")
+def session_stats(spark: SparkSession, d: str) -> DataFrame:
+    out = evidence.session_stats(evidence.trim(_log(spark, d)))
+    return out.select("session_key", "total_events", "redactions", "invalid_lines")
+
+
+_KV = r"(?i)\b(api[-_]?key|apikey|access[-_]?token|refresh[-_]?token|auth[-_]?token|client[-_]?secret|secret[-_]?key|token|secret|password|passwd|pwd|passphrase)(\x22?\s*[=:]\s*\x22?)([^\s\x22\x27,;&)}\]]{4,})"
+_AWS = r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b"
+
+
+@query(rf"""SELECT doc_id, regexp_replace(regexp_replace(coalesce(text, ''), '{_KV}', '\1\2[REDACTED]', 'g'), '{_AWS}', '[REDACTED]', 'g') AS clean FROM documents""")
+def redact_kv_text(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "documents").select("doc_id", redact.scrub_text(F.col("text")).alias("clean"))
+
+
+@query(rf"""SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '{_KV}')) + len(regexp_extract_all(regexp_replace(coalesce(text, ''), '{_KV}', '\1\2[REDACTED]', 'g'), '{_AWS}')) AS BIGINT) AS hits FROM documents""")
+def redact_kv_counts(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "documents").select("doc_id", redact.count_secrets(F.col("text")).alias("hits"))
+
+
+@query(r"""SELECT doc_id, CASE WHEN text IS NULL THEN '' WHEN length(text) <= 200 THEN text
+  ELSE regexp_replace(left(text, 200), '\s+$', '') || chr(10) || '[text truncated: original length ' || length(text) || ' chars]' END AS cut FROM documents""")
+def truncate_marked(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "documents").select("doc_id", text.truncate_text(F.col("text"), 200).alias("cut"))
+
+
+@query(f"""SELECT source, doc_id, sha256(regexp_replace(text, {_STRIP}, '', 'g')) AS digest FROM documents
+QUALIFY row_number() OVER (PARTITION BY source, sha256(regexp_replace(text, {_STRIP}, '', 'g')) ORDER BY doc_id) = 1""")
+def text_digest_dedupe(spark: SparkSession, d: str) -> DataFrame:
+    """Documents without those whose stripped text their source already had."""
+    from sessionloom.operators import events as ev
+
+    rows = read(spark, d, "documents").select(F.col("source").alias("session_key"), F.lit(0).cast("long").alias("block_start"), F.col("doc_id").alias("line_no"), F.lit(0).alias("sub_no"), F.lit(ev.USER).alias("kind"), "text")
+    out = rollout_log.first_of_repeats(rows)
+    return out.select(F.col("session_key").alias("source"), F.col("line_no").alias("doc_id"), text.sha256_text(text.strip(F.col("text"))).alias("digest"))
+
+
+@query(f"""WITH {_LOG} SELECT session_key, line_no, coalesce(first_value(CASE WHEN mutating THEN props END IGNORE NULLS) OVER (
+  PARTITION BY session_key ORDER BY ts, line_no ROWS UNBOUNDED PRECEDING), '') AS first_props FROM log""")
+def running_first_non_null(spark: SparkSession, d: str) -> DataFrame:
+    """For each event the first change of its session so far."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("session_key").orderBy("block_start", "line_no").rowsBetween(Window.unboundedPreceding, 0)
+    found = F.coalesce(F.first(F.when(F.col("mutating"), F.col("text")), ignorenulls=True).over(w), F.lit(""))
+    return _log(spark, d).select("session_key", "line_no", found.alias("first_props"))
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, true AS ok FROM events")
+def json_prop_extract(spark: SparkSession, d: str) -> DataFrame:
+    rows = parsed(read(spark, d, "events").select("event_id", F.col("props").alias("line")))
+    return rows.select("event_id", F.try_variant_get("v", "$.k", "bigint").alias("k"), "ok")
+
+
+_SAID = f"WITH {_TURNS} SELECT session_key, line_no, kind, text FROM turns WHERE role IN ('user', 'assistant') AND regexp_matches(text, '\\S')"
+
+
+@query(_SAID)
+def encode_decode_block_log(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations written in the block dialect and normalised back."""
+    return block_log.normalize(parsed(block_lines(read(spark, d, "conversations")))).select("session_key", "line_no", "kind", "text")
+
+
+@query(f"""WITH {_TURNS}, u AS (SELECT * FROM turns WHERE role IN ('user', 'assistant') AND regexp_matches(text, '\\S'))
+SELECT session_key, line_no, kind, text FROM u
+QUALIFY role <> 'user' OR row_number() OVER (PARTITION BY session_key, role, regexp_replace(text, {_STRIP}, '', 'g') ORDER BY line_no) = 1""")
+def encode_decode_rollout_log(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations written in the rollout dialect and normalised back, repeated user turns dropped."""
+    return rollout_log.normalize(parsed(rollout_lines(read(spark, d, "conversations")))).select("session_key", "line_no", "kind", "text")
+
+
+@query(f"""WITH {_TURNS}, p AS (SELECT *, row_number() OVER (PARTITION BY session_key ORDER BY line_no) - 1 AS pos FROM turns)
+SELECT session_key, pos AS line_no, kind, text FROM p WHERE role IN ('user', 'assistant') AND regexp_matches(text, '\\S')""")
+def encode_decode_patch_log(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations written in the patch dialect, replayed and normalised."""
+    return patch_log.normalize(parsed(patch_lines(read(spark, d, "conversations")))).select("session_key", "line_no", "kind", "text")
+
+
+@query()
+def replay_patch_log(spark: SparkSession, d: str) -> DataFrame:
+    """Live messages after all writes and rewinds of each user's events."""
+    live = patch_log.replay(patch_log.operations(parsed(patch_operations(read(spark, d, "events")))))
+    return live.select("session_key", "pos", "id", "line_no")
+
+
+@query(f"""WITH {_LOG} SELECT session_key, json_extract_string(props, '$.k') AS id, arg_max(line_no, (ts, line_no)) AS line_no
+FROM log WHERE event_type <> 'signup' GROUP BY ALL""")
+def replay_upserts_only(spark: SparkSession, d: str) -> DataFrame:
+    """The same without rewinds: each message's last write is left."""
+    rows = read(spark, d, "events").where("event_type <> 'signup'")
+    return patch_log.replay(patch_log.operations(parsed(patch_operations(rows)))).select("session_key", "id", "line_no")
+
+
+def _touched(spark: SparkSession, d: str) -> DataFrame:
+    rows = read(spark, d, "documents")
+    return rows.select(F.col("source").alias("session_key"), F.concat(F.lit("/repo/doc/"), F.col("doc_id").cast("string")).alias("path"), F.lit(1).cast("long").alias("n"), F.struct("doc_id").alias("first"))
+
+
+def _changed(spark: SparkSession, d: str) -> DataFrame:
+    rows = read(spark, d, "labels").join(read(spark, d, "documents").select("doc_id", "source"), "doc_id")
+    return rows.where("quality = 0 OR toxic = 1").select(F.col("source").alias("session_key"), F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path"), F.struct("doc_id").alias("place"))
+
+
+_DIRTY = "dirty AS (SELECT DISTINCT source, doc_id FROM labels JOIN documents USING (doc_id) WHERE quality = 0 OR toxic = 1)"
+
+
+@query(f"""WITH {_DIRTY} SELECT d.source AS session_key, 'doc/' || d.doc_id AS path, (t.doc_id IS NOT NULL) AS touched
+FROM dirty d LEFT JOIN (SELECT doc_id, source FROM documents WHERE lang = 'en') t ON d.doc_id = t.doc_id AND d.source = t.source
+QUALIFY row_number() OVER (PARTITION BY d.source ORDER BY d.doc_id) <= 60""")
+def touched_left_join(spark: SparkSession, d: str) -> DataFrame:
+    """Changed documents of each source, each with whether it was touched (English ones were)."""
+    touched = _touched(spark, d).join(read(spark, d, "documents").where("lang = 'en'").select(F.concat(F.lit("/repo/doc/"), F.col("doc_id").cast("string")).alias("path")), "path", "left_semi")
+    out = relevance.changed_with_touched(_changed(spark, d), relevance.relative_touched(touched, "/repo"))
+    return out.select("session_key", "path", "touched")
+
+
+@query(f"""WITH {_DIRTY} SELECT source AS session_key, 'doc/' || doc_id AS path FROM documents d
+WHERE NOT EXISTS (SELECT 1 FROM dirty x WHERE x.doc_id = d.doc_id)
+QUALIFY row_number() OVER (PARTITION BY source ORDER BY 'doc/' || doc_id) <= 20""")
+def touched_anti_join(spark: SparkSession, d: str) -> DataFrame:
+    """Touched documents that are not changed, the first 20 of each source by path."""
+    out = relevance.touched_but_clean(relevance.relative_touched(_touched(spark, d), "/repo"), _changed(spark, d))
+    return out.select("session_key", "path")
+
+
+@query(r"""SELECT page_id, regexp_replace(url, '[^A-Za-z0-9]', '-', 'g') AS slug FROM pages""")
+def path_slug(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "pages").select("page_id", text.path_slug(F.col("url")).alias("slug"))
+
+
+@query(r"""SELECT page_id, regexp_replace(regexp_replace(url, '[^A-Za-z0-9._-]+', '_', 'g'), '^_+|_+$', '', 'g') AS name FROM pages""")
+def safe_component(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "pages").select("page_id", text.safe_component(F.col("url")).alias("name"))
+
+
+@query("""SELECT session_key, last_id, n FROM (SELECT CAST(user_id AS VARCHAR) AS session_key, arg_max(event_id, (ts, event_id)) AS last_id, count(*) AS n, max(ts) AS m
+FROM events GROUP BY 1) ORDER BY m DESC, session_key LIMIT 40""")
+def session_recency_select(spark: SparkSession, d: str) -> DataFrame:
+    """The 40 sessions that changed last, with their last event."""
+    rows = read(spark, d, "events").groupBy(F.col("user_id").cast("string").alias("session_key")).agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("last_id"), F.count("*").alias("n"), F.max("ts").alias("m"))
+    return rows.orderBy(F.desc("m"), "session_key").limit(40).drop("m")
+
+
+@query(r"""SELECT doc_id, regexp_matches(left(text, 1500), '"exit_code"\s*:\s*[1-9]') OR regexp_matches(left(text, 1500), '(?im)^\s*(exit code|exit status)\s*[:=]?\s*[1-9]')
+  OR regexp_matches(left(text, 1500), '(?i)\b(traceback \(most recent call last\)|fatal error|command failed)\b') AS failed FROM documents""")
+def failed_output_flag(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "documents").select("doc_id", classify.looks_failed(F.col("text")).alias("failed"))
+
+
+@query("""SELECT event_id, CASE WHEN c = '??' THEN 'untracked' WHEN contains(c, 'U') OR c IN ('AA', 'DD') THEN 'conflicted' WHEN contains(c, 'R') THEN 'renamed'
+  WHEN contains(c, 'D') THEN 'deleted' WHEN contains(c, 'A') THEN 'added' ELSE 'modified' END AS change_kind, 'p' || event_id AS path
+FROM (SELECT event_id, list_value('??', 'UU', 'AA', 'DD', 'R ', ' D', 'A ', ' M', 'MM', 'RM')[event_id % 10 + 1] AS c FROM events)""")
+def status_classify(spark: SparkSession, d: str) -> DataFrame:
+    codes = F.array(*[F.lit(c) for c in ("??", "UU", "AA", "DD", "R ", " D", "A ", " M", "MM", "RM")])
+    code = F.element_at(codes, (F.col("event_id") % 10 + 1).cast("int"))
+    renamed = F.when(code.contains("R"), F.lit("old -> ")).otherwise("")
+    rows = read(spark, d, "events").select("event_id", F.concat(code, F.lit(" "), renamed, F.lit("p"), F.col("event_id").cast("string")).alias("line"), F.col("event_id").alias("pos"))
+    return relevance.classify_status(rows, keys=["event_id"]).select("event_id", "change_kind", "path")
+
+
+@query("""SELECT event_type, count(*) AS n FROM (SELECT DISTINCT event_type, props FROM events) GROUP BY event_type""")
+def changed_path_union(spark: SparkSession, d: str) -> DataFrame:
+    """Changed paths of each event type, each once over all kinds of change."""
+    kinds = F.array(*[F.lit(k) for k in relevance.KINDS])
+    rows = read(spark, d, "events").select("event_type", F.col("props").alias("path"), F.element_at(kinds, (F.col("event_id") % 6 + 1).cast("int")).alias("change_kind"), F.col("event_id").alias("pos"))
+    return relevance.changed_paths(rows, ["event_type"]).groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT doc_id FROM documents d WHERE lang <> 'en' AND NOT EXISTS (SELECT 1 FROM documents a WHERE a.lang = 'en' AND a.text = d.text)""")
+def archive_anti_join(spark: SparkSession, d: str) -> DataFrame:
+    """Documents in other languages whose content no English document has."""
+    rows = read(spark, d, "documents")
+    return archive.not_archived(rows.where("lang <> 'en'"), rows.where("lang = 'en'"), "text").select("doc_id")
+
+
+@query("""SELECT 'patch' AS agent, count(*) AS sessions, count(*) FILTER (user_id % 3 < 2) AS linked FROM (SELECT DISTINCT user_id FROM events)""")
+def discovery_link_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions tied to a repository by their working directory or by their folder's name."""
+    users = read(spark, d, "events").groupBy("user_id").agg(F.max("ts").alias("mtime"), F.count("*").alias("size"))
+    key = F.concat(F.lit("/home/tmp/"), F.when(F.col("user_id") % 3 == 1, "my-repo-1").otherwise("else"), F.lit("/chats/session-"), F.col("user_id").cast("string"), F.lit(".jsonl"))
+    files = users.select(key.alias("session_key"), "mtime", "size", "user_id")
+    cwd = F.when(F.col("user_id") % 3 == 0, "/w/my_repo/sub").when(F.col("user_id") % 3 == 2, "/elsewhere")
+    probes = files.select("session_key", F.lit(None).cast("string").alias("session_id"), cwd.alias("cwd"))
+    return discovery.linked_counts(discovery.discover(files.drop("user_id"), probes, "patch", "/w/my_repo"))
+
+
+@query("""SELECT doc_id, CASE WHEN n < 1024 THEN n || ' B' ELSE format('{:.1f} KiB', n / 1024.0) END AS size FROM (SELECT doc_id, strlen(text) AS n FROM documents)""")
+def human_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "documents").select("doc_id", text.human_size(F.octet_length("text")).alias("size"))
+
+
+@query()
+def injected_context_flag(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "pages").select("page_id", classify.is_injected_context(F.col("html")).alias("injected"))
+
+
+@query()
+def evidence_buckets(spark: SparkSession, d: str) -> DataFrame:
+    """The whole evidence of each session: trimmed, in its buckets."""
+    return evidence.select_buckets(evidence.trim(_log(spark, d))).select("session_key", "bucket", F.col("rank").cast("long").alias("rank"), "line_no", "kind", "text")
