@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sessionloom.functions.classify import is_injected_context, is_mutating_tool
 from sessionloom.functions.text import is_blank, strip, ts_to_iso
 from sessionloom.operators import events as ev
-from sessionloom.sources.jsonl import head_values, json_text, kind, list_at, object_at, scalar_at, string_at
+from sessionloom.sources.jsonl import head_values, is_kind, json_text, list_at, object_at, scalar_at, string_at
 
 AGENT = "block"
 # The input keys that describe a call, and those that hold paths.
@@ -36,12 +36,12 @@ def flatten_result(value: Column) -> Column:
     """A result as text: text itself, the texts of a list, an object's text or its JSON of 4000 characters."""
 
     def part(b: Column) -> Column:
-        return F.when(kind(b) == "STRING", string_at(b, "$")).when(string_at(b, "$.type") == "text", scalar_at(b, "$.text")).when(string_at(b, "$.type") == "image", F.lit("[image omitted]"))
+        return F.when(is_kind(b, "STRING"), string_at(b, "$")).when(string_at(b, "$.type") == "text", scalar_at(b, "$.text")).when(string_at(b, "$.type") == "image", F.lit("[image omitted]"))
 
     parts = F.transform(list_at(value, "$"), part)
     listed = F.array_join(F.filter(parts, lambda p: p != ""), "\n")
     whole = F.when(string_at(value, "$.type") == "text", scalar_at(value, "$.text")).otherwise(F.left(json_text(value), F.lit(4000)))
-    return F.when(kind(value) == "STRING", string_at(value, "$")).when(kind(value) == "ARRAY", listed).when(kind(value) == "OBJECT", whole).otherwise(scalar_at(value, "$"))
+    return F.when(is_kind(value, "STRING"), string_at(value, "$")).when(is_kind(value, "ARRAY"), listed).when(is_kind(value, "OBJECT"), whole).otherwise(scalar_at(value, "$"))
 
 
 def normalize(lines: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sessionloom.functions.classify import is_injected_context, looks_failed, tool_mutates
 from sessionloom.functions.text import strip, ts_to_iso
 from sessionloom.operators import events as ev
-from sessionloom.sources.jsonl import head_values, json_text, kind, list_at, object_at, scalar_at, string_at
+from sessionloom.sources.jsonl import head_values, is_kind, json_text, kind, list_at, object_at, scalar_at, string_at
 
 AGENT = "patch"
 # Argument keys that describe a call, and those that hold paths; a reply that says nothing.
@@ -42,8 +42,8 @@ def operations(lines: DataFrame) -> DataFrame:
         F.filter(F.coalesce("listed", F.array().cast("array<variant>")), lambda m: string_at(m, "$.id").isNotNull()),
         lambda m: F.struct(string_at(m, "$.id").alias("id"), F.col("block_start"), F.col("line_no"), json_text(m).alias("body")),
     )
-    rows = rows.select("session_key", "block_start", "line_no", op.alias("op"), rewind.alias("id"), messages.alias("messages"))
-    return rows.where(F.col("op").isNotNull())
+    done = F.struct(op.alias("op"), rewind.alias("id"), messages.alias("messages"))
+    return rows.select("session_key", "block_start", "line_no", F.explode(F.filter(F.array(done), lambda x: x["op"].isNotNull())).alias("x")).select("session_key", "block_start", "line_no", "x.*")
 
 
 def _upserted(held: Column, new: Column) -> Column:
@@ -83,9 +83,9 @@ def parts_of(v: Column, path: str) -> Column:
         return F.parse_json(F.to_json(F.struct(scalar_at(x, "$").alias("text"))))
 
     none = F.array().cast("array<variant>")
-    listed = F.transform(list_at(value, "$"), lambda x: F.when(kind(x) == "OBJECT", x).otherwise(wrap(x)))
+    listed = F.transform(list_at(value, "$"), lambda x: F.when(is_kind(x, "OBJECT"), x).otherwise(wrap(x)))
     text = F.when(string_at(value, "$") == "", none).otherwise(F.array(wrap(value)))
-    return F.when(kind(value) == "ARRAY", listed).when(kind(value) == "OBJECT", F.array(value)).when(value.isNull() | kind(value).isin("VOID", ""), none).otherwise(text)
+    return F.when(is_kind(value, "ARRAY"), listed).when(is_kind(value, "OBJECT"), F.array(value)).when(value.isNull() | kind(value).isin("VOID", ""), none).otherwise(text)
 
 
 def visible_text(parts: Column) -> Column:
@@ -110,7 +110,7 @@ def flatten_result(value: Column) -> Column:
     shown = F.left(json_text(value), F.lit(2000))
     listed = F.coalesce(F.nullif(visible_text(parts_of(value, "$")), F.lit("")), shown)
     whole = F.coalesce(string_at(value, "$.output"), string_at(value, "$.response.output"), shown)
-    return F.when(kind(value) == "STRING", string_at(value, "$")).when(kind(value) == "ARRAY", listed).when(kind(value) == "OBJECT", whole).otherwise(scalar_at(value, "$"))
+    return F.when(is_kind(value, "STRING"), string_at(value, "$")).when(is_kind(value, "ARRAY"), listed).when(is_kind(value, "OBJECT"), whole).otherwise(scalar_at(value, "$"))
 
 
 def _call(name: Column, args: Column, raw: Column) -> Column:
@@ -131,7 +131,7 @@ def message_events(rows: DataFrame) -> tuple[DataFrame, Column]:
     rows = rows.withColumn("parts", parts_of(v, "$.content"))
     rows = rows.withColumn("said", visible_text(F.col("parts"))).withColumn("trimmed", strip(F.col("said")))
     rows = rows.withColumn("injected", (raw == "user") & is_injected_context(F.col("said")))
-    tools = F.filter(F.coalesce(list_at(v, "$.toolCalls"), F.array().cast("array<variant>")), lambda c: kind(c) == "OBJECT")
+    tools = F.filter(F.coalesce(list_at(v, "$.toolCalls"), F.array().cast("array<variant>")), lambda c: is_kind(c, "OBJECT"))
     calls = F.filter(F.transform("parts", lambda x: object_at(x, "$.functionCall")), lambda c: c.isNotNull())
     answers = F.filter("parts", lambda x: object_at(x, "$.functionResponse").isNotNull())
     rows = rows.withColumn("tools", F.when(raw.isin("gemini", "model"), tools)).withColumn("calls", F.when(raw.isin("gemini", "model"), calls)).withColumn("answers", F.when(raw == "user", answers))
@@ -169,7 +169,7 @@ def scratchpad(lines: DataFrame) -> DataFrame:
     saves = ~rewind & update.isNotNull() & F.array_contains(F.json_object_keys(json_text(update)), "memoryScratchpad")
     moves = rewind | (~saves & update.isNull() & ~header & string_at(v, "$.id").isNotNull())
     empty = value.isNull() | json_text(value).isin('""', "[]", "{}", "null", "0", "false")
-    note = F.when(~empty, F.when(kind(value) == "STRING", string_at(value, "$")).otherwise(json_text(value)))
+    note = F.when(~empty, F.when(is_kind(value, "STRING"), string_at(value, "$")).otherwise(json_text(value)))
     at = F.struct("block_start", "line_no")
     rows = lines.where("ok").select("session_key", at.alias("at"), saves.alias("saves"), moves.alias("moves"), note.alias("note"))
     rows = rows.where("saves OR moves").groupBy("session_key").agg(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sessionloom.functions.classify import is_injected_context, is_mutating_tool, looks_failed, mutates_by_shell
 from sessionloom.functions.text import is_blank, sha256_text, strip, ts_to_iso
 from sessionloom.operators import events as ev
-from sessionloom.sources.jsonl import head_values, json_text, kind, list_at, object_at, scalar_at, string_at
+from sessionloom.sources.jsonl import head_values, is_kind, json_text, list_at, object_at, scalar_at, string_at
 
 AGENT = "rollout"
 # Types of calls and outputs, of text blocks, and a session's described keys.
@@ -24,15 +24,15 @@ def flatten_content(value: Column, depth: int = 2) -> Column:
 
     def part(b: Column) -> Column:
         of = scalar_at(b, "$.type")
-        return F.when(kind(b) == "STRING", string_at(b, "$")).when(of.isin(*TEXT_TYPES), scalar_at(b, "$.text")).when(of.isin(*IMAGE_TYPES), F.lit("[image omitted]"))
+        return F.when(is_kind(b, "STRING"), string_at(b, "$")).when(of.isin(*TEXT_TYPES), scalar_at(b, "$.text")).when(of.isin(*IMAGE_TYPES), F.lit("[image omitted]"))
 
     listed = F.array_join(F.filter(F.transform(list_at(value, "$"), part), lambda p: p != ""), "\n")
-    out = F.when(kind(value) == "STRING", string_at(value, "$")).when(kind(value) == "ARRAY", listed)
+    out = F.when(is_kind(value, "STRING"), string_at(value, "$")).when(is_kind(value, "ARRAY"), listed)
     if depth:
         content, text = (F.try_variant_get(value, p, "variant") for p in ("$.content", "$.text"))
         empty = content.isNull() | json_text(content).isin('""', "[]", "{}", "null", "0", "false")
         inner = F.when(empty, flatten_content(text, depth - 1)).otherwise(flatten_content(content, depth - 1))
-        out = out.when(kind(value) == "OBJECT", inner)
+        out = out.when(is_kind(value, "OBJECT"), inner)
     return out.otherwise(scalar_at(value, "$"))
 
 
@@ -74,7 +74,7 @@ def normalize(lines: DataFrame, dedupe: bool = True) -> DataFrame:
     response_is = lambda *kinds: (t == "response_item") & pt.isin(*kinds)
     # columns used several times are kept apart, so that they are computed once
     given = F.coalesce(F.try_variant_get(p, "$.input", "variant"), F.try_variant_get(p, "$.arguments", "variant"))
-    told = F.when(kind(given) == "STRING", string_at(given, "$")).otherwise(F.coalesce(json_text(given), F.lit("null")))
+    told = F.when(is_kind(given, "STRING"), string_at(given, "$")).otherwise(F.coalesce(json_text(given), F.lit("null")))
     trouble = flatten_content(F.coalesce(F.try_variant_get(item, "$.message", "variant"), F.try_variant_get(item, "$.content", "variant")))
     rows = rows.withColumns(
         {

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.functions.text import strip
-
 
 def parsed(lines: DataFrame, line: str = "line") -> DataFrame:
     """Adds v (VARIANT, null if bad) and ok to rows with a column of lines; blank lines go.
@@ -15,10 +13,11 @@ def parsed(lines: DataFrame, line: str = "line") -> DataFrame:
     repeated keys. What follows an object on its line makes it bad unless it
     ends in a brace itself.
     """
-    text = strip(F.col(line))
-    rows = lines.withColumn("__text", text).where(F.col("__text") != "")
-    rows = rows.withColumn("v", F.when(F.col("__text").startswith("{") & F.col("__text").endswith("}"), F.try_parse_json("__text")))
-    return rows.withColumn("ok", F.col("v").isNotNull()).drop("__text", line)
+    text = F.trim(F.col(line), F.lit(" \t\r\n\f\v"))
+    rows = lines.where(F.col(line).rlike(r"(?U)\S"))
+    # a generator, so that later filters are not pushed below the parse, which would parse a line once for each of them
+    rows = rows.select(*[c for c in rows.columns if c != line], F.explode(F.array(F.when(text.startswith("{") & text.endswith("}"), F.try_parse_json(line)))).alias("v"))
+    return rows.withColumn("ok", F.col("v").isNotNull())
 
 
 def read_jsonl(spark: SparkSession, paths: str | list[str], recursive: bool = False, pattern: str | None = None) -> DataFrame:
@@ -65,30 +64,40 @@ def read_rollout(spark: SparkSession, root: str) -> DataFrame:
     return read_jsonl(spark, root, True, "*.jsonl")
 
 
+def _at(v: Column, path: str) -> Column:
+    return v if path == "$" else F.try_variant_get(v, path, "variant")
+
+
 def kind(v: Column, path: str = "$") -> Column:
     """STRING, OBJECT, ARRAY, BIGINT and so on; null where nothing is."""
-    schema = F.schema_of_variant(v if path == "$" else F.try_variant_get(v, path, "variant"))
-    return F.substring_index(F.substring_index(schema, "<", 1), "(", 1)
+    return F.substring_index(F.substring_index(F.schema_of_variant(_at(v, path)), "<", 1), "(", 1)
+
+
+def is_kind(v: Column, name: str, path: str = "$") -> Column:
+    """Is the value of that kind? Null where nothing is."""
+    schema = F.schema_of_variant(_at(v, path))
+    return schema.startswith(name) if name in ("OBJECT", "ARRAY", "DECIMAL") else schema == name
 
 
 def string_at(v: Column, path: str) -> Column:
     """The value if it is a string, else null."""
-    return F.when(kind(v, path) == "STRING", F.try_variant_get(v, path, "string"))
+    return F.when(is_kind(v, "STRING", path), F.try_variant_get(v, path, "string"))
 
 
 def scalar_at(v: Column, path: str) -> Column:
-    """A string or number as text; '' for nothing."""
-    return F.when(kind(v, path).isin("STRING", "BIGINT", "DOUBLE", "DECIMAL", "BOOLEAN"), F.try_variant_get(v, path, "string")).otherwise("")
+    """A string or number as text; '' for nothing, and for objects and lists."""
+    schema = F.schema_of_variant(_at(v, path))
+    return F.when(schema.rlike("^(STRING|BIGINT|DOUBLE|DECIMAL|BOOLEAN|FLOAT)"), F.try_variant_get(v, path, "string")).otherwise("")
 
 
 def object_at(v: Column, path: str) -> Column:
     """The value as a VARIANT if it is an object, else null."""
-    return F.when(kind(v, path) == "OBJECT", F.try_variant_get(v, path, "variant"))
+    return F.when(is_kind(v, "OBJECT", path), _at(v, path))
 
 
 def list_at(v: Column, path: str) -> Column:
     """The elements if it is a list, else null."""
-    return F.when(kind(v, path) == "ARRAY", F.try_variant_get(v, path, "array<variant>"))
+    return F.when(is_kind(v, "ARRAY", path), F.try_variant_get(v, path, "array<variant>"))
 
 
 def json_text(v: Column) -> Column:
