@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+
 from sessionloom.functions.text import safe_component, sha256_text, short_id
+from sessionloom.shared import checkpointed
 
 NAME = r"^(\d{8}-\d{6})-([A-Za-z0-9._]+)-([A-Za-z0-9._-]+?)(?:-(\d+))?\.md$"
 
@@ -28,7 +30,7 @@ def append_new(current: DataFrame, path: str, content: str = "content") -> DataF
     new = current.dropDuplicates([content])
     new = not_archived(new, spark.read.parquet(path), content) if there else new
     # the plan reads the archive, so it is fixed before the archive grows
-    new = new.checkpoint(eager=True) if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else spark.createDataFrame(new.collect(), new.schema)
+    new = checkpointed(new)
     new.write.mode("append").parquet(path)
     return new
 

@@ -210,7 +210,7 @@ def probe(lines: DataFrame, markers: DataFrame | None = None) -> DataFrame:
     """
     v = F.col("v")
     found = head_values(lines, 5, 64 * 1024, {"session_id": string_at(v, "$.sessionId")})
-    project = F.regexp_extract("session_key", "^(.*)/[^/]+/[^/]+$", 1)
+    project = F.regexp_extract(F.regexp_replace("session_key", "^file:/+", "/"), "^(.*)/[^/]+/[^/]+$", 1)
     if markers is None:
         return found.withColumn("cwd", F.lit(None).cast("string"))
     return found.withColumn("project", project).join(markers.select("project", F.nullif(strip(F.col("cwd")), F.lit("")).alias("cwd")), "project", "left").drop("project")

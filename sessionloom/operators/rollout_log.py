@@ -38,7 +38,7 @@ def flatten_content(value: Column, depth: int = 2) -> Column:
 
 def _file_change(item: Column, raw: Column) -> Column:
     """A change of files: all paths, and the first 40 in the record's own order with their kind."""
-    changes = F.from_json(json_text(object_at(item, "$.changes")), "map<string,string>")
+    changes = F.col("changes")
     detail = F.transform(
         F.slice(F.map_entries(changes), 1, 40),
         lambda c: F.concat(F.coalesce(F.get_json_object(c["value"], "$.type"), F.when(c["value"].startswith("{"), F.lit("None")).otherwise(F.lit("change"))), F.lit(": "), c["key"]),
@@ -58,7 +58,7 @@ def normalize(lines: DataFrame, dedupe: bool = True) -> DataFrame:
     so_far = Window.partitionBy("session_key").orderBy("block_start", "line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = lines.where("ok").withColumn("p", object_at(v, "$.payload")).where(p.isNotNull())
     rows = rows.withColumn("session_id", F.coalesce(F.first(F.nullif(scalar_at(p, "$.session_id"), F.lit("")), ignorenulls=True).over(so_far), F.lit("")))
-    rows = rows.select("session_key", "session_id", "block_start", "line_no", "p", scalar_at(v, "$.type").alias("t"), scalar_at(p, "$.type").alias("pt"), ts_to_iso(F.try_variant_get(v, "$.timestamp", "variant")).alias("ts_raw"))
+    rows = rows.select("session_key", "session_id", "block_start", "line_no", "p", "raw", scalar_at(v, "$.type").alias("t"), scalar_at(p, "$.type").alias("pt"), ts_to_iso(F.try_variant_get(v, "$.timestamp", "variant")).alias("ts_raw"))
     t, pt = F.col("t"), F.col("pt")
     raw = F.concat_ws("/", t, pt)
     item = object_at(p, "$.item")
@@ -80,6 +80,8 @@ def normalize(lines: DataFrame, dedupe: bool = True) -> DataFrame:
         {
             "text": F.when(response_is("message"), flatten_content(F.try_variant_get(p, "$.content", "variant"))).when(it == "UserMessage", flatten_content(F.try_variant_get(item, "$.content", "variant"))).when(it == "Error", trouble),
             "told": F.when(response_is(*CALLS), told),
+            # a VARIANT sorts an object's keys, the line's text has them as they were written
+            "changes": F.when((it == "FileChange") & object_at(item, "$.changes").isNotNull(), F.from_json(F.get_json_object("raw", "$.payload.item.changes"), "map<string,string>")),
             "output": F.when(response_is(*OUTPUTS), flatten_content(F.try_variant_get(p, "$.output", "variant"))),
         }
     )
@@ -96,7 +98,7 @@ def normalize(lines: DataFrame, dedupe: bool = True) -> DataFrame:
     server = F.coalesce(F.nullif(scalar_at(item, "$.server"), F.lit("")), F.lit("mcp"))
     tool = F.coalesce(F.nullif(scalar_at(item, "$.tool"), F.lit("")), F.lit("?"))
     completed = (
-        F.when(it == "FileChange", ev.one(_file_change(item, item_raw), object_at(item, "$.changes").isNotNull()))
+        F.when(it == "FileChange", ev.one(_file_change(item, item_raw), F.col("changes").isNotNull()))
         .when(it == "ContextCompaction", ev.one(ev.event(ev.COMPACTION, F.lit("context compaction performed by the agent"), item_raw)))
         .when(it == "Error", ev.one(ev.event(ev.TOOL_ERROR, text, item_raw, error=F.lit(True))))
         .when(it == "McpToolCall", ev.one(ev.event(ev.TOOL_CALL, scalar_at(item, "$.title"), item_raw, tool=F.concat(server, F.lit("/"), tool))))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def parsed(lines: DataFrame, line: str = "line") -> DataFrame:
-    """Adds v (VARIANT, null if bad) and ok to rows with a column of lines; blank lines go.
+    """Adds v (VARIANT, null if bad) and ok to rows with a column of lines, kept as raw; blank lines go.
 
     A line is good if it is one JSON object. The parser rejects NaN and
     repeated keys. What follows an object on its line makes it bad unless it
@@ -16,7 +16,7 @@ def parsed(lines: DataFrame, line: str = "line") -> DataFrame:
     text = F.trim(F.col(line), F.lit(" \t\r\n\f\v"))
     rows = lines.where(F.col(line).rlike(r"(?U)\S"))
     # a generator, so that later filters are not pushed below the parse, which would parse a line once for each of them
-    rows = rows.select(*[c for c in rows.columns if c != line], F.explode(F.array(F.when(text.startswith("{") & text.endswith("}"), F.try_parse_json(line)))).alias("v"))
+    rows = rows.select(*[c for c in rows.columns if c != line], F.col(line).alias("raw"), F.explode(F.array(F.when(text.startswith("{") & text.endswith("}"), F.try_parse_json(line)))).alias("v"))
     return rows.withColumn("ok", F.col("v").isNotNull())
 
 
