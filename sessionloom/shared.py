@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,3 +27,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """`df` written to the shared folder, its lineage cut."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver has it.
+
+    It matters where the driver was started in another folder; a cluster whose
+    nodes lack the package gets it by spark.submit.pyFiles.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    known = env.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in known:
+        env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, known)])
