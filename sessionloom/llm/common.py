@@ -5,7 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import math
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -13,29 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that a Python step turns into objects at once.
-SLICE = 256
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir.
+from sessionloom.shared import checkpointed, importable, shared_dir
 
-    Only where the setting is absent (tests, one machine) is a folder made.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = held.get() if held.isDefined() else None
-    if not found:
-        found = tempfile.mkdtemp(prefix="sessionloom-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+__all__ = ["checkpointed", "importable", "keyed_text", "release_memory", "shard_count", "shared_dir", "shuffle_partitions", "slices", "stored", "text_bytes"]
 
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """`df` written to the shared folder, its lineage cut."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+#: Rows that a Python step turns into objects at once.
+SLICE = 256
 
 
 def stored(df: DataFrame, kind: str) -> DataFrame:
@@ -63,6 +45,7 @@ def shard_count(spark: SparkSession, total: int, target: int) -> int:
 
 def keyed_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Just the id and the text, under fixed names: other columns cannot clash."""
+    importable(df.sparkSession)
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionloom.llm.common import slices
+from sessionloom.llm.common import importable, slices
 
 #: Rows that the model is fitted on at most, all languages together; equally many of each, by hashed id.
 MAX_SAMPLE = 4_000
@@ -133,6 +133,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     The languages are counted first; a share of each one's ids, by hash, then
     bounds what is read and sent to the driver as profiles.
     """
+    importable(df.sparkSession)
     rows = df.where(~_held_out(df, id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -169,6 +170,7 @@ def language_id(df: DataFrame, model: Model | None, id_col: str = "doc_id", text
     and without a model. Repeated rows give repeated results; a null id is not
     held out; an empty table gives an empty result. Nothing is shuffled.
     """
+    importable(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), _held_out(df, id_col).alias("held_out"), F.col(text_col).alias("text"))
 

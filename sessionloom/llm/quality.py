@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sessionloom.llm.common import keyed_text, slices
+from sessionloom.llm.common import importable, keyed_text, slices
 
 #: Labelled rows that the learner sees at most, chosen by a hash of their id.
 MAX_LABELLED = 6_000
@@ -233,6 +233,7 @@ def quality_rules(df: DataFrame, rules: list[Rule], id_col: str = "doc_id", text
 
 def with_verdict(df: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFrame:
     """All rows and columns of `df`, and `__kept` as in `quality_rules`; texts are not shuffled."""
+    importable(df.sparkSession)
     schema = T.StructType([*df.schema.fields, T.StructField("__kept", T.BooleanType())])
     names = [*_COUNTS, *_RATIOS]
 
