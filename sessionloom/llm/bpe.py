@@ -19,10 +19,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sessionloom.llm.common import keyed_text, slices
+from sessionloom.llm.common import keyed_text, release_memory, slices
 
-#: Segments whose ids a worker remembers before it starts anew.
-CACHE = 400_000
+#: Segments whose ids a worker remembers before it starts anew; it forgets them after each partition.
+CACHE = 150_000
 
 #: Unicode's White_Space, which \s stands for in rank-file tokenizers.
 WHITE_SPACE = "".join(map(chr, (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
@@ -117,6 +117,9 @@ class Codec:
         parts = self._segments(text) if self._local else [text]
         return b"".join([known.get(s) or self._segment(s) for s in parts])
 
+    def forget(self) -> None:
+        self._known = {}
+
     def decode(self, ids: bytes) -> bytes:
         token = self._bytes
         return b"".join([token[i] for i in np.frombuffer(ids, dtype="<u4").tolist()])
@@ -161,5 +164,7 @@ def byte_bpe(df: DataFrame, ranks_path: str, pattern: str = SUPPORTED, id_col: s
             if with_ids:
                 out["ids"] = pa.array(ids, pa.list_(pa.int32()))
             yield pa.RecordBatch.from_pydict(out)
+        codec.forget()
+        release_memory()
 
     return keyed_text(df, id_col, text_col).selectExpr("cast(doc_id AS long) AS doc_id", "text").mapInArrow(run, schema)

@@ -50,9 +50,11 @@ def keyed_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches cut small; at a partition's end the worker's freed memory goes back to the system."""
     for batch in batches:
         for at in range(0, batch.num_rows, SLICE):
             yield batch.slice(at, SLICE)
+    release_memory()
 
 
 def release_memory() -> None:

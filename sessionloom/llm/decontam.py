@@ -22,15 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionloom.llm.common import keyed_text, stored
+from sessionloom.llm.common import keyed_text, release_memory, stored
 
 WINDOW = 10
 #: Bytes of test text in a broadcast block.
 BLOCK_BYTES = 4 << 20
 #: Bytes of text in an index shard.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 #: Candidates that are intersected at once.
-CANDIDATES = 1 << 20
+CANDIDATES = 1 << 18
 
 #: Lower-cases A-Z and turns every other byte under 0x80 that is no letter or digit into a space.
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
@@ -175,6 +175,8 @@ def build_index(df: DataFrame, tests: TestSet, id_col: str = "doc_id", text_col:
                 size += len(text)
         if ids:
             yield row()
+        ids, texts = [], []
+        release_memory()
 
     docs = keyed_text(df, id_col, text_col).selectExpr("cast(doc_id AS long) AS doc_id", "text")
     return stored(docs.mapInArrow(run, _INDEX), "index")
@@ -190,8 +192,10 @@ def search_index(index: DataFrame, tests: TestSet, slop: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tests = shared.value
         for batch in batches:
-            for row in batch.to_pylist():
+            # one shard at a time
+            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
                 yield _answer(row, tests, slop)
+        release_memory()
 
     return index.mapInArrow(run, _FOUND)
 
