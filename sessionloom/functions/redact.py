@@ -27,29 +27,42 @@ FAMILIES = (
     ("google", r"(?U)\bAIza[0-9A-Za-z_\-]{30,}", MARK),
     ("jwt", r"(?U)\beyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}", MARK),
 )
-#: Lower-case text that every match of a family has: a cheap test before its pattern.
+#: Lower-case texts of which every match of a family has one: a cheap test before its pattern.
 _NEEDS = {
-    "private_key": "private key-----", "auth_header": "authorization", "cookie": "cookie", "sk_ant": "sk-ant-", "sk": "sk-",
-    "github": "gh", "github_pat": "github_pat_", "slack": "xox", "aws": "ia", "google": "aiza", "jwt": "eyj",
-}
+    "private_key": ("private key-----",),
+    "auth_header": ("authorization",),
+    "cookie": ("cookie",),
+    "key_value": ("key", "token", "secret", "passw", "pwd", "passphrase"),
+    "sk_ant": ("sk-ant-",),
+    "sk": ("sk-",),
+    "github": ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"),
+    "github_pat": ("github_pat_",),
+    "slack": ("xox",),
+    "aws": ("akia", "asia"),
+    "google": ("aiza",),
+    "jwt": ("eyj",),
+}
+#: The one letter beyond ASCII that patterns without case take for an ASCII letter and that has no ASCII lower case.
+_LONG_S = "\u017f"
 
 
 def scrub(c: Column) -> Column:
     """STRUCT<text, hits>: the text with credentials replaced, and how many were; each family sees what the last one left."""
-    state = F.struct(F.coalesce(c, F.lit("")).alias("text"), F.lit(0).cast("long").alias("hits"))
+    text = F.coalesce(c, F.lit(""))
     # one-element arrays bind each step's text once, so that it is not computed anew for its count and its replacement
-    step = F.array(state)
+    step = F.array(F.struct(text.alias("text"), F.lit(0).cast("long").alias("hits"), F.lower(text).alias("low")))
     for family, pattern, replacement in FAMILIES:
 
         def apply(s: Column, family: str = family, pattern: str = pattern, replacement: str = replacement) -> Column:
-            text = s["text"]
-            # letters of other scripts may fold to ASCII under (?iU), so only ASCII needs are tested
-            there = F.lower(text).contains(_NEEDS[family]) if family in _NEEDS else F.lit(True)
-            hits = F.when(there, F.regexp_count(text, F.lit(pattern))).otherwise(0)
-            return F.when(there, F.struct(F.regexp_replace(text, pattern, replacement).alias("text"), (s["hits"] + hits).alias("hits"))).otherwise(s)
+            # replacements bring none of the needed texts, so the first text's lower case serves all steps
+            there = s["low"].contains(_LONG_S)
+            for need in _NEEDS[family]:
+                there = there | s["low"].contains(need)
+            hits = s["hits"] + F.regexp_count(s["text"], F.lit(pattern))
+            return F.when(there, F.struct(F.regexp_replace(s["text"], pattern, replacement).alias("text"), hits.alias("hits"), s["low"].alias("low"))).otherwise(s)
 
         step = F.transform(step, _one(apply))
-    return F.element_at(step, 1)
+    return F.element_at(F.transform(step, lambda s: F.struct(s["text"].alias("text"), s["hits"].alias("hits"))), 1)
 
 
 def _one(f):

@@ -46,18 +46,31 @@ def _file_change(item: Column, raw: Column) -> Column:
     return ev.event(ev.TOOL_CALL, F.array_join(detail, "\n"), raw, tool=F.lit("FileChange"), paths=F.map_keys(changes), mutating=F.lit(True))
 
 
-def normalize(lines: DataFrame, dedupe: bool = True) -> DataFrame:
+def first_ids(lines: DataFrame) -> DataFrame:
+    """session_key, first_id and named_at: the first session id of each file and its place.
+
+    Only lines whose text holds the key are parsed for it.
+    """
+    found = F.nullif(scalar_at(F.col("v"), "$.payload.session_id"), F.lit(""))
+    rows = lines.where(F.col("raw").contains('"session_id"')).where("ok").select("session_key", F.struct("block_start", "line_no").alias("at"), found.alias("id")).where("id IS NOT NULL")
+    return rows.groupBy("session_key").agg(F.min_by("id", "at").alias("first_id"), F.min("at").alias("named_at"))
+
+
+def normalize(lines: DataFrame, dedupe: bool = True, broadcast_ids: bool = False) -> DataFrame:
     """Events of rollout-dialect lines (see `read_jsonl`).
 
-    A line's session is the first one named so far in its file. A user's text
+    A line's session is the first one named so far in its file, found by an
+    aggregation of its own, so that a large file's lines stay in the tasks that
+    read them (`broadcast_ids` if the files are known to be few). A user's text
     that its session already has is dropped (`dedupe`), whichever kind of record
     holds it.
     """
     v = F.col("v")
     p = F.col("p")
-    so_far = Window.partitionBy("session_key").orderBy("block_start", "line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = lines.where("ok").withColumn("p", object_at(v, "$.payload")).where(p.isNotNull())
-    rows = rows.withColumn("session_id", F.coalesce(F.first(F.nullif(scalar_at(p, "$.session_id"), F.lit("")), ignorenulls=True).over(so_far), F.lit("")))
+    rows = rows.join(F.broadcast(first_ids(lines)) if broadcast_ids else first_ids(lines), "session_key", "left")
+    named = F.struct("block_start", "line_no") >= F.col("named_at")
+    rows = rows.withColumn("session_id", F.when(named, F.col("first_id")).otherwise(""))
     rows = rows.select("session_key", "session_id", "block_start", "line_no", "p", "raw", scalar_at(v, "$.type").alias("t"), scalar_at(p, "$.type").alias("pt"), ts_to_iso(F.try_variant_get(v, "$.timestamp", "variant")).alias("ts_raw"))
     t, pt = F.col("t"), F.col("pt")
     raw = F.concat_ws("/", t, pt)
