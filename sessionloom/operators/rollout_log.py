@@ -68,10 +68,7 @@ def normalize(lines: DataFrame, dedupe: bool = True, broadcast_ids: bool = False
     v = F.col("v")
     p = F.col("p")
     rows = lines.where("ok").withColumn("p", object_at(v, "$.payload")).where(p.isNotNull())
-    rows = rows.join(F.broadcast(first_ids(lines)) if broadcast_ids else first_ids(lines), "session_key", "left")
-    named = F.struct("block_start", "line_no") >= F.col("named_at")
-    rows = rows.withColumn("session_id", F.when(named, F.col("first_id")).otherwise(""))
-    rows = rows.select("session_key", "session_id", "block_start", "line_no", "p", "raw", scalar_at(v, "$.type").alias("t"), scalar_at(p, "$.type").alias("pt"), ts_to_iso(F.try_variant_get(v, "$.timestamp", "variant")).alias("ts_raw"))
+    rows = rows.select("session_key", F.lit("").alias("session_id"), "block_start", "line_no", "p", "raw", scalar_at(v, "$.type").alias("t"), scalar_at(p, "$.type").alias("pt"), ts_to_iso(F.try_variant_get(v, "$.timestamp", "variant")).alias("ts_raw"))
     t, pt = F.col("t"), F.col("pt")
     raw = F.concat_ws("/", t, pt)
     item = object_at(p, "$.item")
@@ -127,6 +124,10 @@ def normalize(lines: DataFrame, dedupe: bool = True, broadcast_ids: bool = False
         .otherwise(ev.no_events())
     )
     out = ev.table(rows, AGENT, found)
+    # joined to events, which are less than lines
+    out = out.join(F.broadcast(first_ids(lines)) if broadcast_ids else first_ids(lines), "session_key", "left")
+    named = F.struct("block_start", "line_no") >= F.col("named_at")
+    out = out.withColumn("session_id", F.when(named, F.col("first_id")).otherwise("")).select(*ev.COLUMNS)
     return first_of_repeats(out) if dedupe else out
 
 

@@ -15,6 +15,9 @@ from sessionloom.plans import render
 from sessionloom.sources import jsonl, vcs
 from sessionloom.sources.files import archive_path, file_listing, memory_index, sha256_file, write_atomic
 
+#: Session files up to which a row for each of them is broadcast.
+BROADCAST_FILES = 100_000
+
 DIALECTS = {"block": block_log, "rollout": rollout_log, "patch": patch_log}
 
 
@@ -29,6 +32,9 @@ def normalize(lines: DataFrame, agent: str) -> DataFrame:
     """Parsed lines as events; an unknown dialect is an error."""
     if agent not in DIALECTS:
         raise ValueError(f"unknown dialect {agent!r}; there are {', '.join(DIALECTS)}")
+    if agent == "rollout":
+        # a file is a session, so the files bound what would be broadcast
+        return rollout_log.normalize(lines, broadcast_ids=0 < len(lines.inputFiles()) <= BROADCAST_FILES)
     return DIALECTS[agent].normalize(lines)
 
 
