@@ -5,7 +5,7 @@ text, text slots, optional groups `( )?` and repeated groups `( )+`. It is
 inferred by aligning a host's sampled pages one after the other: neighbours of
 the same tag fold into a repeated group, tags that one side lacks become
 optional, and texts that differ become slots. The wrapper names the region that
-holds the slots' text; every page of the host is then read whole, and what lies
+holds the text; every page of the host is then read whole, and what lies
 in its region, outside menus, headers, footers, sidebars, notices, adverts,
 forms, scripts, styles and comments, is its main text.
 """
@@ -275,32 +275,33 @@ def infer(pages: list[str]) -> Node | None:
     return out
 
 
-def _mass(node: Node, alone: bool) -> int:
-    """Text of slots below a node, outside what is not the article."""
-    if node.out:
-        return 0
-    own = node.length if alone or node.text is None else 0
-    return own + sum(_mass(p, alone) for p in node.parts)
+def _holds(node: Node, fixed: bool) -> bool:
+    """Is there text, fixed or in slots alone, in a node or below, outside what is not the article?"""
+    return not node.out and (_own(node, fixed) or any(_holds(p, fixed) for p in node.parts))
 
 
-def region(wrapper: Node, alone: bool) -> list[str]:
-    """The path of signs to the element that holds most of the slots' text.
+def _own(node: Node, fixed: bool) -> bool:
+    return node.length > 0 and (fixed or node.text is None)
 
-    An article or main element that holds some is taken as it is; else the path
-    goes down as long as one part holds nearly all.
+
+def region(wrapper: Node, fixed: bool = True) -> list[str]:
+    """The path of signs to the element outside which no text is left but what is marked as not the article.
+
+    The path goes down as long as a single part holds text. An article or main
+    element is taken as it is. Unless `fixed`, text that all pages share is no
+    text.
     """
     path, node = [], wrapper
     while True:
-        found = [(p, _mass(p, alone)) for p in node.parts if not p.out]
-        total = _mass(node, alone)
-        if not found or not total:
+        found = [p for p in node.parts if _holds(p, fixed)]
+        if len(found) != 1 or _own(node, fixed):
             return path
-        part, mass = max(found, key=lambda x: x[1])
-        if mass < 0.8 * total or part.repeated and not part.sign.startswith(("article", "main")) or part.sign.split(".")[0] in ("p", "ul", "ol", "li", "table", "h1", "blockquote", "pre"):
+        (node,) = found
+        tag = node.sign.split(".")[0]
+        if node.repeated and tag not in ("article", "main") or tag in ("p", "ul", "ol", "li", "table", "h1", "blockquote", "pre"):
             return path
-        path.append(part.sign)
-        node = part
-        if part.sign.split(".")[0] == "article":
+        path.append(node.sign)
+        if tag in ("article", "main"):
             return path
 
 
@@ -325,7 +326,7 @@ def extract(page: str | None, path: list[str] | None = None) -> str:
         held.clear()
 
     def place() -> int:
-        if path and len(walker.stack) >= len(path) and all(e.sign == s for e, s in zip(walker.stack, path, strict=False)):
+        if path is not None and len(walker.stack) >= len(path) and all(e.sign == s for e, s in zip(walker.stack, path, strict=False)):
             return 3
         return 2 if walker.names["article"] else 1 if walker.names["main"] else 0
 
@@ -375,7 +376,7 @@ def host_wrappers(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     def run(group: pd.DataFrame) -> pd.DataFrame:
         texts = group.sort_values(["h", "html"])["html"].drop_duplicates().head(sample).tolist()
         wrapper = infer(texts)
-        return pd.DataFrame({"host": [group["host"].iloc[0]], "path": [json.dumps(region(wrapper, len(texts) < 2))], "wrapper": [wrapper.pattern()]})
+        return pd.DataFrame({"host": [group["host"].iloc[0]], "path": [json.dumps(region(wrapper))], "wrapper": [wrapper.pattern()]})
 
     return picked.groupBy("host").applyInPandas(run, "host string, path string, wrapper string")
 

@@ -414,6 +414,14 @@ def test_wrapper_inference():
     assert wrappers.region(wrapper, False) == ["html", "body", "div"]
 
 
+def test_region_leaves_no_text_behind():
+    long = "".join(f"<p>Paragraph {i} of a long body</p>" for i in range(30))
+    for body in ("<main><h1>H%d</h1><div class=content>" + long + "</div></main>", "<div class=post><h1>H%d</h1><div class=lead>Lead</div><div class=body>" + long + "</div></div>", "<h1>H%d</h1><article>" + long + "</article>"):
+        pages = [page(body % i, i) for i in range(3)]
+        got = wrappers.extract(pages[0], wrappers.region(wrappers.infer(pages), True)).split("\n")
+        assert got[0] == "H0" and got[-1] == "Paragraph 29 of a long body" and ("Lead" in got) == ("Lead" in body)
+
+
 def test_pages(spark):
     texts = [[f"Title {i}"] + [f"Para {i} {j} &amp; more" for j in range(rng.randrange(1, 5))] for i in range(40)]
     rows = [(i, f"http://h{i % 3}.example.org/{i}", page("<article><h1>%s</h1>%s</article>" % (t[0], "".join(f"<p>{p}</p>" for p in t[1:])), i)) for i, t in enumerate(texts)]
