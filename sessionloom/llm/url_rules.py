@@ -9,6 +9,8 @@ rule fires if all its tokens are there. All of it is DataFrame operations.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,8 +32,8 @@ MIN_CONFIDENCE = 0.8
 MAX_LABELLED = 50_000
 #: Tokens of a URL that enter mining; matching uses all.
 MAX_TOKENS = 12
-#: Rules kept, the best first.
-MAX_RULES = 5_000
+#: Rules up to which the index is broadcast; beyond, the join shuffles.
+BROADCAST_RULES = 5_000
 BAD = "=bad"
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -73,22 +75,41 @@ def url_tokens() -> Column:
 def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """Rules (antecedent, confidence, support, lift) from rows (page_id, url, bad).
 
-    Rules are at most `MAX_RULES`; their number depends on the support, not on
-    the data's size. Without labelled rows there are none.
+    All rules that pass support and confidence, but those that one with a part
+    of their tokens beats. Tokens that stand in the same labelled URLs are mined
+    as one and told apart again at the end, and a token that is bad wherever it
+    stands needs no company; neither changes the rules. Without labelled rows
+    there are none.
     """
     rows = labelled.where("bad IS NOT NULL").orderBy(F.xxhash64("page_id", "url"), "page_id").limit(max_labelled)
-    rows = split_url(rows).withColumn("tokens", url_tokens())
-    basket = F.concat(F.slice("tokens", 1, MAX_TOKENS), F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>")))
-    rows = rows.select(basket.alias("items")).where(F.size("items") > 0)
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(rows)
+    rows = split_url(rows).withColumn("tokens", F.slice(url_tokens(), 1, MAX_TOKENS)).where((F.size("tokens") > 0) | F.col("bad"))
+    rows = checkpointed(rows.select(F.monotonically_increasing_id().alias("row"), "tokens", "bad"))
+    total, n_bad = rows.agg(F.count("*"), F.coalesce(F.count_if("bad"), F.lit(0))).first()
+    least = max(math.ceil(min_support * total), 1)
+    spread = rows.select("row", "bad", F.explode("tokens").alias("token"))
+    places = spread.groupBy("token").agg(F.array_sort(F.collect_list("row")).alias("places"), F.count_if("bad").alias("hits")).where(F.col("hits") >= least)
+    alike = places.groupBy("places", "hits").agg(F.min("token").alias("item"), F.collect_list("token").alias("tokens"))
+    alike = checkpointed(alike.select("item", "tokens", "hits", F.size("places").alias("n")))
+    sure = alike.where("hits = n").select(F.explode("tokens").alias("token"), "hits")
+    sure = sure.select(F.array("token").alias("antecedent"), F.lit(1.0).alias("confidence"), (F.col("hits") / total).alias("support"), F.lit(total / max(n_bad, 1)).alias("lift"))
+    items = spread.join(alike.where("hits < n").select(F.col("item").alias("token")), "token").groupBy("row").agg(F.collect_list("token").alias("items"))
+    none = F.array().cast("array<string>")
+    basket = F.concat(F.coalesce("items", none), F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(none))
+    baskets = rows.join(items, "row", "left").select(basket.alias("items"))
+    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
     rules = model.associationRules.where(F.col("consequent") == F.array(F.lit(BAD)))
-    rules = rules.orderBy(F.desc("confidence"), F.desc("support"), F.size("antecedent"), F.concat_ws(" ", F.array_sort("antecedent"))).limit(MAX_RULES)
     rules = checkpointed(rules.select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support", "lift"))
     # a rule goes if one with a part of its tokens is as sure
-    shorter = rules.select(F.col("antecedent").alias("part"), F.col("confidence").alias("sure"), F.explode("antecedent").alias("token"))
+    shorter = inverted_index(rules).select("token", F.col("antecedent").alias("part"), F.col("confidence").alias("as_sure"))
     longer = rules.select("antecedent", "confidence", F.explode("antecedent").alias("token"))
-    beaten = longer.join(shorter, "token").where((F.size("part") < F.size("antecedent")) & (F.size(F.array_except("part", "antecedent")) == 0) & (F.col("sure") >= F.col("confidence")))
-    return rules.join(beaten.select("antecedent").distinct(), "antecedent", "left_anti")
+    beaten = longer.join(shorter, "token").where((F.size("part") < F.size("antecedent")) & (F.size(F.array_except("part", "antecedent")) == 0) & (F.col("as_sure") >= F.col("confidence")))
+    rules = rules.join(beaten.select("antecedent").distinct(), "antecedent", "left_anti")
+    # each choice of one token for each item
+    lists = rules.select("*", F.explode("antecedent").alias("item")).join(alike.select("item", "tokens"), "item")
+    lists = lists.groupBy("antecedent", "confidence", "support", "lift").agg(F.collect_list("tokens").alias("lists"))
+    choices = F.expr("aggregate(lists, array(cast(array() AS array<string>)), (some, list) -> flatten(transform(some, s -> transform(list, t -> concat(s, array(t))))))")
+    each = lists.select(F.explode(choices).alias("antecedent"), "confidence", "support", "lift").withColumn("antecedent", F.array_sort("antecedent"))
+    return checkpointed(each.unionByName(sure))
 
 
 def inverted_index(rules: DataFrame) -> DataFrame:
@@ -104,16 +125,18 @@ def filter_urls(pages: DataFrame, labelled: DataFrame, id_col: str = "page_id",
 
     labelled: rows (page_id, url, bad). verdict is the listed rule's; else
     `block` if a mined rule fires, whose confidence is given, else `allow`. The
-    index, at most `MAX_RULES` rows, is broadcast. Rows are reduced to distinct
-    (id, url) with a count before they are spread by token, in the one shuffle
-    there is, and repeated again at the end. A null url has no tokens and is
+    index is broadcast if it has at most `BROADCAST_RULES` rows, else joined by
+    token. Rows are reduced to distinct (id, url) with a count before they are
+    spread by token, and repeated again at the end. A null url has no tokens and is
     allowed; an empty table gives an empty result; without labels only listed
     rules block.
     """
-    index = F.broadcast(inverted_index(mine(labelled, min_support, min_confidence)))
+    mined = mine(labelled, min_support, min_confidence)
+    index = inverted_index(mined)
+    index = F.broadcast(index) if mined.count() <= BROADCAST_RULES else index
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url")).groupBy("page_id", "url").agg(F.count("*").alias("copies"))
     rows = split_url(rows).withColumn("listed", listed_rule(rules)).withColumn("tokens", url_tokens())
-    looked = F.when(F.col("listed").isNull() & (F.size("tokens") > 0), F.col("tokens")).otherwise(F.array(F.lit("")))
+    looked = F.when(F.col("listed").isNull() & (F.size("tokens") > 0), F.col("tokens")).otherwise(F.array(F.concat(F.lit("#"), F.pmod(F.xxhash64("page_id", "url"), F.lit(4096)))))  # no token, dealt evenly
     spread = rows.withColumn("token", F.explode(looked)).join(index, "token", "left")
     fires = F.when(F.size(F.array_except("antecedent", "tokens")) == 0, F.col("confidence"))
     found = spread.groupBy("page_id", "url").agg(F.max("copies").alias("copies"), F.max(fires).alias("confidence"))

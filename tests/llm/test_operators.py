@@ -391,6 +391,16 @@ def test_url_rules(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_url_rules_of_rarer_templates(spark, monkeypatch):
+    words = {k: "/".join(k + c for c in "abcdefghij") for k in "xy"}
+    urls = [(f"http://{k}.net/{words[k]}", True) for k in "xy" for _ in range(20)] + [("http://c.net/late", True)] * 5 + [("http://good.net/fine", False)] * 30 + [("http://good.net/even/odd", True)] * 9 + [("http://good.net/even", False)] * 3 + [("http://good.net/odd", False)] * 4
+    labelled = spark.createDataFrame([(i, u, b) for i, (u, b) in enumerate(urls)], "page_id long, url string, bad boolean")
+    new = spark.createDataFrame([(1, "http://z.org/late"), (2, "http://z.org/xj"), (3, "http://z.org/fine"), (4, "http://z.org/even"), (5, "http://z.org/odd/even")], "page_id long, url string")
+    for bound in (5000, 0):
+        monkeypatch.setattr(url_rules, "BROADCAST_RULES", bound, raising=False)
+        assert {r["page_id"]: r["verdict"] for r in url_rules.filter_urls(new, labelled).collect()} == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "block"}
+
+
 # --- pages
 
 
