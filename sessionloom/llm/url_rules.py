@@ -30,8 +30,6 @@ MIN_SUPPORT = 0.002
 MIN_CONFIDENCE = 0.8
 #: Labelled URLs that rules are mined from at most, by hashed id.
 MAX_LABELLED = 50_000
-#: Tokens of a URL that enter mining; matching uses all.
-MAX_TOKENS = 12
 #: Rules up to which the index is broadcast; beyond, the join shuffles.
 BROADCAST_RULES = 5_000
 BAD = "=bad"
@@ -82,7 +80,7 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     there are none.
     """
     rows = labelled.where("bad IS NOT NULL").orderBy(F.xxhash64("page_id", "url"), "page_id").limit(max_labelled)
-    rows = split_url(rows).withColumn("tokens", F.slice(url_tokens(), 1, MAX_TOKENS)).where((F.size("tokens") > 0) | F.col("bad"))
+    rows = split_url(rows).withColumn("tokens", url_tokens()).where((F.size("tokens") > 0) | F.col("bad"))
     rows = checkpointed(rows.select(F.monotonically_increasing_id().alias("row"), "tokens", "bad"))
     total, n_bad = rows.agg(F.count("*"), F.coalesce(F.count_if("bad"), F.lit(0))).first()
     least = max(math.ceil(min_support * total), 1)

@@ -401,6 +401,14 @@ def test_url_rules_of_rarer_templates(spark, monkeypatch):
         assert {r["page_id"]: r["verdict"] for r in url_rules.filter_urls(new, labelled).collect()} == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "block"}
 
 
+def test_url_rules_of_late_tokens(spark):
+    long = "/".join("abcdefghijklmnop")
+    urls = [(f"http://s.net/{long}/buy?k=1", True)] * 20 + [(f"http://s.net/{long}/read?ok=1", False)] * 20 + [("http://t.net/gift", True)] * 8 + [(f"http://s.net/{long}/gift", False)] * 8
+    labelled = spark.createDataFrame([(i, u, b) for i, (u, b) in enumerate(urls)], "page_id long, url string, bad boolean")
+    new = spark.createDataFrame([(1, "http://z.org/buy"), (2, "http://z.org/?k=2"), (3, "http://z.org/read"), (4, "http://z.org/gift")], "page_id long, url string")
+    assert {r["page_id"]: r["verdict"] for r in url_rules.filter_urls(new, labelled).collect()} == {1: "block", 2: "block", 3: "allow", 4: "allow"}
+
+
 # --- pages
 
 
