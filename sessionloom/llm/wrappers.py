@@ -28,7 +28,7 @@ from sessionloom.llm.common import checkpointed, importable, slices
 
 #: Pages of a host that a wrapper is inferred from at most, by hashed address.
 SAMPLE = 8
-#: Nesting up to which tags take part in inference.
+#: Nesting up to which tags take part in inference; deeper text counts for the element at that depth.
 DEPTH = 40
 #: Parts of an element above which inference keeps one of each tag, whatever their order.
 PARTS = 150
@@ -200,7 +200,7 @@ def parse(page: str) -> Node:
     for kind, value, attrs in tokens(page):
         if kind == "text":
             text = " ".join(html_lib.unescape(value).split())
-            if text and len(nodes) <= DEPTH:
+            if text and (nodes[-1].out or not walker.out):
                 nodes[-1].text = f"{nodes[-1].text} {text}".strip()
                 nodes[-1].length += len(text)
         elif kind == "close":

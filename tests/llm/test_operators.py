@@ -440,6 +440,11 @@ def test_region_leaves_no_text_behind():
         assert got[0] == "H0" and got[-1] == "Paragraph 29 of a long body" and ("Lead" in got) == ("Lead" in body)
 
 
+def test_deep_text_counts():
+    deep = "<div class=intro>Intro</div>" + "<div>" * 60 + "<aside>side</aside><p>The article</p>" + "</div>" * 60
+    assert wrappers.extract(page(deep), wrappers.region(wrappers.parse(page(deep)), True)) == "Intro\nThe article"
+
+
 def test_pages(spark):
     texts = [[f"Title {i}"] + [f"Para {i} {j} &amp; more" for j in range(rng.randrange(1, 5))] for i in range(40)]
     rows = [(i, f"http://h{i % 3}.example.org/{i}", page("<article><h1>%s</h1>%s</article>" % (t[0], "".join(f"<p>{p}</p>" for p in t[1:])), i)) for i, t in enumerate(texts)]
