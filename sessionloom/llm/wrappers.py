@@ -1,17 +1,19 @@
-"""Main-text extraction by wrappers inferred from pages of the same host.
+"""Main-text extraction by wrappers inferred from all pages of a host.
 
 A wrapper is a union-free regular expression over a page's tokens: tags, fixed
 text, text slots, optional groups `( )?` and repeated groups `( )+`. It is
-inferred by aligning a host's sampled pages one after the other: neighbours of
-the same tag fold into a repeated group, tags that one side lacks become
-optional, and texts that differ become slots. The wrapper names the region that
-holds the text; every page of the host is then read whole, and what lies
-in its region, outside menus, headers, footers, sidebars, notices, adverts,
+inferred by aligning pages one after the other: neighbours of the same tag fold
+into a repeated group, tags that one side lacks become optional, and texts that
+differ become slots. Pages of a host whose folded trees have the same structure
+are a template, and each template has its own wrapper, aligned from all its
+pages. The wrapper names the region that holds the text; every page is then
+read whole, and what lies in its template's region, outside menus, headers, footers, sidebars, notices, adverts,
 forms, scripts, styles and comments, is its main text.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as html_lib
 import json
 import re
@@ -26,13 +28,13 @@ from pyspark.sql import functions as F
 
 from sessionloom.llm.common import checkpointed, importable, slices
 
-#: Pages of a host that a wrapper is inferred from at most, by hashed address.
-SAMPLE = 8
+#: Templates that a task aligns at once; with more it sends what it has and goes on.
+HELD = 2_000
 #: Nesting up to which tags take part in inference; deeper text counts for the element at that depth.
 DEPTH = 40
 #: Parts of an element above which inference keeps one of each tag, whatever their order.
 PARTS = 150
-#: Hosts up to which wrappers, and sampled pages up to which their keys, are broadcast; beyond, a join shuffles.
+#: Templates up to which their regions are sent to the tasks; beyond, a join shuffles.
 BROADCAST_ROWS = 100_000
 
 _TOKEN = re.compile(
@@ -52,6 +54,7 @@ _BLOCK = set(
 )
 #: Elements that others end when their end tag is missing.
 _ENDED_BY = {"p": _BLOCK - {"option", "optgroup", "legend"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}, "option": {"option", "optgroup"}}
+_ENDS = {name: {e for e, by in _ENDED_BY.items() if name in by} for name in set().union(*_ENDED_BY.values())}
 _SCOPE = {"table", "ul", "ol", "dl", "article", "section", "div", "body", "main", "td", "th", "blockquote", "select", "html"}
 _OUT_TAGS = set("nav header footer aside form script style head template noscript iframe button select textarea svg canvas object audio video map menu dialog title datalist noembed noframes xmp math".split())
 _OUT_ROLES = set("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar tablist".split())
@@ -129,7 +132,7 @@ class _Walker:
         self.names: Counter[str] = Counter()
 
     def open(self, name: str, attrs: dict[str, str]) -> _Open | None:
-        ends = [e for e, by in _ENDED_BY.items() if name in by]
+        ends = _ENDS.get(name)
         if ends:
             for i in range(len(self.stack) - 1, -1, -1):
                 if self.stack[i].name in ends:
@@ -193,17 +196,39 @@ class Node:
         return f"({body})?" if self.optional else body
 
 
-def parse(page: str) -> Node:
-    """The page's block elements as a tree, equal neighbours folded into repeated groups."""
+def read(page: str) -> tuple[Node, list[tuple[str, int, tuple[str, ...]]]]:
+    """The page's block elements as a tree, equal neighbours folded into repeated groups, and its blocks of kept text.
+
+    A block has its rank (2 in an article, 1 in main, else 0) and the signs of
+    the elements it stands in, as deep as inference goes.
+    """
     root = Node("")
     walker, nodes = _Walker(), [root]
+    blocks: list[tuple[str, int, tuple[str, ...]]] = []
+    held: list[str] = []
+
+    def flush() -> None:
+        text = " ".join(html_lib.unescape("".join(held)).split())
+        if text:
+            rank = 2 if walker.names["article"] else 1 if walker.names["main"] else 0
+            blocks.append((text, rank, tuple(e.sign for e in walker.stack[:DEPTH])))
+        held.clear()
+
     for kind, value, attrs in tokens(page):
         if kind == "text":
+            if walker.keeps():
+                held.append(value)
             text = " ".join(html_lib.unescape(value).split())
             if text and (nodes[-1].out or not walker.out):
                 nodes[-1].text = f"{nodes[-1].text} {text}".strip()
                 nodes[-1].length += len(text)
-        elif kind == "close":
+            continue
+        if kind == "open" and value == "br":
+            held.append(" ")
+            continue
+        if value in _BLOCK:
+            flush()
+        if kind == "close":
             walker.close(value)
             del nodes[min(len(walker.stack), DEPTH) + 1 :]
         else:
@@ -213,7 +238,32 @@ def parse(page: str) -> Node:
                 node = Node(element.sign, walker.out > 0)
                 nodes[-1].parts.append(node)
                 nodes.append(node)
-    return _folded(root)
+    flush()
+    return _folded(root), blocks
+
+
+def parse(page: str) -> Node:
+    """The page's tree as in `read`."""
+    return read(page)[0]
+
+
+def template(tree: Node) -> str:
+    """A hash of a tree's structure, whatever its texts."""
+
+    def shape(n: Node) -> str:
+        return f"{n.sign}{'!' * n.out}{'+' * n.repeated}{'?' * n.optional}({''.join(map(shape, n.parts))})"
+
+    return hashlib.md5(shape(tree).encode("utf-8", "surrogatepass")).hexdigest()
+
+
+def _packed(n: Node) -> list:
+    """A tree as lists, long fixed texts by their start and hash."""
+    text = n.text if n.text is None or len(n.text) <= 60 else n.text[:20] + hashlib.md5(n.text.encode("utf-8", "surrogatepass")).hexdigest()
+    return [n.sign, n.out, text, n.length, n.optional, n.repeated, [_packed(p) for p in n.parts]]
+
+
+def _unpacked(x: list) -> Node:
+    return Node(*x[:6], [_unpacked(p) for p in x[6]])
 
 
 def _folded(node: Node) -> Node:
@@ -314,42 +364,15 @@ def extract(page: str | None, path: list[str] | None = None) -> str:
     Blocks in the wrapper's region are taken; if there are none, those in
     article elements, then in main elements, then all that are left.
     """
-    blocks: list[tuple[str, int]] = []
-    held: list[str] = []
-    walker = _Walker()
-    rank = 0
+    return _chosen(read(page or "")[1], path)
 
-    def flush() -> None:
-        text = " ".join(html_lib.unescape("".join(held)).split())
-        if text:
-            blocks.append((text, rank))
-        held.clear()
 
-    def place() -> int:
-        if path is not None and len(walker.stack) >= len(path) and all(e.sign == s for e, s in zip(walker.stack, path, strict=False)):
-            return 3
-        return 2 if walker.names["article"] else 1 if walker.names["main"] else 0
-
-    for kind, value, attrs in tokens(page or ""):
-        if kind == "text":
-            if walker.keeps():
-                held.append(value)
-            continue
-        if kind == "open" and value == "br":
-            held.append(" ")
-            continue
-        before = len(walker.stack), walker.out
-        if value in _BLOCK:
-            flush()
-        if kind == "open":
-            walker.open(value, attrs)
-        else:
-            walker.close(value)
-        if (len(walker.stack), walker.out) != before:
-            rank = place()
-    flush()
-    most = max((r for _, r in blocks), default=0)
-    return "\n".join(t for t, r in blocks if r == most)
+def _chosen(blocks: list[tuple[str, int, tuple[str, ...]]], path: list[str] | None) -> str:
+    if path is not None:
+        signs = tuple(path)
+        blocks = [(t, 3 if trail[: len(signs)] == signs else r, trail) for t, r, trail in blocks]
+    most = max((r for _, r, _ in blocks), default=0)
+    return "\n".join(t for t, r, _ in blocks if r == most)
 
 
 def host_of(url: F.Column) -> F.Column:
@@ -357,46 +380,79 @@ def host_of(url: F.Column) -> F.Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[\s\S]*?://([^/?#]*)", 1), F.lit("")))
 
 
-def host_wrappers(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", sample: int = SAMPLE) -> DataFrame:
-    """(host, path, wrapper): each host's region and its wrapper as text.
+def _rows(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
+    importable(pages.sparkSession)
+    return pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
+
+
+def host_wrappers(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(host, template, path, wrapper): the region and the wrapper, as text, of each template of a host.
 
-    At most `sample` pages of a host are read. Hosts are counted first, so that
-    a share by hash, not all of a large host's pages, comes together.
+    All pages are read. A task aligns its pages of a template and sends one
+    tree for each, so a large host sends no more rows than tasks for a template.
     """
-    importable(pages.sparkSession)
-    rows = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), F.xxhash64(F.col(id_col), F.col(url_col)).alias("h"), F.col(html_col).alias("html"))
-    counts = rows.groupBy("host").agg(F.count("*").alias("n"))
-    scale = 1 << 40
-    chosen = rows.drop("html").join(counts, "host").where(F.pmod("h", F.lit(scale)) <= F.lit(4 * sample * scale) / F.col("n")).select("page_id", "host", "h")
-    chosen = chosen.groupBy("host").agg(F.slice(F.array_sort(F.collect_set("h")), 1, sample).alias("hs")).select("host", F.explode("hs").alias("h"))
-    chosen = checkpointed(chosen)
-    chosen = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen
-    picked = rows.where(F.col("html").isNotNull()).join(chosen, ["host", "h"], "left_semi").select("host", "h", "html")
+    rows = _rows(pages, id_col, url_col, html_col).where(F.col("html").isNotNull()).select("host", "html")
+
+    def sent(held: dict[tuple[str, str], Node]) -> pa.RecordBatch:
+        out = [(host, kind, json.dumps(_packed(tree))) for (host, kind), tree in held.items()]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.string()) for i in range(3)], names=["host", "template", "tree"])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, str], Node] = {}
+        for batch in slices(batches):
+            for host, text in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
+                tree = parse(text)
+                key = host, template(tree)
+                held[key] = align(held[key], tree) if key in held else tree
+            if len(held) > HELD:
+                yield sent(held)
+                held = {}
+        yield sent(held)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        texts = group.sort_values(["h", "html"])["html"].drop_duplicates().head(sample).tolist()
-        wrapper = infer(texts)
-        return pd.DataFrame({"host": [group["host"].iloc[0]], "path": [json.dumps(region(wrapper))], "wrapper": [wrapper.pattern()]})
+        wrapper = None
+        for tree in sorted(group["tree"]):
+            node = _unpacked(json.loads(tree))
+            wrapper = node if wrapper is None else align(wrapper, node)
+        return pd.DataFrame({"host": [group["host"].iloc[0]], "template": [group["template"].iloc[0]], "path": [json.dumps(region(wrapper))], "wrapper": [wrapper.pattern()]})
 
-    return picked.groupBy("host").applyInPandas(run, "host string, path string, wrapper string")
+    trees = rows.mapInArrow(fold, "host string, template string, tree string")
+    return trees.groupBy("host", "template").applyInPandas(run, "host string, template string, path string, wrapper string")
 
 
-def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", sample: int = SAMPLE) -> DataFrame:
+def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text and n_chars (code points) of every row, from its whole html.
 
-    Wrappers, a short path for each host, are joined by host; they are
-    broadcast if they are at most `BROADCAST_ROWS`. A null html is empty; a null or
-    odd url falls to the host of no name; repeated rows give repeated results;
-    an empty table gives an empty result.
+    Regions, a short path for each template of a host, go to the tasks if they
+    are at most `BROADCAST_ROWS`; else pages are joined to them. A null html is
+    empty; a null or odd url falls to the host of no name; repeated rows give
+    repeated results; an empty table gives an empty result.
     """
-    paths = checkpointed(host_wrappers(pages, id_col, url_col, html_col, sample).select("host", "path"))
-    paths = F.broadcast(paths) if paths.count() <= BROADCAST_ROWS else paths
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
+    paths = checkpointed(host_wrappers(pages, id_col, url_col, html_col).select("host", "template", "path"))
+    rows = _rows(pages, id_col, url_col, html_col)
+    few = paths.count() <= BROADCAST_ROWS
+    known = {(r["host"], r["template"]): r["path"] for r in paths.collect()} if few else {}
+
+    def kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = [None if h is None else template(parse(h)) for h in batch.column("html").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], names=[*batch.schema.names, "template"])
+
+    def text_of(page: str | None, host: str, path: str | None) -> str:
+        if page is None:
+            return ""
+        tree, blocks = read(page)
+        path = known[host, template(tree)] if few else path
+        return _chosen(blocks, json.loads(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            texts = [extract(h, json.loads(p) if p else None) for h, p in zip(batch.column("html").to_pylist(), batch.column("path").to_pylist(), strict=True)]
+            of = batch.column("path").to_pylist()
+            texts = [text_of(*x) for x in zip(batch.column("html").to_pylist(), batch.column("host").to_pylist(), of, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    joined = rows.join(paths, "host", "left").select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "path")
-    return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    if few:
+        joined = rows.withColumn("path", F.lit(None).cast("string"))
+    else:
+        joined = rows.mapInArrow(kinds, "page_id long, url string, host string, html string, template string").join(paths, ["host", "template"], "left")
+    return joined.select("page_id", "url", "host", "html", "path").mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -445,6 +445,15 @@ def test_deep_text_counts():
     assert wrappers.extract(page(deep), wrappers.region(wrappers.parse(page(deep)), True)) == "Intro\nThe article"
 
 
+@pytest.mark.parametrize("bound", [100_000, 0])
+def test_rarer_templates_of_a_host(spark, monkeypatch, bound):
+    monkeypatch.setattr(wrappers, "BROADCAST_ROWS", bound)
+    common = [(i, f"http://h.org/{i}", page(f"<div class=content><h2>T{i}</h2><p>Body {i}</p></div>", i)) for i in range(60)]
+    rare = [(100 + i, f"http://h.org/r{i}", page(f"<div class=content><p>Intro {i}</p></div><div class=story><p>Story {i}</p></div>", i)) for i in range(2)]
+    got = {r["page_id"]: r["text"] for r in wrappers.extract_pages(spark.createDataFrame(common + rare, "page_id long, url string, html string").repartition(3)).collect()}
+    assert got == {i: f"T{i}\nBody {i}" for i in range(60)} | {100 + i: f"Intro {i}\nStory {i}" for i in range(2)}
+
+
 def test_pages(spark):
     texts = [[f"Title {i}"] + [f"Para {i} {j} &amp; more" for j in range(rng.randrange(1, 5))] for i in range(40)]
     rows = [(i, f"http://h{i % 3}.example.org/{i}", page("<article><h1>%s</h1>%s</article>" % (t[0], "".join(f"<p>{p}</p>" for p in t[1:])), i)) for i, t in enumerate(texts)]
