@@ -67,8 +67,13 @@ def repeated_words(words: list[bytes], span: int = SPAN) -> int:
 
 
 def block_distinct(words: list[bytes], size: int = 50) -> float:
-    """Mean share of distinct words in blocks of `size` words, which a text's length does not shift."""
-    blocks = [words[i : i + size] for i in range(0, max(len(words) - size, 0) + 1, size)]
+    """Mean share of distinct words in blocks of `size` words, which a text's length does not shift.
+
+    Words left over at the end are in a last block of `size` words, which
+    overlaps the one before.
+    """
+    last = max(len(words) - size, 0)
+    blocks = [words[i : i + size] for i in (*range(0, last, size), last)]
     return sum(len(set(b)) / max(len(b), 1) for b in blocks) / len(blocks)
 
 

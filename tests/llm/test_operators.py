@@ -296,6 +296,12 @@ def test_statistics(spark):
     assert by_id(got) == by_id([(i, *brute_statistics(t)) for i, t in rows])
 
 
+def test_block_distinct_reads_every_word():
+    words = [b"%d" % i for i in range(50)]
+    assert quality.block_distinct(words) == 1.0 and quality.block_distinct(words + [b"x"] * 49) == (1.0 + 2 / 50) / 2
+    assert quality.block_distinct(words + words) == 1.0 and quality.block_distinct([]) == 0.0 and quality.block_distinct([b"a", b"a"]) == 0.5
+
+
 def test_decision_list(spark):
     good = [(i, " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "of", "to", "in"]) + str(rng.randrange(99)) for _ in range(60))) for i in range(120)]
     bad = [(1000 + i, " ".join(f"w{rng.randrange(99)}$$$" for _ in range(60))) for i in range(60)]
