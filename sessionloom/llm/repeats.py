@@ -455,14 +455,12 @@ def _run(df: DataFrame, id_col: str, text_col: str, words: bool, size: int, gram
 
 
 def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, phrase: int = 8, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Relative Lempel-Ziv parsing of documents against the blocks of the whole corpus.
-
-    Every shard is a reference block, indexed by sampled phrases of `phrase`
-    words. A document is parsed greedily: a factor goes on as long as the next
-    sampled phrase, with all within a window's reach, has an earlier
-    occurrence in some block; at a factor's boundaries, windows of `window`
-    words are compared one by one. A factor of `window` words or more is a
-    duplicate span.
+    """Word windows that occur earlier in the corpus, by anchors and window hashes.
+
+    This is not a relative Lempel-Ziv parsing: no factors are made. Windows of
+    `window` words choose anchors of `phrase` words; an anchor's context with an
+    earlier occurrence goes as a whole, and at edges windows are compared one by
+    one, by hash (see the module).
 
     A word is a run of bytes other than white space 0x20 and 0x09-0x0D. A word
     goes if a window that covers it occurs earlier, by (doc_id, start). Returns
