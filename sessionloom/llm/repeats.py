@@ -28,8 +28,10 @@ shard. Bins and shards are as many as the input's size asks. Nothing
 is collected on the driver but one sum. Documents are shuffled once; the three
 passes read the same exchange.
 
-Across shards contexts are told apart by 127 bits of hash and windows by 95;
-within a shard `suffix_array_dedup` checks copies byte for byte.
+Contexts are told apart by 127 bits of hash, within a shard too, and windows
+across shards by 95. Within a shard `suffix_array_dedup` sorts the suffixes at
+edges and checks those copies byte for byte; contexts that are copies as a
+whole are neither sorted nor checked.
 
 Nulls and ties: a null text is an empty one; null ids go last in the order of
 ids; rows of the same id are ordered by their text and count as separate
