@@ -1,47 +1,49 @@
-"""Repeated passages across a corpus, by exchange between shards and hash bins.
+"""Repeated passages across a corpus: documents in shards, what may repeat in blocks.
 
 Two operators share this module; they differ in the symbols (words or bytes),
-in the window and in which occurrences go:
+in the window, in which occurrences go, and in how a block decides:
 
 * `substring_dedup`: words; an occurrence of a window goes if it is not the
-  first in (doc_id, start) order.
-* `suffix_array_dedup`: bytes; every occurrence of a repeated window goes.
-
-How it runs. Documents are dealt to shards by a hash of their id. In each shard
-every window chooses an anchor (see `rolling`), so that equal windows share an
-anchor's hash. An anchor's *context* is all that lies within a window's reach
-of it.
-
-1. Each shard sends, once for each distinct (anchor, context) it has, a record
-   to the bin of the anchor's hash, but no more than a few for one anchor: an
-   anchor with many contexts in a shard is marked as such. A bin answers each shard for anchors that
-   occur again: the context is a copy as a whole, or it is an edge, where only
-   some of its windows can be copies.
-2. Shards compare the windows at edges among themselves, then send one record
-   for each distinct window to the bin of the window's hash; a bin answers for
-   windows that occur again.
-3. Shards unite the spans and give each document's result.
-
-A passage that a third of all documents holds costs each shard a few records,
-not one for each document, so no bin gets more from it than a few for each
-shard. Bins and shards are as many as the input's size asks. Nothing
-is collected on the driver but one sum. Documents are shuffled once; the three
-passes read the same exchange.
-
-Contexts are told apart by 127 bits of hash, within a shard too, and windows
-across shards by 95. Within a shard `suffix_array_dedup` sorts the suffixes at
-edges and checks those copies byte for byte; contexts that are copies as a
-whole are neither sorted nor checked.
+  first in (doc_id, start) order. A block is an indexed reference text against
+  which passages are factored (`factors`).
+* `suffix_array_dedup`: bytes; every occurrence of a repeated window goes. A
+  block sorts the suffixes of its passages (`rolling.verified_order`).
+
+How it runs. Documents are dealt to shards. In each shard every window chooses
+an anchor, the gram of least hash in it, so that equal windows have equal
+anchors at equal offsets. The windows that chose one anchor, as one piece of
+text, are its *passage*.
+
+1. Shards send the hashes of their anchors, once for each distinct passage and
+   at most `VARIANTS` for one anchor. Bins answer which anchors occur again, and
+   how many passages there are.
+2. A shard sends each distinct passage of such an anchor, as text, to the block
+   that the anchor's hash names. Copies within the shard are found by comparing
+   texts and are not sent, so a passage that a third of all documents holds
+   comes once from each shard. The windows of an anchor with very many passages
+   are told apart further: by their offset, and by the text that all windows of
+   such offsets share (`_split`), so that a common line does not gather all its
+   surroundings in one block.
+3. A block has every passage that can share a window. It decides by comparing
+   texts, and answers with ranges.
+4. Shards unite the ranges and give each document's result.
+
+Hashes route, they never decide: equality is always found by words or bytes.
+Blocks and shards are as many as the input's size asks; nothing is collected on
+the driver but one sum. Documents are shuffled once; the three passes read the
+same exchange. Windows of a long document are worked off piece by piece.
 
 Nulls and ties: a null text is an empty one; null ids go last in the order of
-ids; rows of the same id are ordered by their text and count as separate
-documents; an empty table gives an empty result.
+ids; rows of the same id are ordered as they are read and count as separate
+documents; an empty table gives an empty result. Rows are dealt by their place
+as well as by their id, so repeated or null ids do not gather in one shard.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -50,342 +52,397 @@ from pyspark.sql import functions as F
 
 from sessionloom.llm import rolling
 from sessionloom.llm.common import keyed_text, release_memory, shard_count, text_bytes
-from sessionloom.llm.rolling import U, Prefix
+from sessionloom.llm.factors import Reference
+from sessionloom.llm.rolling import Prefix, U
 
 #: Bytes of text in a shard, and in what is hashed at once.
 SHARD_BYTES = 4 << 20
 CHUNK_BYTES = 1 << 19
 
-#: Contexts of one anchor that a shard sends. With more it sends the mark MANY
-#: in their place, and all of them count as edges.
+#: Passages of one anchor that a shard announces one by one; more are announced as a number.
 VARIANTS = 4
-MANY = np.uint64(0)
+#: Passages of one anchor up to which its windows are not split; 16 times as many for each further split.
+UNSPLIT = 2048
+SPLITS = 4
 
-FULL, EDGE = 1, 2
-_ANSWER, _LOCAL = 0, 1
 _LAST = np.iinfo(np.int64).max
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
-_TO_BIN = "bin int, shard int, kind int, data binary"
-_TO_SHARD = "shard int, kind int, data binary"
+_ANCHOR = "bin int, shard int, gram long, passage int, number int"
+_KNOWN = "shard int, gram long, split int"
+_PASSAGE = "bin int, own boolean, shard int, seq long, rank long, start long, n long, offset int, copies boolean, gram long, text binary"
+_RANGE = "shard int, seq long, start long, n long"
+_RESULT = "doc_id long, n long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, ends array<long>"
+
+_KINDS = {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
+
+
+def _table(schema: str, *columns) -> pa.Table:
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.table({name: pa.array(column, type=_KINDS[kind]) for (name, kind), column in zip(fields, columns, strict=True)})
+
 
+def _numbers(table: pa.Table, *names: str) -> list[np.ndarray]:
+    return [table.column(n).to_numpy() for n in names]
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    head = np.array([len(arrays), *(len(a) for a in arrays)], dtype=np.int64)
-    return b"".join([head.tobytes(), *(a.tobytes() for a in arrays)])
 
+@dataclass(frozen=True)
+class Piece:
+    """Symbols of a document from the window that starts at `base` on; its windows are those that lie in it."""
 
-def _unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
-    n = int(np.frombuffer(data, dtype=np.int64, count=1)[0])
-    lengths = np.frombuffer(data, dtype=np.int64, count=n, offset=8)
-    at, out = 8 * (n + 1), []
-    for length, kind in zip(lengths, kinds, strict=True):
-        out.append(np.frombuffer(data, dtype=kind, count=int(length), offset=at))
-        at += out[-1].nbytes
-    return out
+    doc: int
+    base: int
+    data: bytes
+
+
+def _pieces(doc: int, text: bytes, words: bool, size: int, chunk: int) -> Iterator[Piece]:
+    """The text as it is, or pieces of it that overlap by a window less one symbol."""
+    if len(text) <= 2 * chunk:
+        yield Piece(doc, 0, text)
+        return
+    if not words:
+        for at in range(0, max(len(text) - size + 1, 1), chunk):
+            yield Piece(doc, at, text[at : at + chunk + size - 1])
+        return
+    space = _SPACE[np.frombuffer(text, dtype=np.uint8)]
+    edge = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]]).view(np.int8)))
+    del space
+    begin, end = edge[::2], edge[1::2]
+    step = max(chunk // 6, 1)
+    for at in range(0, max(len(begin) - size + 1, 1), step):
+        yield Piece(doc, at, text[begin[at] : end[min(at + step + size - 1, len(end)) - 1]] if len(begin) else b"")
 
 
 class _Chunk:
-    """Some documents of a shard as one run of symbols."""
+    """Some pieces as one run of symbols."""
 
-    def __init__(self, first_doc: int, texts: list[bytes], words: bool):
-        self.first_doc = first_doc
+    def __init__(self, pieces: list[Piece], words: bool):
+        self.doc = np.array([p.doc for p in pieces], dtype=np.int64)
+        self.base = np.array([p.base for p in pieces], dtype=np.int64)
+        texts = [p.data for p in pieces]
         buf = np.frombuffer(b"".join(t + b" " for t in texts) if words else b"".join(texts), dtype=np.uint8)
         lengths = np.array([len(t) + words for t in texts], dtype=np.int64)
         ends = np.cumsum(lengths)
         starts = ends - lengths
-        values = [t[buf] for t in rolling.BYTE_VALUES]
+        values = rolling.BYTE_VALUES[buf]
         if words:
             space = _SPACE[buf]
             edge = np.flatnonzero(space[1:] != space[:-1]) + 1
             if len(buf) and not space[0]:
                 edge = np.append(0, edge)
             begin, end = edge[::2], edge[1::2]  # every text ends with a space
-            values = [rolling.mix(Prefix(v, i).ranges(begin, end)) for i, v in enumerate(values)]
+            values = rolling.mix(Prefix(values).ranges(begin, end))
             starts, ends = np.searchsorted(begin, starts), np.searchsorted(begin, ends)
-        self.values = values
-        self.buf, self.starts, self.ends = buf, starts, ends
-        self.prefix = [Prefix(v, i) for i, v in enumerate(values)]
+        self.starts, self.ends = starts, ends
+        self.prefix = Prefix(values)
 
 
 class _Shard:
     """The documents of a shard in the order of their ids."""
 
     def __init__(self, table: pa.Table):
-        ids = table.column("doc_id").to_pylist()
+        ids, seq = table.column("doc_id").to_pylist(), table.column("seq").to_pylist()
         texts = [t or b"" for t in table.column("text").cast(pa.binary()).to_pylist()]
-        order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, texts[i]))
+        order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, seq[i]))
         self.ids, self.texts = [ids[i] for i in order], [texts[i] for i in order]
         self.number = table.column("shard")[0].as_py()
         self.rank = np.array([_LAST if i is None else i for i in self.ids], dtype=np.int64)
+        self.seq = np.array([seq[i] for i in order], dtype=np.int64)
 
-    def chunks(self, words: bool) -> Iterator[_Chunk]:
-        held, size, first = [], 0, 0
+    def pieces(self, words: bool, size: int, chunk: int) -> Iterator[Piece]:
         for i, t in enumerate(self.texts):
-            held.append(t)
-            size += len(t)
-            if size >= CHUNK_BYTES:
-                yield _Chunk(first, held, words)
-                held, size, first = [], 0, i + 1
+            yield from _pieces(i, t, words, size, chunk)
+
+    def chunks(self, words: bool, size: int, chunk: int) -> Iterator[_Chunk]:
+        held, n = [], 0
+        for p in self.pieces(words, size, chunk):
+            held.append(p)
+            n += len(p.data)
+            if n >= chunk:
+                yield _Chunk(held, words)
+                held, n = [], 0
         if held:
-            yield _Chunk(first, held, words)
-
-
-def _classes(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order by keys, earlier rows first among equals, and where in that order a class starts."""
-    order = np.lexsort(keys[::-1])
-    new = np.ones(len(order), dtype=bool)
-    if len(order):
-        same = np.ones(len(order) - 1, dtype=bool)
-        for k in keys:
-            s = k[order]
-            same &= s[1:] == s[:-1]
-        new[1:] = ~same
-    return order, new
-
-
-def _deal(hashes: np.ndarray, bins: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Positions of the hashes by bin."""
-    if not len(hashes):
-        return
-    b = ((hashes >> U(32)) * U(bins)) >> U(32)
-    order = np.argsort(b, kind="stable")
-    s = b[order]
-    at = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
-    for x, y in zip(at, np.append(at[1:], len(s)), strict=True):
-        yield int(s[x]), order[x:y]
-
-
-def _rows(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.Table:
-    return pa.table({n: pa.array([r[i] for r in rows], type=k) for i, (n, k) in enumerate(zip(names, kinds, strict=True))})
-
+            yield _Chunk(held, words)
 
-def _bin_rows(rows: list[tuple]) -> pa.Table:
-    return _rows(rows, ["bin", "shard", "kind", "data"], [pa.int32(), pa.int32(), pa.int32(), pa.binary()])
 
+def _hash32(x: np.ndarray) -> np.ndarray:
+    return (x >> U(32)).astype(np.uint32).view(np.int32)
 
-def _shard_rows(rows: list[tuple]) -> pa.Table:
-    return _rows(rows, ["shard", "kind", "data"], [pa.int32(), pa.int32(), pa.binary()])
 
+@dataclass(frozen=True)
+class Plan:
+    """The steps for one kind of symbols and window."""
 
-class _Plan:
-    """The five steps for one kind of symbols and window."""
+    words: bool
+    size: int
+    gram: int
+    first_stays: bool
+    bins: int
+    decide: Callable
+    finish: Callable
+    variants: int
+    unsplit: int
+    chunk: int
 
-    def __init__(self, words: bool, size: int, gram: int, first_stays: bool, bins: int, finish: Callable):
-        self.words, self.size, self.gram = words, size, gram
-        self.first_stays, self.bins, self.finish, self.variants = first_stays, bins, finish, VARIANTS
+    def _chunks(self, shard: _Shard) -> Iterator[_Chunk]:
+        return shard.chunks(self.words, self.size, self.chunk)
 
-    def _anchors(self, shard: _Shard) -> Iterator[tuple[_Chunk, rolling.Anchors]]:
-        for chunk in shard.chunks(self.words):
-            yield chunk, rolling.anchors(*chunk.prefix, chunk.starts, chunk.ends, self.size, self.gram)
-
-    # 1. shard: distinct (anchor, context)
+    # 1. shard: its anchors
     def announce(self, table: pa.Table) -> pa.Table:
         shard = _Shard(table)
-        grams, contexts, docs = [], [], []
-        for chunk, a in self._anchors(shard):
+        grams, passages = [np.empty(0, dtype=np.uint64)], [np.empty(0, dtype=np.int32)]
+        for chunk in self._chunks(shard):
+            a = rolling.anchors(chunk.prefix, chunk.starts, chunk.ends, self.size, self.gram)
             grams.append(a.gram)
-            contexts.append(a.context)
-            docs.append(a.doc + chunk.first_doc)
-        gram, context, doc = (np.concatenate(x) if x else np.empty(0, dtype=np.uint64) for x in (grams, contexts, docs))
-        order, new = _classes(gram, context)
-        head = np.flatnonzero(new)
-        count = np.diff(np.append(head, len(order)))
-        i = order[head]
-        gram, context, rank = gram[i], context[i] | (count > 1), shard.rank[doc[i].astype(np.int64)]
-        start = np.append(True, gram[1:] != gram[:-1])[: len(gram)]
-        of = np.cumsum(start) - 1
-        many = (np.bincount(of) > self.variants)[of] if len(of) else start
-        context = np.where(many, MANY, context)
-        keep = ~many | start
-        gram, context, rank = gram[keep], context[keep], rank[keep]
-        return _bin_rows([(b, shard.number, 0, _pack(gram[x], context[x], rank[x] if self.first_stays else rank[:0])) for b, x in _deal(gram, self.bins)])
-
-    def _gather(self, rows: list[tuple[int, bytes]], *kinds: str) -> list[np.ndarray]:
-        """The parts of all shards, each after the other, and of which shard each element is."""
-        parts = [_unpack(d, *kinds) for _, d in rows]
-        shard = np.repeat([s for s, _ in rows], [len(p[0]) for p in parts])
-        return [*(np.concatenate(x) for x in zip(*parts, strict=True)), shard]
-
-    # 2. bin: which contexts and which anchors occur again
-    def judge_contexts(self, table: pa.Table) -> pa.Table:
-        rows = list(zip(table.column("shard").to_pylist(), table.column("data").to_pylist(), strict=True))
-        gram, context, rank, shard = self._gather(rows, "<u8", "<u8", "<i8")
-        bare = context & ~U(1)
-        if self.first_stays:
-            order = np.lexsort((shard, rank, bare, gram))
-        else:
-            order = np.lexsort((shard, bare, gram))
-        g, c = gram[order], bare[order]
-        new_gram = np.append(True, g[1:] != g[:-1])
-        new_context = new_gram | np.append(True, c[1:] != c[:-1])
-        of_gram, of_context = np.cumsum(new_gram) - 1, np.cumsum(new_context) - 1
-        variants = np.bincount(of_gram[new_context])[of_gram] > 1
-        if self.first_stays:
-            code = np.where(new_context, EDGE * variants, FULL)
+            passages.append(_hash32(rolling.mix(chunk.prefix.ranges(a.first, a.last + self.size))))
+        gram, passage = np.concatenate(grams), np.concatenate(passages)
+        order = np.lexsort((passage, gram))
+        gram, passage = gram[order], passage[order]
+        if len(gram):
+            keep = np.append(True, (gram[1:] != gram[:-1]) | (passage[1:] != passage[:-1]))
+            gram, passage = gram[keep], passage[keep]
+            head = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
+            count = np.diff(np.append(head, len(gram)))
+            many = np.repeat(count > self.variants, count)
+            keep = ~many
+            keep[head] = True
+            number = np.ones(len(gram), dtype=np.int32)
+            number[head] = np.where(count > self.variants, count, 1)
+            gram, passage, number = gram[keep], passage[keep], number[keep]
         else:
-            times = np.bincount(of_context, weights=1 + (context[order] & U(1)).astype(np.int64))[of_context]
-            code = np.where(times > 1, FULL + EDGE * (variants & new_context), EDGE * variants)
-        code = np.where(c == MANY, EDGE, code)
-        back = np.empty(len(order), dtype=np.uint8)
-        back[order] = code
-        keep = back > 0
-        return self._answers(shard, keep, lambda x: _pack(gram[x], bare[x], back[x]))
-
-    @staticmethod
-    def _answers(shard: np.ndarray, keep: np.ndarray, data: Callable[[np.ndarray], bytes]) -> pa.Table:
-        at = np.flatnonzero(keep)
-        at = at[np.argsort(shard[at], kind="stable")]
-        s = shard[at]
-        cut = np.flatnonzero(s[1:] != s[:-1]) + 1
-        return _shard_rows([(int(shard[x[0]]), _ANSWER, data(x)) for x in np.split(at, cut) if len(x)])
-
-    # 3. shard: spans of whole copies, and windows at edges
-    def compare(self, docs: pa.Table, answers: pa.Table) -> pa.Table:
-        if not docs.num_rows or not (answers.num_rows or self.first_stays):
-            return _bin_rows([])
+            number = np.empty(0, dtype=np.int32)
+        bin_ = (gram % U(self.bins)).astype(np.int32)
+        return _table(_ANCHOR, bin_, np.full(len(gram), shard.number, dtype=np.int32), gram.view(np.int64), passage, number)
+
+    # 2. bin: which anchors occur again, and how far their windows are told apart
+    def judge(self, table: pa.Table) -> pa.Table:
+        shard, gram, passage, number = _numbers(table, "shard", "gram", "passage", "number")
+        order = np.lexsort((shard, passage, gram))
+        shard, gram, passage, number = (x[order] for x in (shard, gram, passage, number))
+        new = np.append(True, gram[1:] != gram[:-1])
+        of = np.cumsum(new) - 1
+        again = (np.bincount(of) > 1)[of]
+        distinct = new | np.append(True, passage[1:] != passage[:-1]) | (number > 1)
+        passages = np.bincount(of, weights=np.where(distinct, number, 0))
+        split = np.clip(np.ceil(np.log(np.maximum(passages, 1) / self.unsplit) / np.log(16)), 0, SPLITS).astype(np.int32)[of]
+        known = np.unique(np.stack([gram, shard.astype(np.int64), split.astype(np.int64)])[:, again], axis=1)
+        return _table(_KNOWN, known[1].astype(np.int32), known[0], known[2].astype(np.int32))
+
+    # 3. shard: the distinct passages of such anchors, and the ranges of copies within the shard
+    def compare(self, docs: pa.Table, known: pa.Table) -> pa.Table:
+        if not docs.num_rows:
+            return _table(_PASSAGE, *[[]] * 11)
         shard = _Shard(docs)
-        parts = [_unpack(d, "<u8", "<u8", "u1") for d in answers.column("data").to_pylist()]
-        parts.append([np.empty(0, dtype=k) for k in ("<u8", "<u8", "u1")])
-        known_gram, known_context, known_code = (np.concatenate(x) for x in zip(*parts, strict=True))
-        known = rolling.mix(known_gram + known_context * U(0x9E3779B97F4A7C15))
-        many = known_gram[known_context == MANY]
-        by = np.argsort(known)
-        known, known_code = known[by], known_code[by]
-
-        spans, edges = [], []
-        seen = np.empty(0, dtype=np.uint64)
-        for chunk, a in self._anchors(shard):
-            key = rolling.mix(a.gram + a.context * U(0x9E3779B97F4A7C15))
-            code = np.zeros(len(key), dtype=np.uint8)
-            if len(known):
-                at = np.minimum(np.searchsorted(known, key), len(known) - 1)
-                code[:] = np.where(known[at] == key, known_code[at], 0)
-            varied = np.isin(a.gram, many)
-            code[varied] = EDGE
-            distinct, first_of = np.unique(key, return_index=True)
-            first = np.zeros(len(key), dtype=bool)
-            first[first_of] = True
-            first &= ~np.isin(key, seen)
-            seen = np.union1d(seen, distinct)
-            if self.first_stays:
-                full = (code == FULL) | ~first
-                edge = (code == EDGE) & first
-            else:
-                full = (code & FULL) > 0
-                edge = ((code & EDGE) > 0) & (first | varied)
-            base = chunk.starts[a.doc]
-            spans.append(np.stack([a.doc[full] + chunk.first_doc, (a.left - base)[full], (a.right - base)[full]]))
-            edges.append(self._edge_windows(chunk, a, edge))
-        layout, doc, start, (hashes, multi, more, one) = self._windows(edges)
-        spans.append(np.stack([doc[more], start[more], start[more] + self.size]))
-        span_doc, span_start, span_end = np.concatenate(spans, axis=1)
-        # one number line for all documents: spans that touch become one
-        span_start, span_end = rolling.merged(span_start + (span_doc << 32), span_end + (span_doc << 32))
-        spans = [(span_start >> 32), span_start & 0xFFFFFFFF, span_end & 0xFFFFFFFF]
-        rank = shard.rank[doc[one]] if self.first_stays else np.empty(0, dtype=np.int64)
-        pick = (lambda x: rank[x]) if self.first_stays else (lambda x: rank)
-        key = hashes[0]
-        rest = ((hashes[1] >> U(32)) & ~U(1) | multi).astype(np.uint32)
-        out = [(b, shard.number, _ANSWER, _pack(key[x], rest[x], one[x].astype(np.uint32), pick(x))) for b, x in _deal(key, self.bins)]
-        local = _pack(*(x.astype(np.uint32) for x in (*spans, *layout)))
-        return _bin_rows([*out, (shard.number % self.bins, shard.number, _LOCAL, local)])
-
-    def _edge_windows(self, chunk: _Chunk, a: rolling.Anchors, edge: np.ndarray) -> tuple:
-        """The windows that chose an edge anchor: runs (doc, first start, number), hashes, and what a suffix sort needs."""
-        first, last, doc = a.first[edge], a.last[edge], a.doc[edge]
-        start, of = rolling.spread(first, last)
-        hashes = rolling.window_ids(*chunk.prefix, start, self.size)
-        new = np.append(True, (first[1:] != last[:-1] + 1) | (doc[1:] != doc[:-1]))[: len(first)]
-        head = np.flatnonzero(new)
-        tail = np.append(head[1:] - 1, len(first) - 1)[: len(head)]
-        runs = doc[head] + chunk.first_doc, first[head] - chunk.starts[doc[head]], last[tail] - first[head] + 1
-        if self.words:
-            return runs, hashes, None, None
-        # only windows that chose equal anchors at equal offsets can be equal
-        group = rolling.mix(a.gram[edge][of] + (start - a.at[edge][of]).view(np.uint64) * U(0x9E3779B97F4A7C15))
-        at, _ = rolling.spread(first[head], last[tail] + self.size - 1)
-        return runs, hashes, group, chunk.buf[at]
-
-    def _windows(self, edges: list[tuple]) -> tuple:
-        """The windows at edges as classes of equals.
-
-        Returns the runs of windows as (doc, first start, number), doc and
-        start of each window, and (hashes of each class, whether it has several
-        windows here, the windows that are known to go, and the one window of
-        each class which stands for it).
-        """
-        doc, start, n = layout = tuple(np.concatenate([e[0][i] for e in edges]) for i in range(3))
-        hashes = tuple(np.concatenate([e[1][i] for e in edges]) for i in (0, 1))
-        step, of = rolling.spread(np.zeros_like(n), n - 1)
-        doc, start = doc[of], start[of] + step
-        if self.words:
-            order, new = _classes(*hashes)
-        else:
-            symbols = np.concatenate([e[3] for e in edges])
-            reach = n + self.size - 1
-            at = (np.cumsum(reach) - reach)[of] + step
-            prefix = Prefix(rolling.BYTE_VALUES[0][symbols], 0)
-            order, ext = rolling.suffix_order(prefix, symbols, at, np.concatenate([e[2] for e in edges]), self.size)
-            new = ext < self.size
-            same = np.flatnonzero(~new)
-            for i in np.array_split(same, max(1, len(same) >> 14)):  # what hashes say is checked byte for byte
-                x, y = at[order[i - 1]], at[order[i]]
-                along = np.arange(self.size)
-                new[i[(symbols[x[:, None] + along] != symbols[y[:, None] + along]).any(axis=1)]] = True
-        head = np.flatnonzero(new)
-        count = np.diff(np.append(head, len(order)))
-        one = order[head]
-        if self.first_stays:
-            # windows are laid out in the order of documents and starts; the sort is stable, so `one` is the first
-            more = order[~new]
-        else:
-            more = order[np.repeat(count > 1, count)]
-        return layout, doc, start, ((hashes[0][one], hashes[1][one]), (count > 1).astype(np.uint64), more, one)
-
-    # 4. bin: which windows occur again
-    def judge_windows(self, table: pa.Table) -> pa.Table:
-        rows = list(zip(table.column("shard").to_pylist(), table.column("kind").to_pylist(), table.column("data").to_pylist(), strict=True))
-        out = _shard_rows([(s, _LOCAL, d) for s, kind, d in rows if kind == _LOCAL])
-        rows = [(s, d) for s, kind, d in rows if kind == _ANSWER]
-        if not rows:
+        piece, start, last, offset, gram = self._selected(shard, known)
+        seen: dict[bytes, int] = {}
+        first: list[int] = []
+        copy: list[int] = []
+        copied: set[int] = set()
+        texts: list[bytes] = []
+        doc = np.empty(len(piece), dtype=np.int64)
+        cut = np.searchsorted(piece, np.arange(piece[-1] + 2 if len(piece) else 1))
+        for number, p in enumerate(shard.pieces(self.words, self.size, self.chunk)):
+            if number + 1 >= len(cut):
+                break
+            x, y = int(cut[number]), int(cut[number + 1])
+            if x == y:
+                continue
+            symbols = p.data.split() if self.words else p.data
+            doc[x:y] = p.doc
+            for i, s, e in zip(range(x, y), (start[x:y]).tolist(), (last[x:y] + self.size).tolist(), strict=True):
+                text = b" ".join(symbols[s:e]) if self.words else symbols[s:e]
+                k = seen.setdefault(text, len(first))
+                if k == len(first):
+                    first.append(i)
+                    texts.append(text)
+                else:
+                    copy.append(i)
+                    copied.add(k)
+            start[x:y] += p.base
+            last[x:y] += p.base
+        gone = np.array(copy if self.first_stays else copy + [first[k] for k in sorted(copied)], dtype=np.int64)
+        at, end = rolling.merged(start[gone] + (doc[gone] << 32), last[gone] + self.size + (doc[gone] << 32))
+        own_doc, own_start, own_n = at >> 32, at & 0xFFFFFFFF, end - at
+        i = np.array(first, dtype=np.int64)
+        n = len(own_doc) + len(i)
+        own = np.arange(n) < len(own_doc)
+        of = np.append(own_doc, doc[i]).astype(np.int64)
+        more = np.zeros(len(own_doc), dtype=np.int64)
+        copies = np.zeros(len(i), dtype=bool)
+        copies[sorted(copied)] = True
+        to = np.append(np.full(len(own_doc), shard.number % self.bins), (gram[i] % U(self.bins)).astype(np.int64))
+        return _table(
+            _PASSAGE,
+            to.astype(np.int32),
+            own,
+            np.full(n, shard.number, dtype=np.int32),
+            shard.seq[of],
+            shard.rank[of],
+            np.append(own_start, start[i]),
+            np.append(own_n, (last - start)[i] + self.size),
+            np.append(more, offset[i]).astype(np.int32),
+            np.append(more.astype(bool), copies),
+            np.append(more, gram[i].view(np.int64)),
+            [None] * len(own_doc) + texts,
+        )
+
+    def _selected(self, shard: _Shard, known: pa.Table) -> list[np.ndarray]:
+        """Passages (piece, first and last window in the piece, offset of the anchor, key) whose anchor may occur again."""
+        known_gram, known_split = known.column("gram").to_numpy().view(np.uint64), known.column("split").to_numpy()
+        by = np.argsort(known_gram)
+        known_gram, known_split = known_gram[by], known_split[by]
+        parts: list[list[np.ndarray]] = []
+        n_pieces = 0
+        for chunk in self._chunks(shard):
+            a = rolling.anchors(chunk.prefix, chunk.starts, chunk.ends, self.size, self.gram)
+            split = np.full(len(a.gram), -1, dtype=np.int64)
+            if len(known_gram):
+                at = np.minimum(np.searchsorted(known_gram, a.gram), len(known_gram) - 1)
+                split = np.where(known_gram[at] == a.gram, known_split[at], -1)
+            base = chunk.starts
+            whole = split <= 0
+            parts.append([a.doc[whole] + n_pieces, (a.first - base[a.doc])[whole], (a.last - base[a.doc])[whole], (a.at - a.first)[whole], a.gram[whole], split[whole]])
+            for level in np.unique(split[~whole]):
+                for piece, first, last, offset, key in self._split(chunk, a, split == level, int(level)):
+                    parts.append([piece + n_pieces, first, last, offset, key, np.full(len(key), level)])
+            n_pieces += len(chunk.doc)
+        if not parts:
+            return [np.empty(0, dtype=np.int64)] * 4 + [np.empty(0, dtype=np.uint64)]
+        piece, first, last, offset, key, split = (np.concatenate(x) for x in zip(*parts, strict=True))
+        _, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
+        keep = np.flatnonzero((split >= 0) | (count[inverse] > 1))
+        keep = keep[np.lexsort((first[keep], piece[keep]))]
+        return [x[keep] for x in (piece, first, last, offset, key)]
+
+    def _split(self, chunk: _Chunk, a: rolling.Anchors, rows: np.ndarray, level: int) -> Iterator[tuple]:
+        """The windows of anchors dealt by 2**level ranges of offsets; a range's key is the text that its windows share."""
+        at, first, last, doc = a.at[rows], a.first[rows], a.last[rows], a.doc[rows]
+        free = self.size - self.gram + 1
+        cuts = np.unique(np.linspace(0, free, min(1 << level, free) + 1).astype(np.int64))
+        for number, (low, high) in enumerate(zip(cuts[:-1].tolist(), (cuts[1:] - 1).tolist(), strict=True)):
+            begin, end = np.maximum(first, at - high), np.minimum(last, at - low)
+            ok = np.flatnonzero(begin <= end)
+            x = at[ok]
+            key = rolling.mix(chunk.prefix.ranges(x - low, x - high + self.size) + U((level << 16 | number) + 1) * U(0x9E3779B97F4A7C15))
+            base = chunk.starts[doc[ok]]
+            yield doc[ok], begin[ok] - base, end[ok] - base, x - begin[ok], key
+
+    # 4. block: which windows of its passages occur again
+    def settle(self, table: pa.Table) -> pa.Table:
+        own = table.column("own").to_numpy(zero_copy_only=False)
+        names = [f.split()[0] for f in _RANGE.split(", ")]
+        out = table.filter(pa.array(own)).select(names)
+        table = table.filter(pa.array(~own))
+        if not table.num_rows:
             return out
-        a, rest, ref, rank, shard = self._gather(rows, "<u8", "<u4", "<u4", "<i8")
-        b, multi = rest >> 1, rest & 1
-        order = np.lexsort((shard, rank, b, a)) if self.first_stays else np.lexsort((shard, b, a))
-        x, y = a[order], b[order]
-        new = np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1]))
-        if self.first_stays:
-            again = ~new
-        else:
-            of = np.cumsum(new) - 1
-            again = (np.bincount(of)[of] > 1) & (multi[order] == 0)
-        keep = np.zeros(len(order), dtype=bool)
-        keep[order] = again
-        return pa.concat_tables([out, self._answers(shard, keep, lambda i: _pack(ref[i]))])
-
-    # 5. shard: spans of each document
-    def conclude(self, docs: pa.Table, answers: pa.Table) -> pa.Table:
+        shard, seq, start = _numbers(table, "shard", "seq", "start")
+        record, begin, n = self.decide(table, self.size)
+        found = _table(_RANGE, shard[record], seq[record], start[record] + begin, n)
+        return pa.concat_tables([out, found])
+
+    # 5. shard: ranges of each document
+    def conclude(self, docs: pa.Table, ranges: pa.Table) -> pa.Table:
+        if not docs.num_rows:
+            return _columns([], [])
         shard = _Shard(docs)
-        doc = start = end = np.empty(0, dtype=np.int64)
-        kinds, data = answers.column("kind").to_pylist(), answers.column("data").to_pylist()
-        for d in (d for kind, d in zip(kinds, data, strict=True) if kind == _LOCAL):
-            doc, start, end, edge_doc, edge_start, edge_n = (x.astype(np.int64) for x in _unpack(d, *["<u4"] * 6))
-            refs = [_unpack(d, "<u4")[0] for kind, d in zip(kinds, data, strict=True) if kind == _ANSWER]
-            if refs:
-                r = np.concatenate(refs).astype(np.int64)
-                before = np.cumsum(edge_n) - edge_n
-                e = np.searchsorted(before, r, side="right") - 1
-                more = edge_start[e] + r - before[e]
-                doc, start, end = np.append(doc, edge_doc[e]), np.append(start, more), np.append(end, more + self.size)
-        order = np.argsort(doc, kind="stable")
-        doc, start, end = doc[order], start[order], end[order]
-        cut = np.searchsorted(doc, np.arange(len(shard.ids) + 1))
-        found = [rolling.merged(start[x:y], end[x:y]) for x, y in zip(cut[:-1], cut[1:], strict=True)]
+        seq, start, n = _numbers(ranges, "seq", "start", "n")
+        order = np.argsort(seq, kind="stable")
+        seq, start, end = seq[order], start[order], (start + n)[order]
+        x, y = np.searchsorted(seq, shard.seq), np.searchsorted(seq, shard.seq, side="right")
+        found = [rolling.merged(start[i:j], end[i:j]) for i, j in zip(x.tolist(), y.tolist(), strict=True)]
         return self.finish(shard.ids, shard.texts, found)
 
 
+# --- the two ways to decide
+
+
+def _ranges(out: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return tuple(np.array([r[i] for r in out], dtype=np.int64) for i in range(3))
+
+
+def factored(table: pa.Table, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges (row, start, length), in words, that earlier passages of the block hold.
+
+    Passages that share a key are taken in the order of documents and factored
+    against the reference text that those before them made; what is new in one
+    is added to the reference.
+    """
+    gram, rank, seq, start = _numbers(table, "gram", "rank", "seq", "start")
+    texts = table.column("text").to_pylist()
+    order = np.lexsort((start, seq, rank, gram))
+    head = np.flatnonzero(np.append(True, gram[order[1:]] != gram[order[:-1]]))
+    out: list[tuple[int, int, int]] = []
+    for x, y in zip(head.tolist(), np.append(head[1:], len(order)).tolist(), strict=True):
+        if y - x == 1:
+            continue
+        reference, whole = Reference(size), {}
+        rows = order[x:y].tolist()
+        alike = len({texts[i] for i in rows}) == 1
+        for i in rows:
+            text = texts[i]
+            n = whole.get(text)
+            if n is not None:
+                out.append((i, 0, n))
+                continue
+            words = text.split(b" ")
+            whole[text] = len(words)
+            if not alike:
+                out += [(i, s, e - s) for s, e in reference.spans(words)]
+                reference.add(words)
+    return _ranges(out)
+
+
+def suffix_sorted(table: pa.Table, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges (row, start, length), in bytes, of windows that occur again in the block.
+
+    The suffixes at the starts of passages are sorted; passages that agree to
+    their end are copies as wholes. Of those that differ but share a key, the
+    suffixes at every window are sorted, and windows that agree are copies.
+    """
+    n, offset, copies, gram = _numbers(table, "n", "offset", "copies", "gram") if table.num_rows else [np.empty(0)] * 4
+    texts = table.column("text").combine_chunks()
+    longest = int(n.max())
+    symbols = np.frombuffer(b"".join(texts.to_pylist()) + bytes(longest), dtype=np.uint8)
+    start = np.cumsum(n) - n
+    prefix = Prefix(rolling.BYTE_VALUES[symbols])
+    # passages
+    key = gram.view(np.uint64)
+    group = rolling.mix(key + offset.astype(np.uint64) * U(0x9E3779B97F4A7C15) + n.astype(np.uint64) * U(0xA24BAED4963EE407))
+    order, ext = rolling.verified_order(prefix, symbols, start, group, longest)
+    same = np.append(False, (ext >= n[order])[1:] & (n[order[1:]] == n[order[:-1]]) & (group[order[1:]] == group[order[:-1]]))
+    of = np.empty(len(order), dtype=np.int64)
+    of[order] = np.cumsum(~same) - 1
+    times = np.bincount(of) + (np.bincount(of, weights=copies) > 0)
+    whole = times[of] > 1
+    record, begin, length = [np.flatnonzero(whole)], [np.zeros(int(whole.sum()), dtype=np.int64)], [n[whole]]
+    # windows of one passage of each kind, where a key has several kinds
+    one = order[~same]
+    by = np.argsort(key[one], kind="stable")
+    k = key[one][by]
+    lone = np.append(True, k[1:] != k[:-1]) & np.append(k[1:] != k[:-1], True)
+    one = np.sort(one[by[~lone]])
+    if len(one):
+        step, which = rolling.spread(np.zeros(len(one), dtype=np.int64), n[one] - size)
+        row = one[which]
+        order, ext = rolling.verified_order(prefix, symbols, start[row] + step, rolling.mix(key[row] + (offset[row] - step).view(np.uint64) * U(0x9E3779B97F4A7C15)), size)
+        equal = ext >= size
+        hit = np.zeros(len(row), dtype=bool)
+        hit[order] = equal | np.append(equal[1:], False)
+        hit &= ~whole[row]
+        at = np.flatnonzero(hit)
+        record.append(row[at])
+        begin.append(step[at])
+        length.append(np.full(len(at), size))
+    record, begin, length = (np.concatenate(x) for x in (record, begin, length))
+    # ranges of a passage that touch become one
+    at, end = rolling.merged(begin + (record << 32), begin + length + (record << 32))
+    return at >> 32, at & 0xFFFFFFFF, end - at
+
+
+# --- results
+
+
 def _columns(ids: list, rows: list[tuple]) -> pa.Table:
     n_all, n_removed, n_spans, digest, starts, ends = zip(*rows, strict=True) if rows else [()] * 6
     return pa.table(
@@ -401,9 +458,6 @@ def _columns(ids: list, rows: list[tuple]) -> pa.Table:
     )
 
 
-_RESULT = "doc_id long, n long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, ends array<long>"
-
-
 def _finish_bytes(ids: list, texts: list[bytes], spans: list) -> pa.Table:
     rows = []
     for text, (start, end) in zip(texts, spans, strict=True):
@@ -441,28 +495,28 @@ def _tidy_two(step: Callable) -> Callable:
     return run
 
 
-def _run(df: DataFrame, id_col: str, text_col: str, words: bool, size: int, gram: int, first_stays: bool, finish: Callable, shard_bytes: int) -> DataFrame:
-    spark = df.sparkSession
+def _run(df: DataFrame, id_col: str, text_col: str, words: bool, size: int, gram: int, first_stays: bool, decide: Callable, finish: Callable, shard_bytes: int) -> DataFrame:
     if not 1 <= gram <= size:
         raise ValueError("an anchor has 1 to `window` symbols")
     docs = keyed_text(df, id_col, text_col)
-    shards = shard_count(spark, text_bytes(docs, "text"), shard_bytes)
-    docs = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    plan = _Plan(words, size, gram, first_stays, shards, finish)
-    by_shard = docs.groupBy("shard")
-    contexts = by_shard.applyInArrow(_tidy(plan.announce), _TO_BIN).groupBy("bin").applyInArrow(_tidy(plan.judge_contexts), _TO_SHARD)
-    windows = by_shard.cogroup(contexts.groupBy("shard")).applyInArrow(_tidy_two(plan.compare), _TO_BIN)
-    answers = windows.groupBy("bin").applyInArrow(_tidy(plan.judge_windows), _TO_SHARD)
-    return by_shard.cogroup(answers.groupBy("shard")).applyInArrow(_tidy_two(plan.conclude), _RESULT)
+    shards = shard_count(df.sparkSession, text_bytes(docs, "text"), shard_bytes)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("seq"))
+    by_shard = docs.select(F.pmod(F.xxhash64("doc_id", "seq"), F.lit(shards)).cast("int").alias("shard"), "doc_id", "seq", "text").groupBy("shard")
+    plan = Plan(words, size, gram, first_stays, shards, decide, finish, VARIANTS, UNSPLIT, CHUNK_BYTES)
+    known = by_shard.applyInArrow(_tidy(plan.announce), _ANCHOR).groupBy("bin").applyInArrow(_tidy(plan.judge), _KNOWN)
+    passages = by_shard.cogroup(known.groupBy("shard")).applyInArrow(_tidy_two(plan.compare), _PASSAGE)
+    ranges = passages.groupBy("bin").applyInArrow(_tidy(plan.settle), _RANGE)
+    return by_shard.cogroup(ranges.groupBy("shard")).applyInArrow(_tidy_two(plan.conclude), _RESULT)
 
 
 def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, phrase: int = 8, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Word windows that occur earlier in the corpus, by anchors and window hashes.
+    """Word windows that occur earlier in the corpus, by relative Lempel-Ziv factors.
 
-    This is not a relative Lempel-Ziv parsing: no factors are made. Windows of
-    `window` words choose anchors of `phrase` words; an anchor's context with an
-    earlier occurrence goes as a whole, and at edges windows are compared one by
-    one, by hash (see the module).
+    Every passage whose anchor (`phrase` words) occurs again is sent to the
+    reference block of that anchor. A block takes its passages in the order of
+    documents and parses each greedily against its indexed reference text, the
+    passages before; factors have at least `window` words, and phrases across
+    their boundaries are looked up too. Ranges from all blocks are united.
 
     A word is a run of bytes other than white space 0x20 and 0x09-0x0D. A word
     goes if a window that covers it occurs earlier, by (doc_id, start). Returns
@@ -470,22 +524,22 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     by one space, and starts and ends of the spans in words. See the module for
     nulls and ties.
     """
-    return _run(df, id_col, text_col, True, window, phrase, True, _finish_words, shard_bytes)
+    return _run(df, id_col, text_col, True, window, phrase, True, factored, _finish_words, shard_bytes)
 
 
-def suffix_array_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 200, gram: int = 120, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def suffix_array_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 200, gram: int = 56, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Removes every byte of a `window`-byte string that starts more than once in the corpus.
 
-    Suffixes that can have a copy are sorted in their shard by a mergesort that
-    compares by prefix hashes: a binary search finds the common extension, and
-    neighbours that agree in `window` bytes are verified byte for byte. Sorted
-    classes of different shards meet in bins.
+    Passages whose anchor (`gram` bytes) occurs again meet in a block, which
+    sorts their suffixes by a mergesort that compares by prefix hashes: a binary
+    search finds the common extension. Every pair of neighbours in the sorted
+    order is then compared byte for byte.
 
     Returns doc_id, n (bytes), n_removed, n_spans (maximal removed runs),
     kept_sha256 of the kept bytes, and starts and ends of the spans in bytes.
     See the module for nulls and ties.
     """
-    return _run(df, id_col, text_col, False, window, gram, False, _finish_bytes, shard_bytes)
+    return _run(df, id_col, text_col, False, window, gram, False, suffix_sorted, _finish_bytes, shard_bytes)
 
 
 def apply_spans(text: bytes, starts: list[int], ends: list[int]) -> bytes:

@@ -1,9 +1,9 @@
 """Vectorised polynomial hashes, content-chosen anchors and a hash-compared suffix sort.
 
-A sequence of symbols (bytes or words) is given as two arrays of 64-bit values
-a symbol. `Prefix` holds prefix sums of symbol * BASE**i modulo 2**64, from
-which the hash of any range follows; two of them with different bases make
-128 bits.
+A sequence of symbols (bytes or words) is given as an array of 64-bit values a
+symbol. `Prefix` holds prefix sums of symbol * BASE**i modulo 2**64, from which
+the hash of any range follows. These hashes say where to look and in which
+order; sequences that they call equal are compared by their symbols.
 
 `anchors` picks, for every window of `size` symbols, the k-gram of least hash
 in it (leftmost among equals). Equal windows pick equal k-grams at equal
@@ -17,16 +17,12 @@ from dataclasses import dataclass
 import numpy as np
 
 U = np.uint64
-BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
+BASE = 0x9E3779B97F4A7C15
 _POS_BITS = 24
 _BLOCK = 1 << 22
 
 
-def _table(seed: int) -> np.ndarray:
-    return np.random.Generator(np.random.PCG64(seed)).integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
-
-
-BYTE_VALUES = (_table(11), _table(23))
+BYTE_VALUES = np.random.Generator(np.random.PCG64(11)).integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -59,14 +55,14 @@ class _Powers:
         return np.multiply.accumulate(out)
 
 
-_POWERS = tuple(_Powers(b) for b in BASES)
+_POWERS = _Powers(BASE)
 
 
 class Prefix:
     """Prefix hashes of symbol values: the hash of [start, end) in constant time."""
 
-    def __init__(self, values: np.ndarray, which: int):
-        up, self.down = _POWERS[which].get(len(values) + 1)
+    def __init__(self, values: np.ndarray):
+        up, self.down = _POWERS.get(len(values) + 1)
         self.sums = np.empty(len(values) + 1, dtype=np.uint64)
         self.sums[0] = 0
         np.cumsum(values * up[: len(values)], out=self.sums[1:])
@@ -90,9 +86,6 @@ class Anchors:
     last: np.ndarray
     doc: np.ndarray
     gram: np.ndarray  # hash of the k-gram
-    context: np.ndarray  # hash of everything within reach, 63 bits shifted up by one
-    left: np.ndarray  # the context's range
-    right: np.ndarray
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
@@ -113,42 +106,30 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def anchors(pa: Prefix, pb: Prefix, starts: np.ndarray, ends: np.ndarray, size: int, k: int) -> Anchors:
+def anchors(p: Prefix, starts: np.ndarray, ends: np.ndarray, size: int, k: int) -> Anchors:
     """Anchors of all windows of `size` symbols that lie inside one document.
 
     starts, ends: the documents' ranges, in order, without gaps.
     """
     width = size - k + 1
-    least = _least(mix(pa.grams(k)), width)
     long = np.flatnonzero(ends - starts >= size)
     n_windows = (ends - starts - size + 1)[long]
-    none = np.empty(0, dtype=np.int64)
     if not len(long):
-        e = np.empty(0, dtype=np.uint64)
-        return Anchors(none, none, none, none, e, e, none, none)
+        none = np.empty(0, dtype=np.int64)
+        return Anchors(none, none, none, none, np.empty(0, dtype=np.uint64))
+    least = _least(mix(p.grams(k)), width)
     # the window starts inside documents, one after the other
     before = np.cumsum(n_windows) - n_windows
-    p = np.arange(int(n_windows.sum()), dtype=np.int64) + np.repeat(starts[long] - before, n_windows)
-    a = least[p]
-    new = np.empty(len(p), dtype=bool)
+    start = np.arange(int(n_windows.sum()), dtype=np.int64) + np.repeat(starts[long] - before, n_windows)
+    a = least[start]
+    new = np.empty(len(start), dtype=bool)
     new[0] = True
     new[1:] = a[1:] != a[:-1]
     new[before] = True
     i = np.flatnonzero(new)
-    at, first = a[i], p[i]
-    last = np.append(p[i[1:] - 1], p[-1])
-    doc = long[np.searchsorted(before, i, side="right") - 1]
-    left = np.maximum(starts[doc], at - (width - 1))
-    right = np.minimum(ends[doc], at + size)
-    gram = mix(pa.ranges(at, at + k))
-    context = pb.ranges(left, right)
-    context = mix(context + (at - left).astype(np.uint64) * U(0xA24BAED4963EE407) + (right - at).astype(np.uint64) * U(0x9FB21C651E98DF25))
-    return Anchors(at, first, last, doc, gram, context & ~U(1), left, right)
-
-
-def window_ids(pa: Prefix, pb: Prefix, start: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits for each window."""
-    return mix(pa.ranges(start, start + size)), mix(pb.ranges(start, start + size))
+    at, first = a[i], start[i]
+    last = np.append(start[i[1:] - 1], start[-1])
+    return Anchors(at, first, last, long[np.searchsorted(before, i, side="right") - 1], mix(p.ranges(at, at + k)))
 
 
 def spread(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -230,6 +211,42 @@ def suffix_order(p: Prefix, values: np.ndarray, start: np.ndarray, group: np.nda
     return order, lcp
 
 
+def verified_order(p: Prefix, symbols: np.ndarray, start: np.ndarray, group: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """`suffix_order`, proved: each neighbour pair is compared symbol by symbol.
+
+    Returns the order and each suffix's true common extension with the one
+    before (0 at a group's start). If all neighbours stand in the right order,
+    so does the whole; a group where hashes misled the sort is sorted again by
+    its symbols.
+    """
+    order, claimed = suffix_order(p, symbols, start, group, limit)
+    ext = np.zeros(len(order), dtype=np.int64)
+    if len(order) < 2:
+        return order, ext
+    same = np.flatnonzero(group[order[1:]] == group[order[:-1]]) + 1
+    rows = np.lib.stride_tricks.sliding_window_view(symbols, limit)
+    wrong = []
+    for i in np.array_split(same, max(1, len(same) >> 14)):
+        x, y = start[order[i - 1]], start[order[i]]
+        ext[i] = _true_extension(rows[x], rows[y])
+        at = np.minimum(ext[i], limit - 1)
+        bad = (ext[i] != claimed[i]) | ((ext[i] < limit) & (symbols[x + at] >= symbols[y + at]))
+        wrong.append(group[order[i[bad]]])
+    for g in np.unique(np.concatenate(wrong)):
+        at = np.flatnonzero(group[order] == g)
+        right = sorted(order[at].tolist(), key=lambda k: (rows[start[k]].tobytes(), start[k]))
+        order[at] = right
+        x, y = start[order[at[:-1]]], start[order[at[1:]]]
+        ext[at[1:]] = _true_extension(rows[x], rows[y])
+    return order, ext
+
+
+def _true_extension(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For each row, how many symbols agree before the first that differs."""
+    differ = x != y
+    return np.where(differ.any(axis=1), differ.argmax(axis=1), x.shape[1])
+
+
 def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The union of ranges, as ascending disjoint ranges that do not touch."""
     if not len(start):

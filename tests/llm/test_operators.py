@@ -46,7 +46,7 @@ def sha(b):
 
 def brute_words(rows, window):
     seen, out = set(), []
-    for doc, words in [(i, (t or "").encode().split()) for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, (r[1] or "").encode()))]:
+    for doc, words in [(i, (t or "").encode().split()) for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))]:
         gone = [False] * len(words)
         for p in range(len(words) - window + 1):
             key = tuple(words[p : p + window])
@@ -72,36 +72,85 @@ def brute_bytes(rows, window):
     return out
 
 
-@pytest.mark.parametrize(("window", "phrase", "variants"), [(4, 2, 4), (6, 6, 0), (1, 1, 1)])
-def test_substring_dedup(spark, monkeypatch, window, phrase, variants):
+def bounds(monkeypatch, variants, unsplit, chunk):
     monkeypatch.setattr(repeats, "VARIANTS", variants)
-    rows = mixed()
-    got = repeats.substring_dedup(frame(spark, rows), window=window, phrase=phrase, shard_bytes=2000)
-    assert by_id(got.select("doc_id", "n", "n_removed", "kept_sha256").collect()) == by_id(brute_words(rows, window))
+    monkeypatch.setattr(repeats, "UNSPLIT", unsplit)
+    monkeypatch.setattr(repeats, "CHUNK_BYTES", chunk)
 
 
-@pytest.mark.parametrize(("window", "gram", "variants"), [(12, 5, 4), (9, 9, 0), (1, 1, 1)])
-def test_suffix_array_dedup(spark, monkeypatch, window, gram, variants):
-    monkeypatch.setattr(repeats, "VARIANTS", variants)
-    rows = mixed(80)
-    got = repeats.suffix_array_dedup(frame(spark, rows), window=window, gram=gram, shard_bytes=2000)
-    assert by_id(got.select("doc_id", "n", "n_removed", "n_spans", "kept_sha256").collect()) == by_id(brute_bytes(rows, window))
+def as_read(df):
+    return [tuple(r) for r in df.select("doc_id", "text").collect()]
+
+
+@pytest.mark.parametrize(("window", "phrase", "variants", "unsplit", "chunk"), [(4, 2, 4, 2048, 500), (6, 6, 0, 1, 1 << 19), (1, 1, 1, 2, 100), (9, 2, 1, 1, 300), (8, 1, 2, 0.01, 1000)])
+def test_substring_dedup(spark, monkeypatch, window, phrase, variants, unsplit, chunk):
+    bounds(monkeypatch, variants, unsplit, chunk)
+    df = frame(spark, mixed())
+    got = repeats.substring_dedup(df, window=window, phrase=phrase, shard_bytes=2000)
+    assert by_id(got.select("doc_id", "n", "n_removed", "kept_sha256").collect()) == by_id(brute_words(as_read(df), window))
+
+
+@pytest.mark.parametrize(("window", "gram", "variants", "unsplit", "chunk"), [(12, 5, 4, 2048, 500), (9, 9, 0, 1, 1 << 19), (1, 1, 1, 2, 100), (20, 4, 1, 1, 300), (16, 1, 2, 0.01, 1000)])
+def test_suffix_array_dedup(spark, monkeypatch, window, gram, variants, unsplit, chunk):
+    bounds(monkeypatch, variants, unsplit, chunk)
+    df = frame(spark, mixed(80))
+    got = repeats.suffix_array_dedup(df, window=window, gram=gram, shard_bytes=2000)
+    assert by_id(got.select("doc_id", "n", "n_removed", "n_spans", "kept_sha256").collect()) == by_id(brute_bytes(as_read(df), window))
+
+
+def thue_morse(n):
+    """Two texts over a and b, equal in no place, whose polynomial hashes modulo 2**64 agree from 1,024 on."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_whose_hashes_collide_are_told_apart(spark):
+    same = " ".join(f"w{i}" for i in range(19))
+    one, other = thue_morse(1024)
+    got = repeats.substring_dedup(frame(spark, [(1, f"{same} {one}"), (2, f"{same} {other}"), (3, f"{same} {one}")])).collect()
+    assert {r["doc_id"]: r["n_removed"] for r in got} == {1: 0, 2: 0, 3: 20}
+
+
+def test_bytes_whose_hashes_collide_are_told_apart(spark):
+    one, other = thue_morse(2048)
+    rows = [(1, f"1{one}"), (2, f"2{other}"), (3, f"3{one}"), (4, f"4{other[:1500]}"), (5, "x" * 30)]
+    got = repeats.suffix_array_dedup(frame(spark, rows), window=1400, gram=1100)
+    assert by_id(got.select("doc_id", "n", "n_removed", "n_spans", "kept_sha256").collect()) == by_id(brute_bytes(rows, 1400))
+
+
+def test_factors_rebuild_the_text():
+    from sessionloom.llm.factors import Reference
+
+    block = Reference(3)
+    texts = [[rng.choice([b"a", b"b", b"c"]) for _ in range(rng.randrange(40))] for _ in range(30)]
+    seen: set[tuple] = set()
+    for words in texts:
+        parsed = block.parse(words)
+        assert block.rebuild(parsed) == words and all(n >= 3 for _, n in (x for x in parsed if not isinstance(x, bytes)))
+        hit = {i for s, e in block.spans(words) for i in range(s, e)}
+        assert hit == {i for p in range(len(words) - 2) if tuple(words[p : p + 3]) in seen for i in range(p, p + 3)}
+        block.add(words)
+        seen.update(tuple(words[p : p + 3]) for p in range(len(words) - 2))
 
 
 def test_suffix_order():
-    from sessionloom.llm.rolling import BYTE_VALUES, Prefix, suffix_order
+    from sessionloom.llm.rolling import BYTE_VALUES, Prefix, suffix_order, verified_order
 
     text = bytes(rng.choice(b"ab") for _ in range(600)) + b"c" * 40
     buf = np.frombuffer(text, dtype=np.uint8)
     start = np.arange(len(text) - 20)
     group = start % 2
-    order, lcp = suffix_order(Prefix(BYTE_VALUES[0][buf], 0), buf, start, group, 20)
     expected = sorted(start.tolist(), key=lambda i: (i % 2, text[i : i + 20], i))
-    assert order.tolist() == expected
-    for k in range(1, len(expected)):
-        a, b = text[expected[k - 1] :][:20], text[expected[k] :][:20]
-        same = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), 20)
-        assert lcp[k] == (same if expected[k - 1] % 2 == expected[k] % 2 else 0)
+    for by in (suffix_order, verified_order):
+        for values in (BYTE_VALUES[buf], np.zeros(len(buf), dtype=np.uint64)):  # the second: all hashes collide
+            if by is suffix_order and not values.any():
+                continue
+            order, lcp = by(Prefix(values), buf, start, group, 20)
+            assert order.tolist() == expected
+            for k in range(1, len(expected)):
+                a, b = text[expected[k - 1] :][:20], text[expected[k] :][:20]
+                same = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), 20)
+                assert lcp[k] == (same if expected[k - 1] % 2 == expected[k] % 2 else 0)
 
 
 def test_spans_rebuild_the_text(spark):
