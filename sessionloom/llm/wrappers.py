@@ -2,13 +2,25 @@
 
 A wrapper is a union-free regular expression over a page's tokens: tags, fixed
 text, text slots, optional groups `( )?` and repeated groups `( )+`. It is
-inferred by aligning pages one after the other: neighbours of the same tag fold
-into a repeated group, tags that one side lacks become optional, and texts that
-differ become slots. Pages of a host whose folded trees have the same structure
-are a template, and each template has its own wrapper, aligned from all its
-pages. The wrapper names the region that holds the text; every page is then
-read whole, and what lies in its template's region, outside menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, styles and comments, is its main text.
+inferred by aligning the token streams of a host's pages one after the other,
+run by run, a run being the tokens from an element's start tag to its end tag.
+Where streams differ, texts become a slot, runs that one side lacks become
+optional, and the runs from the first to the last one of a tag that comes back
+become a repeated group.
+
+Each page is then matched against its host's wrapper, and what its texts match
+decides with the page's own marks (tags, roles and class words of menus,
+headers, footers, sidebars, notices, adverts, forms and comments):
+
+* text that the pages of the host share, in a place of its own, is template
+  text and goes;
+* a repeated group whose slots are all links is a menu or a list of teasers
+  and goes;
+* the other slots are the page's text, in its article, else in its main
+  element, else wherever they stand.
+
+A host of fewer than `MIN_PAGES` pages, or whose pages share most of their text
+(copies), says nothing about fixed text.
 """
 
 from __future__ import annotations
@@ -20,6 +32,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
@@ -28,14 +41,21 @@ from pyspark.sql import functions as F
 
 from sessionloom.llm.common import checkpointed, importable, slices
 
-#: Templates that a task aligns at once; with more it sends what it has and goes on.
+#: Hosts that a task aligns at once; with more it sends what it has and goes on.
 HELD = 2_000
 #: Nesting up to which tags take part in inference; deeper text counts for the element at that depth.
-DEPTH = 40
-#: Parts of an element above which inference keeps one of each tag, whatever their order.
-PARTS = 150
-#: Templates up to which their regions are sent to the tasks; beyond, a join shuffles.
-BROADCAST_ROWS = 100_000
+DEPTH = 100
+#: Pages of a host from which on shared text is template text, and from which on that holds in articles too.
+MIN_PAGES = 3
+MIN_PAGES_INSIDE = 5
+#: Share of a repeated group's text that is links in a menu.
+LINKED = 0.8
+#: Pairs of runs that are aligned in order; an element with more is one repeated group.
+PAIRS = 10_000
+#: First fold of a host's trees: into so many parts, then into one.
+PARTS = 256
+#: Bytes of wrappers up to which they are sent to the tasks; beyond, a join shuffles.
+BROADCAST_BYTES = 16 << 20
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -45,6 +65,8 @@ _TOKEN = re.compile(
 )
 _ATTR = re.compile(r"""([A-Za-z_:@][\w:.-]*)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _WORD = re.compile(r"[a-z0-9]+")
+#: Numbers in a class that count a page's parts, or name the page, and not a kind of part.
+_NUMBER = re.compile(r"(?<![a-z0-9])\d+(?![a-z0-9])|\d{3,}")
 
 _RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes"}
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -145,7 +167,7 @@ class _Walker:
             out = False  # its headings are the article's; what else is in it is told apart by `keeps`
         if name in _VOID or (name not in _BLOCK and not out):
             return None
-        words = sorted(set(_WORD.findall(attrs.get("class", "").lower()))) if name not in ("html", "body") else []
+        words = sorted(set(_WORD.findall(_NUMBER.sub("", attrs.get("class", "").lower())))) if name not in ("html", "body") else []
         element = _Open(name, ".".join([name, *words]), out)
         self.stack.append(element)
         self.names[name] += 1
@@ -174,55 +196,61 @@ class _Walker:
 
 # --- inference
 
+TEXT, GROUP = "#", "+"
+
 
 @dataclass
 class Node:
-    """A part of a wrapper: an element with its text and its parts in order."""
+    """A run of tokens: an element with its parts in order, a text, or a repeated group of runs."""
 
     sign: str
-    out: bool = False
-    text: str | None = ""  # the fixed text; None if it is a slot
-    length: int = 0
+    text: str | None = ""  # of a text: the fixed one; None if it is a slot
+    length: int = 0  # characters of all texts that were aligned here
+    linked: int = 0  # those of them in links
+    count: int = 1  # pages that have it
     optional: bool = False
     repeated: bool = False
     parts: list[Node] = field(default_factory=list)
+    block: int = -1  # of a page's text: the number of its block
 
     def pattern(self) -> str:
         """The wrapper as a union-free regular expression."""
-        inner = "#TEXT" if self.text is None else (self.text[:20] if self.text else "")
-        body = f"<{self.sign}>{inner}{''.join(p.pattern() for p in self.parts)}</{self.sign.split('.')[0]}>"
+        inner = "".join(p.pattern() for p in self.parts)
+        if self.sign == TEXT:
+            body = "#TEXT" if self.text is None else self.text[:20]
+        else:
+            body = inner if self.sign in ("", GROUP) else f"<{self.sign}>{inner}</{self.sign.split('.')[0]}>"
         if self.repeated:
             body = f"({body})+"
         return f"({body})?" if self.optional else body
 
 
-def read(page: str) -> tuple[Node, list[tuple[str, int, tuple[str, ...]]]]:
-    """The page's block elements as a tree, equal neighbours folded into repeated groups, and its blocks of kept text.
-
-    A block has its rank (2 in an article, 1 in main, else 0) and the signs of
-    the elements it stands in, as deep as inference goes.
-    """
+def read(page: str) -> tuple[Node, list[tuple[str, int]]]:
+    """The page's runs as they stand, and its blocks of kept text with their rank (2 in an article, 1 in main, else 0)."""
     root = Node("")
     walker, nodes = _Walker(), [root]
-    blocks: list[tuple[str, int, tuple[str, ...]]] = []
+    blocks: list[tuple[str, int]] = []
     held: list[str] = []
+    linked, in_link = 0, False
 
     def flush() -> None:
+        nonlocal linked
         text = " ".join(html_lib.unescape("".join(held)).split())
         if text:
             rank = 2 if walker.names["article"] else 1 if walker.names["main"] else 0
-            blocks.append((text, rank, tuple(e.sign for e in walker.stack[:DEPTH])))
+            nodes[-1].parts.append(Node(TEXT, text, len(text), min(linked, len(text)), block=len(blocks)))
+            blocks.append((text, rank))
         held.clear()
+        linked = 0
 
     for kind, value, attrs in tokens(page):
         if kind == "text":
             if walker.keeps():
                 held.append(value)
-            text = " ".join(html_lib.unescape(value).split())
-            if text and (nodes[-1].out or not walker.out):
-                nodes[-1].text = f"{nodes[-1].text} {text}".strip()
-                nodes[-1].length += len(text)
+                linked += len(value.strip()) if in_link else 0
             continue
+        if value == "a":
+            in_link = kind == "open"
         if kind == "open" and value == "br":
             held.append(" ")
             continue
@@ -235,84 +263,99 @@ def read(page: str) -> tuple[Node, list[tuple[str, int, tuple[str, ...]]]]:
             element = walker.open(value, attrs)
             del nodes[min(len(walker.stack) - (element is not None), DEPTH) + 1 :]
             if element is not None and len(nodes) <= DEPTH:
-                node = Node(element.sign, walker.out > 0)
+                node = Node(element.sign + "!" * element.out)
                 nodes[-1].parts.append(node)
                 nodes.append(node)
     flush()
-    return _folded(root), blocks
-
-
-def parse(page: str) -> Node:
-    """The page's tree as in `read`."""
-    return read(page)[0]
-
-
-def template(tree: Node) -> str:
-    """A hash of a tree's structure, whatever its texts."""
-
-    def shape(n: Node) -> str:
-        return f"{n.sign}{'!' * n.out}{'+' * n.repeated}{'?' * n.optional}({''.join(map(shape, n.parts))})"
+    return root, blocks
+
+
+def _members(node: Node) -> list[Node]:
+    return node.parts if node.sign == GROUP else [node]
+
+
+def _grouped(parts: list[Node], add: bool) -> list[Node]:
+    """One run for each sign: from the first to the last of a sign that comes back, runs are one repeated group."""
+    reach = list(range(len(parts)))
+    first: dict[str, int] = {}
+    for i, p in enumerate(parts):
+        for m in _members(p):
+            reach[first.setdefault(m.sign, i)] = i
+    out, i = [], 0
+    while i < len(parts):
+        end = j = i
+        while j <= end:
+            end = max(end, reach[j])
+            j += 1
+        out.append(parts[i] if end == i else _group(parts[i : end + 1], add))
+        i = end + 1
+    return out
 
-    return hashlib.md5(shape(tree).encode("utf-8", "surrogatepass")).hexdigest()
 
+def _group(parts: list[Node], add: bool) -> Node:
+    members: dict[str, Node] = {}
+    for p in parts:
+        for m in _members(p):
+            members[m.sign] = align(members[m.sign], m, add) if m.sign in members else m
+    for m in members.values():
+        m.repeated = True
+    if len(members) == 1:
+        return next(iter(members.values()))
+    for m in members.values():
+        m.optional = True
+    return Node(GROUP, repeated=True, parts=list(members.values()))
 
-def _packed(n: Node) -> list:
-    """A tree as lists, long fixed texts by their start and hash."""
-    text = n.text if n.text is None or len(n.text) <= 60 else n.text[:20] + hashlib.md5(n.text.encode("utf-8", "surrogatepass")).hexdigest()
-    return [n.sign, n.out, text, n.length, n.optional, n.repeated, [_packed(p) for p in n.parts]]
 
-
-def _unpacked(x: list) -> Node:
-    return Node(*x[:6], [_unpacked(p) for p in x[6]])
+def folded(node: Node) -> Node:
+    """A page's runs as the least wrapper of that page."""
+    node.parts = _grouped([folded(p) if p.parts else p for p in node.parts], False)
+    return node
 
 
-def _folded(node: Node) -> Node:
-    parts: list[Node] = []
-    for p in map(_folded, node.parts):
-        if parts and parts[-1].sign == p.sign and parts[-1].out == p.out:
-            merged = align(parts[-1], p)
-            merged.repeated = True
-            merged.length = parts[-1].length + p.length
-            parts[-1] = merged
-        else:
-            parts.append(p)
-    if len(parts) > PARTS:
-        one: dict[str, Node] = {}
-        for p in parts:
-            one[p.sign] = align(one[p.sign], p) if p.sign in one else p
-            one[p.sign].repeated = True
-        parts = list(one.values())
-    node.parts = parts
-    return node
+def align(a: Node, b: Node, add: bool = True) -> Node:
+    """The least wrapper of two of the same sign; `add` if they are of different pages."""
+    out = Node(a.sign, a.text if a.text == b.text else None, a.length + b.length, a.linked + b.linked, a.count + b.count if add else max(a.count, b.count), a.optional or b.optional, a.repeated or b.repeated)
+    out.parts = _grouped(_interleaved(a.parts, b.parts, add), add)
+    return out
 
 
-def align(a: Node, b: Node) -> Node:
-    """The least wrapper of both: texts that differ become slots, parts that one lacks optional."""
-    out = Node(a.sign, a.out and b.out, a.text if a.text == b.text else None, max(a.length, b.length), a.optional or b.optional, a.repeated or b.repeated)
-    x, y = a.parts, b.parts
+def _alike(x: Node, y: Node) -> bool:
+    if x.sign == y.sign:
+        return True
+    if GROUP not in (x.sign, y.sign):
+        return False
+    return not {m.sign for m in _members(x)}.isdisjoint(m.sign for m in _members(y))
+
+
+def _interleaved(x: list[Node], y: list[Node], add: bool) -> list[Node]:
+    """Both sequences in one, with as many runs aligned as their order allows; the others are optional."""
+    if not x or not y:
+        for p in x or y:
+            p.optional = True
+        return x or y
+    if len(x) * len(y) > PAIRS:
+        return [_group([*x, *y], add)]
+    if [p.sign for p in x] == [p.sign for p in y] and all(p.sign != GROUP for p in x):
+        return [align(p, q, add) for p, q in zip(x, y, strict=True)]
     best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
     for i in range(len(x) - 1, -1, -1):
         for j in range(len(y) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if x[i].sign == y[j].sign else max(best[i + 1][j], best[i][j + 1])
+            best[i][j] = best[i + 1][j + 1] + 1 if _alike(x[i], y[j]) else max(best[i + 1][j], best[i][j + 1])
     i = j = 0
-    parts: list[Node] = []
+    out: list[Node] = []
     while i < len(x) or j < len(y):
-        if i < len(x) and j < len(y) and x[i].sign == y[j].sign:
-            part = align(x[i], y[j])
+        if i < len(x) and j < len(y) and _alike(x[i], y[j]):
+            plain = x[i].sign == y[j].sign != GROUP
+            out.append(align(x[i], y[j], add) if plain else _group([x[i], y[j]], add))
             i, j = i + 1, j + 1
+        elif j == len(y) or (i < len(x) and best[i + 1][j] >= best[i][j + 1]):
+            x[i].optional = True
+            out.append(x[i])
+            i += 1
         else:
-            if j == len(y) or (i < len(x) and best[i + 1][j] >= best[i][j + 1]):
-                part, i = x[i], i + 1
-            else:
-                part, j = y[j], j + 1
-            part.optional = True
-        if parts and parts[-1].sign == part.sign:
-            part = align(parts[-1], part)
-            part.repeated = True
-            parts[-1] = part
-        else:
-            parts.append(part)
-    out.parts = parts
+            y[j].optional = True
+            out.append(y[j])
+            j += 1
     return out
 
 
@@ -320,59 +363,76 @@ def infer(pages: list[str]) -> Node | None:
     """One wrapper of all pages; None without pages."""
     out = None
     for page in pages:
-        tree = parse(page)
+        tree = folded(read(page)[0])
         out = tree if out is None else align(out, tree)
     return out
 
 
-def _holds(node: Node, fixed: bool) -> bool:
-    """Is there text, fixed or in slots alone, in a node or below, outside what is not the article?"""
-    return not node.out and (_own(node, fixed) or any(_holds(p, fixed) for p in node.parts))
-
+def _packed(n: Node) -> list:
+    """A wrapper as lists, long fixed texts by their start and hash."""
+    text = n.text if n.text is None or len(n.text) <= 60 else n.text[:20] + hashlib.md5(n.text.encode("utf-8", "surrogatepass")).hexdigest()
+    return [n.sign, text, n.length, n.linked, n.count, n.optional, n.repeated, [_packed(p) for p in n.parts]]
 
-def _own(node: Node, fixed: bool) -> bool:
-    return node.length > 0 and (fixed or node.text is None)
 
+def _unpacked(x: list) -> Node:
+    return Node(*x[:7], [_unpacked(p) for p in x[7]])
 
-def region(wrapper: Node, fixed: bool = True) -> list[str]:
-    """The path of signs to the element outside which no text is left but what is marked as not the article.
 
-    The path goes down as long as a single part holds text. An article or main
-    element is taken as it is. Unless `fixed`, text that all pages share is no
-    text.
-    """
-    path, node = [], wrapper
-    while True:
-        found = [p for p in node.parts if _holds(p, fixed)]
-        if len(found) != 1 or _own(node, fixed):
-            return path
-        (node,) = found
-        tag = node.sign.split(".")[0]
-        if node.repeated and tag not in ("article", "main") or tag in ("p", "ul", "ol", "li", "table", "h1", "blockquote", "pre"):
-            return path
-        path.append(node.sign)
-        if tag in ("article", "main"):
-            return path
+# --- extraction
 
 
-# --- extraction
+def _texts(node: Node) -> Iterator[Node]:
+    if node.sign == TEXT:
+        yield node
+    for p in node.parts:
+        yield from _texts(p)
+
+
+class Wrapper:
+    """A host's wrapper, ready to be matched."""
+
+    def __init__(self, root: Node):
+        self.root = root
+        slots = sum(t.length for t in _texts(root) if t.text is None)
+        self.tells = root.count >= MIN_PAGES and 2 * slots >= sum(t.length for t in _texts(root))
+
+    def match(self, page: Node) -> dict[int, tuple[Node, str, bool]]:
+        """For each block of the page's runs: the wrapper's text, the sign of its element, and whether it is in a repeated group."""
+        out: dict[int, tuple[Node, str, bool]] = {}
+        todo = [(self.root, page, False)]
+        while todo:
+            node, run, repeated = todo.pop()
+            known = {m.sign: m for p in node.parts for m in _members(p)}
+            for p in run.parts:
+                m = known.get(p.sign)
+                if m is not None and p.sign == TEXT:
+                    out[p.block] = m, run.sign, repeated or m.repeated
+                elif m is not None:
+                    todo.append((m, p, repeated or m.repeated))
+        return out
+
+
+def _goes(rank: int, text: Node, sign: str, repeated: bool, tells: bool) -> bool:
+    """Does the wrapper say that a block is not the page's text?"""
+    if repeated:
+        return not rank and text.linked >= LINKED * text.length
+    if text.text is None or not tells:
+        return False
+    return text.count >= (MIN_PAGES_INSIDE if rank else MIN_PAGES) and sign.split(".")[0] not in _HEADINGS
 
 
-def extract(page: str | None, path: list[str] | None = None) -> str:
+def extract(page: str | None, wrapper: Wrapper | None = None) -> str:
     """The page's main text: blocks joined by a newline, white space in a block as one space.
 
-    Blocks in the wrapper's region are taken; if there are none, those in
-    article elements, then in main elements, then all that are left.
+    Blocks in article elements are taken; if there are none, those in main
+    elements, then all that are left. Of these, those go that the wrapper tells
+    to be no text of the page, unless nothing else is left.
     """
-    return _chosen(read(page or "")[1], path)
-
-
-def _chosen(blocks: list[tuple[str, int, tuple[str, ...]]], path: list[str] | None) -> str:
-    if path is not None:
-        signs = tuple(path)
-        blocks = [(t, 3 if trail[: len(signs)] == signs else r, trail) for t, r, trail in blocks]
-    most = max((r for _, r, _ in blocks), default=0)
-    return "\n".join(t for t, r, _ in blocks if r == most)
+    root, blocks = read(page or "")
+    most = max((r for _, r in blocks), default=0)
+    found = wrapper.match(root) if wrapper else {}
+    rest = [t for i, (t, r) in enumerate(blocks) if r == most and not (i in found and _goes(r, *found[i], wrapper.tells))]
+    return "\n".join(rest or [t for t, r in blocks if r == most])
 
 
 def host_of(url: F.Column) -> F.Column:
@@ -386,73 +446,77 @@ def _rows(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFra
 
 
 def host_wrappers(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, template, path, wrapper): the region and the wrapper, as text, of each template of a host.
+    """(host, wrapper, pattern): each host's wrapper, as JSON and as text.
 
-    All pages are read. A task aligns its pages of a template and sends one
-    tree for each, so a large host sends no more rows than tasks for a template.
+    All pages are read. A task aligns its pages of a host and sends one wrapper
+    for each, these are aligned in at most `PARTS` groups of a host, and those
+    with each other, so a large host is no task's work alone. The host of no
+    name has no wrapper.
     """
-    rows = _rows(pages, id_col, url_col, html_col).where(F.col("html").isNotNull()).select("host", "html")
+    rows = _rows(pages, id_col, url_col, html_col).where("html IS NOT NULL AND host <> ''").select("host", "html")
 
-    def sent(held: dict[tuple[str, str], Node]) -> pa.RecordBatch:
-        out = [(host, kind, json.dumps(_packed(tree))) for (host, kind), tree in held.items()]
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.string()) for i in range(3)], names=["host", "template", "tree"])
+    def sent(held: dict[str, Node]) -> pa.RecordBatch:
+        out = [json.dumps(_packed(tree)) for tree in held.values()]
+        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(out, pa.string())], names=["host", "tree"])
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, str], Node] = {}
+        held: dict[str, Node] = {}
         for batch in slices(batches):
             for host, text in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                tree = parse(text)
-                key = host, template(tree)
-                held[key] = align(held[key], tree) if key in held else tree
+                tree = folded(read(text)[0])
+                held[host] = align(held[host], tree) if host in held else tree
             if len(held) > HELD:
                 yield sent(held)
                 held = {}
         yield sent(held)
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        wrapper = None
-        for tree in sorted(group["tree"]):
-            node = _unpacked(json.loads(tree))
-            wrapper = node if wrapper is None else align(wrapper, node)
-        return pd.DataFrame({"host": [group["host"].iloc[0]], "template": [group["template"].iloc[0]], "path": [json.dumps(region(wrapper))], "wrapper": [wrapper.pattern()]})
+    def joined(group: pd.DataFrame) -> tuple[str, Node]:
+        trees = (_unpacked(json.loads(t)) for t in sorted(group["tree"]))
+        return group["host"].iloc[0], reduce(align, trees)
+
+    def some(group: pd.DataFrame) -> pd.DataFrame:
+        host, tree = joined(group)
+        return pd.DataFrame({"host": [host], "tree": [json.dumps(_packed(tree))]})
 
-    trees = rows.mapInArrow(fold, "host string, template string, tree string")
-    return trees.groupBy("host", "template").applyInPandas(run, "host string, template string, path string, wrapper string")
+    def all_(group: pd.DataFrame) -> pd.DataFrame:
+        host, tree = joined(group)
+        return pd.DataFrame({"host": [host], "wrapper": [json.dumps(_packed(tree))], "pattern": [tree.pattern()]})
+
+    trees = rows.mapInArrow(fold, "host string, tree string").withColumn("part", F.pmod(F.xxhash64("tree"), F.lit(PARTS)))
+    parts = trees.groupBy("host", "part").applyInPandas(some, "host string, tree string")
+    return parts.groupBy("host").applyInPandas(all_, "host string, wrapper string, pattern string")
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text and n_chars (code points) of every row, from its whole html.
 
-    Regions, a short path for each template of a host, go to the tasks if they
-    are at most `BROADCAST_ROWS`; else pages are joined to them. A null html is
-    empty; a null or odd url falls to the host of no name; repeated rows give
-    repeated results; an empty table gives an empty result.
+    Wrappers go to the tasks if they have at most `BROADCAST_BYTES`; else pages
+    are joined to them, a host's pages dealt to `PARTS` keys. A null html is
+    empty; a null or odd url falls to the host of no name, which has no wrapper;
+    repeated rows give repeated results; an empty table gives an empty result.
     """
-    paths = checkpointed(host_wrappers(pages, id_col, url_col, html_col).select("host", "template", "path"))
+    wrappers = checkpointed(host_wrappers(pages, id_col, url_col, html_col).select("host", "wrapper"))
     rows = _rows(pages, id_col, url_col, html_col)
-    few = paths.count() <= BROADCAST_ROWS
-    known = {(r["host"], r["template"]): r["path"] for r in paths.collect()} if few else {}
-
-    def kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            found = [None if h is None else template(parse(h)) for h in batch.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], names=[*batch.schema.names, "template"])
-
-    def text_of(page: str | None, host: str, path: str | None) -> str:
-        if page is None:
-            return ""
-        tree, blocks = read(page)
-        path = known[host, template(tree)] if few else path
-        return _chosen(blocks, json.loads(path))
+    size = wrappers.agg(F.sum(F.octet_length("wrapper") + F.octet_length("host"))).first()[0] or 0
+    few = size <= BROADCAST_BYTES
+    shared = pages.sparkSession.sparkContext.broadcast({r["host"]: r["wrapper"] for r in wrappers.collect()} if few else {})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ready: dict[str, Wrapper | None] = {}
         for batch in slices(batches):
-            of = batch.column("path").to_pylist()
-            texts = [text_of(*x) for x in zip(batch.column("html").to_pylist(), batch.column("host").to_pylist(), of, strict=True)]
+            texts = []
+            for text, host, wrapper in zip(batch.column("html").to_pylist(), batch.column("host").to_pylist(), batch.column("wrapper").to_pylist(), strict=True):
+                if host not in ready:
+                    if len(ready) > HELD:
+                        ready.clear()
+                    wrapper = shared.value.get(host) if few else wrapper
+                    ready[host] = Wrapper(_unpacked(json.loads(wrapper))) if wrapper else None
+                texts.append(extract(text, ready[host]))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     if few:
-        joined = rows.withColumn("path", F.lit(None).cast("string"))
+        joined = rows.withColumn("wrapper", F.lit(None).cast("string"))
     else:
-        joined = rows.mapInArrow(kinds, "page_id long, url string, host string, html string, template string").join(paths, ["host", "template"], "left")
-    return joined.select("page_id", "url", "host", "html", "path").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+        dealt = wrappers.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+        joined = rows.withColumn("part", F.pmod(F.xxhash64("html", "page_id"), F.lit(PARTS)).cast("int")).join(dealt, ["host", "part"], "left")
+    return joined.select("page_id", "url", "host", "html", "wrapper").mapInArrow(run, "page_id long, url string, text string, n_chars long")
