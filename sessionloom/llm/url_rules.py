@@ -2,8 +2,8 @@
 
 Labelled URLs become sets of tokens (host suffixes, path words, query keys);
 FP-growth mines combinations of tokens that go with the label; rules that are
-weak, or no better than one with fewer tokens, are pruned. A rule is filed
-under its rarest token. URLs look their tokens up in that inverted index, and a
+weak, that chance explains, or that are no better than one with fewer tokens
+are pruned. A rule is filed under its rarest token. URLs look their tokens up in that inverted index, and a
 rule fires if all its tokens are there. All of it is DataFrame operations.
 """
 
@@ -25,9 +25,12 @@ RULES = (
     ("net/es/", "block"),
     ("net/fr/", "block"),
 )
-#: Share of labelled URLs that a rule holds for at least, and its confidence at least.
+#: Share and number of labelled URLs that a rule holds for at least, and its confidence at least.
 MIN_SUPPORT = 0.002
+MIN_ROWS = 10
 MIN_CONFIDENCE = 0.8
+#: Chance that any of all the combinations tried would seem so sure if labels did not depend on URLs, at most.
+CHANCE = 0.01
 #: Labelled URLs that rules are mined from at most, by hashed id.
 MAX_LABELLED = 50_000
 #: Rules up to which the index is broadcast; beyond, the join shuffles.
@@ -73,8 +76,12 @@ def url_tokens() -> Column:
 def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """Rules (antecedent, confidence, support, lift) from rows (page_id, url, bad).
 
-    All rules that pass support and confidence, but those that one with a part
-    of their tokens beats. Tokens that stand in the same labelled URLs are mined
+    All rules that pass support, confidence and the test against chance, but
+    those that one with a part of their tokens beats. The test is Chernoff's
+    bound: if a share `base` of all labelled URLs is bad, then n URLs have a bad
+    share of `confidence` or more with a chance of at most
+    exp(-n * KL(confidence, base)), and that times the number of combinations
+    tried must not exceed `CHANCE`. Tokens that stand in the same labelled URLs are mined
     as one and told apart again at the end, and a token that is bad wherever it
     stands needs no company; neither changes the rules. Without labelled rows
     there are none.
@@ -83,7 +90,7 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     rows = split_url(rows).withColumn("tokens", url_tokens()).where((F.size("tokens") > 0) | F.col("bad"))
     rows = checkpointed(rows.select(F.monotonically_increasing_id().alias("row"), "tokens", "bad"))
     total, n_bad = rows.agg(F.count("*"), F.coalesce(F.count_if("bad"), F.lit(0))).first()
-    least = max(math.ceil(min_support * total), 1)
+    least = max(math.ceil(min_support * total), MIN_ROWS)
     spread = rows.select("row", "bad", F.explode("tokens").alias("token"))
     places = spread.groupBy("token").agg(F.array_sort(F.collect_list("row")).alias("places"), F.count_if("bad").alias("hits")).where(F.col("hits") >= least)
     alike = places.groupBy("places", "hits").agg(F.min("token").alias("item"), F.collect_list("token").alias("tokens"))
@@ -94,8 +101,11 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     none = F.array().cast("array<string>")
     basket = F.concat(F.coalesce("items", none), F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(none))
     baskets = rows.join(items, "row", "left").select(basket.alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
-    rules = model.associationRules.where(F.col("consequent") == F.array(F.lit(BAD)))
+    model = FPGrowth(itemsCol="items", minSupport=min(least / max(total, 1), 1.0), minConfidence=min_confidence).fit(baskets)
+    tried = model.freqItemsets.where(~F.array_contains("items", BAD)).count() + alike.count()
+    base = n_bad / max(total, 1)
+    rules = model.associationRules.where(F.col("consequent") == F.array(F.lit(BAD))).where(_beyond_chance(total, base, tried))
+    sure = sure.where(_beyond_chance(total, base, tried))
     rules = checkpointed(rules.select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support", "lift"))
     # a rule goes if one with a part of its tokens is as sure
     shorter = inverted_index(rules).select("token", F.col("antecedent").alias("part"), F.col("confidence").alias("as_sure"))
@@ -110,6 +120,15 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     return checkpointed(each.unionByName(sure))
 
 
+def _beyond_chance(total: int, base: float, tried: int) -> Column:
+    """Is a rule, with its support and confidence, beyond what chance gives?"""
+    if not 0 < base < 1:
+        return F.lit(False)
+    good = 1 - F.col("confidence")
+    apart = F.col("confidence") * F.log(F.col("confidence") / base) + F.when(good > 0, good * F.log(good / (1 - base))).otherwise(0.0)
+    return (F.col("confidence") > base) & (F.col("support") * total / F.col("confidence") * apart >= math.log(max(tried, 1) / CHANCE))
+
+
 def inverted_index(rules: DataFrame) -> DataFrame:
     """(token, antecedent, confidence): each rule under the token that the fewest rules have."""
     spread = rules.select("antecedent", "confidence", F.explode("antecedent").alias("token"))
@@ -124,21 +143,27 @@ def filter_urls(pages: DataFrame, labelled: DataFrame, id_col: str = "page_id",
     labelled: rows (page_id, url, bad). verdict is the listed rule's; else
     `block` if a mined rule fires, whose confidence is given, else `allow`. The
     index is broadcast if it has at most `BROADCAST_RULES` rows, else joined by
-    token. Rows are reduced to distinct (id, url) with a count before they are
-    spread by token, and repeated again at the end. A null url has no tokens and is
-    allowed; an empty table gives an empty result; without labels only listed
-    rules block.
+    token. A row is numbered as it is read and known by its number from there
+    on, so rows of one id or url are dealt like others, and a row's tokens are
+    reduced to one record before the only shuffle. A null url has no tokens and
+    is allowed; repeated rows give repeated results; an empty table gives an
+    empty result; without labels only listed rules block.
     """
     mined = mine(labelled, min_support, min_confidence)
-    index = inverted_index(mined)
-    index = F.broadcast(index) if mined.count() <= BROADCAST_RULES else index
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url")).groupBy("page_id", "url").agg(F.count("*").alias("copies"))
-    rows = split_url(rows).withColumn("listed", listed_rule(rules)).withColumn("tokens", url_tokens())
-    looked = F.when(F.col("listed").isNull() & (F.size("tokens") > 0), F.col("tokens")).otherwise(F.array(F.concat(F.lit("#"), F.pmod(F.xxhash64("page_id", "url"), F.lit(4096)))))  # no token, dealt evenly
-    spread = rows.withColumn("token", F.explode(looked)).join(index, "token", "left")
-    fires = F.when(F.size(F.array_except("antecedent", "tokens")) == 0, F.col("confidence"))
-    found = spread.groupBy("page_id", "url").agg(F.max("copies").alias("copies"), F.max(fires).alias("confidence"))
-    found = split_url(found).withColumn("listed", listed_rule(rules))
+    n_mined = mined.count()
+    rows = split_url(pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.monotonically_increasing_id().alias("row")))
+    rows = rows.withColumn("listed", listed_rule(rules))
+    if n_mined:
+        index = inverted_index(mined)
+        index = F.broadcast(index) if n_mined <= BROADCAST_RULES else index
+        rows = rows.withColumn("tokens", url_tokens())
+        number = F.array(F.concat(F.lit("#"), F.pmod("row", F.lit(4096))))  # no token, dealt evenly
+        looked = F.when(F.col("listed").isNull() & (F.size("tokens") > 0), F.col("tokens")).otherwise(number)
+        spread = rows.withColumn("token", F.explode(looked)).join(index, "token", "left")
+        fires = F.when(F.size(F.array_except("antecedent", "tokens")) == 0, F.col("confidence"))
+        kept = [F.first(c).alias(c) for c in ("page_id", "host", "path", "listed")]
+        rows = spread.groupBy("row").agg(*kept, F.max(fires).alias("confidence"))
+    else:
+        rows = rows.withColumn("confidence", F.lit(None).cast("double"))
     verdict = F.coalesce(F.col("listed.verdict"), F.when(F.col("confidence").isNotNull(), F.lit("block")).otherwise(F.lit("allow")))
-    out = found.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return out.select("page_id", "host", "path", F.col("listed.rule").alias("rule"), verdict.alias("verdict"), "confidence")
+    return rows.select("page_id", "host", "path", F.col("listed.rule").alias("rule"), verdict.alias("verdict"), "confidence")

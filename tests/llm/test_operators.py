@@ -429,7 +429,7 @@ URLS = [None, "", "no scheme", "HTTP://EXAMPLE.COM/en/x?q=1", "http://WWW.Exampl
 def test_url_rules(spark):
     rows = list(enumerate(URLS)) + [(1, ""), (1, ""), (None, None)]
     pages = spark.createDataFrame(rows, "page_id long, url string").selectExpr("*", "'h' AS html", "1 AS host", "2 AS path", "3 AS token", "4 AS copies", "5 AS rule")
-    labelled = spark.createDataFrame([(i, f"http://spam{i % 2}.org/buy/{i}", True) for i in range(20)] + [(50 + i, f"http://good.org/read/{i}", False) for i in range(20)] + [(99, None, None)], "page_id long, url string, bad boolean")
+    labelled = spark.createDataFrame([(i, f"http://spam{i % 2}.org/buy/{i}", True) for i in range(40)] + [(50 + i, f"http://good.org/read/{i}", False) for i in range(40)] + [(99, None, None)], "page_id long, url string, bad boolean")
     got = url_rules.filter_urls(pages, labelled).select("page_id", "host", "path", "rule", "verdict").collect()
     expected = []
     for i, u in rows:
@@ -448,12 +448,27 @@ def test_url_rules(spark):
 
 def test_url_rules_of_rarer_templates(spark, monkeypatch):
     words = {k: "/".join(k + c for c in "abcdefghij") for k in "xy"}
-    urls = [(f"http://{k}.net/{words[k]}", True) for k in "xy" for _ in range(20)] + [("http://c.net/late", True)] * 5 + [("http://good.net/fine", False)] * 30 + [("http://good.net/even/odd", True)] * 9 + [("http://good.net/even", False)] * 3 + [("http://good.net/odd", False)] * 4
+    urls = [(f"http://{k}.net/{words[k]}", True) for k in "xy" for _ in range(20)] + [("http://c.net/late", True)] * 15 + [("http://good.net/fine", False)] * 60 + [("http://good.net/even/odd", True)] * 18 + [("http://good.net/even", False)] * 10 + [("http://good.net/odd", False)] * 10 + [("http://c.net/few", True)] * 5
     labelled = spark.createDataFrame([(i, u, b) for i, (u, b) in enumerate(urls)], "page_id long, url string, bad boolean")
-    new = spark.createDataFrame([(1, "http://z.org/late"), (2, "http://z.org/xj"), (3, "http://z.org/fine"), (4, "http://z.org/even"), (5, "http://z.org/odd/even")], "page_id long, url string")
+    new = spark.createDataFrame([(1, "http://z.org/late"), (2, "http://z.org/xj"), (3, "http://z.org/fine"), (4, "http://z.org/even"), (5, "http://z.org/odd/even"), (6, "http://z.org/few")], "page_id long, url string")
     for bound in (5000, 0):
         monkeypatch.setattr(url_rules, "BROADCAST_RULES", bound, raising=False)
-        assert {r["page_id"]: r["verdict"] for r in url_rules.filter_urls(new, labelled).collect()} == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "block"}
+        assert {r["page_id"]: r["verdict"] for r in url_rules.filter_urls(new, labelled).collect()} == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "block", 6: "allow"}
+
+
+def test_noise_gives_no_url_rule(spark):
+    noise = random.Random(5)
+    urls = [f"http://h{noise.randrange(30)}.{noise.choice(['com', 'org'])}/{noise.choice('abcdefgh')}/{noise.choice('ijklmn')}?{noise.choice('opq')}=1" for _ in range(1500)]
+    labelled = spark.createDataFrame([(i, u, noise.random() < 0.3) for i, u in enumerate(urls)], "page_id long, url string, bad boolean")
+    assert url_rules.mine(labelled, min_confidence=0.4).count() == 0
+    planted = labelled.unionByName(labelled.limit(200).selectExpr("page_id + 5000 AS page_id", "concat(url, '&spam=1') AS url", "true AS bad"))
+    assert [r["antecedent"] for r in url_rules.mine(planted).collect()] == [["q:spam"]]
+
+
+def test_many_rows_of_one_url(spark):
+    pages = spark.range(10_000).selectExpr("cast(null AS long) AS page_id", "'http://example.com/en/1' AS url")
+    got = url_rules.filter_urls(pages, spark.createDataFrame([], "page_id long, url string, bad boolean"))
+    assert [tuple(r) for r in got.groupBy("rule", "verdict").count().collect()] == [("example.com/en/", "block", 10_000)]
 
 
 def test_url_rules_of_late_tokens(spark):
