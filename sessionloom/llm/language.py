@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionloom.llm.common import importable, slices
@@ -104,6 +104,7 @@ class Votes:
 
 class Model:
     def __init__(self, x: np.ndarray, lang: np.ndarray):
+        self.n_rows = len(x)
         families = np.array([family(v) for v in lang])
         self.top = Votes(x, families)
         self.within = [Votes(x[families == f], lang[families == f]) for f in self.top.names]
@@ -130,19 +131,20 @@ def _held_out(df: DataFrame, id_col: str) -> F.Column:
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_sample: int = MAX_SAMPLE) -> Model | None:
     """Learns from rows outside the held-out fold with a language, at most `max_sample`; None without any.
 
-    The languages are counted first; a share of each one's ids, by hash, then
-    bounds what is read and sent to the driver as profiles.
+    The languages are counted first (the `max_sample` most frequent take part);
+    a share of each one's rows, by a hash of id and text, then bounds what is
+    read, and a rank by that hash what is sent to the driver as profiles.
     """
     importable(df.sparkSession)
     rows = df.where(~_held_out(df, id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_sample).collect()}
     if not counts:
         return None
     each = max(1, max_sample // len(counts))
     scale = 1 << 30
     share = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, min(scale, int(scale * 1.3 * each / n) + 1))])
-    chosen = rows.withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(scale))).where(F.col("h") < share[F.col("lang")])
+    hashed = rows.withColumn("h", F.pmod(F.xxhash64("doc_id", "text"), F.lit(scale)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -151,13 +153,17 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
             found = [profile(t).astype(np.float16).tobytes() for t in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("h"), part.column("doc_id"), pa.array(found, pa.binary())], names=["lang", "h", "doc_id", "x"])
 
-    found = chosen.select("lang", "h", "doc_id", "text").mapInArrow(run, "lang string, h long, doc_id long, x binary").collect()
-    taken: dict[str, list] = {}
-    for r in sorted(found, key=lambda r: (r["lang"], r["h"], r["doc_id"] or 0, r["x"])):
-        held = taken.setdefault(r["lang"], [])
-        if len(held) < each:
-            held.append(np.frombuffer(r["x"], dtype=np.float16).astype(np.float32))
-    if not taken:
+    # rows that are all alike have one hash, so a share may hold none of them; then all are ranked
+    for chosen in (hashed.where(F.col("h") < share[F.col("lang")]), hashed):
+        found = chosen.select("lang", "h", "doc_id", "text").mapInArrow(run, "lang string, h long, doc_id long, x binary")
+        # the rank's limit is applied in each task before the shuffle too, so rows that share a hash cost no more than others
+        ranked = found.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "x"))).where(F.col("nth") <= each)
+        taken: dict[str, list] = {}
+        for r in ranked.select("lang", "nth", "x").orderBy("lang", "nth").collect():
+            taken.setdefault(r["lang"], []).append(np.frombuffer(r["x"], dtype=np.float16).astype(np.float32))
+        if taken:
+            break
+    else:
         return None
     lang = np.array([k for k, v in taken.items() for _ in v])
     return Model(np.concatenate([np.stack(v) for v in taken.values()]), lang)

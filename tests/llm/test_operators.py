@@ -409,6 +409,16 @@ def test_language(spark):
     assert all(r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got.collect())
 
 
+def test_language_sample_of_rows_without_an_id(spark):
+    words = {"en": "the house and the tree", "de": "das haus und der baum"}
+    rows = spark.range(10_000).selectExpr("cast(null AS long) AS doc_id", "if(id % 2 = 0, 'en', 'de') AS lang", f"concat(if(id % 2 = 0, '{words['en']}', '{words['de']}'), if(id < 9000, '', cast(id AS string))) AS text")
+    model = language.fit(rows, max_sample=100)
+    assert 10 <= model.n_rows <= 100
+    same = rows.where("length(text) < 24").where("lang = 'en'")
+    assert language.fit(same, max_sample=100).n_rows <= 100
+    assert [r["lang_pred"] for r in language.language_id(spark.createDataFrame([(1, words["de"]), (2, words["en"])], DOCS), model).orderBy("doc_id").collect()] == ["de", "en"]
+
+
 # --- urls
 
 
