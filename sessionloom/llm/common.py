@@ -11,15 +11,35 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sessionloom.shared import checkpointed, importable, shared_dir
 
-__all__ = ["checkpointed", "importable", "keyed_text", "release_memory", "shard_count", "shared_dir", "shuffle_partitions", "slices", "stored", "text_bytes"]
+__all__ = ["checkpointed", "importable", "join_to_one", "keyed_text", "release_memory", "shard_count", "shared_dir", "shuffle_partitions", "slices", "stored", "text_bytes"]
 
+#: Rows of one key from which on a join broadcasts what the key meets, and keys that it does so for at most, the heaviest.
+HOT_ROWS = 1_000
+HOT_KEYS = 10_000
 #: Rows that a Python step turns into objects at once.
 SLICE = 256
 
 
+def join_to_one(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """left and right joined by `key`, of which `right` has at most one row a value.
+
+    Rows of `left` with a heavy key stay where they are and meet a broadcast of
+    at most `HOT_KEYS` rows of `right`; the others are shuffled. `left` is read
+    twice more, so it should be a stored table.
+    """
+    heavy = left.groupBy(key).count().where(F.col("count") > HOT_ROWS).orderBy(F.desc("count"), key).limit(HOT_KEYS)
+    keys = [(r[0],) for r in heavy.select(key).collect()]
+    if not keys:
+        return left.join(right, key, how)
+    hot = F.broadcast(left.sparkSession.createDataFrame(keys, T.StructType([left.schema[key]])))
+    met = F.broadcast(right.join(hot, key, "left_semi"))
+    return left.join(hot, key, "left_semi").join(met, key, how).unionByName(left.join(hot, key, "left_anti").join(right, key, how))
+
+
 def stored(df: DataFrame, kind: str) -> DataFrame:
     """`df` as a Parquet table of its own in the shared folder."""
     spark = df.sparkSession

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionloom.llm.common import checkpointed, keyed_text, shuffle_partitions, slices
+from sessionloom.llm.common import checkpointed, join_to_one, keyed_text, shuffle_partitions, slices
 
 BITS = 4
 SHINGLE = 4
@@ -220,7 +220,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of an edge (a, b): the least node that can be reached.
 
     Alternates large-star and small-star steps; each is one aggregation with
-    partial minima and one join, and the edges are checkpointed after both.
+    partial minima and one join, in which nodes of very many edges are not
+    shuffled, and the edges are checkpointed after each.
     """
 
     def mark(e: DataFrame) -> tuple:
@@ -231,11 +232,11 @@ def components(edges: DataFrame) -> DataFrame:
     while before[0]:
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
+        large = join_to_one(both, least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = checkpointed(large.where("a <> b").distinct())
         # now every a is above its b
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(low.select("a", F.col("m").alias("b")))
+        small = join_to_one(large, low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(low.select("a", F.col("m").alias("b")))
         edges = checkpointed(small.where("a <> b").distinct())
         after = mark(edges)
         if after == before:
@@ -257,7 +258,7 @@ def simhash_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     prints = checkpointed(fingerprints(df, id_col, text_col))
     nodes = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     roots = components(_links(nodes.select("fp"), nodes.count()))
-    labelled = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+    labelled = checkpointed(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")))
     least = labelled.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = labelled.join(least, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    named = join_to_one(labelled, least, "root").select("fp", "component_id")
+    return join_to_one(prints, named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
