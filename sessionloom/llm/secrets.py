@@ -1,10 +1,15 @@
 """Secret scans with an incremental blob ledger.
 
 Each version of a document is addressed by the SHA-256 of its text, its blob.
-A ledger table holds, for each blob and rule version scanned so far, the spans
-found. A run scans only pairs of blob and rule version that the ledger lacks,
-one document standing for all that share a blob, appends them, and joins the
-ledger's findings back to every path.
+The ledger is a folder of two tables:
+
+* `paths` (doc_id, version, blob): every content a document has had; a run that
+  finds new ones numbers them with the next version;
+* `findings` (blob, rule_version, spans): each blob scanned so far under a
+  version of the rules, with what was found.
+
+A run scans only pairs of blob and rule version that `findings` lacks, and
+joins findings back to all paths.
 """
 
 from __future__ import annotations
@@ -18,7 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.llm.common import keyed_text, slices
+from sessionloom.llm.common import checkpointed, join_to_one, keyed_text, slices
+
+#: Unseen blobs up to which they are broadcast, so that texts are scanned where they lie.
+BROADCAST_BLOBS = 500_000
+#: Blobs that a task remembers as scanned before it starts anew.
+REMEMBERED = 500_000
 
 
 @dataclass(frozen=True)
@@ -73,53 +83,95 @@ def find(text: str, rules: list[tuple[Rule, re.Pattern]]) -> list[tuple[str, int
 
 
 _SPANS = "array<struct<kind:string,start:long,end:long>>"
-_LEDGER = f"blob string, rule_version string, spans {_SPANS}"
+_FINDINGS = f"blob string, rule_version string, spans {_SPANS}"
+_PATHS = "doc_id long, version int, blob string"
 
 
-def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """The ledger at `path`; empty if there is none yet."""
+def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The table at `path`; empty if there is none yet."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     there = place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
-    return spark.read.schema(_LEDGER).parquet(path) if there else spark.createDataFrame([], _LEDGER)
+    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
+
+
+def read_findings(spark: SparkSession, ledger: str) -> DataFrame:
+    """(blob, rule_version, spans): one row for each pair, however often it was appended."""
+    return _read(spark, f"{ledger}/findings", _FINDINGS).groupBy("blob", "rule_version").agg(F.first("spans").alias("spans"))
+
+
+def read_paths(spark: SparkSession, ledger: str) -> DataFrame:
+    """(doc_id, version, blob): every content that each document has had."""
+    return _read(spark, f"{ledger}/paths", _PATHS).groupBy("doc_id", "blob").agg(F.min("version").alias("version")).select("doc_id", "version", "blob")
 
 
 def _scan(todo: DataFrame, rules: tuple[Rule, ...], version: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled = [(r, r.compiled()) for r in rules]
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+        seen: set[str] = set()
         for batch in slices(batches):
-            found = [[{"kind": k, "start": s, "end": e} for k, s, e in find(t or "", compiled)] for t in batch.column("text").to_pylist()]
-            n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column("blob"), pa.array([version] * n, pa.string()), pa.array(found, kind)], names=["blob", "rule_version", "spans"])
-
-    return todo.select("blob", "text").mapInArrow(run, _LEDGER)
+            blobs, found = [], []
+            for blob, text in zip(batch.column("blob").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                if blob in seen:
+                    continue
+                if len(seen) >= REMEMBERED:
+                    seen.clear()
+                seen.add(blob)
+                blobs.append(blob)
+                found.append([{"kind": k, "start": s, "end": e} for k, s, e in find(text or "", compiled)])
+            yield pa.RecordBatch.from_arrays([pa.array(blobs, pa.string()), pa.array([version] * len(blobs), pa.string()), pa.array(found, kind)], names=["blob", "rule_version", "spans"])
+
+    return todo.select("blob", "text").mapInArrow(run, _FINDINGS)
+
+
+def _unseen(docs: DataFrame, rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Documents that hold all blobs that are not known, moved only if there are very many of them.
+
+    Without known blobs, or with few unseen ones, texts stay in their tasks,
+    and a task scans a blob once. Else one row of each unseen blob is picked by
+    blob and id, which deals copies evenly.
+    """
+    if known.isEmpty():
+        return docs
+    unseen = checkpointed(rows.groupBy("blob").agg(F.min("doc_id").alias("rep")).join(known.select("blob"), "blob", "left_anti"))
+    if unseen.count() <= BROADCAST_BLOBS:
+        return docs.join(F.broadcast(unseen.select("blob")), "blob", "left_semi")
+    unseen = unseen.withColumnRenamed("blob", "rep_blob").hint("shuffle_hash")
+    return docs.join(unseen, (docs["blob"] == unseen["rep_blob"]) & docs["doc_id"].eqNullSafe(unseen["rep"]), "left_semi")
 
 
 def scan_secrets(df: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Brings the ledger at path `ledger` up to date, and returns doc_id, blob and spans of every row.
+    """Brings the ledger in folder `ledger` up to date, and returns doc_id, blob and spans of every row.
 
-    The rows that stand for unseen blobs are found by a semi-join on the
-    document's key: in a later run, when few are unseen, it is broadcast (by
-    size, at run time) and texts are not moved; in a first run texts are
-    shuffled once. A blob that many rows share is reduced to one row by partial
-    aggregation. Findings are few and are joined back by blob.
+    Texts are read twice, to be addressed and to be scanned, and not shuffled
+    unless a later run has over `BROADCAST_BLOBS` unseen blobs. Findings are
+    joined back by blob; a blob that very many rows share stays where its rows
+    are.
 
     A null text counts as an empty one; rows with a null id take part like
     others; repeated rows give repeated results; an empty table leaves the
-    ledger as it was.
+    ledger as it was. A pair that two runs append counts once.
     """
     spark = df.sparkSession
     version = rule_version(rules)
     docs = keyed_text(df, id_col, text_col).selectExpr("cast(doc_id AS long) AS doc_id", "coalesce(text, '') AS text")
     docs = docs.withColumn("blob", F.sha2(F.col("text").cast("binary"), 256))
-    known = read_ledger(spark, ledger).where(F.col("rule_version") == version)
-    unseen = docs.groupBy("blob").agg(F.min("doc_id").alias("rep")).join(known.select("blob"), "blob", "left_anti")
-    unseen = unseen.withColumnRenamed("blob", "rep_blob").hint("shuffle_hash")
-    todo = docs.join(unseen, (docs["blob"] == unseen["rep_blob"]) & docs["doc_id"].eqNullSafe(unseen["rep"]), "left_semi")
-    # exact repeats of a row stand for the same blob
-    _scan(todo, rules, version).groupBy("blob", "rule_version").agg(F.first("spans").alias("spans")).write.mode("append").parquet(ledger)
-    findings = read_ledger(spark, ledger).where((F.col("rule_version") == version) & (F.size("spans") > 0)).select("blob", "spans")
-    return docs.select("doc_id", "blob").join(findings, "blob", "left").select("doc_id", "blob", F.coalesce("spans", F.array().cast(_SPANS)).alias("spans"))
+    rows = checkpointed(docs.select("doc_id", "blob"))
+
+    paths = read_paths(spark, ledger)
+    number = (paths.agg(F.max("version")).first()[0] or 0) + 1
+    pairs = rows.distinct()
+    if number > 1:
+        same = pairs["doc_id"].eqNullSafe(paths["doc_id"]) & (pairs["blob"] == paths["blob"])
+        pairs = pairs.join(paths, same, "left_anti")
+    pairs.select("doc_id", F.lit(number).alias("version"), "blob").write.mode("append").parquet(f"{ledger}/paths")
+
+    known = _read(spark, f"{ledger}/findings", _FINDINGS).where(F.col("rule_version") == version)
+    found = _scan(_unseen(docs, rows, known), rules, version)
+    found.groupBy("blob", "rule_version").agg(F.first("spans").alias("spans")).write.mode("append").parquet(f"{ledger}/findings")
+
+    findings = read_findings(spark, ledger).where((F.col("rule_version") == version) & (F.size("spans") > 0)).select("blob", "spans")
+    return join_to_one(rows, findings, "blob", "left").select("doc_id", "blob", F.coalesce("spans", F.array().cast(_SPANS)).alias("spans"))
 
 
 def digest(scanned: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sessionloom.llm import bpe, decontam, language, quality, repeats, secrets, simhash, url_rules, wrappers
+from sessionloom.llm import bpe, common, decontam, language, quality, repeats, secrets, simhash, url_rules, wrappers
 
 DOCS = "doc_id long, text string"
 rng = random.Random(11)
@@ -195,9 +195,10 @@ def near_rows():
     return rows + [(5, None), (None, ""), (None, "q r s t u"), (None, "q r s t u"), (7, "ONE two"), (8, "one\tTWO"), (8, "one TWO")]
 
 
-@pytest.mark.parametrize("group", [4096, 10])
-def test_simhash(spark, monkeypatch, group):
+@pytest.mark.parametrize(("group", "hot"), [(4096, 1000), (10, 1)])
+def test_simhash(spark, monkeypatch, group, hot):
     monkeypatch.setattr(simhash, "GROUP", group)
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
     rows = near_rows()
     got = simhash.simhash_dedup(frame(spark, rows)).collect()
     assert by_id(got) == by_id(brute_components(rows))
@@ -301,17 +302,33 @@ def secret_rows():
     return rows + [(900, None), (901, ""), (None, None), (902, "token=abcdefgh"), (903, "token=abcdefgh"), (904, "f" * 100_000)]
 
 
-def test_secrets_and_their_ledger(spark, tmp_path):
+@pytest.mark.parametrize(("few", "hot"), [(500_000, 1000), (0, 2)])
+def test_secrets_and_their_ledger(spark, tmp_path, monkeypatch, few, hot):
+    monkeypatch.setattr(secrets, "BROADCAST_BLOBS", few)
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
     rows, ledger = secret_rows(), str(tmp_path / "ledger")
+    blobs = {sha((t or "").encode()) for _, t in rows}
     df = frame(spark, rows)
     for _ in range(2):
         got = secrets.digest(secrets.scan_secrets(df, ledger)).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256").collect()
         assert by_id(got) == by_id(brute_secrets(rows))
-        # a blob is scanned once, however many rows share it and however often it comes
-        assert spark.read.parquet(ledger).count() == len({t or "" for _, t in rows})
+        # a second run scans nothing
+        assert sorted(r["blob"] for r in spark.read.parquet(f"{ledger}/findings").collect()) == sorted(blobs)
+    # a later version of some documents: only its blobs are scanned
+    later = [(i, (t or "") + " token=abcdefgh" if i == 7 else t) for i, t in rows]
+    got = secrets.digest(secrets.scan_secrets(frame(spark, later), ledger)).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256").collect()
+    assert by_id(got) == by_id(brute_secrets(later))
+    new = {sha((t or "").encode()) for _, t in later} - blobs
+    assert spark.read.parquet(f"{ledger}/findings").count() == len(blobs) + len(new)
+    paths = secrets.read_paths(spark, ledger).collect()
+    assert {(r["doc_id"], r["blob"]) for r in paths} == {(i, sha((t or "").encode())) for i, t in rows + later}
+    assert {r["doc_id"] for r in paths if r["version"] == 2} == {7}
     other = secrets.RULES[:1]
     secrets.scan_secrets(df.limit(5), ledger, other).count()
-    assert spark.read.parquet(ledger).where(F.col("rule_version") == secrets.rule_version(other)).count() <= 5
+    assert secrets.read_findings(spark, ledger).where(F.col("rule_version") == secrets.rule_version(other)).count() <= 5
+    # what is appended twice counts once
+    spark.read.parquet(f"{ledger}/findings").coalesce(1).write.mode("append").parquet(f"{ledger}/findings")
+    assert secrets.scan_secrets(df, ledger).count() == len(rows)
 
 
 def test_added_rules_and_redaction(spark, tmp_path):
