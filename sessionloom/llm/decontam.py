@@ -1,36 +1,45 @@
 """Benchmark decontamination by a distributed positional inverted index.
 
-The documents are indexed in shards of their own: each shard, a slice of a
-scan, keeps for every test term the ascending list of its positions. The index
-is a stored table, one row per shard. A query takes each window of ten test
-words, starts from the list of its rarest term in the shard, shifts it to the
-window's start and intersects it with the shifted lists of the next rarer
-terms: what is left are exact phrases. Where only some terms are at their
-place, a proximity match is sought: every term within `slop` words of it.
-
-The test table goes to all shards in blocks of a fixed size, each broadcast.
-However many blocks there are, they are a stated query set run over all rows.
+The documents are indexed in shards: each shard, a slice of a scan, keeps for
+every term the ascending list of its positions. The index is a stored table,
+one row per shard, that any test table can be searched in without reading the
+documents again. A search takes each window of ten test words, starts from the
+list of its rarest term in the shard, shifts it to the window's start and
+intersects it with the shifted lists of the next rarer terms: what is left are
+exact phrases. Where terms are near their places, a proximity match is sought:
+a start for which every term is within `slop` words of its place.
+
+The test table becomes blocks of windows on the cluster. Blocks go to the
+shards in broadcasts of a bounded size, and a shard is searched for all blocks
+of a broadcast in one reading of the index: a stated query set run over all rows.
 """
 
 from __future__ import annotations
 
-import hashlib
+import math
+import pickle
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionloom.llm.common import keyed_text, release_memory, stored
+from sessionloom.llm.common import keyed_text, release_memory, stored, text_bytes
+from sessionloom.llm.rolling import merged
 
 WINDOW = 10
-#: Bytes of test text in a broadcast block.
-BLOCK_BYTES = 4 << 20
+#: Bytes of test text in a block, about, and of blocks in a broadcast (one block at least).
+BLOCK_BYTES = 1 << 20
+BROADCAST_BYTES = 64 << 20
 #: Bytes of text in an index shard.
 SHARD_BYTES = 4 << 20
 #: Candidates that are intersected at once.
 CANDIDATES = 1 << 18
+#: Positions between documents of a shard, so that no window and no neighbourhood reaches from one into another.
+GAP = 4 * WINDOW
 
 #: Lower-cases A-Z and turns every other byte under 0x80 that is no letter or digit into a space.
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
@@ -46,253 +55,265 @@ class TestSet:
     __test__ = False
 
     def __init__(self, items: list[tuple[object, list[bytes]]], window: int = WINDOW):
-        self.terms: dict[bytes, int] = {}
-        rows: dict[tuple, list] = {}
+        terms: dict[bytes, int] = {}
+        rows: dict[tuple, set[str]] = {}
         for item, found in items:
-            ids = [self.terms.setdefault(w, len(self.terms)) for w in found]
+            ids = [terms.setdefault(w, len(terms)) for w in found]
             spans = [ids[i : i + window] for i in range(len(ids) - window + 1)] if len(ids) >= window else [ids] * bool(ids)
             for s in spans:
-                rows.setdefault(tuple(s), set()).update([item] if item is not None else [])
-        self.items = [sorted(v, key=str) for v in rows.values()]
+                rows.setdefault(tuple(s), set()).update([str(item)] if item is not None else [])
+        self.terms = pa.array(list(terms), pa.binary())
+        self.items = [sorted(v) for v in rows.values()]
         self.length = np.array([len(r) for r in rows], dtype=np.int64)
-        self.term = np.full((len(rows), window), -1, dtype=np.int64)
+        self.term = np.full((len(rows), window), -1, dtype=np.int32)
         for i, r in enumerate(rows):
             self.term[i, : len(r)] = r
 
 
-def index_rows(ids: list, texts: list, terms: dict[bytes, int]) -> tuple:
-    """A shard of the index: ids, words in each document, and postings by term.
+# --- the index
 
-    Positions count through the shard; a gap after each document keeps windows
-    and neighbourhoods inside it.
+_INDEX = "shard long, ids binary, lengths binary, terms binary, counts binary, positions binary"
+
+
+def _ipc(array: pa.Array) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, pa.schema([("x", array.type)])) as out:
+        out.write_batch(pa.RecordBatch.from_arrays([array], names=["x"]))
+    return sink.getvalue().to_pybytes()
+
+
+def _of_ipc(data: bytes) -> pa.Array:
+    return pa.ipc.open_stream(data).read_all().column("x").combine_chunks()
+
+
+def index_row(ids: list, texts: list) -> tuple:
+    """A shard of the index: ids, words in each document, terms, and the postings of each term.
+
+    Positions count through the shard, with a gap after each document.
+    """
+    found = [words(t) for t in texts]
+    lengths = np.array([len(w) for w in found], dtype=np.int64)
+    coded = pa.array([w for f in found for w in f], pa.binary()).dictionary_encode()
+    del found
+    starts = np.cumsum(lengths + GAP) - (lengths + GAP)
+    code = coded.indices.to_numpy()
+    position = np.arange(len(code)) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
+    order = np.argsort(code, kind="stable")
+    count = np.bincount(code, minlength=len(coded.dictionary))
+    return _ipc(pa.array(ids, pa.int64())), lengths.tobytes(), _ipc(coded.dictionary), count.astype(np.int32).tobytes(), position[order].astype(np.int32).tobytes()
+
+
+def build_index(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The stored index: one row per shard of at most `SHARD_BYTES` of text (one document at least).
+
+    It keeps postings of all terms, so it serves every test table; the scan is
+    not shuffled.
     """
-    numbers, lengths, starts, at = [], [], [], 0
-    for text in texts:
-        w = words(text)
-        lengths.append(len(w))
-        starts.append(at)
-        numbers.append(np.fromiter((terms.get(x, -1) for x in w), dtype=np.int32, count=len(w)))
-        at += len(w) + 2 * WINDOW
-    position = np.concatenate([np.flatnonzero(n >= 0) + s for n, s in zip(numbers, starts, strict=True)]) if numbers else np.empty(0, np.int64)
-    term = np.concatenate([n[n >= 0] for n in numbers]) if numbers else np.empty(0, np.int32)
-    order = np.argsort(term, kind="stable")
-    count = np.bincount(term, minlength=len(terms))
-    return ids, lengths, count.astype(np.int32), position[order].astype(np.int32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, texts, size, first = [], [], 0, None
+
+        def row() -> pa.RecordBatch:
+            cells = index_row(ids, texts)
+            return pa.RecordBatch.from_arrays([pa.array([first], pa.int64()), *(pa.array([c], pa.binary()) for c in cells)], names=["shard", "ids", "lengths", "terms", "counts", "positions"])
+
+        for batch in batches:
+            for at in range(batch.num_rows):
+                text = batch.column("text")[at].as_py() or ""
+                if ids and size + len(text) > SHARD_BYTES:
+                    yield row()
+                    ids, texts, size = [], [], 0
+                if not ids:
+                    first = batch.column("row")[at].as_py()
+                ids.append(batch.column("doc_id")[at].as_py())
+                texts.append(text)
+                size += len(text)
+        if ids:
+            yield row()
+        ids, texts = [], []
+        release_memory()
+
+    docs = keyed_text(df, id_col, text_col).select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return stored(docs.mapInArrow(run, _INDEX), "index")
 
 
 class Shard:
     """Postings of one index row."""
 
-    def __init__(self, lengths: np.ndarray, count: np.ndarray, position: np.ndarray):
-        self.starts = np.cumsum(lengths + 2 * WINDOW) - (lengths + 2 * WINDOW)
-        self.lengths = lengths
-        self.count, self.position = count.astype(np.int64), position.astype(np.int64)
+    def __init__(self, lengths: np.ndarray, terms: pa.Array, count: np.ndarray, position: np.ndarray):
+        self.starts = np.cumsum(lengths + GAP) - (lengths + GAP)
+        self.terms, self.count, self.position = terms, count.astype(np.int64), position.astype(np.int64)
         self.begin = np.cumsum(self.count) - self.count
-        self.width = int((lengths + 2 * WINDOW).sum()) + 2 * WINDOW + 1
+        self.width = int((lengths + GAP).sum()) + GAP
         # all lists as one ascending list: term by term
         self.all = np.repeat(np.arange(len(count)), self.count) * self.width + self.position
 
-    def holds(self, term: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    def _holds(self, term: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """Is there a posting of the term in [low, high]?"""
-        if not len(self.all):
-            return np.zeros(len(term), dtype=bool)
         key = term * self.width
         at = np.searchsorted(self.all, key + np.maximum(low, 0))
-        return (at < len(self.all)) & (self.all[np.minimum(at, len(self.all) - 1)] <= key + np.minimum(high, self.width - 1)) & (high >= 0)
+        return (at < len(self.all)) & (self.all[np.minimum(at, len(self.all) - 1)] <= key + high) & (high >= 0)
 
     def search(self, tests: TestSet, slop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Exact (window, start) pairs and proximity (window, start) pairs."""
+        """Exact (window, start) pairs, and proximity (window, a position in the document) pairs."""
         none = np.empty(0, dtype=np.int64)
+        if not len(self.all) or not len(tests.term):
+            return none, none, none, none
+        local = pc.fill_null(pc.index_in(tests.terms, value_set=self.terms), -1).to_numpy(zero_copy_only=False).astype(np.int64)
         used = tests.term >= 0
-        freq = np.where(used, self.count[np.maximum(tests.term, 0)], np.iinfo(np.int64).max)
-        live = np.flatnonzero((freq.min(axis=1) > 0) & used.any(axis=1)) if len(freq) else none
+        term = np.where(used, local[tests.term], -1)
+        live = np.flatnonzero(((term >= 0) == used).all(axis=1))
         if not len(live):
             return none, none, none, none
-        rank = np.argsort(freq[live], axis=1, kind="stable")  # rarest first
-        n = freq[live, :][np.arange(len(live)), rank[:, 0]]
+        term, used = term[live], used[live]
+        freq = np.where(used, self.count[term], np.iinfo(np.int64).max)
+        rank = np.argsort(freq, axis=1, kind="stable")  # rarest first
+        term = np.take_along_axis(term, rank, axis=1)
+        n = np.take_along_axis(freq, rank[:, :1], axis=1)[:, 0]
         exact, near = [], []
         edge = np.append(0, np.flatnonzero(np.diff(np.cumsum(n) // CANDIDATES)) + 1)
         for x, y in zip(edge, np.append(edge[1:], len(live)), strict=True):
             w = np.repeat(np.arange(x, y), n[x:y])
-            first = tests.term[live[w], rank[w, 0]]
             inside = np.arange(len(w)) - np.repeat(np.cumsum(n[x:y]) - n[x:y], n[x:y])
-            start = self.position[self.begin[first] + inside] - rank[w, 0]
-            w, start, loose = self._intersect(tests, live, rank, w, start, slop)
-            exact.append((live[w[~loose]], start[~loose]))
-            near.append((live[w[loose]], start[loose]))
+            place = self.position[self.begin[term[w, 0]] + inside]
+            w, place, loose = self._intersect(term, rank, w, place, slop)
+            exact.append((live[w[~loose]], (place - rank[w, 0])[~loose]))
+            w, place = w[loose], place[loose]
+            ok = np.zeros(len(w), dtype=bool)
+            for shift in range(-slop, slop + 1):
+                ok |= self._all_near(term, rank, w, place - rank[w, 0] + shift, slop)
+            near.append((live[w[ok]], place[ok]))
         return tuple(np.concatenate([p[i] for p in part]) for part in (exact, near) for i in (0, 1))
 
-    def _intersect(self, tests: TestSet, live: np.ndarray, rank: np.ndarray, w: np.ndarray, start: np.ndarray, slop: int) -> tuple:
+    def _intersect(self, term: np.ndarray, rank: np.ndarray, w: np.ndarray, place: np.ndarray, slop: int) -> tuple:
+        """Candidates whose terms all stand at their places, or (loose) so near that a start within `slop` may have them near."""
         loose = np.zeros(len(w), dtype=bool)
-        for k in range(1, tests.term.shape[1]):
+        for k in range(1, term.shape[1]):
             if not len(w):
                 break
-            offset = rank[w, k]
-            term = tests.term[live[w], offset]
-            at = start + offset
-            ok = term < 0
+            of = term[w, k]
+            at = place - rank[w, 0] + rank[w, k]
+            ok = of < 0
             real = np.flatnonzero(~ok)
-            ok[real] = self.holds(term[real], at[real], at[real])
+            ok[real] = self._holds(of[real], at[real], at[real])
             miss = np.flatnonzero(~ok)
-            close = self.holds(term[miss], at[miss] - slop, at[miss] + slop)
             loose[miss] = True
-            ok[miss] = close
-            w, start, loose = w[ok], start[ok], loose[ok]
-        return w, start, loose
+            ok[miss] = self._holds(of[miss], at[miss] - 2 * slop, at[miss] + 2 * slop)
+            w, place, loose = w[ok], place[ok], loose[ok]
+        return w, place, loose
 
+    def _all_near(self, term: np.ndarray, rank: np.ndarray, w: np.ndarray, start: np.ndarray, slop: int) -> np.ndarray:
+        out = np.ones(len(w), dtype=bool)
+        for k in range(term.shape[1]):
+            i = np.flatnonzero(out & (term[w, k] >= 0))
+            at = start[i] + rank[w[i], k]
+            out[i] = self._holds(term[w[i], k], at - slop, at + slop)
+        return out
 
-_INDEX = "ids binary, lengths binary, counts binary, positions binary"
 
+# --- the search
 
-def build_index(df: DataFrame, tests: TestSet, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The stored index: one row per shard of at most `SHARD_BYTES` of text (one document at least).
 
-    It keeps postings of the test terms; the scan is not shuffled.
-    """
-    shared = df.sparkSession.sparkContext.broadcast(tests.terms)
+def test_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> DataFrame:
+    """(block, size, tests): the test table's windows in blocks of about `block_bytes` of text, a stored table."""
+    rows = keyed_text(benchmark, item_col, text_col)
+    blocks = max(1, math.ceil(text_bytes(rows, "text") / block_bytes))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = shared.value
-        ids, texts, size = [], [], 0
+    def run(table: pa.Table) -> pa.Table:
+        items = zip(table.column("doc_id").to_pylist(), map(words, table.column("text").to_pylist()), strict=True)
+        data = pickle.dumps(TestSet([i for i in items if i[1]]))
+        return pa.table({"block": table.column("block").slice(0, 1), "size": pa.array([len(data)], pa.int64()), "tests": pa.array([data], pa.binary())})
 
-        def row() -> pa.RecordBatch:
-            shard, lengths, count, position = index_rows(ids, texts, terms)
-            held = pa.array(shard, pa.int64())
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, pa.schema([("id", pa.int64())])) as out:
-                out.write_batch(pa.RecordBatch.from_arrays([held], names=["id"]))
-            cells = [sink.getvalue().to_pybytes(), np.array(lengths, dtype=np.int64).tobytes(), count.tobytes(), position.tobytes()]
-            return pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in cells], names=["ids", "lengths", "counts", "positions"])
-
-        for batch in batches:
-            for at in range(batch.num_rows):
-                text = batch.column("text")[at].as_py() or ""
-                if ids and size + len(text) > SHARD_BYTES:
-                    yield row()
-                    ids, texts, size = [], [], 0
-                ids.append(batch.column("doc_id")[at].as_py())
-                texts.append(text)
-                size += len(text)
-        if ids:
-            yield row()
-        ids, texts = [], []
-        release_memory()
+    dealt = rows.where("text IS NOT NULL").select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"), "doc_id", "text")
+    return stored(dealt.groupBy("block").applyInArrow(run, "block int, size long, tests binary"), "tests")
 
-    docs = keyed_text(df, id_col, text_col).selectExpr("cast(doc_id AS long) AS doc_id", "text")
-    return stored(docs.mapInArrow(run, _INDEX), "index")
 
+test_blocks.__test__ = False
 
-_FOUND = "doc_id long, n_words long, hits array<struct<start:long,end:long>>, items array<string>, near_items array<string>"
+_HIT = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+_FOUND = "shard long, nth long, doc_id long, n_words long, hits array<struct<start:long,end:long>>, items array<string>, near_items array<string>"
 
 
-def search_index(index: DataFrame, tests: TestSet, slop: int) -> DataFrame:
-    """For each document: n_words, hit ranges in words, items with exact windows, items with only proximity matches."""
-    shared = index.sparkSession.sparkContext.broadcast(tests)
+def _search(index: DataFrame, blocks: list[bytes], slop: int) -> DataFrame:
+    shared = index.sparkSession.sparkContext.broadcast(blocks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tests = shared.value
+        held = [pickle.loads(b) for b in shared.value]
         for batch in batches:
-            # one shard at a time
-            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
-                yield _answer(row, tests, slop)
+            for i in range(batch.num_rows):  # one shard at a time
+                yield _answer(batch.slice(i, 1).to_pylist()[0], held, slop)
         release_memory()
 
     return index.mapInArrow(run, _FOUND)
 
 
-def _answer(row: dict, tests: TestSet, slop: int) -> pa.RecordBatch:
-    ids = pa.ipc.open_stream(row["ids"]).read_all().column("id")
+def _answer(row: dict, blocks: list[TestSet], slop: int) -> pa.RecordBatch:
+    ids = _of_ipc(row["ids"])
     lengths = np.frombuffer(row["lengths"], dtype=np.int64)
-    shard = Shard(lengths, np.frombuffer(row["counts"], dtype=np.int32), np.frombuffer(row["positions"], dtype=np.int32))
-    w, s, near_w, near_s = shard.search(tests, slop)
+    shard = Shard(lengths, _of_ipc(row["terms"]), np.frombuffer(row["counts"], dtype=np.int32), np.frombuffer(row["positions"], dtype=np.int32))
     hits: list[list] = [[] for _ in lengths]
     items: list[set] = [set() for _ in lengths]
     near: list[set] = [set() for _ in lengths]
-    doc = np.searchsorted(shard.starts, s, side="right") - 1
-    order = np.lexsort((s, doc))
-    for i in order.tolist():
-        d, window = int(doc[i]), int(w[i])
-        x = int(s[i] - shard.starts[d])
-        y = x + int(tests.length[window])
-        if hits[d] and hits[d][-1]["end"] >= x:
-            hits[d][-1]["end"] = max(y, hits[d][-1]["end"])
-        else:
-            hits[d].append({"start": x, "end": y})
-        items[d].update(map(str, tests.items[window]))
-    near_doc = np.searchsorted(shard.starts, np.maximum(near_s, 0), side="right") - 1
-    for d, window in set(zip(near_doc.tolist(), near_w.tolist(), strict=True)):
-        near[d].update(map(str, tests.items[window]))
-    hit_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    starts, ends = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
+
+    def note(to: list[set], tests: TestSet, window: np.ndarray, place: np.ndarray) -> None:
+        doc = np.searchsorted(shard.starts, place, side="right") - 1
+        for d, w in set(zip(doc.tolist(), window.tolist(), strict=True)):
+            to[d].update(tests.items[w])
+
+    for tests in blocks:
+        w, s, near_w, near_place = shard.search(tests, slop)
+        starts.append(s)
+        ends.append(s + tests.length[w])
+        note(items, tests, w, s)
+        note(near, tests, near_w, near_place)
+    start, end = merged(np.concatenate(starts), np.concatenate(ends))
+    doc = np.searchsorted(shard.starts, start, side="right") - 1
+    for d, x, y in zip(doc.tolist(), (start - shard.starts[doc]).tolist(), (end - shard.starts[doc]).tolist(), strict=True):
+        hits[d].append({"start": x, "end": y})
     columns = [
-        pa.array(ids.to_pylist(), pa.int64()),
+        pa.array([row["shard"]] * len(ids), pa.int64()),
+        pa.array(range(len(ids)), pa.int64()),
+        ids,
         pa.array(lengths, pa.int64()),
-        pa.array(hits, hit_type),
+        pa.array(hits, _HIT),
         pa.array([sorted(x) for x in items], pa.list_(pa.string())),
         pa.array([sorted(n - x) for n, x in zip(near, items, strict=True)], pa.list_(pa.string())),
     ]
-    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "hits", "items", "near_items"])
-
-
-def test_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[TestSet]:
-    """The test table in blocks of about `block_bytes`, read partition by partition."""
-    held, size = [], 0
-    rows = benchmark.select(F.col(item_col).alias("item"), F.col(text_col).alias("text")).toLocalIterator()
-    for row in rows:
-        found = words(row["text"])
-        if not found:
-            continue
-        if held and size + len(row["text"]) > block_bytes:
-            yield TestSet(held)
-            held, size = [], 0
-        held.append((row["item"], found))
-        size += len(row["text"])
-    if held:
-        yield TestSet(held)
+    return pa.RecordBatch.from_arrays(columns, names=[f.split(" ")[0] for f in _FOUND.split(", ")])
 
 
-test_blocks.__test__ = False
-
-
-def decontaminate(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", slop: int = 2, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """What of each document occurs in the test table.
-
-    Words are runs of letters, digits and characters beyond ASCII, A-Z
-    lower-cased. A window is ten consecutive words of an item, or the whole of
-    a shorter item. Returns doc_id, n_words, hits (disjoint ranges of hit
-    words), n_hit, items (with exact windows; as strings, sorted), near_items
-    (with proximity matches only), n_items, items_sha256, contaminated.
+def search_index(index: DataFrame, benchmark: DataFrame, item_col: str = "item_id", item_text_col: str = "text", slop: int = 2, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """For each indexed document what `decontaminate` returns; the documents are not read.
 
-    A null or empty text has no words; items without words are passed
-    over, and items with a null id make hits but are not listed; an empty test table leaves every document clean; repeated
-    document rows give a result each.
+    Blocks that fit in one broadcast need one pass over the index. With more,
+    each pass is stored and the driver holds one broadcast at a time.
     """
-    parts = [search_index(build_index(df, tests, id_col, text_col), tests, slop) for tests in test_blocks(benchmark, item_col, item_text_col, block_bytes)]
-    if not parts:
-        parts = [search_index(build_index(df, TestSet([]), id_col, text_col), TestSet([]), slop)]
-    out = parts[0]
-    if len(parts) > 1:
-        out = _united(parts)
+    blocks = test_blocks(benchmark, item_col, item_text_col, block_bytes)
+    groups: list[list[int]] = [[]]
+    held = 0
+    for r in blocks.select("block", "size").orderBy("block").collect():
+        if groups[-1] and held + r["size"] > BROADCAST_BYTES:
+            groups.append([])
+            held = 0
+        groups[-1].append(r["block"])
+        held += r["size"]
+
+    def passed(group: list[int]) -> DataFrame:
+        rows = blocks.where(F.col("block").isin(group)).select("block", "tests").orderBy("block").collect() if group else []
+        return _search(index, [bytes(r["tests"]) for r in rows], slop)
+
+    out = passed(groups[0]) if len(groups) == 1 else _united([stored(passed(g), "pass") for g in groups])
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda n, h: n + h["end"] - h["start"])
-    out = out.withColumn("n_hit", n_hit).withColumn("n_items", F.size("items").cast("long"))
-    out = out.withColumn("items_sha256", F.sha2(F.array_join("items", ",").cast("binary"), 256)).withColumn("contaminated", F.col("n_hit") > 0)
-    return out
-
+    out = out.select("doc_id", "n_words", "hits", n_hit.alias("n_hit"), "items", "near_items", F.size("items").cast("long").alias("n_items"))
+    return out.withColumn("items_sha256", F.sha2(F.array_join("items", ",").cast("binary"), 256)).withColumn("contaminated", F.col("n_hit") > 0)
 
-def _united(parts: list[DataFrame]) -> DataFrame:
-    """One row per document from the rows of several blocks.
 
-    A document's rows are told apart by their number among rows of the same id
-    in the same block, so a repeated id keeps as many rows as it had.
-    """
-    from functools import reduce
-
-    from pyspark.sql import Window
-
-    numbered = []
-    for i, part in enumerate(parts):
-        same = Window.partitionBy("doc_id").orderBy("n_words")
-        numbered.append(part.withColumn("nth", F.row_number().over(same)).withColumn("block", F.lit(i)))
-    rows = reduce(DataFrame.unionAll, numbered).groupBy("doc_id", "n_words", "nth").agg(
+def _united(passes: list[DataFrame]) -> DataFrame:
+    """One row per document from several passes; a document is known by its place in the index."""
+    rows = reduce(DataFrame.unionAll, passes).groupBy("shard", "nth").agg(
+        F.first("doc_id").alias("doc_id"),
+        F.first("n_words").alias("n_words"),
         F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
         F.array_distinct(F.flatten(F.collect_list("near_items"))).alias("near_items"),
@@ -303,3 +324,20 @@ def _united(parts: list[DataFrame]) -> DataFrame:
         lambda acc, h: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= h["start"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], h["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(h))),
     )
     return rows.select("doc_id", "n_words", union.alias("hits"), "items", F.array_sort(F.array_except("near_items", "items")).alias("near_items"))
+
+
+def decontaminate(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", slop: int = 2, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """What of each document occurs in the test table: `build_index`, then `search_index`.
+
+    Words are runs of letters, digits and characters beyond ASCII, A-Z
+    lower-cased. A window is ten consecutive words of an item, or the whole of
+    a shorter item. Returns doc_id, n_words, hits (disjoint ranges of hit
+    words), n_hit, items (with exact windows; as strings, sorted), near_items
+    (with proximity matches only), n_items, items_sha256, contaminated.
+
+    A null or empty text has no words; items without words are passed over, and
+    items with a null id make hits but are not listed; an empty test table
+    leaves every document clean; repeated document rows give a result each; an
+    empty table gives an empty result.
+    """
+    return search_index(build_index(df, id_col, text_col), benchmark, item_col, item_text_col, slop, block_bytes)

@@ -261,10 +261,31 @@ def brute_hits(docs, items):
     return out
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 60])
-def test_decontaminate(spark, block_bytes):
+def brute_near(docs, items, slop=2):
+    out = []
+    for doc, text in docs:
+        w = decontam.words(text)
+        at = collections.defaultdict(set)
+        for p, x in enumerate(w):
+            at[x].add(p)
+        near, exact = set(), set()
+        for item, t in items:
+            v = decontam.words(t)
+            for s in [v[i : i + 10] for i in range(len(v) - 9)] if len(v) >= 10 else [v] if v else []:
+                if any(w[p : p + len(s)] == s for p in range(len(w) - len(s) + 1)):
+                    exact.add(item)
+                if any(all(any(q in at[x] for q in range(p + k - slop, p + k + slop + 1)) for k, x in enumerate(s)) for p in range(-slop, len(w))):
+                    near.add(item)
+        out.append((doc, sorted(map(str, near - exact - {None}))))
+    return out
+
+
+@pytest.mark.parametrize(("block_bytes", "broadcast_bytes"), [(1 << 20, 1 << 20), (60, 1 << 20), (60, 1500)])
+def test_decontaminate(spark, monkeypatch, block_bytes, broadcast_bytes):
+    monkeypatch.setattr(decontam, "BROADCAST_BYTES", broadcast_bytes)
     some = ["a", "b", "C", "é", "--", "ß1"]
     docs = [(i, " ".join(rng.choice(some) for _ in range(rng.randrange(50)))) for i in range(150)] + [(3, "a b " * 6), (None, None), (7, ""), (8, "a b " * 4000)]
+    docs += [(None, "a b c x y"), (None, "b c a x y"), (None, "x y a b c")]  # one id, equally many words
     items = [(i, " ".join(rng.choice(some) for _ in range(rng.choice([0, 3, 8, 11, 14])))) for i in range(25)] + [(None, "a b"), (90, None), (91, "a b c")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = decontam.decontaminate(frame(spark, docs), bench, block_bytes=block_bytes)
@@ -274,8 +295,21 @@ def test_decontaminate(spark, block_bytes):
 def test_proximity(spark):
     bench = spark.createDataFrame([(1, "one two three four five six seven eight nine ten")], "item_id long, text string")
     docs = [(1, "one two three four x five six seven eight nine ten"), (2, "ten nine eight seven six five four three two one"), (3, "ONE two, three four five six seven eight nine TEN!")]
-    got = {r["doc_id"]: (r["items"], r["near_items"]) for r in decontam.decontaminate(frame(spark, docs), bench).collect()}
+    index = decontam.build_index(frame(spark, docs))
+    got = {r["doc_id"]: (r["items"], r["near_items"]) for r in decontam.search_index(index, bench).collect()}
     assert got == {1: ([], ["1"]), 2: ([], []), 3: (["1"], [])}
+    # the same index serves another test table
+    other = spark.createDataFrame([(5, "four x five"), (6, "not there")], "item_id long, text string")
+    assert {r["doc_id"]: r["items"] for r in decontam.search_index(index, other).collect()} == {1: ["5"], 2: [], 3: []}
+
+
+def test_proximity_against_brute_force(spark):
+    some = [f"w{i}" for i in range(14)]
+    docs = [(i, " ".join(rng.sample(some, rng.randrange(1, 14)))) for i in range(120)]
+    items = [(i, " ".join(rng.sample(some, rng.choice([2, 4, 11, 13])))) for i in range(30)]
+    got = decontam.decontaminate(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string"))
+    expected = brute_near(docs, items)
+    assert by_id(got.selectExpr("doc_id", "near_items").collect()) == by_id(expected) and sum(len(x) for _, x in expected) > 50
 
 
 # --- secrets
