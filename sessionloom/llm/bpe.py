@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from sessionloom.llm.common import keyed_text, release_memory, slices
 
 #: Segments whose ids a worker remembers before it starts anew; it forgets them after each partition.
-CACHE = 150_000
+CACHE = 400_000
 
 #: Unicode's White_Space, which \s stands for in rank-file tokenizers.
 WHITE_SPACE = "".join(map(chr, (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
@@ -96,26 +96,46 @@ class Codec:
         self._local = pattern == SUPPORTED
         self._known: dict[str, bytes] = {}
 
-    def _pretoken(self, token: str) -> list[int]:
-        raw = token.encode()
-        rank = self._ranks.get(raw)
-        return [rank] if rank is not None else self._model.encode(raw.decode("latin-1").translate(self._map))
-
-    def _segment(self, segment: str) -> bytes:
-        ids: list[int] = []
-        for token in self._split(segment):
-            ids += self._pretoken(token)
-        out = struct.pack(f"<{len(ids)}I", *ids)
-        if len(self._known) >= CACHE:
+    def _pretokens(self, segment: str) -> list[str]:
+        """The matches of the pattern in a segment; letters alone, with or without a space before them, are one."""
+        if self._local and (segment.isalpha() or (segment[0] == " " and segment[1:].isalpha())):
+            return [segment]
+        return self._split(segment)
+
+    def _encode_pretokens(self, tokens: set[str]) -> dict[str, bytes]:
+        """Packed ids of each pre-token; those that are no token of the rank file go to the model in one call."""
+        ids, hard, pieces = {}, [], []
+        ranks, chars = self._ranks, self._map
+        for token in tokens:
+            raw = token.encode()
+            rank = ranks.get(raw)
+            if rank is not None:
+                ids[token] = rank.to_bytes(4, "little")
+            else:
+                hard.append(token)
+                pieces.append(raw.decode("latin-1").translate(chars))
+        for token, found in zip(hard, self._model.encode(pieces, num_threads=1), strict=True):
+            ids[token] = struct.pack(f"<{len(found)}I", *found)
+        return ids
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """For each text its ids as little-endian unsigned 32-bit integers."""
+        parts = [self._segments(t) if self._local else [t] * bool(t) for t in texts]
+        distinct = set().union(*parts)
+        new = {s for s in distinct if s not in self._known}
+        if len(self._known) + len(new) > CACHE:
             self._known.clear()
-        self._known[segment] = out
-        return out
+            new = distinct
+        split = {s: self._pretokens(s) for s in new}
+        ids = self._encode_pretokens(set().union(*split.values()))
+        known = self._known
+        for segment, tokens in split.items():
+            known[segment] = ids[tokens[0]] if len(tokens) == 1 else b"".join([ids[t] for t in tokens])
+        return [b"".join(map(known.__getitem__, p)) for p in parts]
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        known = self._known
-        parts = self._segments(text) if self._local else [text]
-        return b"".join([known.get(s) or self._segment(s) for s in parts])
+        return self.encode_all([text])[0]
 
     def forget(self) -> None:
         self._known = {}
@@ -153,8 +173,7 @@ def byte_bpe(df: DataFrame, ranks_path: str, pattern: str = SUPPORTED, id_col: s
         codec = _codec(*shared.value, pattern)
         for batch in slices(batches):
             n, ids_digest, text_digest, ids = [], [], [], []
-            for text in batch.column("text").to_pylist():
-                encoded = codec.encode(text or "")
+            for encoded in codec.encode_all([t or "" for t in batch.column("text").to_pylist()]):
                 n.append(len(encoded) // 4)
                 ids_digest.append(hashlib.sha256(encoded).hexdigest())
                 text_digest.append(hashlib.sha256(codec.decode(encoded)).hexdigest())
