@@ -5,7 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import math
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -13,13 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sessionloom.shared import checkpointed, importable, shared_dir
+from sessionloom.shared import checkpointed, importable, remove, shared_dir, temporary
 
-__all__ = ["checkpointed", "importable", "join_to_one", "keyed_text", "release_memory", "shard_count", "shared_dir", "shuffle_partitions", "slices", "stored", "text_bytes"]
+__all__ = ["checkpointed", "few_broadcast", "importable", "join_to_one", "keyed_text", "release_memory", "remove", "shard_count", "shared_dir", "shuffle_partitions", "slices", "stored", "temporary", "text_bytes"]
 
 #: Rows of one key from which on a join broadcasts what the key meets, and keys that it does so for at most, the heaviest.
 HOT_ROWS = 1_000
 HOT_KEYS = 10_000
+#: Rows of ids up to which they are broadcast.
+FEW_ROWS = 500_000
 #: Rows that a Python step turns into objects at once.
 SLICE = 256
 
@@ -42,10 +43,15 @@ def join_to_one(left: DataFrame, right: DataFrame, key: str, how: str = "inner")
 
 def stored(df: DataFrame, kind: str) -> DataFrame:
     """`df` as a Parquet table of its own in the shared folder."""
-    spark = df.sparkSession
-    place = f"{shared_dir(spark)}/sessionloom/{kind}-{uuid.uuid4().hex}"
+    place = temporary(df.sparkSession, kind)
     df.write.parquet(place)
-    return spark.read.schema(df.schema).parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place)
+
+
+def few_broadcast(df: DataFrame) -> DataFrame:
+    """`df`, checkpointed, with the hint to broadcast it if it has at most `FEW_ROWS` rows."""
+    df = checkpointed(df)
+    return F.broadcast(df) if df.count() <= FEW_ROWS else df
 
 
 def text_bytes(df: DataFrame, text_col: str) -> int:

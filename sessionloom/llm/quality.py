@@ -32,7 +32,6 @@ _RATIOS = ["symbol_ratio", "mean_word", "upper_ratio", "bang_ratio", "bar_ratio"
 FEATURES = _RATIOS
 
 _SYMBOLS = b"#*$%&|<>"
-_SCHEMA = "doc_id long, " + ", ".join(f"{c} long" for c in _COUNTS) + ", " + ", ".join(f"{c} double" for c in _RATIOS)
 
 
 def repeated_words(words: list[bytes], span: int = SPAN) -> int:
@@ -100,22 +99,29 @@ def statistics(text: str | None) -> tuple:
     return (n, chars, symbols, dup, repeat, *ratios)
 
 
+def with_statistics(df: DataFrame, text_col: str, prefix: str = "") -> DataFrame:
+    """All rows and columns of `df`, and the statistics of every whole text, row by row; nothing is shuffled."""
+    importable(df.sparkSession)
+    names = [prefix + c for c in (*_COUNTS, *_RATIOS)]
+    kinds = [pa.int64()] * len(_COUNTS) + [pa.float64()] * len(_RATIOS)
+    added = [T.StructField(n, T.LongType() if k == pa.int64() else T.DoubleType()) for n, k in zip(names, kinds, strict=True)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            rows = [statistics(t) for t in batch.column(text_col).to_pylist()]
+            columns = list(zip(*rows, strict=True)) or [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=[*batch.schema.names, *names])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, *added]))
+
+
 def text_statistics(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and the statistics of every whole text, row by row; nothing is shuffled.
 
     A null or empty text has zeros; repeated rows give repeated results; an
     empty table gives an empty result.
     """
-    names = [*_COUNTS, *_RATIOS]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            rows = [statistics(t) for t in batch.column("text").to_pylist()]
-            columns = list(zip(*rows, strict=True)) or [[]] * len(names)
-            kinds = [pa.int64()] * len(_COUNTS) + [pa.float64()] * len(_RATIOS)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", *names])
-
-    return keyed_text(df, id_col, text_col).selectExpr("cast(doc_id AS long) AS doc_id", "text").mapInArrow(run, _SCHEMA)
+    return with_statistics(keyed_text(df, id_col, text_col).selectExpr("cast(doc_id AS long) AS doc_id", "text"), "text").drop("text")
 
 
 @dataclass(frozen=True)
@@ -132,10 +138,11 @@ class Rule:
             out &= (x[name] >= t) if up else (x[name] <= t)
         return out
 
-    def column(self) -> Column:
+    def column(self, prefix: str = "") -> Column:
         out = F.lit(True)
         for name, up, t in self.tests:
-            out = out & ((F.col(name) >= F.lit(t)) if up else (F.col(name) <= F.lit(t)))
+            value = F.col(prefix + name)
+            out = out & ((value >= F.lit(t)) if up else (value <= F.lit(t)))
         return out
 
 
@@ -195,11 +202,16 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, features: list[str] | None
     return rules
 
 
-def verdict(rules: list[Rule]) -> Column:
+def base_failed(prefix: str = "") -> Column:
+    """Under 20 words, or over 30 of 100 words in repeated 8-word windows."""
+    return (F.col(f"{prefix}n_words") < 20) | (100 * F.col(f"{prefix}n_repeat_words") > 30 * F.col(f"{prefix}n_words"))
+
+
+def verdict(rules: list[Rule], prefix: str = "") -> Column:
     """The decision list as ordered conditions: the number of the first rule that holds, 0 if none does."""
     out = F
     for i, rule in enumerate(rules, 1):
-        out = out.when(rule.column(), F.lit(i))
+        out = out.when(rule.column(prefix), F.lit(i))
     return out.otherwise(F.lit(0)) if rules else F.lit(0)
 
 
@@ -208,7 +220,8 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
 
     A row is bad if the mean of its labels is under 1/2; null labels and null
     ids are left out. The sample's ids, a number of rows that the parameter
-    bounds, are broadcast.
+    bounds, are broadcast. Rows that share a sampled id all count, up to twice
+    the bound in all.
     """
     sample = (
         labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("label"))
@@ -231,24 +244,12 @@ def quality_rules(df: DataFrame, rules: list[Rule], id_col: str = "doc_id", text
     and empty tables as in `text_statistics`.
     """
     out = text_statistics(df, id_col, text_col)
-    out = out.withColumn("base_failed", F.expr("n_words < 20 OR 100 * n_repeat_words > 30 * n_words"))
+    out = out.withColumn("base_failed", base_failed())
     out = out.withColumn("rule", verdict(rules))
     return out.withColumn("kept", F.expr("NOT base_failed AND rule = 0"))
 
 
 def with_verdict(df: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFrame:
-    """All rows and columns of `df`, and `__kept` as in `quality_rules`; texts are not shuffled."""
-    importable(df.sparkSession)
-    schema = T.StructType([*df.schema.fields, T.StructField("__kept", T.BooleanType())])
-    names = [*_COUNTS, *_RATIOS]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            rows = [statistics(t) for t in batch.column(text_col).to_pylist()]
-            x = {n: np.array(c, dtype=float) for n, c in zip(names, zip(*rows, strict=True), strict=True)}
-            bad = (x["n_words"] < 20) | (100 * x["n_repeat_words"] > 30 * x["n_words"])
-            for rule in rules:
-                bad |= rule.holds(x)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(~bad)], names=[*batch.schema.names, "__kept"])
-
-    return df.mapInArrow(run, schema)
+    """All rows and columns of `df`, and `__kept` as in `quality_rules`, by the same conditions; texts are not shuffled."""
+    out = with_statistics(df, text_col, "__")
+    return out.select(*df.columns, (~base_failed("__") & (verdict(rules, "__") == 0)).alias("__kept"))

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionloom.llm import bpe, decontam, language, quality, repeats, secrets, simhash, url_rules, wrappers
-from sessionloom.llm.common import shared_dir
+from sessionloom.llm.common import temporary
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -47,8 +45,7 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in each document, through a ledger that starts empty."""
-    ledger = f"{shared_dir(spark)}/sessionloom/ledger-{uuid.uuid4().hex}"
-    return secrets.digest(secrets.scan_secrets(_read(spark, sf_dir, "documents"), ledger))
+    return secrets.digest(secrets.scan_secrets(_read(spark, sf_dir, "documents"), temporary(spark, "ledger")))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.llm.common import checkpointed, join_to_one, keyed_text, slices
+from sessionloom.llm.common import checkpointed, few_broadcast, join_to_one, keyed_text, slices
 
 #: Unseen blobs up to which they are broadcast, so that texts are scanned where they lie.
 BROADCAST_BLOBS = 500_000
@@ -140,22 +140,16 @@ def _unseen(docs: DataFrame, rows: DataFrame, known: DataFrame) -> DataFrame:
     return docs.join(unseen, (docs["blob"] == unseen["rep_blob"]) & docs["doc_id"].eqNullSafe(unseen["rep"]), "left_semi")
 
 
-def scan_secrets(df: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Brings the ledger in folder `ledger` up to date, and returns doc_id, blob and spans of every row.
+def update_ledger(df: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Brings the ledger in folder `ledger` up to date; returns (doc_id, blob) of every row, and (blob, spans) of blobs with findings.
 
     Texts are read twice, to be addressed and to be scanned, and not shuffled
-    unless a later run has over `BROADCAST_BLOBS` unseen blobs. Findings are
-    joined back by blob; a blob that very many rows share stays where its rows
-    are.
-
-    A null text counts as an empty one; rows with a null id take part like
-    others; repeated rows give repeated results; an empty table leaves the
-    ledger as it was. A pair that two runs append counts once.
+    unless a later run has over `BROADCAST_BLOBS` unseen blobs.
     """
     spark = df.sparkSession
     version = rule_version(rules)
     docs = keyed_text(df, id_col, text_col).selectExpr("cast(doc_id AS long) AS doc_id", "coalesce(text, '') AS text")
-    docs = docs.withColumn("blob", F.sha2(F.col("text").cast("binary"), 256))
+    docs = docs.withColumn("blob", blob_of(F.col("text")))
     rows = checkpointed(docs.select("doc_id", "blob"))
 
     paths = read_paths(spark, ledger)
@@ -169,11 +163,42 @@ def scan_secrets(df: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, id
     known = _read(spark, f"{ledger}/findings", _FINDINGS).where(F.col("rule_version") == version)
     found = _scan(_unseen(docs, rows, known), rules, version)
     found.groupBy("blob", "rule_version").agg(F.first("spans").alias("spans")).write.mode("append").parquet(f"{ledger}/findings")
+    return rows, read_findings(spark, ledger).where((F.col("rule_version") == version) & (F.size("spans") > 0)).select("blob", "spans")
 
-    findings = read_findings(spark, ledger).where((F.col("rule_version") == version) & (F.size("spans") > 0)).select("blob", "spans")
+
+def blob_of(text: F.Column) -> F.Column:
+    """The address of a text; a null one counts as empty."""
+    return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
+
+
+def scan_secrets(df: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Brings the ledger in folder `ledger` up to date, and returns doc_id, blob and spans of every row.
+
+    Findings are joined back by blob; a blob that very many rows share stays
+    where its rows are.
+
+    A null text counts as an empty one; rows with a null id take part like
+    others; repeated rows give repeated results; an empty table leaves the
+    ledger as it was. A pair that two runs append counts once.
+    """
+    rows, findings = update_ledger(df, ledger, rules, id_col, text_col)
     return join_to_one(rows, findings, "blob", "left").select("doc_id", "blob", F.coalesce("spans", F.array().cast(_SPANS)).alias("spans"))
 
 
+def redact_secrets(df: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All rows and columns of `df`, its texts with secrets cut out, and `__cut`: was there any?
+
+    Texts meet the findings by blob, and stay where they are if the findings are
+    few. Nulls and repeats as in `scan_secrets`; a null text stays null.
+    """
+    _, findings = update_ledger(df, ledger, rules, id_col, text_col)
+    findings = few_broadcast(findings.select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans")))
+    rows = df.withColumn("__blob", blob_of(F.col(text_col))).join(findings, "__blob", "left")
+    cut = F.col("__spans").isNotNull()
+    text = F.when(cut, redact(F.col(text_col), F.col("__spans"))).otherwise(F.col(text_col))
+    return rows.select(*[text.alias(c) if c == text_col else F.col(c) for c in df.columns], cut.alias("__cut"))
+
+
 def digest(scanned: DataFrame) -> DataFrame:
     """Counts and digests of the spans that `scan_secrets` returns."""
 
