@@ -8,22 +8,17 @@ stage's decision.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionloom.llm import bpe, decontam, quality, secrets, simhash
-from sessionloom.llm.common import shared_dir
-
-
-def _kept(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of `docs` whose doc_id is in `ids`, a null id counting as a value."""
-    return docs.join(ids.select(F.col("doc_id").alias("__kept_id")), docs["doc_id"].eqNullSafe(F.col("__kept_id")), "left_semi")
+from sessionloom.llm.common import few_broadcast, remove, temporary
 
 
-def _place(spark: SparkSession, kind: str) -> str:
-    return f"{shared_dir(spark)}/sessionloom/{kind}-{uuid.uuid4().hex}"
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of `docs` whose doc_id is not in `ids`, a null id counting as a value; few ids are broadcast."""
+    gone = few_broadcast(ids.select(F.col("doc_id").alias("__gone_id")).distinct())
+    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("__gone_id")), "left_anti")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,24 +30,20 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each SimHash component only the document of least id stays."""
     found = simhash.simhash_dedup(docs)
-    return _kept(docs, found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    stays = found.groupBy("doc_id").agg(F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays"))
+    return _without(docs, stays.where("NOT stays"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of `benchmark` go."""
     found = decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    dirty = found.where("contaminated").select(F.col("doc_id").alias("__hit_id")).distinct()
-    return docs.join(dirty, docs["doc_id"].eqNullSafe(F.col("__hit_id")), "left_anti")
+    return _without(docs, found.where("contaminated"))
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are cut out of the texts; n_chars is the new length."""
-    found = secrets.scan_secrets(docs, _place(spark, "ledger")).where(F.size("spans") > 0)
-    found = found.groupBy(F.col("doc_id").alias("__id"), F.col("blob").alias("__blob")).agg(F.first("spans").alias("__spans"))
-    same = docs["doc_id"].eqNullSafe(F.col("__id")) & (F.sha2(docs["text"].cast("binary"), 256) == F.col("__blob"))
-    text = F.when(F.col("__spans").isNotNull(), secrets.redact(F.col("text"), F.col("__spans"))).otherwise(F.col("text"))
-    out = docs.join(found, same, "left").withColumn("text", text).withColumn("n_chars", F.when(F.col("__spans").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.drop("__id", "__blob", "__spans")
+    out = secrets.redact_secrets(docs, temporary(spark, "ledger"))
+    return out.withColumn("n_chars", F.when(F.col("__cut"), F.length("text").cast("long")).otherwise(F.col("n_chars"))).drop("__cut")
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -75,10 +66,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, in order, on the table `documents`."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = _place(spark, "pipeline")
+    """All stages, in order, on the table `documents`; a stage's table goes when the next one's is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        place = temporary(spark, name)
+        stage(spark, docs, sf_dir).write.parquet(place)
+        docs = spark.read.parquet(place)
+        if before:
+            remove(spark, before)
+        before = place
     return docs
