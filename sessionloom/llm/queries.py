@@ -74,9 +74,32 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.selectExpr("doc_id", "n AS n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of op6_secret_scan alone, which SQL can say."""
+    return op6_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def secret_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger's paths after two runs: texts of one language come in an older version first."""
+    docs, ledger = _read(spark, sf_dir, "documents"), temporary(spark, "ledger")
+    older = docs.withColumn("text", F.when(F.col("lang") == "de", F.concat("text", F.lit(" (draft)"))).otherwise(F.col("text")))
+    for version in (older, docs):
+        secrets.update_ledger(version, ledger)
+    return secrets.read_paths(spark, ledger)
+
+
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts and the base verdict of op7_quality_rules alone, which SQL can say."""
+    out = quality.quality_rules(_read(spark, sf_dir, "documents"), [])
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
+        secret_counts,
+        secret_history,
+        quality_counts,
         op1_html_extraction,
         op2_language_id,
         op3_url_filter,
@@ -97,6 +120,64 @@ _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\v\f\r]+'),
 _FOLDED = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
 
 ORACLE_SQL = {
+    # labels of the given tables do not depend on URLs, so no mined rule stands: the listed rule decides, else allow
+    "op3_url_filter": r"""
+WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM u),
+p AS (
+  SELECT row_number() OVER () AS r, page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h),
+rules(rule, host, start, verdict) AS (VALUES
+  ('com/', 'com', '/', 'allow'), ('example.com/en/', 'example.com', '/en/', 'block'), ('www.example.com/en/', 'www.example.com', '/en/', 'allow'),
+  ('net/es/', 'net', '/es/', 'block'), ('net/fr/', 'net', '/fr/', 'block')),
+best AS (
+  SELECT r, arg_max(rules.rule, length(rules.rule)) AS rule, arg_max(verdict, length(rules.rule)) AS verdict
+  FROM p JOIN rules ON (p.host = rules.host OR ends_with(p.host, '.' || rules.host)) AND starts_with(p.path, rules.start) GROUP BY r)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN best USING (r)
+""",
+    "op10_suffix_array_dedup": """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+windows AS (
+  SELECT r, s, md5_number(substr(h, 2 * s + 1, 400)) AS k
+  FROM (SELECT r, h, unnest(range(0, length(h) // 2 - 199)) AS s FROM d WHERE length(h) >= 400)),
+again AS (SELECT r, s FROM windows QUALIFY count(*) OVER (PARTITION BY k) > 1),
+starts AS (SELECT r, s, s > coalesce(lag(s) OVER (PARTITION BY r ORDER BY s), -1000) + 200 AS fresh FROM again),
+runs AS (SELECT r, s, sum(CAST(fresh AS INT)) OVER (PARTITION BY r ORDER BY s) AS g FROM starts),
+spans AS (SELECT r, g, min(s) AS a, max(s) + 200 AS b FROM runs GROUP BY r, g),
+cuts AS (SELECT r, a, b, lag(b, 1, 0) OVER (PARTITION BY r ORDER BY a) AS p, lead(a) OVER (PARTITION BY r ORDER BY a) AS q FROM spans),
+kept AS (
+  SELECT d.r, count(*) AS n_spans, sum(b - a) AS n_removed,
+         string_agg(substr(h, 2 * p + 1, 2 * (a - p)) || CASE WHEN q IS NULL THEN substr(h, 2 * b + 1) ELSE '' END, '' ORDER BY a) AS t
+  FROM cuts JOIN d ON d.r = cuts.r GROUP BY d.r)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(t, h))) AS kept_sha256
+FROM d LEFT JOIN kept ON d.r = kept.r
+""",
+    "secret_counts": r"""
+SELECT doc_id,
+  CAST(len(list_filter(regexp_extract_all(coalesce(text, ''), '(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 8)) AS BIGINT) AS n_assign,
+  CAST(len(list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 16)) AS BIGINT) AS n_access,
+  CAST(len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), lambda x: length(x) >= 32)) AS BIGINT) AS n_hex
+FROM documents
+""",
+    "secret_history": r"""
+WITH old AS (SELECT DISTINCT doc_id, sha256(coalesce(CASE WHEN lang = 'de' THEN text || ' (draft)' ELSE text END, '')) AS blob FROM documents),
+new AS (SELECT DISTINCT doc_id, sha256(coalesce(text, '')) AS blob FROM documents)
+SELECT doc_id, CAST(1 AS INT) AS version, blob FROM old
+UNION ALL SELECT doc_id, CAST(2 AS INT) AS version, blob FROM new ANTI JOIN old USING (doc_id, blob)
+""",
+    "quality_counts": f"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, {_WORDS} AS ws FROM documents),
+windows AS (SELECT r, s, array_to_string(ws[s : s + 7], ' ') AS k FROM (SELECT r, ws, unnest(range(1, len(ws) - 6)) AS s FROM w WHERE len(ws) >= 8)),
+twice AS (SELECT r, s FROM windows QUALIFY count(*) OVER (PARTITION BY r, k) > 1),
+rep AS (SELECT r, count(DISTINCT i) AS n FROM (SELECT r, unnest(range(s, s + 8)) AS i FROM twice) GROUP BY r),
+lines AS (SELECT r, unnest(string_split(t, chr(10))) AS line FROM w),
+dup AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM lines WHERE regexp_matches(line, '[^ \t\n\v\f\r]') GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+  CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines,
+  CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, len(ws) < 20 OR 100 * coalesce(rep.n, 0) > 30 * len(ws) AS base_failed
+FROM w LEFT JOIN rep ON w.r = rep.r LEFT JOIN dup ON w.r = dup.r
+""",
     "op5_decontamination": f"""
 WITH d AS (SELECT doc_id, {_FOLDED} AS ws FROM documents),
 b AS (SELECT item_id, {_FOLDED} AS ws FROM benchmark),
