@@ -28,13 +28,15 @@ FAILURES = (
     r"(?im)^\s*(exit code|exit status)\s*[:=]?\s*[1-9]",
     r"(?i)\b(traceback \(most recent call last\)|fatal error|command failed)\b",
 )
+#: Lower-case texts of which every match of a failure pattern has one: a cheap test before the pattern.
+FAILURE_NEEDS = (('"exit_code"',), ("exit code", "exit status"), ("traceback (most recent call last)", "fatal error", "command failed"))
 
 
 def is_injected_context(c: Column) -> Column:
     """Text that begins with `<` and has almost nothing outside complete elements: no one typed it."""
     text = strip(F.coalesce(c, F.lit("")))
     residue = F.regexp_replace(F.left(text, F.lit(INJECTED_PROBE)), INJECTED_ELEMENT, "")
-    return text.startswith("<") & (F.length(strip(residue)) < INJECTED_RESIDUE)
+    return F.when(text.startswith("<"), F.length(strip(residue)) < INJECTED_RESIDUE).otherwise(False)
 
 
 def is_mutating_tool(c: Column) -> Column:
@@ -53,21 +55,34 @@ def tool_mutates(name: Column, described: Column) -> Column:
 
 def looks_failed(c: Column) -> Column:
     head = F.left(F.coalesce(c, F.lit("")), F.lit(1500))
+    low = F.lower(head)
     out = F.lit(False)
-    for pattern in FAILURES:
-        out = out | head.rlike(pattern)
+    for pattern, needs in zip(FAILURES, FAILURE_NEEDS, strict=True):
+        there = F.lit(False)
+        for need in needs:
+            there = there | low.contains(need)
+        out = out | F.when(there, head.rlike(pattern)).otherwise(False)
     return out
 
 
-def is_credential_path(c: Column) -> Column:
-    """A path whose last part ends with a dotted hint or contains another."""
-    base = F.substring_index(F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), r"\\", "/")), "/", -1)
+def base_name(c: Column) -> Column:
+    """The last part of a path, in lower case."""
+    return F.substring_index(F.translate(F.lower(F.coalesce(c, F.lit(""))), "\\", "/"), "/", -1)
+
+
+def is_credential_name(base: Column) -> Column:
+    """A last part that ends with a dotted hint or contains another."""
     out = F.lit(False)
     for hint in CREDENTIAL_HINTS:
         out = out | (base.endswith(hint) if hint.startswith(".") else base.contains(hint))
     return out
 
 
+def is_credential_path(c: Column) -> Column:
+    """A path whose last part ends with a dotted hint or contains another."""
+    return is_credential_name(base_name(c))
+
+
 def session_match(cwd: Column, root: Column, hinted: Column) -> Column:
     """confirmed or foreign by the working directory (either may hold the other); else hinted or unknown."""
     within = path_is_within(cwd, root) | path_is_within(root, cwd)

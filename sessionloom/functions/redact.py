@@ -46,9 +46,32 @@ _NEEDS = {
 _LONG_S = "\u017f"
 
 
+#: What a match needs besides: a separator, or a run of characters of a token.
+_BY_SEPARATOR = ("auth_header", "cookie", "key_value")
+_TOKEN_RUN = r"[A-Za-z0-9_.\-]{14}"
+
+
+def _may_match(text: Column, low: Column) -> Column:
+    """Is there any family's needed text? Tests that most texts fail at once come first."""
+
+    def some(families: tuple[str, ...] | list[str]) -> Column:
+        out = low.contains(_LONG_S)
+        for need in dict.fromkeys(n for f in families for n in _NEEDS[f]):
+            out = out | low.contains(need)
+        return out
+
+    tokens = [f for f, _, _ in FAMILIES if f not in _BY_SEPARATOR and f != "private_key"]
+    separated = (text.contains(":") | text.contains("=")) & some(_BY_SEPARATOR)
+    return text.contains("-----BEGIN") | separated | (text.rlike(_TOKEN_RUN) & some(tokens))
+
+
 def scrub(c: Column) -> Column:
     """STRUCT<text, hits>: the text with credentials replaced, and how many were; each family sees what the last one left."""
     text = F.coalesce(c, F.lit(""))
+    return F.when(_may_match(text, F.lower(text)), _scrubbed(text)).otherwise(F.struct(text.alias("text"), F.lit(0).cast("long").alias("hits")))
+
+
+def _scrubbed(text: Column) -> Column:
     # one-element arrays bind each step's text once, so that it is not computed anew for its count and its replacement
     step = F.array(F.struct(text.alias("text"), F.lit(0).cast("long").alias("hits"), F.lower(text).alias("low")))
     for family, pattern, replacement in FAMILIES:

@@ -6,13 +6,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Unicode's White_Space.
+WHITE_SPACE = "".join(map(chr, (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
+
 def strip(c: Column) -> Column:
     """Without white space, of any kind in Unicode, at either end."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 def rstrip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)\s+$", "")
+    return F.rtrim(c, F.lit(WHITE_SPACE))
 
 
 def is_blank(c: Column) -> Column:
@@ -102,8 +106,14 @@ def name_slug(c: Column) -> Column:
 
 
 def head_tail(c: Column, budget: int, gap: str = "\n\n[... middle of the evidence left out ...]\n\n") -> Column:
-    """Text over `budget` as its head (a third, 2000 characters at least) and its tail, never longer than asked for."""
-    head = min(max(2000, budget // 3), budget)
-    tail = max(0, budget - head - 200)
+    """Text over `budget` as its head (a third, 2000 characters at least, as far as there is room) and its tail.
+
+    The gap counts too: the result is never longer than `budget`.
+    """
+    room = budget - len(gap)
+    if room <= 0:
+        return F.left(c, F.lit(max(budget, 0)))
+    head = min(max(2000, budget // 3), room)
+    tail = max(0, min(budget - head - 200, room - head))
     cut = F.concat(F.left(c, F.lit(head)), F.lit(gap), F.right(c, F.lit(tail)) if tail else F.lit(""))
     return F.when(F.length(c) <= budget, c).otherwise(cut)

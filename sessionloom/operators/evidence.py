@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionloom.config import Limits
-from sessionloom.functions.classify import is_credential_path
+from sessionloom.functions.classify import base_name, is_credential_name, is_credential_path
 from sessionloom.functions.redact import scrub
 from sessionloom.functions.text import truncate_text
 from sessionloom.operators import events as ev
@@ -25,17 +25,18 @@ def trim(events: DataFrame, limits: Limits = Limits()) -> DataFrame:
     session describes about itself is left as it is.
     """
     tool = F.col("kind").isin(ev.TOOL_CALL, ev.TOOL_RESULT, ev.TOOL_ERROR)
-    by_path = F.exists("file_paths", lambda p: is_credential_path(p))
-    by_text = (F.col("kind") == ev.TOOL_CALL) & is_credential_path(F.left("text", F.lit(400)))
+    by_path = (F.size("file_paths") > 0) & F.exists("file_paths", lambda p: is_credential_path(p))
+    by_text = is_credential_name(F.col("__base"))
     zero = F.lit(0).cast("long")
     kept = lambda text: F.struct(F.lit(text).alias("text"), zero.alias("hits"))
     done = F.when(F.col("kind") == ev.METADATA, F.struct(F.col("text").alias("text"), zero.alias("hits")))
     done = done.when(by_path, kept(WITHHELD_FILE)).when(by_text, kept(WITHHELD_CALL)).otherwise(scrub(F.col("text")))
     limit = F.when(tool, limits.max_tool_text_chars).otherwise(limits.max_text_chars)
     label = F.when(F.col("kind").isin(ev.TOOL_RESULT, ev.TOOL_ERROR), "tool result").otherwise("text")
+    events = events.withColumn("__base", F.when(F.col("kind") == ev.TOOL_CALL, base_name(F.left("text", F.lit(400)))))
     rows = events.withColumn("__done", done)
     text = F.when(F.col("kind") == ev.METADATA, F.col("__done.text")).otherwise(truncate_text(F.col("__done.text"), limit, label))
-    return rows.withColumn("text", text).withColumn("redactions", F.col("__done.hits")).drop("__done")
+    return rows.withColumn("text", text).withColumn("redactions", F.col("__done.hits")).drop("__done", "__base")
 
 
 def buckets_of(limits: Limits) -> list[tuple[str, Column, bool, int]]:

@@ -16,34 +16,37 @@ CALLS = ("custom_tool_call", "function_call", "local_shell_call")
 OUTPUTS = ("custom_tool_call_output", "function_call_output", "local_shell_call_output")
 TEXT_TYPES = ("input_text", "output_text", "text", "Text")
 IMAGE_TYPES = ("input_image", "image")
+ITEMS = ("FileChange", "ContextCompaction", "Error", "McpToolCall", "UserMessage")
 META_KEYS = ("session_id", "cwd", "originator", "cli_version", "model_provider")
 
 
-def flatten_content(value: Column, depth: int = 2) -> Column:
-    """Content as text; an object's content or text is looked into, `depth` levels down."""
+def inner_content(value: Column) -> Column:
+    """An object's content, or its text if that is empty; other values as they are."""
+    content = F.try_variant_get(value, "$.content", "variant")
+    empty = content.isNull() | json_text(content).isin('""', "[]", "{}", "null", "0", "false")
+    return F.when(is_kind(value, "OBJECT"), F.when(empty, F.try_variant_get(value, "$.text", "variant")).otherwise(content)).otherwise(value)
+
+
+def flat_content(value: Column) -> Column:
+    """Content that is no object as text: text itself, or the texts of a list."""
 
     def part(b: Column) -> Column:
         of = scalar_at(b, "$.type")
         return F.when(is_kind(b, "STRING"), string_at(b, "$")).when(of.isin(*TEXT_TYPES), scalar_at(b, "$.text")).when(of.isin(*IMAGE_TYPES), F.lit("[image omitted]"))
 
     listed = F.array_join(F.filter(F.transform(list_at(value, "$"), part), lambda p: p != ""), "\n")
-    out = F.when(is_kind(value, "STRING"), string_at(value, "$")).when(is_kind(value, "ARRAY"), listed)
-    if depth:
-        content, text = (F.try_variant_get(value, p, "variant") for p in ("$.content", "$.text"))
-        empty = content.isNull() | json_text(content).isin('""', "[]", "{}", "null", "0", "false")
-        inner = F.when(empty, flatten_content(text, depth - 1)).otherwise(flatten_content(content, depth - 1))
-        out = out.when(is_kind(value, "OBJECT"), inner)
-    return out.otherwise(scalar_at(value, "$"))
-
-
-def _file_change(item: Column, raw: Column) -> Column:
-    """A change of files: all paths, and the first 40 in the record's own order with their kind."""
-    changes = F.col("changes")
-    detail = F.transform(
-        F.slice(F.map_entries(changes), 1, 40),
-        lambda c: F.concat(F.coalesce(F.get_json_object(c["value"], "$.type"), F.when(c["value"].startswith("{"), F.lit("None")).otherwise(F.lit("change"))), F.lit(": "), c["key"]),
+    return F.when(is_kind(value, "STRING"), string_at(value, "$")).when(is_kind(value, "ARRAY"), listed).otherwise(scalar_at(value, "$"))
+
+
+def _changed(changes: Column) -> Column:
+    """The first 40 changes of files in the record's own order, each with its kind."""
+    return F.array_join(
+        F.transform(
+            F.slice(F.map_entries(changes), 1, 40),
+            lambda c: F.concat(F.coalesce(F.get_json_object(c["value"], "$.type"), F.when(c["value"].startswith("{"), F.lit("None")).otherwise(F.lit("change"))), F.lit(": "), c["key"]),
+        ),
+        "\n",
     )
-    return ev.event(ev.TOOL_CALL, F.array_join(detail, "\n"), raw, tool=F.lit("FileChange"), paths=F.map_keys(changes), mutating=F.lit(True))
 
 
 def first_ids(lines: DataFrame) -> DataFrame:
@@ -65,65 +68,61 @@ def normalize(lines: DataFrame, dedupe: bool = True, broadcast_ids: bool = False
     that its session already has is dropped (`dedupe`), whichever kind of record
     holds it.
     """
-    v = F.col("v")
-    p = F.col("p")
-    rows = lines.where("ok").withColumn("p", object_at(v, "$.payload")).where(p.isNotNull())
-    rows = rows.select("session_key", F.lit("").alias("session_id"), "block_start", "line_no", "p", "raw", scalar_at(v, "$.type").alias("t"), scalar_at(p, "$.type").alias("pt"), ts_to_iso(F.try_variant_get(v, "$.timestamp", "variant")).alias("ts_raw"))
+    v, p, item, what, body = (F.col(c) for c in ("v", "p", "item", "what", "body"))
     t, pt = F.col("t"), F.col("pt")
-    raw = F.concat_ws("/", t, pt)
-    item = object_at(p, "$.item")
-    it = scalar_at(item, "$.type")
-    item_raw = F.concat(t, F.lit("/item/"), it)
-
-    facts = F.concat_ws("\n", *[F.when(scalar_at(p, f"$.{k}") != "", F.concat(F.lit(f"{k}: "), scalar_at(p, f"$.{k}"))) for k in META_KEYS])
+    # each step's columns are used several times by the next, and computed once
+    rows = lines.where("ok").withColumn("p", object_at(v, "$.payload")).where(p.isNotNull())
+    rows = rows.select("session_key", "block_start", "line_no", "v", "p", "raw", scalar_at(v, "$.type").alias("t"), scalar_at(p, "$.type").alias("pt"))
+    # what a line is; a line gives one event at most
+    of_response = F.when(pt == "message", "message").when(pt.isin(*CALLS), "call").when(pt.isin(*OUTPUTS), "output")
+    rows = rows.withColumn("item", F.when((t == "event_msg") & (pt == "item_completed"), object_at(p, "$.item")))
+    rows = rows.withColumn("what", F.when(t.isin("session_meta", "compacted"), t).when(t == "response_item", of_response).otherwise(F.nullif(scalar_at(item, "$.type"), F.lit(""))))
+    rows = rows.withColumn("known", F.coalesce(what.isin("session_meta", "compacted", "message", "call", "output", *ITEMS), F.lit(False)))
+
+    get = lambda of, path: F.try_variant_get(of, path, "variant")
+    content = F.when(what == "message", get(p, "$.content")).when(what == "output", get(p, "$.output")).when(what == "UserMessage", get(item, "$.content")).when(what == "Error", F.coalesce(get(item, "$.message"), get(item, "$.content")))
+    rows = rows.withColumn("body", content)
+    for _ in range(2):
+        rows = rows.withColumn("body", inner_content(body))
+    given = F.coalesce(get(p, "$.input"), get(p, "$.arguments"))
     history = F.size(list_at(p, "$.replacement_history"))
     kept = F.when(history >= 0, F.format_string("context compaction: history replaced with %d retained item(s)", history)).otherwise("")
-    summary = F.coalesce(F.nullif(scalar_at(p, "$.message"), F.lit("")), kept)
-
-    role = scalar_at(p, "$.role")
-    response_is = lambda *kinds: (t == "response_item") & pt.isin(*kinds)
-    # columns used several times are kept apart, so that they are computed once
-    given = F.coalesce(F.try_variant_get(p, "$.input", "variant"), F.try_variant_get(p, "$.arguments", "variant"))
-    told = F.when(is_kind(given, "STRING"), string_at(given, "$")).otherwise(F.coalesce(json_text(given), F.lit("null")))
-    trouble = flatten_content(F.coalesce(F.try_variant_get(item, "$.message", "variant"), F.try_variant_get(item, "$.content", "variant")))
-    rows = rows.withColumns(
-        {
-            "text": F.when(response_is("message"), flatten_content(F.try_variant_get(p, "$.content", "variant"))).when(it == "UserMessage", flatten_content(F.try_variant_get(item, "$.content", "variant"))).when(it == "Error", trouble),
-            "told": F.when(response_is(*CALLS), told),
-            # a VARIANT sorts an object's keys, the line's text has them as they were written
-            "changes": F.when((it == "FileChange") & object_at(item, "$.changes").isNotNull(), F.from_json(F.get_json_object("raw", "$.payload.item.changes"), "map<string,string>")),
-            "output": F.when(response_is(*OUTPUTS), flatten_content(F.try_variant_get(p, "$.output", "variant"))),
-        }
+    text = (
+        F.when(what.isin("message", "output", "UserMessage", "Error"), flat_content(body))
+        .when(what == "call", F.when(is_kind(given, "STRING"), string_at(given, "$")).otherwise(F.coalesce(json_text(given), F.lit("null"))))
+        .when(what == "compacted", F.coalesce(F.nullif(scalar_at(p, "$.message"), F.lit("")), kept))
+        .when(what == "session_meta", F.concat_ws("\n", *[F.when(F.col(f"meta_{k}") != "", F.concat(F.lit(f"{k}: "), F.col(f"meta_{k}"))) for k in META_KEYS]))
+        .when(what == "ContextCompaction", "context compaction performed by the agent")
+        .when(what == "McpToolCall", scalar_at(item, "$.title"))
+        .when(what == "FileChange", _changed(F.col("changes")))
     )
-    rows = rows.withColumns({"injected": is_injected_context(F.col("text")), "failed": looks_failed(F.col("output"))})
-    text, told, output, failed = (F.col(c) for c in ("text", "told", "output", "failed"))
-    heard = (role != "developer") & ~is_blank(text) & ~((role == "user") & F.col("injected"))
-    message = ev.one(ev.event(F.when(role == "user", ev.USER).otherwise(ev.ASSISTANT), text, raw, role), heard)
-
-    name = F.coalesce(F.nullif(scalar_at(p, "$.name"), F.lit("")), pt)
-    call = ev.one(ev.event(ev.TOOL_CALL, told, raw, tool=name, mutating=is_mutating_tool(name) | mutates_by_shell(told)))
-
-    result = ev.one(ev.event(F.when(failed, ev.TOOL_ERROR).otherwise(ev.TOOL_RESULT), output, raw, error=failed))
+    rows = rows.withColumns({f"meta_{k}": F.when(what == "session_meta", scalar_at(p, f"$.{k}")) for k in META_KEYS})
+    # a VARIANT sorts an object's keys, the line's text has them as they were written
+    changes = F.when((what == "FileChange") & object_at(item, "$.changes").isNotNull(), F.from_json(F.get_json_object("raw", "$.payload.item.changes"), "map<string,string>"))
+    rows = rows.withColumns({"changes": changes, "said_by": F.when(what == "message", scalar_at(p, "$.role"))}).withColumn("text", text)
+    text, role, asked = F.col("text"), F.col("said_by"), (what == "UserMessage") | ((what == "message") & (F.col("said_by") == "user"))
+    silent = F.when(what == "message", (role == "developer") | is_blank(text)).when(what == "UserMessage", is_blank(text)).when(what == "FileChange", F.col("changes").isNull()).otherwise(False)
+    rows = rows.withColumn("failed", F.when(what == "output", looks_failed(text)).otherwise(what == "Error"))
+    # kept by a generator: a filter would be pushed below all the steps and repeat them
+    heard = F.col("known") & ~silent & ~F.when(asked, is_injected_context(text)).otherwise(False)
 
     server = F.coalesce(F.nullif(scalar_at(item, "$.server"), F.lit("")), F.lit("mcp"))
     tool = F.coalesce(F.nullif(scalar_at(item, "$.tool"), F.lit("")), F.lit("?"))
-    completed = (
-        F.when(it == "FileChange", ev.one(_file_change(item, item_raw), F.col("changes").isNotNull()))
-        .when(it == "ContextCompaction", ev.one(ev.event(ev.COMPACTION, F.lit("context compaction performed by the agent"), item_raw)))
-        .when(it == "Error", ev.one(ev.event(ev.TOOL_ERROR, text, item_raw, error=F.lit(True))))
-        .when(it == "McpToolCall", ev.one(ev.event(ev.TOOL_CALL, scalar_at(item, "$.title"), item_raw, tool=F.concat(server, F.lit("/"), tool))))
-        .when(it == "UserMessage", ev.one(ev.event(ev.USER, text, item_raw, F.lit("user")), ~is_blank(text) & ~F.col("injected")))
-        .otherwise(ev.no_events())
-    )
-    response = F.when(pt == "message", message).when(pt.isin(*CALLS), call).when(pt.isin(*OUTPUTS), result).otherwise(ev.no_events())
-    found = (
-        F.when(t == "session_meta", ev.one(ev.event(ev.METADATA, facts, t)))
-        .when(t == "compacted", ev.one(ev.event(ev.COMPACTION, summary, t)))
-        .when(t == "response_item", response)
-        .when((t == "event_msg") & (pt == "item_completed"), completed)
-        .otherwise(ev.no_events())
+    named = F.when(what == "call", F.coalesce(F.nullif(scalar_at(p, "$.name"), F.lit("")), pt)).when(what == "FileChange", "FileChange").when(what == "McpToolCall", F.concat(server, F.lit("/"), tool))
+    kind = (
+        F.when(what == "session_meta", ev.METADATA)
+        .when(what.isin("compacted", "ContextCompaction"), ev.COMPACTION)
+        .when(asked, ev.USER)
+        .when(what == "message", ev.ASSISTANT)
+        .when(what.isin("call", "FileChange", "McpToolCall"), ev.TOOL_CALL)
+        .otherwise(F.when(F.col("failed"), ev.TOOL_ERROR).otherwise(ev.TOOL_RESULT))
     )
-    out = ev.table(rows, AGENT, found)
+    paths = F.when(what == "FileChange", F.map_keys("changes")).otherwise(F.array().cast("array<string>"))
+    raw = F.when(what.isin("session_meta", "compacted"), t).when(t == "response_item", F.concat_ws("/", t, pt)).otherwise(F.concat(t, F.lit("/item/"), what))
+    mutating = F.when(what == "call", is_mutating_tool(F.col("tool")) | mutates_by_shell(text)).otherwise(what == "FileChange")
+    rows = rows.withColumns({"tool": named, "session_id": F.lit(""), "ts_raw": ts_to_iso(get(v, "$.timestamp"))})
+    spoken = F.when(what == "UserMessage", "user").otherwise(role)
+    out = ev.table(rows, AGENT, ev.one(ev.event(kind, text, raw, spoken, F.col("tool"), paths, F.col("failed"), mutating), heard))
     # joined to events, which are less than lines
     out = out.join(F.broadcast(first_ids(lines)) if broadcast_ids else first_ids(lines), "session_key", "left")
     named = F.struct("block_start", "line_no") >= F.col("named_at")
