@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from sessionloom.llm.common import keyed_text, release_memory, slices
 
 #: Segments whose ids a worker remembers before it starts anew; it forgets them after each partition.
-CACHE = 400_000
+CACHE = 200_000
 
 #: Unicode's White_Space, which \s stands for in rank-file tokenizers.
 WHITE_SPACE = "".join(map(chr, (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
