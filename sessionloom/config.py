@@ -6,19 +6,41 @@ import json
 import os
 import warnings
 from collections.abc import Mapping
-from dataclasses import dataclass
-
-# The limits that evidence is bounded by.
-EVIDENCE_DEFAULTS = {
-    "first_events": 20,
-    "last_events": 60,
-    "max_errors": 30,
-    "max_tool_events": 80,
-    "max_compactions": 20,
-    "max_user_messages": 40,
-    "max_text_chars": 2000,
-    "max_tool_text_chars": 1200,
-}
+from dataclasses import asdict, dataclass
+
+
+@dataclass(frozen=True)
+class Limits:
+    """Bounds on evidence; 0 events means none, 0 characters means all."""
+
+    # Fixed values
+    first_events: int = 20
+    last_events: int = 60
+    max_errors: int = 30
+    max_tool_events: int = 80
+    max_compactions: int = 20
+    max_user_messages: int = 40
+    max_text_chars: int = 2000
+    max_tool_text_chars: int = 1200
+
+    @classmethod
+    def of(cls, config: Mapping) -> Limits:
+        """From settings: a value that is no number falls back to the default, a negative one to 0."""
+
+        def number(key: str) -> int:
+            try:
+                return max(0, int((config.get("evidence") or {}).get(key, getattr(cls, key))))
+            except (TypeError, ValueError):
+                return getattr(cls, key)
+
+        return cls(**{key: number(key) for key in cls.__dataclass_fields__})
+
+    @property
+    def user_messages(self) -> int:
+        return max(1, self.max_user_messages // 2)
+
+
+EVIDENCE_DEFAULTS = asdict(Limits())
 DEFAULTS = {"llm": {"enabled": True, "base_url": "", "model": "", "max_input_chars": 120000}, "evidence": EVIDENCE_DEFAULTS}
 #: Environment variables and the setting that each one overrides.
 ENVIRONMENT = {"SESSIONLOOM_LLM_BASE_URL": "base_url", "SESSIONLOOM_LLM_MODEL": "model"}
@@ -55,33 +77,3 @@ def llm_ready(config: Mapping) -> bool:
     """Is a prompt wanted: not switched off, and with an address and a model?"""
     llm = config.get("llm") or {}
     return llm.get("enabled") is not False and bool(llm.get("base_url")) and bool(llm.get("model"))
-
-
-@dataclass(frozen=True)
-class Limits:
-    """Bounds on evidence; 0 events means none, 0 characters means all."""
-
-    first_events: int = 20
-    last_events: int = 60
-    max_errors: int = 30
-    max_tool_events: int = 80
-    max_compactions: int = 20
-    max_user_messages: int = 40
-    max_text_chars: int = 2000
-    max_tool_text_chars: int = 1200
-
-    @classmethod
-    def of(cls, config: Mapping) -> Limits:
-        """From settings: a value that is no number falls back to the default, a negative one to 0."""
-
-        def number(key: str) -> int:
-            try:
-                return max(0, int((config.get("evidence") or {}).get(key, EVIDENCE_DEFAULTS[key])))
-            except (TypeError, ValueError):
-                return EVIDENCE_DEFAULTS[key]
-
-        return cls(**{key: number(key) for key in EVIDENCE_DEFAULTS})
-
-    @property
-    def user_messages(self) -> int:
-        return max(1, self.max_user_messages // 2)

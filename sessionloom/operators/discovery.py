@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionloom.functions.classify import session_match
@@ -36,44 +36,51 @@ def path_hint(path: Column, agent: str, root: str) -> Column:
     return F.lit(False)
 
 
-def discover(files: DataFrame, probes: DataFrame, agent: str, root: str, probe_limit: int | None = None) -> DataFrame:
+def newest(files: DataFrame, most: int) -> DataFrame:
+    """The `most` files that changed last, ties by path: a top-k, so that no task ranks all files."""
+    return files.orderBy(F.desc("mtime"), "session_key").limit(most)
+
+
+def discover(files: DataFrame, probes: DataFrame, agent: str, root: str) -> DataFrame:
     """Sessions with agent, session_id, path, mtime, size, cwd, match and note.
 
-    files: (session_key, mtime, size); probes: (session_key, session_id, cwd).
-    With `probe_limit` only that many newest files count as probed.
+    files: (session_key, mtime, size); probes: (session_key, session_id, cwd)
+    of the files whose heads were read.
     """
-    rows = files.join(probes.withColumnRenamed("session_id", "probed"), "session_key", "left")
-    if probe_limit is not None:
-        # ranks of file metadata, which is small; the lines are not touched
-        rows = rows.withColumn("__n", F.row_number().over(Window.partitionBy(F.lit(agent)).orderBy(F.desc("mtime"), "session_key")))
-        near = F.col("__n") <= probe_limit
-        rows = rows.withColumn("probed", F.when(near, F.col("probed"))).withColumn("cwd", F.when(near, F.col("cwd")))
-        unseen = F.when(near, "no cwd found in session head").otherwise("not probed")
-    else:
-        unseen = F.lit("no cwd found in session head")
+    rows = files.join(probes.withColumnRenamed("session_id", "probed").withColumn("read", F.lit(True)), "session_key", "left")
     match = session_match(F.col("cwd"), F.lit(root), path_hint(F.col("session_key"), agent, root))
     rows = rows.withColumn("match", match).withColumn("session_id", F.coalesce("probed", session_id_of_path(F.col("session_key"), agent)))
     note = (
-        F.when(F.col("match") == "confirmed", "cwd recorded in session")
-        .when(F.col("match") == "foreign", F.concat(F.lit("session cwd is "), F.col("cwd")))
-        .when(F.col("match") == "hinted", "session directory matches repository path")
-        .otherwise(unseen)
+        F.when(F.col("match") == "confirmed", "its log names the repository's folder")
+        .when(F.col("match") == "foreign", F.concat(F.lit("its log names another folder: "), F.col("cwd")))
+        .when(F.col("match") == "hinted", "its folder carries the repository's name")
+        .otherwise(F.when(F.col("read"), "its log's head names no folder").otherwise("its log was not read"))
     )
     return rows.select(F.lit(agent).alias("agent"), "session_id", F.col("session_key").alias("path"), "mtime", "size", "cwd", "match", note.alias("note"))
 
 
+def newest_first(sessions: DataFrame) -> DataFrame:
+    """Sessions by the time of their last change, the newest first, ties by path."""
+    return sessions.orderBy(F.desc("mtime"), "path")
+
+
+def ranked(sessions: DataFrame) -> DataFrame:
+    """Sessions tied to the repository with their rank (0 confirmed, 1 hinted), best first, of equals the newest."""
+    rank = F.when(F.col("match") == "confirmed", 0).when(F.col("match") == "hinted", 1)
+    return sessions.withColumn("rank", rank).where(F.col("rank").isNotNull()).orderBy("rank", F.desc("mtime"), "path")
+
+
 def select_session(sessions: DataFrame, session_id: str | None = None) -> dict:
     """The newest session whose id begins with, or whose file name holds, `session_id`; else the newest confirmed, else hinted."""
     if session_id:
         wanted = session_id.lower()
         name = F.lower(F.substring_index("path", "/", -1))
         fits = sessions.where(F.lower("session_id").startswith(wanted) | name.contains(wanted))
-        found = fits.orderBy(F.desc("mtime"), "path").limit(1).collect()
+        found = newest_first(fits).limit(1).collect()
         if not found:
             raise NoSession(f"no session '{session_id}'")
         return found[0].asDict()
-    rank = F.when(F.col("match") == "confirmed", 0).when(F.col("match") == "hinted", 1)
-    found = sessions.where(rank.isNotNull()).orderBy(rank, F.desc("mtime"), "path").limit(1).collect()
+    found = ranked(sessions).drop("rank").limit(1).collect()
     if found:
         return found[0].asDict()
     n, n_foreign = sessions.agg(F.count("*"), F.count_if(F.col("match") == "foreign")).first()

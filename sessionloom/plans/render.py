@@ -10,16 +10,18 @@ from pyspark.sql import functions as F
 
 from sessionloom.functions.text import head_tail
 
-NOTHING = "_(none captured)_\n"
-UNDETERMINED = "Not determined without a summary by a model; see the evidence file."
+NOTHING = "_No events of this kind._\n"
+UNDETERMINED = "Unknown: only a model's summary could say; the evidence file holds the sources."
 SECTIONS = (
-    ("Beginning of session", ["first_events"]),
-    ("Compaction / summary events", ["compactions"]),
-    ("User messages", ["first_user_messages", "last_user_messages"]),
-    ("Errors and failed tool activity", ["errors"]),
-    ("File-mutating tool activity", ["mutating_tools"]),
-    ("Recent activity (end of session)", ["last_events"]),
+    ("How the session began", ["first_events"]),
+    ("Context that was compacted", ["compactions"]),
+    ("What the user asked", ["first_user_messages", "last_user_messages"]),
+    ("What failed", ["errors"]),
+    ("What was changed", ["mutating_tools"]),
+    ("How the session ended", ["last_events"]),
 )
+#: Errors that a report lists, and kinds of events.
+REPORT_ERRORS, REPORT_KINDS = 3, 6
 ALWAYS = {"first_events", "last_events"}
 
 
@@ -46,7 +48,7 @@ def collect_buckets(selected: DataFrame, session_key: str) -> dict[str, list[Row
 
 def render_evidence(session: dict, stats: Row, buckets: dict[str, list[Row]], generated_at: str) -> str:
     """The evidence file; sections without events are left out, but for the first and the last."""
-    lines = ["# Conversation evidence\n", f"> Generated at {generated_at}", f"> Source: {session['agent']}", f"> Session: {session['session_id'] or 'unknown'}", f"> Transcript: {session['path']}", f"> Events parsed: {stats['total_events']}"]
+    lines = ["# Evidence of a session\n", f"> Generated at {generated_at}", f"> Source: {session['agent']}", f"> Session: {session['session_id'] or 'unknown'}", f"> Transcript: {session['path']}", f"> Events parsed: {stats['total_events']}"]
     if stats["invalid_lines"]:
         lines.append(f"> Invalid lines ignored: {stats['invalid_lines']}")
     if stats["redactions"]:
@@ -57,7 +59,7 @@ def render_evidence(session: dict, stats: Row, buckets: dict[str, list[Row]], ge
             out += f"\n---\n\n## {title}\n\n"
             for name in names:
                 if len(names) > 1:
-                    out += f"### {'Earliest' if name.startswith('first') else 'Most recent'}\n\n"
+                    out += f"### {'First ones' if name.startswith('first') else 'Last ones'}\n\n"
                 out += render_events(buckets.get(name, [])) + "\n"
     return re.sub(r"\n{3,}", "\n\n", out)
 
@@ -102,8 +104,8 @@ def render_report(session: dict, stats: Row, buckets: dict[str, list[Row]], rele
     """The report that needs no model: what the evidence itself says, section by section."""
     first = next((e["text"].strip() for e in buckets.get("first_user_messages", []) if e["text"].strip()), UNDETERMINED)
     last = next((e["text"].strip() for e in reversed(buckets.get("last_user_messages", [])) if e["text"].strip()), UNDETERMINED)
-    errors = [e["text"].strip().split("\n")[0][:200] for e in buckets.get("errors", [])[-3:]]
-    kinds = ", ".join(f"{k['kind']} {k['n']}" for k in (stats["event_kinds"] or [])[:6])
+    errors = [e["text"].strip().split("\n")[0][:200] for e in buckets.get("errors", [])[-REPORT_ERRORS:]]
+    kinds = ", ".join(f"{k['kind']} {k['n']}" for k in (stats["event_kinds"] or [])[:REPORT_KINDS])
     body = {
         "Goal": first,
         "Latest request": last,
@@ -111,12 +113,12 @@ def render_report(session: dict, stats: Row, buckets: dict[str, list[Row]], rele
         "Decisions": UNDETERMINED,
         "Done": UNDETERMINED,
         "Open": UNDETERMINED,
-        "Errors": "\n".join(f"- {e}" for e in errors) or "None captured.",
+        "Errors": "\n".join(f"- {e}" for e in errors) or "No errors.",
         "Relevant files": "\n".join(relevant) or "None.",
         "Risks": UNDETERMINED,
         "Next step": UNDETERMINED,
     }
-    out = f"# Handoff\n\n> Generated at {generated_at}\n> Session: {session['session_id']}\n"
+    out = f"# Session report\n\n> Generated at {generated_at}\n> Session: {session['session_id']}\n"
     return out + "".join(f"\n## {title}\n\n{text}\n" for title, text in body.items()) + memory
 
 

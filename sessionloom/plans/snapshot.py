@@ -68,12 +68,32 @@ def project_markers(spark: SparkSession, root: str) -> DataFrame | None:
     return spark.createDataFrame(rows, "project string, cwd string")
 
 
+def session_files(spark: SparkSession, agent: str, root: str) -> DataFrame:
+    """session_key, mtime and size of a dialect's files below its root; no file is opened."""
+    found = None
+    for path, recursive, pattern in jsonl.places(agent, root):
+        found = file_listing(spark, path, pattern, recursive)
+        if not found.isEmpty():
+            break
+    return found
+
+
 def discover_sessions(spark: SparkSession, agent: str, root: str, repo: str, probe_limit: int | None = None) -> DataFrame:
-    """Sessions of a dialect and how each belongs to `repo`."""
-    lines = read_transcripts(spark, agent, root)
-    files = lines.select("session_key", "mtime", "size").distinct()
+    """Sessions of a dialect and how each belongs to `repo`.
+
+    Files are listed, not read; then the heads of all are probed, or only those
+    of the `probe_limit` newest, whose paths alone are given to the reader.
+    """
+    files = session_files(spark, agent, root)
+    if probe_limit is None:
+        lines = read_transcripts(spark, agent, root)
+    else:
+        chosen = [r["session_key"] for r in discovery.newest(files, probe_limit).collect()]
+        if not chosen:
+            return discovery.discover(files, spark.createDataFrame([], "session_key string, session_id string, cwd string"), agent, repo)
+        lines = jsonl.read_jsonl(spark, chosen)
     probes = patch_log.probe(lines, project_markers(spark, root)) if agent == "patch" else DIALECTS[agent].probe(lines)
-    return discovery.discover(files, probes, agent, repo, probe_limit)
+    return discovery.discover(files, probes, agent, repo)
 
 
 def relevant_files(changed: DataFrame, touched: DataFrame, root: str, session_key: str) -> list[str]:
@@ -120,8 +140,10 @@ def preserve(out: str, name: str, agent: str, session_id: str, generated_at: dat
     if not os.path.isfile(current):
         return None
     os.makedirs(folder, exist_ok=True)
-    digest = sha256_file(current)
-    if any(sha256_file(os.path.join(folder, f)) == digest for f in os.listdir(folder)):
+    # only files of equal size can be equal
+    digest, size = sha256_file(current), os.path.getsize(current)
+    kept = (os.path.join(folder, f) for f in os.listdir(folder))
+    if any(os.path.getsize(f) == size and sha256_file(f) == digest for f in kept):
         return None
     safe = [re.sub(r"[^A-Za-z0-9._-]+", "_", p or "").strip("_") or "unknown" for p in (agent, (session_id or "unknown")[:8])]
     path = archive_path(folder, f"{generated_at:%Y%m%d-%H%M%S}-{safe[0]}-{safe[1]}.md")
@@ -150,16 +172,39 @@ def status(spark: SparkSession, roots: dict[str, str], repo: str, probe_limit: i
     """The newest session of each dialect that is tied to `repo`."""
     out = None
     for agent, root in roots.items():
-        part = discover_sessions(spark, agent, root, repo, probe_limit).where(F.col("match").isin("confirmed", "hinted")).orderBy(F.desc("mtime"), "path").limit(1)
+        part = discover_sessions(spark, agent, root, repo, probe_limit).where(F.col("match").isin("confirmed", "hinted"))
+        part = discovery.newest_first(part).limit(1)
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def show(out: str, name: str = "report.md") -> str | None:
+    """The last report written below `out`; null if there is none."""
+    path = os.path.join(out, name)
+    if not os.path.isfile(path):
+        return None
+    with open(path, encoding="utf-8") as f:
+        return f.read()
+
+
+def recover(spark: SparkSession, agent: str, root: str, repo: str, out: str, session_id: str | None = None, config: str | None = None) -> dict[str, str]:
+    """Keeps the report that is there in the history, then writes a new one from the session's transcript."""
+    session = discovery.select_session(discover_sessions(spark, agent, root, repo), session_id)
+    preserve(out, "report.md", agent, session["session_id"], datetime.now(timezone.utc))
+    return snapshot(spark, agent, root, repo, out, session["session_id"], config)
+
+
+def available(spark: SparkSession, root: str) -> bool:
+    """Is there a folder at `root`, on whatever file system it names?"""
+    place = spark._jvm.org.apache.hadoop.fs.Path(root)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def doctor(spark: SparkSession, roots: dict[str, str], repo: str) -> DataFrame:
     """Sessions and linked sessions of each dialect whose root is there."""
     out = None
     for agent, root in roots.items():
-        if os.path.isdir(root):
+        if available(spark, root):
             part = discovery.linked_counts(discover_sessions(spark, agent, root, repo))
             out = part if out is None else out.unionByName(part)
     return out if out is not None else spark.createDataFrame([], "agent string, sessions long, linked long")

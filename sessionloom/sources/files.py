@@ -16,7 +16,7 @@ def file_listing(spark: SparkSession, paths: str | list[str], pattern: str | Non
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    return reader.load(paths).select(F.col("path").alias("session_key"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"))
+    return reader.load(paths).select(F.col("_metadata.file_path").alias("session_key"), F.col("_metadata.file_modification_time").alias("mtime"), F.col("_metadata.file_size").alias("size"))
 
 
 def digests(spark: SparkSession, paths: str | list[str]) -> DataFrame:

@@ -51,17 +51,25 @@ def patch_log_files(root: str) -> str:
     return f"{root}/*/chats/*.jsonl"
 
 
+def places(agent: str, root: str) -> list[tuple[str, bool, str | None]]:
+    """Where a dialect's files are: (path, with folders below, pattern), the first that holds any counts."""
+    if agent == "rollout":
+        return [(root, True, "rollout-*.jsonl"), (root, True, "*.jsonl")]
+    return [({"block": block_log_files, "patch": patch_log_files}[agent](root), False, None)]
+
+
 def read_rollout(spark: SparkSession, root: str) -> DataFrame:
     """Sessions of the rollout dialect below `root`; any line-delimited file if none has the usual name."""
     from pyspark.errors import AnalysisException
 
+    (usual, _, pattern), (_, _, other) = places("rollout", root)
     try:
-        found = read_jsonl(spark, root, True, "rollout-*.jsonl")
+        found = read_jsonl(spark, usual, True, pattern)
         if found.inputFiles():
             return found
     except AnalysisException:
         pass
-    return read_jsonl(spark, root, True, "*.jsonl")
+    return read_jsonl(spark, root, True, other)
 
 
 def _at(v: Column, path: str) -> Column:
@@ -114,7 +122,7 @@ def head_values(lines: DataFrame, max_lines: int, max_chars: int, values: dict[s
 
     order = Window.partitionBy("session_key").orderBy("line_no")
     head = lines.where(F.col("block_start") == 0).withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= max_lines)
-    head = head.withColumn("__read", F.sum(F.length(F.to_json("v")) + 1).over(order)).where(F.coalesce("__read", F.lit(0)) < max_chars)
+    head = head.withColumn("__read", F.sum(F.length("raw") + 1).over(order)).where(F.col("__read") < max_chars)
     rows = head.select("session_key", "__n", *[value.alias(name) for name, value in values.items()])
     firsts = [F.min_by(F.col(name), F.when(F.col(name).isNotNull() & (F.col(name) != ""), F.col("__n"))).alias(name) for name in values]
     return rows.groupBy("session_key").agg(*firsts)

@@ -55,7 +55,10 @@ def collect(path: str) -> Head | None:
     root = find_root(path)
     if root is None:
         return None
-    return Head(root, {name: git(root, *args) or "" for name, args in COMMANDS.items()})
+    found = Head(root, {name: git(root, *args) or "" for name, args in COMMANDS.items()})
+    if found.detached:
+        found.texts["describe"] = git(root, "describe", "--all", "--always") or ""
+    return found
 
 
 def vcs_changes(spark: SparkSession, head: Head) -> DataFrame:

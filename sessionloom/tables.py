@@ -64,3 +64,92 @@ def patch_operations(rows: DataFrame) -> DataFrame:
     key = F.get_json_object("props", "$.k")
     record = F.when(F.col("event_type") == "signup", F.to_json(F.struct(key.alias("$rewindTo")))).otherwise(F.to_json(F.struct(key.alias("id"), F.lit("user").alias("type"), F.col("event_id").cast("string").alias("content"))))
     return rows.select(F.col("user_id").cast("string").alias("session_key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("block_start"), F.col("event_id").alias("line_no"), record.alias("line"))
+
+
+def _record(rows: DataFrame, line: Column) -> DataFrame:
+    return rows.select(F.col("user_id").cast("string").alias("session_key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("block_start"), F.col("event_id").alias("line_no"), line.alias("line"))
+
+
+def _json(**fields: Column) -> Column:
+    return F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()]))
+
+
+def _even() -> Column:
+    return F.col("event_id") % 2 == 0
+
+
+def _props() -> Column:
+    return F.col("props")
+
+
+def _item() -> Column:
+    return F.concat(F.lit("item/"), F.get_json_object("props", "$.k"))
+
+
+def block_tool_lines(rows: DataFrame) -> DataFrame:
+    """`events` in the block dialect: changes are calls, views and errors results, clicks compactions."""
+    t = F.col("event_type")
+
+    def message(role: str, block: Column) -> Column:
+        return _json(type=F.lit(role), sessionId=F.col("user_id").cast("string"), message=F.struct(F.lit(role).alias("role"), F.array(block).alias("content")))
+
+    given = F.struct(_item().alias("file_path"), _props().alias("description"))
+    call = F.struct(F.lit("tool_use").alias("type"), F.when(t == "purchase", "Edit").otherwise("Grep").alias("name"), given.alias("input"))
+    listed = F.struct(F.lit("tool_result").alias("type"), F.array(F.struct(F.lit("text").alias("type"), _props().alias("text")), F.struct(F.lit("image").alias("type"), F.lit("").alias("text"))).alias("content"), F.lit(False).alias("is_error"))
+    failed = F.struct(F.lit("tool_result").alias("type"), _props().alias("content"), F.lit(True).alias("is_error"))
+    boundary = _json(type=F.lit("system"), subtype=F.lit("compact_boundary"), compactMetadata=F.struct(F.lit("auto").alias("trigger"), F.col("event_id").alias("preTokens")))
+    summary = _json(type=F.lit("summary"), summary=_props())
+    line = F.when(t.isin("purchase", "signup"), message("assistant", call)).when(t == "view", message("user", listed)).when(t == "error", message("user", failed)).otherwise(F.when(_even(), boundary).otherwise(summary))
+    return _record(rows, line)
+
+
+def rollout_tool_lines(rows: DataFrame) -> DataFrame:
+    """`events` in the rollout dialect: calls, changes of files, outputs, errors, compactions and metadata."""
+    t = F.col("event_type")
+
+    def response(**payload: Column) -> Column:
+        return _json(type=F.lit("response_item"), payload=F.struct(*[v.alias(k) for k, v in payload.items()]))
+
+    def item(**fields: Column) -> Column:
+        inner = F.struct(F.lit("item_completed").alias("type"), F.struct(*[v.alias(k) for k, v in fields.items()]).alias("item"))
+        return _json(type=F.lit("event_msg"), payload=inner)
+
+    changes = F.create_map(_item(), F.struct(F.lit("update").alias("type")), F.lit("a.txt"), F.struct(F.lit("add").alias("type")))
+    call = response(type=F.lit("function_call"), session_id=F.col("event_id").cast("string"), name=F.lit("exec"), arguments=F.when(_even(), F.concat(F.lit("cat >> "), _item())).otherwise(_props()))
+    output = response(type=F.lit("function_call_output"), output=F.array(F.struct(F.lit("text").alias("type"), _props().alias("text"))))
+    compacted = _json(type=F.lit("compacted"), payload=F.struct(F.lit("").alias("message"), F.array(F.struct(F.lit(1).alias("a")), F.struct(F.lit(2).alias("a"))).alias("replacement_history")))
+    tool = item(type=F.lit("McpToolCall"), server=F.lit("srv"), tool=F.lit("find"), title=_props())
+    meta = _json(type=F.lit("session_meta"), payload=F.struct(F.concat(F.lit("/w/"), _item()).alias("cwd"), F.lit("cli").alias("originator")))
+    failed = response(type=F.lit("custom_tool_call_output"), output=F.concat(F.lit("Exit code: 1\n"), _props()))
+    trouble = item(type=F.lit("Error"), message=_props())
+    line = (
+        F.when(t == "purchase", call)
+        .when(t == "signup", item(type=F.lit("FileChange"), changes=changes))
+        .when(t == "view", F.when(_even(), output).otherwise(compacted))
+        .when(t == "click", F.when(_even(), tool).otherwise(meta))
+        .otherwise(F.when(_even(), failed).otherwise(trouble))
+    )
+    return _record(rows, line)
+
+
+def patch_tool_lines(rows: DataFrame) -> DataFrame:
+    """`events` in the patch dialect: calls with results, answers, calls among parts, errors and ignored context."""
+    t = F.col("event_type")
+
+    def message(kind: str, **fields: Column) -> Column:
+        return _json(id=F.concat(F.lit("e"), F.col("event_id").cast("string")), type=F.lit(kind), **fields)
+
+    used = F.array(F.struct(F.lit("write_file").alias("name"), F.struct(_item().alias("file_path")).alias("args"), _props().alias("result")))
+    answer = F.array(F.struct(F.struct(F.lit("look").alias("name"), F.struct(_props().alias("output")).alias("response")).alias("functionResponse")))
+    calls = F.array(F.to_json(F.struct(F.lit("done").alias("text"))), F.to_json(F.struct(F.struct(F.lit("run_shell_command").alias("name"), F.struct(F.concat(F.lit("cat >> "), _item()).alias("command")).alias("args")).alias("functionCall"))))
+    head = message("gemini")
+    parts = F.concat(F.expr("left(%s, length(%s) - 1)" % (("__head",) * 2)), F.lit(',"content":['), F.array_join(calls, ","), F.lit("]}"))
+    rows = rows.withColumn("__head", head)
+    line = (
+        F.when(t == "purchase", message("gemini", content=F.lit(""), toolCalls=used))
+        .when(t == "view", message("user", content=answer))
+        .when(t == "click", parts)
+        .when(t == "error", message("error", content=_props()))
+        .otherwise(message("user", content=F.lit("<session_context>none typed this</session_context>")))
+    )
+    return _record(rows, line)

@@ -109,8 +109,10 @@ def test_discovery(spark):
         discovery.select_session(found.where("match = 'foreign'"))
     with pytest.raises(discovery.NoSession, match="there are no"):
         discovery.select_session(found.limit(0))
-    near = discovery.discover(files, probes, "block", "/r/x", probe_limit=1)
-    assert {r["note"] for r in near.where("match = 'hinted'").collect()} == {"session directory matches repository path"} and near.where("match = 'confirmed'").count() == 0
+    near = discovery.discover(files, probes.limit(0), "block", "/r/x")
+    assert [(r["note"], r["match"]) for r in near.distinct().select("note", "match").distinct().collect()] == [("its folder carries the repository's name", "hinted")]
+    assert [r["session_key"] for r in discovery.newest(files, 2).collect()] == ["/h/-r-x/a.jsonl", "/h/-r-x/b.jsonl"]
+    assert [r["session_id"] for r in discovery.ranked(found).collect()] == ["idb", "c"]
     counts = discovery.linked_counts(found).first()
     assert (counts["sessions"], counts["linked"]) == (3, 2)
     ids = spark.createDataFrame([("/x/rollout-2026-0a1b2c3d-0000-1111-2222-333344445555.jsonl",)], "p string")

@@ -48,8 +48,10 @@ def test_times(spark):
 
 def test_head_tail_keeps_to_its_budget(spark):
     long = "h" * 3000 + "t" * 3000
-    for budget in (100, 2200, 5000):
-        assert len(values(spark, lambda T: text.head_tail(T, budget), [long])[0]) <= budget + 60
+    for budget in (0, 10, 44, 45, 46, 100, 1000, 1990, 2044, 2045, 2200, 5000):
+        got = values(spark, lambda T: text.head_tail(T, budget), [long])[0]
+        assert len(got) <= budget and got[:1] == "h"[:budget]
+    assert values(spark, lambda T: text.head_tail(T, 5000), [long])[0].endswith("t" * 1000)
     assert values(spark, lambda T: text.head_tail(T, 9000), [long]) == [long]
     assert values(spark, lambda T: text.collapse_blank_lines(T), ["a\n\n\n\nb"]) == ["a\n\nb"]
 

@@ -51,12 +51,15 @@ def test_snapshot(spark, tmp_path, repo, logs):
     report = open(paths["report.md"]).read()
     assert "token=[REDACTED]" in report and "- `a.py` - touched by the session" in report and "- `b.py`" in report and "it failed" in report
     evidence = open(paths["evidence.md"]).read()
-    assert "## Errors" in evidence and "abcdefgh" not in evidence
+    assert "## What failed" in evidence and "abcdefgh" not in evidence
     from datetime import datetime
 
     when = datetime(2026, 1, 1)
     assert plans.preserve(out, "report.md", "block", "sess-1", when).endswith("20260101-000000-block-sess-1.md")
     assert plans.preserve(out, "report.md", "block", "sess-1", when) is None
+    assert plans.show(out) == report and plans.show(out, "nothing.md") is None
+    open(paths["report.md"], "a").write("a note of one's own")
+    assert plans.recover(spark, "block", logs, repo, out) == paths and "a note" not in plans.show(out) and len(os.listdir(os.path.join(out, "history"))) == 2
 
 
 def test_status_and_saved_tables(spark, tmp_path, repo, logs):
