@@ -113,46 +113,57 @@ def flatten_result(value: Column) -> Column:
     return F.when(is_kind(value, "STRING"), string_at(value, "$")).when(is_kind(value, "ARRAY"), listed).when(is_kind(value, "OBJECT"), whole).otherwise(scalar_at(value, "$"))
 
 
-def _call(name: Column, args: Column, raw: Column) -> Column:
-    told = describe_args(args)
-    return ev.event(ev.TOOL_CALL, told, raw, tool=name, paths=paths_of_args(args), mutating=tool_mutates(name, told))
+def _piece(which: str, name: Column | None = None, value: Column | None = None) -> Column:
+    name = F.lit(None).cast("string") if name is None else name
+    value = F.lit(None).cast("variant") if value is None else value
+    return F.struct(F.lit(which).alias("which"), name.alias("name"), value.alias("value"))
 
 
-def _result(name: Column, value: Column, raw: Column) -> Column:
-    text = flatten_result(value)
-    failed = looks_failed(text)
-    return ev.event(F.when(failed, ev.TOOL_ERROR).otherwise(ev.TOOL_RESULT), text, raw, tool=name, error=failed)
+def pieces(rows: DataFrame) -> DataFrame:
+    """Rows (v, raw) as one row for each thing that a message says, calls or answers, in order: sub_no, which, name, value, said.
 
-
-def message_events(rows: DataFrame) -> tuple[DataFrame, Column]:
-    """Rows (v, raw) with what their events are made of as columns of their own, and the events of each."""
-    v, raw = F.col("v"), F.col("raw")
-    # columns used several times are kept apart, so that they are computed once
-    rows = rows.withColumn("parts", parts_of(v, "$.content"))
-    rows = rows.withColumn("said", visible_text(F.col("parts"))).withColumn("trimmed", strip(F.col("said")))
-    rows = rows.withColumn("injected", (raw == "user") & is_injected_context(F.col("said")))
+    Things come out of the message before they are described, so that each is
+    described by columns of its own row.
+    """
+    v, raw, parts = F.col("v"), F.col("raw"), F.col("parts")
+    get = lambda of, path: F.try_variant_get(of, path, "variant")
+    rows = rows.withColumn("parts", parts_of(v, "$.content")).withColumn("said", visible_text(parts))
+    answers = F.filter(parts, lambda x: object_at(x, "$.functionResponse").isNotNull())
+    answered = F.transform(answers, lambda x: _piece("result", string_at(x, "$.functionResponse.name"), get(x, "$.functionResponse.response")))
+    calls = F.filter(F.transform(parts, lambda x: object_at(x, "$.functionCall")), lambda c: c.isNotNull())
+    called = F.transform(calls, lambda c: _piece("call", scalar_at(c, "$.name"), get(c, "$.args")))
     tools = F.filter(F.coalesce(list_at(v, "$.toolCalls"), F.array().cast("array<variant>")), lambda c: is_kind(c, "OBJECT"))
-    calls = F.filter(F.transform("parts", lambda x: object_at(x, "$.functionCall")), lambda c: c.isNotNull())
-    answers = F.filter("parts", lambda x: object_at(x, "$.functionResponse").isNotNull())
-    rows = rows.withColumn("tools", F.when(raw.isin("gemini", "model"), tools)).withColumn("calls", F.when(raw.isin("gemini", "model"), calls)).withColumn("answers", F.when(raw == "user", answers))
-
-    def both(c: Column) -> Column:
-        name = scalar_at(c, "$.name")
-        result = F.try_variant_get(c, "$.result", "variant")
-        there = result.isNotNull() & (kind(result) != "VOID")
-        return F.concat(F.array(_call(name, F.try_variant_get(c, "$.args", "variant"), raw)), ev.one(_result(name, result, raw), there))
-
-    rows = rows.withColumn("answered", F.transform("answers", lambda x: _result(string_at(x, "$.functionResponse.name"), F.try_variant_get(x, "$.functionResponse.response", "variant"), raw)))
-    rows = rows.withColumn("called", F.transform("calls", lambda c: _call(scalar_at(c, "$.name"), F.try_variant_get(c, "$.args", "variant"), raw)))
-    rows = rows.withColumn("used", F.flatten(F.transform("tools", both)))
-
-    said, trimmed = F.col("said"), F.col("trimmed")
-    snapshot = F.left(trimmed, F.lit(64)).contains("<state_snapshot>")
-    ignored = (trimmed == "") | trimmed.rlike("^(/|\\?|<session_context>|<hook_context>)") | F.col("injected")
-    user = F.when(F.size("answers") > 0, F.col("answered")).when(snapshot, ev.one(ev.event(ev.COMPACTION, said, raw))).otherwise(ev.one(ev.event(ev.USER, said, raw, F.lit("user")), ~ignored))
-    model = F.concat(ev.one(ev.event(ev.ASSISTANT, said, raw, F.lit("model")), (trimmed != "") & (trimmed != ACKNOWLEDGED)), F.col("called"), F.col("used"))
-    trouble = ev.one(ev.event(ev.TOOL_ERROR, said, raw, error=F.lit(True)))
-    return rows, F.when(raw == "error", trouble).when(raw == "user", user).when(raw.isin("gemini", "model"), model).otherwise(ev.no_events())
+    used = F.flatten(F.transform(tools, lambda c: F.array(_piece("call", scalar_at(c, "$.name"), get(c, "$.args")), _piece("result", scalar_at(c, "$.name"), get(c, "$.result")))))
+    used = F.filter(used, lambda x: (x["which"] == "call") | (x["value"].isNotNull() & (kind(x["value"]) != "VOID")))
+    user = F.when(F.size(answers) > 0, answered).otherwise(F.array(_piece("user")))
+    found = F.when(raw == "error", F.array(_piece("error"))).when(raw == "user", user).when(raw.isin("gemini", "model"), F.concat(F.array(_piece("model")), called, used))
+    rows = rows.withColumn("found", found)
+    kept = [c for c in rows.columns if c not in ("v", "parts", "found")]
+    return rows.select(*kept, F.posexplode("found").alias("sub_no", "x")).select(*kept, "sub_no", "x.*")
+
+
+def described_pieces(rows: DataFrame) -> DataFrame:
+    """The events of `pieces`, as the column e; what says nothing is left out."""
+    which, raw, name, value, said = (F.col(c) for c in ("which", "raw", "name", "value", "said"))
+    text = F.when(which == "call", describe_args(value)).when(which == "result", flatten_result(value)).otherwise(said)
+    rows = rows.withColumn("text", text).withColumn("trimmed", F.when(which.isin("user", "model"), strip(said)))
+    text, trimmed = F.col("text"), F.col("trimmed")
+    rows = rows.withColumn("failed", F.when(which == "result", looks_failed(text)).otherwise(which == "error"))
+    snapshot = (which == "user") & F.left(trimmed, F.lit(64)).contains("<state_snapshot>")
+    ignored = (trimmed == "") | trimmed.rlike("^(/|\\?|<session_context>|<hook_context>)") | is_injected_context(said)
+    heard = F.when(which == "user", snapshot | ~ignored).when(which == "model", (trimmed != "") & (trimmed != ACKNOWLEDGED)).otherwise(True)
+    kinds = (
+        F.when(which == "call", ev.TOOL_CALL)
+        .when(which.isin("result", "error"), F.when(F.col("failed"), ev.TOOL_ERROR).otherwise(ev.TOOL_RESULT))
+        .when(which == "model", ev.ASSISTANT)
+        .otherwise(F.when(snapshot, ev.COMPACTION).otherwise(ev.USER))
+    )
+    role = F.when(which == "model", "model").when((which == "user") & ~snapshot, "user")
+    paths = F.when(which == "call", paths_of_args(value)).otherwise(F.array().cast("array<string>"))
+    mutating = F.when(which == "call", tool_mutates(name, text)).otherwise(False)
+    e = ev.event(kinds, text, raw, role, name, paths, F.col("failed"), mutating)
+    kept = [c for c in rows.columns if c not in ("which", "raw", "name", "value", "said", "text", "trimmed", "failed")]
+    return rows.select(*kept, F.explode(ev.one(e, heard)).alias("e"))
 
 
 def scratchpad(lines: DataFrame) -> DataFrame:
@@ -180,10 +191,6 @@ def scratchpad(lines: DataFrame) -> DataFrame:
     return rows.select("session_key", "last.at.*", F.col("last.note").alias("note"), F.coalesce(F.col("moved") > F.col("last.at"), F.lit(False)).alias("stale"))
 
 
-def _with_agent(rows: DataFrame, events: Column) -> tuple[DataFrame, str, Column]:
-    return rows, AGENT, events
-
-
 def normalize(lines: DataFrame) -> DataFrame:
     """Events of the messages that are live at the end of each log, in their final order, then its saved note.
 
@@ -196,7 +203,8 @@ def normalize(lines: DataFrame) -> DataFrame:
     ids = lines.where("ok").groupBy("session_key").agg(F.coalesce(F.min_by(named, at), F.lit("")).alias("session_id"))
     live = replay(operations(lines)).join(ids, "session_key", "left").withColumn("v", F.parse_json("body"))
     rows = live.select("session_key", "session_id", F.lit(0).cast("long").alias("block_start"), F.col("pos").cast("long").alias("line_no"), "v", scalar_at(v, "$.type").alias("raw"), ts_to_iso(F.try_variant_get(v, "$.timestamp", "variant")).alias("ts_raw"))
-    out = ev.table(*_with_agent(*message_events(rows)))
+    out = described_pieces(pieces(rows)).withColumn("agent", F.lit(AGENT)).withColumn("ts", F.col("ts_raw").try_cast("timestamp"))
+    out = out.select("agent", "session_key", "session_id", "block_start", "line_no", "sub_no", "ts_raw", "ts", "e.*").select(*ev.COLUMNS)
     fresh = F.when(F.col("stale"), "possibly stale - the conversation continued after it was last saved").otherwise("fresh as of the most recent message")
     text = F.concat(F.lit("Saved scratchpad of the agent ("), fresh, F.lit("). It is evidence, not fact.\n\n"), F.col("note"))
     notes = scratchpad(lines).join(ids, "session_key", "left").select("session_key", "session_id", F.lit(1).cast("long").alias("block_start"), F.lit(0).cast("long").alias("line_no"), F.lit(None).cast("string").alias("ts_raw"), text.alias("t"))

@@ -377,9 +377,17 @@ def human_sizes(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").select("doc_id", text.human_size(F.octet_length("text")).alias("size"))
 
 
-@query()
+@query("SELECT doc_id, doc_id % 4 IN (0, 3) AS injected FROM documents")
 def injected_context_flag(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "pages").select("page_id", classify.is_injected_context(F.col("html")).alias("injected"))
+    """Texts that are one element, that have much besides, that begin otherwise, and that have little besides."""
+    n = F.col("doc_id").cast("string")
+    shapes = F.array(
+        F.concat(F.lit('<env_info a="1">words '), n, F.lit("</env_info>")),
+        F.concat(F.lit("<env_info>x</env_info>"), F.repeat(n, 50)),
+        F.concat(F.lit("plain <env_info>"), n, F.lit("</env_info>")),
+        F.concat(F.lit("  <a-b-c>q</a-b-c> <ctx>"), n, F.lit("</ctx> tail")),
+    )
+    return read(spark, d, "documents").select("doc_id", classify.is_injected_context(F.element_at(shapes, (F.col("doc_id") % 4 + 1).cast("int"))).alias("injected"))
 
 
 @query(" UNION ALL ".join(f"SELECT '{name}' AS bucket, * FROM ({_bucket_sql(where, last, most)})" for name, where, last, most in (
