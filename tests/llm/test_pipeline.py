@@ -69,6 +69,24 @@ def test_stages(spark, corpus):
     assert corpus_pipeline.run(spark, folder).count() == len(secret)
 
 
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stage_on_odd_tables(spark, corpus, name):
+    """Empty tables, repeated and null ids, null texts, and columns named as the stages name theirs."""
+    folder, _, _ = corpus
+    stage = dict(corpus_pipeline.STAGES)[name]
+    df = spark.read.parquet(f"{folder}/documents.parquet").selectExpr("*", "1 AS shard", "'x' AS fp", "'b' AS blob", "true AS stays", "2 AS spans", "3 AS n_words", "'y' AS component_id")
+    assert stage(spark, df.limit(0), folder).count() == 0
+    odd = df.unionByName(df.where("doc_id IN (3, 104)")).unionByName(df.where("doc_id = 5").selectExpr("cast(null AS long) AS doc_id", *df.columns[1:]))
+    got = stage(spark, odd, folder)
+    if name == "tokens":
+        assert got.count() == odd.count()
+        return
+    assert got.columns == odd.columns
+    counts = {r["doc_id"]: r["count"] for r in got.groupBy("doc_id").count().collect()}
+    assert counts[3] == 2  # rows of one id share a decision
+    assert {r["shard"] for r in got.select("shard").distinct().collect()} == {1}
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_against_sql(spark, name):
