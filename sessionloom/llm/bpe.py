@@ -77,6 +77,14 @@ def sentencepiece_model(ranks: dict[bytes, int]) -> bytes:
     return b"".join([*out, _field(2, trainer), _field(3, normalizer)])
 
 
+def _is_text(token: bytes) -> bool:
+    try:
+        token.decode()
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
 class Codec:
     """Encodes and decodes with a model from `sentencepiece_model`."""
 
@@ -87,9 +95,10 @@ class Codec:
         import sentencepiece
 
         self._model = sentencepiece.SentencePieceProcessor(model_proto=model)
-        self._ranks = ranks
         self._bytes = [t for t, _ in sorted(ranks.items(), key=lambda x: x[1])]
         self._map = {b: c for b, c in enumerate(byte_characters())}
+        # packed ids of tokens that are text by themselves
+        self._whole = {t.decode(): r.to_bytes(4, "little") for t, r in ranks.items() if _is_text(t)}
         self._split = regex.compile(pattern.replace(r"[^\s\p{L}\p{N}]", rf"[^{WHITE_SPACE}\p{{L}}\p{{N}}]").replace(r"\s+(?!\S)", f"[{WHITE_SPACE}]+(?![^{WHITE_SPACE}])").replace(r"\s+", f"[{WHITE_SPACE}]+")).findall
         # where no pre-token can reach across: a run without white space with the space before it, or white space
         self._segments = re.compile(f" ?[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+(?![^{WHITE_SPACE}])|[{WHITE_SPACE}]+").findall
@@ -105,15 +114,16 @@ class Codec:
     def _encode_pretokens(self, tokens: set[str]) -> dict[str, bytes]:
         """Packed ids of each pre-token; those that are no token of the rank file go to the model in one call."""
         ids, hard, pieces = {}, [], []
-        ranks, chars = self._ranks, self._map
+        whole, chars, space = self._whole, self._map, self._map[0x20]
         for token in tokens:
-            raw = token.encode()
-            rank = ranks.get(raw)
+            rank = whole.get(token)
             if rank is not None:
-                ids[token] = rank.to_bytes(4, "little")
-            else:
-                hard.append(token)
-                pieces.append(raw.decode("latin-1").translate(chars))
+                ids[token] = rank
+                continue
+            hard.append(token)
+            # bytes of ASCII letters stand for themselves, and only a space can come before them
+            plain = token.isascii() and (token.isalpha() or token[1:].isalpha() and token[0] == " ")
+            pieces.append(token.replace(" ", space) if plain else token.encode().decode("latin-1").translate(chars))
         for token, found in zip(hard, self._model.encode(pieces, num_threads=1), strict=True):
             ids[token] = struct.pack(f"<{len(found)}I", *found)
         return ids
