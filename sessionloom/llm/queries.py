@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.llm import bpe, decontam, language, quality, repeats, secrets, simhash, url_rules, wrappers
+from sessionloom.llm import bpe, collocations, decontam, language, packing, quality, repeats, secrets, simhash, url_rules, whitening, wrappers
 from sessionloom.llm.common import temporary
 
 
@@ -74,6 +74,24 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.selectExpr("doc_id", "n AS n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's first whitened components; a deviation that is no long is null."""
+    out = whitening.whitening(_read(spark, sf_dir, "embeddings"))
+    return out.selectExpr("vec_id", "component", "n", "try_cast(deviation AS long) AS deviation", "whitened", "explained", "identity_error")
+
+
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of each language."""
+    return collocations.collocations(_read(spark, sf_dir, "documents"))
+
+
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces and their places in sequences of 1024 tokens."""
+    import public_tokenizers
+
+    return packing.best_fit_packing(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
 def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The counts of op6_secret_scan alone, which SQL can say."""
     return op6_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
@@ -110,6 +128,9 @@ QUERIES = {
         op8_substring_dedup,
         op9_byte_bpe,
         op10_suffix_array_dedup,
+        op11_embedding_whitening,
+        op12_phrase_collocations,
+        op13_best_fit_packing,
     )
 }
 
@@ -134,6 +155,32 @@ best AS (
   SELECT r, arg_max(rules.rule, length(rules.rule)) AS rule, arg_max(verdict, length(rules.rule)) AS verdict
   FROM p JOIN rules ON (p.host = rules.host OR ends_with(p.host, '.' || rules.host)) AND starts_with(p.path, rules.start) GROUP BY r)
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN best USING (r)
+""",
+    "op12_phrase_collocations": r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+total AS (SELECT lang, sum(len(ws)) AS n FROM w GROUP BY lang),
+grams AS (
+  SELECT lang, 1 AS m, unnest(ws) AS g FROM w
+  UNION ALL SELECT lang, 2 AS m, unnest(list_transform(range(1, len(ws)), lambda s: ws[s] || ' ' || ws[s + 1])) AS g FROM w
+  UNION ALL SELECT lang, 3 AS m, unnest(list_transform(range(1, len(ws) - 1), lambda s: ws[s] || ' ' || ws[s + 1] || ' ' || ws[s + 2])) AS g FROM w),
+f AS (SELECT lang, m, g, count(*) AS f FROM grams GROUP BY lang, m, g HAVING count(*) >= 10),
+candidate AS (SELECT *, string_split(g, ' ') AS ws FROM f WHERE m > 1),
+parts AS (
+  SELECT lang, m, g, f, 1 AS k, ws[1] AS x, array_to_string(ws[2 :], ' ') AS y FROM candidate
+  UNION ALL SELECT lang, m, g, f, 2 AS k, ws[1] || ' ' || ws[2] AS x, ws[3] AS y FROM candidate WHERE m = 3),
+cuts AS (
+  SELECT c.lang, c.m, c.g, c.f AS a, c.k, x.f AS l, y.f AS r, (CAST(1000000 AS HUGEINT) * c.f * c.f) // (CAST(x.f AS HUGEINT) * y.f) AS score
+  FROM parts c JOIN f x ON x.lang = c.lang AND x.g = c.x JOIN f y ON y.lang = c.lang AND y.g = c.y),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+held AS (SELECT lang, g, max(f) AS longer FROM (SELECT lang, unnest([ws[1] || ' ' || ws[2], ws[2] || ' ' || ws[3]]) AS g, f FROM candidate WHERE m = 3) GROUP BY lang, g),
+ranked AS (
+  SELECT best.lang, best.g AS phrase, a, l, r, score
+  FROM best LEFT JOIN held ON held.lang = best.lang AND held.g = best.g WHERE longer IS NULL OR 100 * longer < 50 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM ranked JOIN total USING (lang) QUALIFY rank <= 2000
 """,
     "op10_suffix_array_dedup": """
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
