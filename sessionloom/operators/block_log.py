@@ -11,6 +11,8 @@ from sessionloom.operators import events as ev
 from sessionloom.sources.jsonl import head_values, is_kind, json_text, list_at, object_at, scalar_at, string_at
 
 AGENT = "block"
+#: Lines and characters of a session's head.
+HEAD = (200, 512 << 10)
 # The input keys that describe a call, and those that hold paths.
 INPUT_KEYS = ("command", "file_path", "path", "pattern", "notebook_path", "url", "query", "description", "prompt", "old_string", "new_string")
 PATH_KEYS = ("file_path", "path", "notebook_path", "filePath")
@@ -82,7 +84,7 @@ def normalize(lines: DataFrame) -> DataFrame:
 
 
 def probe(lines: DataFrame) -> DataFrame:
-    """session_key, session_id and cwd from each session's first 200 lines."""
+    """session_key, session_id and cwd from each session's head."""
     v = F.col("v")
     cwd = F.coalesce(F.nullif(scalar_at(v, "$.cwd"), F.lit("")), scalar_at(v, "$.attachment.snapshot.workingDirectory"))
-    return head_values(lines, 200, 512 * 1024, {"session_id": scalar_at(v, "$.sessionId"), "cwd": cwd})
+    return head_values(lines, *HEAD, {"session_id": scalar_at(v, "$.sessionId"), "cwd": cwd})

@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionloom.functions.classify import is_injected_context, looks_failed, tool_mutates
 from sessionloom.functions.text import strip, ts_to_iso
 from sessionloom.operators import events as ev
+from sessionloom.shared import importable
 from sessionloom.sources.jsonl import head_values, is_kind, json_text, kind, list_at, object_at, scalar_at, string_at
 
 AGENT = "patch"
+#: Lines and characters of a log's head.
+HEAD = (5, 64 << 10)
 # Argument keys that describe a call, and those that hold paths; a reply that says nothing.
 ARG_KEYS = ("file_path", "path", "absolute_path", "old_path", "new_path", "old_string", "new_string", "command", "pattern", "query", "url")
 PATH_KEYS = ("file_path", "path", "absolute_path", "old_path", "new_path")
 ACKNOWLEDGED = "Got it. Thanks for the additional context!"
 
-_MESSAGE = "struct<id:string,block_start:bigint,line_no:bigint,body:string>"
 #: Operations in a log's order of precedence.
 REWIND, REPLACE, UPSERT = "rewind", "replace", "upsert"
 
@@ -40,39 +45,70 @@ def operations(lines: DataFrame) -> DataFrame:
     op = F.when(rewind.isNotNull(), REWIND).when(update.isNotNull(), F.when(F.col("listed").isNotNull(), REPLACE)).when(header | named, UPSERT)
     messages = F.transform(
         F.filter(F.coalesce("listed", F.array().cast("array<variant>")), lambda m: string_at(m, "$.id").isNotNull()),
-        lambda m: F.struct(string_at(m, "$.id").alias("id"), F.col("block_start"), F.col("line_no"), json_text(m).alias("body")),
+        lambda m: F.struct(string_at(m, "$.id").alias("id"), json_text(m).alias("body")),
     )
     done = F.struct(op.alias("op"), rewind.alias("id"), messages.alias("messages"))
     return rows.select("session_key", "block_start", "line_no", F.explode(F.filter(F.array(done), lambda x: x["op"].isNotNull())).alias("x")).select("session_key", "block_start", "line_no", "x.*")
 
 
-def _upserted(held: Column, new: Column) -> Column:
-    """`held` with messages of `new`: one of a known id takes its place, others go to the end."""
+class Live:
+    """The messages that are live after the operations so far, as (id, place), in order. Each step costs what it changes."""
+
+    def __init__(self):
+        self.order: list[tuple[str, tuple]] = []
+        self.at: dict[str, int] = {}
+
+    def upsert(self, id_: str, place: tuple) -> None:
+        """A known id keeps its place in the order; others go to the end."""
+        at = self.at.setdefault(id_, len(self.order))
+        self.order[at : at + 1] = [(id_, place)]
+
+    def rewind(self, id_: str | None) -> None:
+        """Only what stands before that id stays; nothing if it is unknown."""
+        for gone, _ in self.order[self.at.get(id_, 0) :]:
+            del self.at[gone]
+        del self.order[len(self.at) :]
+
+    def apply(self, op: str, id_: str | None, messages: list[tuple[str, tuple]]) -> None:
+        if op in (REWIND, REPLACE):
+            self.rewind(id_ if op == REWIND else None)
+        for message in messages:
+            self.upsert(*message)
 
-    def add(acc: Column, m: Column) -> Column:
-        known = F.exists(acc, lambda h: h["id"] == m["id"])
-        return F.when(known, F.transform(acc, lambda h: F.when(h["id"] == m["id"], m).otherwise(h))).otherwise(F.concat(acc, F.array(m)))
 
-    return F.aggregate(new, held, add)
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Logs one after the other, each in order; holds the live ids and places of one log, and no message."""
+    key, live = None, Live()
+
+    def out() -> pa.RecordBatch:
+        n = len(live.order)
+        places = [place for _, place in live.order]
+        columns = [pa.array([key] * n, pa.string()), pa.array(range(n), pa.int32()), pa.array([i for i, _ in live.order], pa.string())]
+        columns += [pa.array([p[k] for p in places], pa.int64() if k < 2 else pa.int32()) for k in range(3)]
+        return pa.RecordBatch.from_arrays(columns, names=["session_key", "pos", "id", "block_start", "line_no", "item"])
+
+    for batch in batches:
+        for of, block, line, op, id_, ids in zip(*(batch.column(c).to_pylist() for c in ("session_key", "block_start", "line_no", "op", "id", "ids")), strict=True):
+            if of != key:
+                yield out()
+                key, live = of, Live()
+            live.apply(op, id_, [(m, (block, line, k)) for k, m in enumerate(ids)])
+    yield out()
 
 
 def replay(ops: DataFrame) -> DataFrame:
     """session_key, pos, id, block_start, line_no and body of the messages that are left after all operations.
 
-    A file's operations are folded in their order; a log's size is a chat's.
+    Ids and places of operations are dealt by log, sorted by Spark, and folded
+    as they come, in time linear in the log; the messages themselves are joined
+    to the places that are left.
     """
-    none = F.array().cast(f"array<{_MESSAGE}>")
-    log = F.sort_array(F.collect_list(F.struct("block_start", "line_no", "op", "id", "messages")))
-
-    def step(acc: Column, o: Column) -> Column:
-        ids = F.transform(acc, lambda m: m["id"])
-        at = F.array_position(ids, o["id"])
-        kept = F.when(at > 0, F.slice(acc, F.lit(1), (at - 1).cast("int"))).otherwise(none)
-        return F.when(o["op"] == REWIND, kept).when(o["op"] == REPLACE, _upserted(none, o["messages"])).otherwise(_upserted(acc, o["messages"]))
-
-    rows = ops.groupBy("session_key").agg(F.aggregate(log, none, step).alias("live"))
-    rows = rows.select("session_key", F.posexplode("live").alias("pos", "m"))
-    return rows.select("session_key", "pos", "m.*")
+    importable(ops.sparkSession)
+    told = ops.select("session_key", "block_start", "line_no", "op", "id", F.col("messages.id").alias("ids"))
+    sorted_ = told.repartition("session_key").sortWithinPartitions("session_key", "block_start", "line_no")
+    live = sorted_.mapInArrow(_folded, "session_key string, pos int, id string, block_start long, line_no long, item int")
+    bodies = ops.select("session_key", "block_start", "line_no", F.posexplode("messages").alias("item", "m")).select("session_key", "block_start", "line_no", "item", "m.body")
+    return live.join(bodies, ["session_key", "block_start", "line_no", "item"]).select("session_key", "pos", "id", "block_start", "line_no", "body")
 
 
 def parts_of(v: Column, path: str) -> Column:
@@ -212,12 +248,12 @@ def normalize(lines: DataFrame) -> DataFrame:
 
 
 def probe(lines: DataFrame, markers: DataFrame | None = None) -> DataFrame:
-    """session_key and session_id from each log's first 5 lines, and cwd from the marker of its project.
+    """session_key and session_id from each log's head, and cwd from the marker of its project.
 
     markers: (project, cwd), the folder that holds the chats and its marker's text.
     """
     v = F.col("v")
-    found = head_values(lines, 5, 64 * 1024, {"session_id": string_at(v, "$.sessionId")})
+    found = head_values(lines, *HEAD, {"session_id": string_at(v, "$.sessionId")})
     project = F.regexp_extract(F.regexp_replace("session_key", "^file:/+", "/"), "^(.*)/[^/]+/[^/]+$", 1)
     if markers is None:
         return found.withColumn("cwd", F.lit(None).cast("string"))

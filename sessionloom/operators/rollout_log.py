@@ -8,15 +8,20 @@ from pyspark.sql import functions as F
 from sessionloom.functions.classify import is_injected_context, is_mutating_tool, looks_failed, mutates_by_shell
 from sessionloom.functions.text import is_blank, sha256_text, strip, ts_to_iso
 from sessionloom.operators import events as ev
+from sessionloom.shared import few_broadcast
 from sessionloom.sources.jsonl import head_values, is_kind, json_text, list_at, object_at, scalar_at, string_at
 
 AGENT = "rollout"
+#: Lines and characters of a session's head.
+HEAD = (60, 512 << 10)
 # Types of calls and outputs, of text blocks, and a session's described keys.
 CALLS = ("custom_tool_call", "function_call", "local_shell_call")
 OUTPUTS = ("custom_tool_call_output", "function_call_output", "local_shell_call_output")
 TEXT_TYPES = ("input_text", "output_text", "text", "Text")
 IMAGE_TYPES = ("input_image", "image")
 ITEMS = ("FileChange", "ContextCompaction", "Error", "McpToolCall", "UserMessage")
+#: What an event's place is.
+PLACE = ["session_key", "block_start", "line_no", "sub_no"]
 META_KEYS = ("session_id", "cwd", "originator", "cli_version", "model_provider")
 
 
@@ -59,15 +64,26 @@ def first_ids(lines: DataFrame) -> DataFrame:
     return rows.groupBy("session_key").agg(F.min_by("id", "at").alias("first_id"), F.min("at").alias("named_at"))
 
 
-def normalize(lines: DataFrame, dedupe: bool = True, broadcast_ids: bool = False) -> DataFrame:
+def normalize(lines: DataFrame, dedupe: bool = True) -> DataFrame:
     """Events of rollout-dialect lines (see `read_jsonl`).
 
-    A line's session is the first one named so far in its file, found by an
-    aggregation of its own, so that a large file's lines stay in the tasks that
-    read them (`broadcast_ids` if the files are known to be few). A user's text
+    A line's session is the first one named so far in its file. A user's text
     that its session already has is dropped (`dedupe`), whichever kind of record
-    holds it.
+    holds it. Both are found first, from the few lines that can tell: session
+    ids, and the places of repeats, go to the tasks that read the lines, so that
+    no text is shuffled (ids and places beyond `FEW_ROWS` are joined instead).
     """
+    out = _events(lines)
+    if dedupe:
+        users = _events(lines.where(F.col("raw").rlike('"user"|"UserMessage"'))).where(F.col("kind") == ev.USER)
+        out = out.join(few_broadcast(repeats(users)), PLACE, "left_anti")
+    out = out.join(few_broadcast(first_ids(lines)), "session_key", "left")
+    named = F.struct("block_start", "line_no") >= F.col("named_at")
+    return out.withColumn("session_id", F.when(named, F.col("first_id")).otherwise("")).select(*ev.COLUMNS)
+
+
+def _events(lines: DataFrame) -> DataFrame:
+    """Events of lines, each by itself; no session is named."""
     v, p, item, what, body = (F.col(c) for c in ("v", "p", "item", "what", "body"))
     t, pt = F.col("t"), F.col("pt")
     # each step's columns are used several times by the next, and computed once
@@ -122,28 +138,25 @@ def normalize(lines: DataFrame, dedupe: bool = True, broadcast_ids: bool = False
     mutating = F.when(what == "call", is_mutating_tool(F.col("tool")) | mutates_by_shell(text)).otherwise(what == "FileChange")
     rows = rows.withColumns({"tool": named, "session_id": F.lit(""), "ts_raw": ts_to_iso(get(v, "$.timestamp"))})
     spoken = F.when(what == "UserMessage", "user").otherwise(role)
-    out = ev.table(rows, AGENT, ev.one(ev.event(kind, text, raw, spoken, F.col("tool"), paths, F.col("failed"), mutating), heard))
-    # joined to events, which are less than lines
-    out = out.join(F.broadcast(first_ids(lines)) if broadcast_ids else first_ids(lines), "session_key", "left")
-    named = F.struct("block_start", "line_no") >= F.col("named_at")
-    out = out.withColumn("session_id", F.when(named, F.col("first_id")).otherwise("")).select(*ev.COLUMNS)
-    return first_of_repeats(out) if dedupe else out
+    return ev.table(rows, AGENT, ev.one(ev.event(kind, text, raw, spoken, F.col("tool"), paths, F.col("failed"), mutating), heard))
+
+
+def repeats(users: DataFrame) -> DataFrame:
+    """Places of user messages whose stripped text the session already had; only digests are shuffled."""
+    rows = users.select(*PLACE, sha256_text(strip(F.col("text"))).alias("digest"))
+    order = Window.partitionBy("session_key", "digest").orderBy("block_start", "line_no", "sub_no")
+    return rows.withColumn("n", F.row_number().over(order)).where("n > 1").select(*PLACE)
 
 
 def first_of_repeats(events: DataFrame) -> DataFrame:
     """Events without the user messages whose stripped text the session already had."""
-    digest = sha256_text(strip(F.col("text")))
-    user = F.col("kind") == ev.USER
-    # other events get a key of their own, so that they neither gather nor are dropped
-    key = F.when(user, digest).otherwise(F.concat_ws(":", F.col("block_start").cast("string"), F.col("line_no").cast("string"), F.col("sub_no").cast("string")))
-    order = Window.partitionBy("session_key", "__key").orderBy("block_start", "line_no", "sub_no")
-    return events.withColumn("__key", key).withColumn("__n", F.row_number().over(order)).where(~user | (F.col("__n") == 1)).drop("__key", "__n")
+    return events.join(few_broadcast(repeats(events.where(F.col("kind") == ev.USER))), PLACE, "left_anti")
 
 
 def probe(lines: DataFrame) -> DataFrame:
-    """session_key, session_id and cwd from each session's first 60 lines; an id must be hexadecimal."""
+    """session_key, session_id and cwd from each session's head; an id must be hexadecimal."""
     v = F.col("v")
     found = F.coalesce(F.nullif(scalar_at(v, "$.payload.session_id"), F.lit("")), scalar_at(v, "$.payload.id"))
     cwd = F.coalesce(F.nullif(scalar_at(v, "$.payload.cwd"), F.lit("")), string_at(v, "$.payload.workspace_roots[0]"))
-    rows = head_values(lines, 60, 512 * 1024, {"session_id": found, "cwd": cwd})
+    rows = head_values(lines, *HEAD, {"session_id": found, "cwd": cwd})
     return rows.withColumn("session_id", F.when(F.col("session_id").rlike("^[0-9a-fA-F-]{8,}$"), F.col("session_id")))

@@ -5,10 +5,12 @@ from __future__ import annotations
 import json
 import re
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.functions.text import head_tail
+from sessionloom.functions.redact import scrub_text
+from sessionloom.functions.text import head_tail, human_size
+from sessionloom.sources.vcs import Head
 
 NOTHING = "_No events of this kind._\n"
 UNDETERMINED = "Unknown: only a model's summary could say; the evidence file holds the sources."
@@ -20,8 +22,8 @@ SECTIONS = (
     ("What was changed", ["mutating_tools"]),
     ("How the session ended", ["last_events"]),
 )
-#: Errors that a report lists, and kinds of events.
-REPORT_ERRORS, REPORT_KINDS = 3, 6
+#: Errors, kinds of events and lines of status that a report lists.
+REPORT_ERRORS, REPORT_KINDS, REPORT_STATUS = 3, 6, 40
 ALWAYS = {"first_events", "last_events"}
 
 
@@ -89,10 +91,27 @@ def session_meta(session: dict, stats: Row, selected: int, vcs: dict, generated_
     return json.dumps(found, indent=2, ensure_ascii=False) + "\n"
 
 
-def render_vcs(texts: dict[str, str], root: str, generated_at: str) -> str:
+def branch_name(head: Head) -> str:
+    """The branch; of a detached head, what names the commit."""
+    return f"(detached at {head.texts.get('describe') or head.texts.get('head', '')})" if head.detached else head.texts.get("branch", "")
+
+
+def render_vcs(head: Head, generated_at: str) -> str:
     titles = {"status": "STATUS", "diff_stat": "DIFF STAT (unstaged)", "changed": "CHANGED FILES", "staged_stat": "STAGED STAT", "staged": "STAGED FILES", "commits": "RECENT COMMITS"}
-    out = f"Generated: {generated_at}\nRepository: {root}\nBranch: {texts.get('branch', '')}\nHEAD: {texts.get('head', '')}\n\n"
-    return out + "".join(f"=== {title} ===\n\n{texts.get(name, '').rstrip() or '(none)'}\n\n" for name, title in titles.items())
+    out = f"Generated: {generated_at}\nRepository: {head.root}\nBranch: {branch_name(head)}\nHEAD: {head.texts.get('head', '')}\n\n"
+    return out + "".join(f"=== {title} ===\n\n{head.texts.get(name, '').rstrip() or '(none)'}\n\n" for name, title in titles.items())
+
+
+def render_tree(head: Head) -> str:
+    """A report's section on the working tree; of a long status the first `REPORT_STATUS` lines."""
+    status = head.texts.get("status", "").rstrip().splitlines()
+    out = f"\n## Git\n\n- Repository: `{head.root}`\n- Branch: `{branch_name(head)}`\n- HEAD: `{head.texts.get('head', '')}`\n- Working tree: {'dirty' if head.dirty else 'clean'}\n"
+    if status:
+        more = [f"... ({len(status) - REPORT_STATUS} more lines in git-state.txt)"] if len(status) > REPORT_STATUS else []
+        out += "\n```\n" + "\n".join(status[:REPORT_STATUS] + more) + "\n```\n"
+    if head.texts.get("diff_stat", "").strip():
+        out += f"\nNot staged:\n\n```\n{head.texts['diff_stat'].rstrip()}\n```\n"
+    return out
 
 
 def render_memory(entries: list[Row]) -> str:
@@ -100,7 +119,7 @@ def render_memory(entries: list[Row]) -> str:
     return "\n## Agent memory\n\nListed, never read.\n\n" + ("\n".join(lines) or "None found.") + "\n"
 
 
-def render_report(session: dict, stats: Row, buckets: dict[str, list[Row]], relevant: list[str], memory: str, generated_at: str) -> str:
+def render_report(session: dict, stats: Row, buckets: dict[str, list[Row]], relevant: list[str], memory: str, generated_at: str, head: Head | None = None) -> str:
     """The report that needs no model: what the evidence itself says, section by section."""
     first = next((e["text"].strip() for e in buckets.get("first_user_messages", []) if e["text"].strip()), UNDETERMINED)
     last = next((e["text"].strip() for e in reversed(buckets.get("last_user_messages", [])) if e["text"].strip()), UNDETERMINED)
@@ -119,9 +138,34 @@ def render_report(session: dict, stats: Row, buckets: dict[str, list[Row]], rele
         "Next step": UNDETERMINED,
     }
     out = f"# Session report\n\n> Generated at {generated_at}\n> Session: {session['session_id']}\n"
-    return out + "".join(f"\n## {title}\n\n{text}\n" for title, text in body.items()) + memory
+    return out + "".join(f"\n## {title}\n\n{text}\n" for title, text in body.items()) + (render_tree(head) if head else "") + memory
 
 
 def prompt_column(evidence: F.Column, budget: int) -> F.Column:
     """The text that a model would be given, within its budget; it is redacted once, as the evidence was."""
     return head_tail(evidence, budget)
+
+
+def render_prompt(spark: SparkSession, session: dict, stats: Row, selected: int, head: Head, state: str, evidence: str, budget: int) -> str:
+    """What a model would be given: the facts, the working tree's state, then the evidence, within a budget.
+
+    The state is redacted here, the evidence was when it was selected.
+    """
+    facts = [
+        f"- Repository: {head.root}",
+        f"- Branch: {branch_name(head)}",
+        f"- HEAD: {head.texts.get('head', '')}",
+        f"- Source agent: {session['agent']}",
+        f"- Session: {session['session_id'] or 'unknown'}",
+        None,
+        f"- Events parsed: {stats['total_events']}, selected as evidence: {selected}",
+        f"- Working tree: {'dirty' if head.dirty else 'clean'}",
+    ]
+    row = spark.createDataFrame([(session["size"], state.strip(), evidence)], "size long, state string, evidence string")
+    shown = F.concat_ws("\n", *(F.concat(F.lit("- Transcript size: "), F.coalesce(human_size(F.col("size")), F.lit("unknown"))) if f is None else F.lit(f) for f in facts))
+    text = F.concat(
+        F.lit("# Evidence of a session\n\n## Facts\n\n"), shown,
+        F.lit("\n\n## State of the working tree (this is what holds)\n\n```\n"), scrub_text(F.col("state")),
+        F.lit("\n```\n\n## What the session said (no proof that it was done)\n\n"), F.col("evidence"),
+    )
+    return row.select(prompt_column(text, budget).alias("text")).first()["text"]

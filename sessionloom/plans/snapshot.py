@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from datetime import datetime, timezone
@@ -12,11 +13,9 @@ from pyspark.sql import functions as F
 from sessionloom.config import Limits, load_config
 from sessionloom.operators import block_log, discovery, evidence, patch_log, relevance, rollout_log
 from sessionloom.plans import render
-from sessionloom.sources import jsonl, vcs
-from sessionloom.sources.files import archive_path, file_listing, memory_index, sha256_file, write_atomic
-
-#: Session files up to which a row for each of them is broadcast.
-BROADCAST_FILES = 100_000
+from sessionloom.shared import checkpointed, remove
+from sessionloom.sources import heads, jsonl, vcs
+from sessionloom.sources.files import archive_path, exact_path, file_listing, memory_index, plain_path, sha256_file, write_atomic
 
 DIALECTS = {"block": block_log, "rollout": rollout_log, "patch": patch_log}
 
@@ -32,9 +31,6 @@ def normalize(lines: DataFrame, agent: str) -> DataFrame:
     """Parsed lines as events; an unknown dialect is an error."""
     if agent not in DIALECTS:
         raise ValueError(f"unknown dialect {agent!r}; there are {', '.join(DIALECTS)}")
-    if agent == "rollout":
-        # a file is a session, so the files bound what would be broadcast
-        return rollout_log.normalize(lines, broadcast_ids=0 < len(lines.inputFiles()) <= BROADCAST_FILES)
     return DIALECTS[agent].normalize(lines)
 
 
@@ -55,17 +51,13 @@ def build_evidence(events: DataFrame, lines: DataFrame | None = None, limits: Li
     return evidence.select_buckets(trimmed, limits), evidence.session_stats(trimmed, lines)
 
 
-def project_markers(spark: SparkSession, root: str) -> DataFrame | None:
-    """(project, cwd) of the patch dialect's marker files; None if there are none."""
-    if not any(os.path.isfile(os.path.join(e.path, ".project_root")) for e in os.scandir(root) if e.is_dir()):
-        return None
-    # names with a dot are passed over by file listings, so markers are read by their full paths
-    paths = [os.path.join(e.path, ".project_root") for e in os.scandir(root) if os.path.isfile(os.path.join(e.path, ".project_root"))]
-    rows = []
-    for path in paths:
-        with open(path, encoding="utf-8", errors="replace") as f:
-            rows.append((os.path.dirname(path), f.read().strip()))
-    return spark.createDataFrame(rows, "project string, cwd string")
+def project_markers(files: DataFrame) -> DataFrame:
+    """(project, cwd) of the marker files that stand beside the chats of `files`, read as heads are."""
+    # names with a dot are passed over by file listings, so markers are opened by their full paths
+    project = F.regexp_extract("session_key", "^(.*)/[^/]+/[^/]+$", 1)
+    places = files.select(project.alias("project")).distinct().select(F.concat("project", F.lit("/.project_root")).alias("session_key"))
+    said = heads.read_head_lines(places, *patch_log.HEAD).groupBy("session_key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("cwd"))
+    return said.select(F.regexp_replace(F.regexp_replace("session_key", "/[^/]+$", ""), "^file:/+", "/").alias("project"), "cwd")
 
 
 def session_files(spark: SparkSession, agent: str, root: str) -> DataFrame:
@@ -78,22 +70,81 @@ def session_files(spark: SparkSession, agent: str, root: str) -> DataFrame:
     return found
 
 
-def discover_sessions(spark: SparkSession, agent: str, root: str, repo: str, probe_limit: int | None = None) -> DataFrame:
+def probe_files(spark: SparkSession, agent: str, root: str, files: DataFrame) -> DataFrame:
+    """session_key, session_id and cwd of listed files, of which only the heads are read.
+
+    On a file system that only Spark can open, whole sessions are read instead.
+    """
+    if heads.reachable(spark, root):
+        lines = heads.read_heads(files, *DIALECTS[agent].HEAD)
+        return patch_log.probe(lines, project_markers(files)) if agent == "patch" else DIALECTS[agent].probe(lines)
+    lines = read_transcripts(spark, agent, root)
+    return DIALECTS[agent].probe(lines).join(files.select("session_key"), "session_key", "left_semi")
+
+
+def discover_sessions(spark: SparkSession, agent: str, root: str, repo: str, probe_limit: int | None = None, catalogue: str | None = None) -> DataFrame:
     """Sessions of a dialect and how each belongs to `repo`.
 
     Files are listed, not read; then the heads of all are probed, or only those
-    of the `probe_limit` newest, whose paths alone are given to the reader.
+    of the `probe_limit` newest. With a `catalogue` (see `update_catalogue`)
+    only files that it does not know as they are now are probed.
     """
     files = session_files(spark, agent, root)
-    if probe_limit is None:
-        lines = read_transcripts(spark, agent, root)
-    else:
-        chosen = [r["session_key"] for r in discovery.newest(files, probe_limit).collect()]
-        if not chosen:
-            return discovery.discover(files, spark.createDataFrame([], "session_key string, session_id string, cwd string"), agent, repo)
-        lines = jsonl.read_jsonl(spark, chosen)
-    probes = patch_log.probe(lines, project_markers(spark, root)) if agent == "patch" else DIALECTS[agent].probe(lines)
-    return discovery.discover(files, probes, agent, repo)
+    if catalogue is not None:
+        known = update_catalogue(spark, agent, root, files, catalogue)
+        return discovery.discover(files, known.select("session_key", "session_id", "cwd"), agent, repo)
+    chosen = files if probe_limit is None else discovery.newest(files, probe_limit)
+    return discovery.discover(files, probe_files(spark, agent, root, chosen), agent, repo)
+
+
+def update_catalogue(spark: SparkSession, agent: str, root: str, files: DataFrame, path: str) -> DataFrame:
+    """What is known of each listed file: agent, session_key, mtime, size, session_id and cwd.
+
+    A file whose path, time and size the catalogue has is not opened again; new
+    and changed ones are probed, and those that are gone are left out. Each call
+    writes a version of its own below `path`, and drops all but the one before,
+    which a reader may still hold. A version that was not written to its end is
+    passed over.
+    """
+    place = f"{path}/{agent}"
+    done = versions(spark, place)
+    key = ["session_key", "mtime", "size"]
+    fresh = files
+    kept = None
+    if done:
+        kept = spark.read.parquet(f"{place}/version={done[-1]}").join(files, key, "left_semi")
+        fresh = files.join(spark.read.parquet(f"{place}/version={done[-1]}").select(*key), key, "left_anti")
+    # the listing of what is to be opened is fixed, since it is read twice
+    fresh = checkpointed(fresh)
+    found = fresh.join(probe_files(spark, agent, root, fresh), "session_key", "left").select(F.lit(agent).alias("agent"), *key, "session_id", "cwd")
+    new = found if kept is None else kept.select(found.columns).unionByName(found)
+    number = done[-1] + 1 if done else 1
+    new.write.mode("overwrite").parquet(f"{place}/version={number}")
+    for old in done[:-1]:
+        remove(spark, f"{place}/version={old}")
+    return spark.read.parquet(f"{place}/version={number}")
+
+
+def versions(spark: SparkSession, place: str) -> list[int]:
+    """Numbers of the versions below `place` that were written to their end."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{place}/version=*/_SUCCESS")
+    found = folder.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(folder)
+    return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in found or [])
+
+
+def read_session(spark: SparkSession, path: str) -> DataFrame:
+    """Parsed lines of one session; the reader is given its file alone."""
+    return jsonl.read_jsonl(spark, exact_path(path))
+
+
+def explicit_session(spark: SparkSession, agent: str, path: str) -> dict:
+    """A session chosen by its file, whichever folder it belongs to; an error if there is none."""
+    local = plain_path(path)
+    files = file_listing(spark, exact_path(path)) if available(spark, local) else None
+    if files is None or files.isEmpty():
+        raise discovery.NoSession(f"there is no session file {path}")
+    row = discovery.discover(files, probe_files(spark, agent, local, files), agent, "").first().asDict()
+    return row | {"match": "explicit", "note": "chosen by its file"}
 
 
 def relevant_files(changed: DataFrame, touched: DataFrame, root: str, session_key: str) -> list[str]:
@@ -104,29 +155,50 @@ def relevant_files(changed: DataFrame, touched: DataFrame, root: str, session_ke
     return out + [f"- `{r['path']}` - touched by the session, clean now" for r in relevance.touched_but_clean(rel, own).orderBy("rank").collect()]
 
 
-def snapshot(spark: SparkSession, agent: str, root: str, repo: str, out: str, session_id: str | None = None, config: str | None = None) -> dict[str, str]:
-    """Selects a session of `repo`, writes its evidence, facts and report below `out`, and returns their paths."""
-    limits = Limits.of(load_config(config))
-    now = datetime.now(timezone.utc).replace(microsecond=0).isoformat()
-    session = discovery.select_session(discover_sessions(spark, agent, root, repo), session_id)
-    lines = read_transcripts(spark, agent, root).where(F.col("session_key") == session["path"])
+def _choose(spark: SparkSession, agent: str, root: str, repo: str, session_id: str | None, session_file: str | None, catalogue: str | None) -> dict:
+    if session_file:
+        return explicit_session(spark, agent, session_file)
+    return discovery.select_session(discover_sessions(spark, agent, root, repo, catalogue=catalogue), session_id)
+
+
+def snapshot(spark: SparkSession, agent: str, root: str, repo: str, out: str, session_id: str | None = None, config: str | None = None, session_file: str | None = None, catalogue: str | None = None) -> dict[str, str]:
+    """Selects a session of `repo`, writes its evidence, facts, prompt and report below `out`, and returns their paths.
+
+    An explicit `session_file` wins over `session_id`, and that over the newest
+    session of the repository. Of all transcripts only the chosen one is read
+    whole; its evidence and statistics are kept as tables in `out`/tables.
+    """
+    return _snapshot(spark, agent, repo, out, _choose(spark, agent, root, repo, session_id, session_file, catalogue), config)
+
+
+def _snapshot(spark: SparkSession, agent: str, repo: str, out: str, session: dict, config: str | None) -> dict[str, str]:
+    settings = load_config(config)
+    lines = read_session(spark, session["path"])
     events = normalize(lines, agent)
-    selected, stats = build_evidence(events, lines, limits)
-    found = stats.first()
-    if found is None:
+    selected, stats = build_evidence(events, lines, Limits.of(settings))
+    save(selected, stats, f"{out}/tables", evidence.touched_files(events))
+    if spark.read.parquet(f"{out}/tables/session_stats").isEmpty():
         raise discovery.NoSession(f"{session['path']} has no events")
+    return _report(spark, repo, out, session, settings)
+
+
+def _report(spark: SparkSession, repo: str, out: str, session: dict, settings: dict) -> dict[str, str]:
+    """All texts of a session from its saved tables and the repository's present state."""
+    now = datetime.now(timezone.utc).replace(microsecond=0).isoformat()
+    selected, stats, touched = (spark.read.parquet(f"{out}/tables/{n}") for n in ("evidence", "session_stats", "touched"))
+    found = stats.where(F.col("session_key") == session["path"]).first()
     buckets = render.collect_buckets(selected, session["path"])
     n_selected = len({(e["block_start"], e["line_no"], e["sub_no"]) for rows in buckets.values() for e in rows})
     head = vcs.collect(repo) or vcs.Head(repo)
-    changed = vcs.vcs_changes(spark, head)
-    relevant = relevant_files(changed, evidence.touched_files(events), head.root, session["path"])
-    memory = render.render_memory(memory_index(spark, [(agent, "Project instructions", os.path.join(repo, n)) for n in ("AGENTS.md",)]).collect())
-    local = re.sub("^file:/+", "/", session["path"])
+    relevant = relevant_files(vcs.vcs_changes(spark, head), touched, head.root, session["path"])
+    memory = render.render_memory(memory_index(spark, [(session["agent"], "Project instructions", os.path.join(repo, n)) for n in ("AGENTS.md",)]).collect())
+    state, told = render.render_vcs(head, now), render.render_evidence(session, found, buckets, now)
     texts = {
-        "evidence.md": render.render_evidence(session, found, buckets, now),
-        "session.json": render.session_meta(session, found, n_selected, {"root": head.root, **head.texts}, now, sha256_file(local)),
-        "git-state.txt": render.render_vcs(head.texts, head.root, now),
-        "report.md": render.render_report(session, found, buckets, relevant, memory, now),
+        "evidence.md": told,
+        "session.json": render.session_meta(session, found, n_selected, {"root": head.root, **head.texts}, now, sha256_file(plain_path(session["path"])) or session.get("source_sha256")),
+        "git-state.txt": state,
+        "prompt.md": render.render_prompt(spark, session, found, n_selected, head, state, told, int(settings["llm"].get("max_input_chars") or 120_000)),
+        "report.md": render.render_report(session, found, buckets, relevant, memory, now, head),
     }
     os.makedirs(out, exist_ok=True)
     for name, text in texts.items():
@@ -152,10 +224,26 @@ def preserve(out: str, name: str, agent: str, session_id: str, generated_at: dat
     return path
 
 
-def save(selected: DataFrame, stats: DataFrame, path: str) -> None:
-    """Evidence and statistics as tables, from which reports can be made anew without the transcripts."""
-    selected.write.mode("overwrite").parquet(f"{path}/evidence")
-    stats.write.mode("overwrite").parquet(f"{path}/session_stats")
+def save(selected: DataFrame, stats: DataFrame, path: str, touched: DataFrame | None = None) -> None:
+    """Evidence, statistics and touched files as tables, from which reports can be made anew without the transcripts."""
+    for name, table in (("evidence", selected), ("session_stats", stats), ("touched", touched)):
+        if table is not None:
+            table.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def rebuild(spark: SparkSession, repo: str, out: str, config: str | None = None) -> dict[str, str]:
+    """The texts below `out` anew from the tables of the last snapshot and the repository's present state.
+
+    No transcript is read, and it may be gone; the report that is there goes to
+    the history first. An error if there was no snapshot.
+    """
+    known = show(out, "session.json")
+    if known is None:
+        raise discovery.NoSession(f"there is no snapshot in {out}; make one first")
+    meta = json.loads(known)
+    session = {k: meta.get(of) for k, of in {"agent": "agent", "session_id": "session_id", "path": "source_path", "size": "source_size", "mtime": "source_mtime", "cwd": "session_cwd", "source_sha256": "source_sha256"}.items()}
+    preserve(out, "report.md", session["agent"], session["session_id"], datetime.now(timezone.utc))
+    return _report(spark, repo, out, session | {"match": "from snapshot"}, load_config(config))
 
 
 def consolidate(spark: SparkSession, path: str, changed: DataFrame, session_key: str | None = None) -> DataFrame:
@@ -187,11 +275,11 @@ def show(out: str, name: str = "report.md") -> str | None:
         return f.read()
 
 
-def recover(spark: SparkSession, agent: str, root: str, repo: str, out: str, session_id: str | None = None, config: str | None = None) -> dict[str, str]:
+def recover(spark: SparkSession, agent: str, root: str, repo: str, out: str, session_id: str | None = None, config: str | None = None, session_file: str | None = None, catalogue: str | None = None) -> dict[str, str]:
     """Keeps the report that is there in the history, then writes a new one from the session's transcript."""
-    session = discovery.select_session(discover_sessions(spark, agent, root, repo), session_id)
+    session = _choose(spark, agent, root, repo, session_id, session_file, catalogue)
     preserve(out, "report.md", agent, session["session_id"], datetime.now(timezone.utc))
-    return snapshot(spark, agent, root, repo, out, session["session_id"], config)
+    return _snapshot(spark, agent, repo, out, session, config)
 
 
 def available(spark: SparkSession, root: str) -> bool:

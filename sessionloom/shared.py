@@ -7,6 +7,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of keys up to which they are broadcast.
+FEW_ROWS = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,6 +51,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def few_broadcast(df: DataFrame) -> DataFrame:
+    """`df`, written, with the hint to broadcast it if it has at most `FEW_ROWS` rows."""
+    df = checkpointed(df)
+    return F.broadcast(df) if df.count() <= FEW_ROWS else df
+
+
 def importable(spark: SparkSession) -> None:
     """Lets Python workers import this package from where the driver has it.
 

@@ -4,13 +4,25 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import tempfile
 from datetime import datetime, timezone
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def plain_path(uri: str) -> str:
+    """A file's path as the file system has it, from the URI that Spark shows."""
+    return re.sub("^file:/+", "/", unquote(uri))
+
+
+def exact_path(uri: str) -> str:
+    """A path that a reader takes as this one file, whatever characters are in it."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", unquote(uri))
+
+
 def file_listing(spark: SparkSession, paths: str | list[str], pattern: str | None = None, recursive: bool = False) -> DataFrame:
     """session_key, mtime and size of files; their contents are not read."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
