@@ -11,7 +11,7 @@ from sessionloom.config import Limits
 from sessionloom.functions import classify, redact, text
 from sessionloom.operators import archive, block_log, discovery, evidence, patch_log, relevance, rollout_log
 from sessionloom.sources.jsonl import parsed
-from sessionloom.tables import block_lines, block_tool_lines, conversation_events, log_events, patch_lines, patch_operations, patch_tool_lines, read, rollout_lines, rollout_tool_lines
+from sessionloom.tables import block_lines, block_tool_lines, conversation_events, log_events, patch_lines, patch_note_lines, patch_operations, patch_set_lines, patch_tool_lines, read, rollout_lines, rollout_tool_lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -129,8 +129,13 @@ def session_stats(spark: SparkSession, d: str) -> DataFrame:
     return out.select("session_key", "total_events", "redactions", "invalid_lines")
 
 
-_KV = r"(?i)\b(api[-_]?key|apikey|access[-_]?token|refresh[-_]?token|auth[-_]?token|client[-_]?secret|secret[-_]?key|token|secret|password|passwd|pwd|passphrase)(\x22?\s*[=:]\s*\x22?)([^\s\x22\x27,;&)}\]]{4,})"
-_AWS = r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b"
+def _family(name: str) -> str:
+    """A family's pattern as DuckDB writes it, in a quoted string: the flag for all of Unicode goes, which it does not know."""
+    pattern = next(p for family, p, _ in redact.FAMILIES if family == name)
+    return pattern.replace("(?iU)", "(?i)").replace("(?U)", "").replace("'", "''")
+
+
+_KV, _AWS = _family("key_value"), _family("aws")
 
 
 @query(rf"""SELECT doc_id, regexp_replace(regexp_replace(coalesce(text, ''), '{_KV}', '\1\2[REDACTED]', 'g'), '{_AWS}', '[REDACTED]', 'g') AS clean FROM documents""")
@@ -275,6 +280,46 @@ def replay_upserts_only(spark: SparkSession, d: str) -> DataFrame:
     return patch_log.replay(patch_log.operations(parsed(patch_operations(rows)))).select("session_key", "id", "line_no")
 
 
+@query(f"""WITH {_LOG}, k AS (SELECT *, json_extract_string(props, '$.k') AS k, row_number() OVER (PARTITION BY session_key ORDER BY ts, line_no) AS step FROM log),
+m AS (SELECT session_key, step, line_no, unnest(CASE event_type WHEN 'signup' THEN [k, k || 'b', k] WHEN 'click' THEN [k || 'b', k || 'c'] ELSE [k] END) AS id,
+  unnest(CASE event_type WHEN 'signup' THEN [1, 2, 3] WHEN 'click' THEN [1, 2] ELSE [1] END) AS j FROM k),
+since AS (SELECT session_key, coalesce(max(step) FILTER (event_type = 'signup'), 0) AS s FROM k GROUP BY session_key),
+live AS (SELECT session_key, id, min((step, j)) AS first, arg_max(line_no, (step, j)) AS line_no FROM m JOIN since USING (session_key) WHERE step >= s GROUP BY session_key, id)
+SELECT session_key, CAST(row_number() OVER (PARTITION BY session_key ORDER BY first) - 1 AS INT) AS pos, id, line_no FROM live""")
+def replay_sets_and_headers(spark: SparkSession, d: str) -> DataFrame:
+    """Live messages where lists are replaced as wholes and headers bring messages along."""
+    live = patch_log.replay(patch_log.operations(parsed(patch_set_lines(read(spark, d, "events")))))
+    return live.select("session_key", "pos", "id", "line_no")
+
+
+@query(f"""WITH {_LOG}, saved AS (SELECT session_key, line_no, ts, 'note ' || json_extract_string(props, '$.k') AS note FROM log WHERE event_type = 'purchase'
+  QUALIFY row_number() OVER (PARTITION BY session_key ORDER BY ts DESC, line_no DESC) = 1)
+SELECT session_key, line_no, note, EXISTS (SELECT 1 FROM log WHERE log.session_key = saved.session_key AND event_type NOT IN ('purchase', 'click') AND (log.ts, log.line_no) > (saved.ts, saved.line_no)) AS stale FROM saved""")
+def scratchpad_notes(spark: SparkSession, d: str) -> DataFrame:
+    """Each log's last saved note, and whether a message or a rewind followed."""
+    return patch_log.scratchpad(parsed(patch_note_lines(read(spark, d, "events")))).select("session_key", "line_no", "note", "stale")
+
+
+def _rollout_events(spark: SparkSession, d: str) -> DataFrame:
+    return evidence.trim(rollout_log.normalize(parsed(rollout_tool_lines(read(spark, d, "events")))))
+
+
+@query(f"""WITH {_LOG} SELECT session_key, '/w/item/' || arg_min(json_extract_string(props, '$.k'), (ts, line_no)) FILTER (event_type = 'click' AND line_no % 2 = 1) AS session_cwd
+FROM log GROUP BY session_key""")
+def session_first_cwd(spark: SparkSession, d: str) -> DataFrame:
+    """The folder that each session's first metadata names."""
+    return evidence.session_stats(_rollout_events(spark, d)).select("session_key", "session_cwd")
+
+
+@query(f"""WITH {_LOG}, c AS (SELECT * FROM log WHERE event_type = 'view' AND line_no % 2 = 1 QUALIFY row_number() OVER (PARTITION BY session_key ORDER BY ts DESC, line_no DESC) <= 20)
+SELECT session_key, row_number() OVER (PARTITION BY session_key ORDER BY ts, line_no) AS rank, line_no, 'context compaction: history replaced with 2 retained item(s)' AS text FROM c""")
+def session_compactions(spark: SparkSession, d: str) -> DataFrame:
+    """The last 20 compactions of each session."""
+    only = [b for b in evidence.buckets_of(Limits()) if b[0] == "compactions"]
+    rows = evidence.select_buckets(_rollout_events(spark, d), Limits(), only)
+    return rows.select("session_key", F.col("rank").cast("long").alias("rank"), "line_no", "text")
+
+
 def _touched(spark: SparkSession, d: str) -> DataFrame:
     rows = read(spark, d, "documents")
     return rows.select(F.col("source").alias("session_key"), F.concat(F.lit("/repo/doc/"), F.col("doc_id").cast("string")).alias("path"), F.lit(1).cast("long").alias("n"), F.struct("doc_id").alias("first"))

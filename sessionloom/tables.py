@@ -153,3 +153,22 @@ def patch_tool_lines(rows: DataFrame) -> DataFrame:
         .otherwise(message("user", content=F.lit("<session_context>none typed this</session_context>")))
     )
     return _record(rows, line)
+
+
+def patch_set_lines(rows: DataFrame) -> DataFrame:
+    """`events` in the patch dialect: signups replace the list, clicks are headers with messages, others write one."""
+    k = F.get_json_object("props", "$.k")
+    message = lambda end: F.struct(F.concat(k, F.lit(end)).alias("id"))
+    replaced = F.to_json(F.struct(F.struct(F.array(message(""), message("b"), message("")).alias("messages")).alias("$set")))
+    header = _json(sessionId=F.col("user_id").cast("string"), projectHash=F.lit("h"), messages=F.array(message("b"), message("c")))
+    t = F.col("event_type")
+    return _record(rows, F.when(t == "signup", replaced).when(t == "click", header).otherwise(_json(id=k)))
+
+
+def patch_note_lines(rows: DataFrame) -> DataFrame:
+    """`events` in the patch dialect: purchases save a note, errors rewind, clicks set nothing of either, others write a message."""
+    k, t = F.get_json_object("props", "$.k"), F.col("event_type")
+    saved = F.to_json(F.struct(F.struct(F.concat(F.lit("note "), k).alias("memoryScratchpad")).alias("$set")))
+    other = F.to_json(F.struct(F.struct(k.alias("title")).alias("$set")))
+    rewind = F.to_json(F.struct(k.alias("$rewindTo")))
+    return _record(rows, F.when(t == "purchase", saved).when(t == "error", rewind).when(t == "click", other).otherwise(_json(id=k)))
