@@ -13,11 +13,12 @@ hold a phrase, for the subsumption. No phrase is looked up by its words again.
 
 How it runs. A task reads its documents once and writes, for each shard of at
 most `SHARD_WORDS` words, the sequence of the shard's own word numbers and the
-list of its words with counts. Lists are added up by word (summed in the tasks
-first), and the names of frequent words go back to the shards that hold them;
-likewise for pairs. A shard's list is never larger than the shard, so nothing is
-broadcast, and a word that every document holds is one row a shard. All tables
-are written, so a lost executor costs a task.
+list of its words with counts, cut into bins by a hash. A bin adds up what all
+shards say of its words, names the frequent ones and answers each shard with the
+names of its own. Pairs are counted in the same way. Lists are packed arrays, so
+that what moves is numbers and not rows. A shard's list is never larger than the
+shard, so nothing is broadcast; a word that every document holds is one entry a
+shard in its bin. All tables are written, so a lost executor costs a task.
 
 Nulls and ties: a null text has no words, a null lang is `und`; repeated rows
 and ids count as they come; an empty table gives an empty result.
@@ -25,9 +26,11 @@ and ids count as they come; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 from itertools import count
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +38,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sessionloom.llm.common import importable, release_memory, stored, temporary
+from sessionloom.llm.common import importable, release_memory, remove, shard_count, stored, temporary, text_bytes
 
 #: Words of a shard.
-SHARD_WORDS = 2 << 20
+SHARD_WORDS = 1 << 19
+#: Bytes of text for which there is a bin.
+BIN_BYTES = 2 << 20
 #: Groups of a language that are cut to the reported length before they meet.
 SALT = 64
 
@@ -46,8 +51,43 @@ _BREAKS = b".,;:!?\x0a\x0b\x0c\x0d"
 #: A-Z lower-cased, and every break as a line feed.
 _FOLDED = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" + _BREAKS, b"abcdefghijklmnopqrstuvwxyz" + b"\n" * len(_BREAKS))
 
-_SHARD = "shard long, sequence binary, lang string, word string, local int, number long"
-_PAIRS = "shard long, sequence binary, `left` long, `right` long, local int, number long"
+# what shards write: a sequence, or a bin's part of their list: `size` things, numbered from `first` on, with `left` (words, or rising names) and `right`
+_LISTED = "shard long, sequence binary, bin int, lang string, first int, size int, `left` binary, `right` binary, number binary, total long"
+# what bins write: the names of `size` of a shard's numbers (rising), or a frequent phrase
+_NAMED = "shard long, size int, local binary, names binary, name long, `left` long, `right` long, lang string, word string, f long"
+
+
+def _rows(schema: str, rows: list[tuple]) -> pa.Table:
+    """Tuples in the order of the schema as a table."""
+    fields = [f.replace("`", "").split() for f in schema.split(", ")]
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string()}
+    columns = zip(*rows, strict=True) if rows else [[]] * len(fields)
+    return pa.table([pa.array(c, kinds[kind]) for (_, kind), c in zip(fields, columns, strict=True)], names=[name for name, _ in fields])
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Numbers in as many bytes each as the largest needs: 1, 2, 4 or 8."""
+    return x.astype(f"<u{next(w for w in (1, 2, 4, 8) if int(x.max(initial=0)) < 1 << 8 * w)}").tobytes()
+
+
+def _unpacked(data: bytes, size: int) -> np.ndarray:
+    return np.frombuffer(data, dtype=f"<u{len(data) // size if size else 1}").astype(np.int64)
+
+
+def _packed_rising(x: np.ndarray) -> bytes:
+    """Rising numbers by their steps."""
+    return _packed(np.diff(x, prepend=0))
+
+
+def _unpacked_rising(data: bytes, size: int) -> np.ndarray:
+    return np.cumsum(_unpacked(data, size))
+
+
+def _cuts(bins: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each bin with the places that have it."""
+    order = np.argsort(bins, kind="stable")
+    values, first = np.unique(bins[order], return_index=True)
+    yield from zip(values.tolist(), np.split(order, first[1:]))  # without values there is one empty part
 
 
 class _Names(dict):
@@ -69,17 +109,20 @@ class _Shard:
         self.names: dict[str, _Names] = {}
         self.sequence: list[int] = []
 
-    def rows(self) -> Iterator[pa.RecordBatch]:
+    def rows(self, bins: int) -> pa.Table:
         sequence = np.array(self.sequence, dtype=np.int32)
         times = np.bincount(sequence)
-        yield self._batch([sequence.tobytes()], [None], [None], [None], [None])
+        renumbered = np.zeros(len(times), dtype=np.int32)
+        out, first = [], 1
         for lang, names in self.names.items():
-            local = np.fromiter(names.values(), dtype=np.int32, count=len(names))
-            yield self._batch([None] * len(names), [lang] * len(names), pa.array(list(names), pa.binary()).cast(pa.string()), local, times[local])
-
-    def _batch(self, sequence, lang, word, local, number) -> pa.RecordBatch:
-        columns = [pa.array([self.number] * len(lang), pa.int64()), pa.array(sequence, pa.binary()), pa.array(lang, pa.string()), pa.array(word, pa.string()), pa.array(local, pa.int32()), pa.array(number, pa.int64())]
-        return pa.RecordBatch.from_arrays(columns, names=["shard", "sequence", "lang", "word", "local", "number"])
+            listed, local = list(names), np.fromiter(names.values(), dtype=np.int64, count=len(names))
+            start = crc32(lang.encode("utf-8", "surrogatepass"))
+            for bin_, at in _cuts(np.array([crc32(w, start) % bins for w in listed], dtype=np.int64)):
+                number = times[local[at]]
+                renumbered[local[at]] = np.arange(first, first + len(at))
+                out.append((self.number, None, bin_, lang, first, len(at), b"\n".join([listed[i] for i in at.tolist()]), None, _packed(number), int(number.sum())))
+                first += len(at)
+        return _rows(_LISTED, [(self.number, renumbered[sequence].tobytes(), *[None] * 8), *out])
 
 
 def words(text: bytes) -> Iterator[list[bytes]]:
@@ -88,7 +131,7 @@ def words(text: bytes) -> Iterator[list[bytes]]:
         yield piece.split()
 
 
-def _read(docs: DataFrame, shard_words: int) -> DataFrame:
+def _read(docs: DataFrame, bins: int, shard_words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = count(TaskContext.get().partitionId() << 32)
         shard = _Shard(next(numbers))
@@ -106,14 +149,75 @@ def _read(docs: DataFrame, shard_words: int) -> DataFrame:
                     shard.sequence += map(shard.names[lang].__getitem__, piece)
                     shard.sequence.append(0)
                     if len(shard.sequence) >= shard_words:
-                        yield from shard.rows()
+                        yield from shard.rows(bins).to_batches()
                         shard = _Shard(next(numbers))
         if shard.sequence:
-            yield from shard.rows()
+            yield from shard.rows(bins).to_batches()
         del shard
         release_memory()
 
-    return docs.mapInArrow(run, _SHARD)
+    return docs.mapInArrow(run, _LISTED)
+
+
+def _answers(shard: np.ndarray, local: np.ndarray, name: np.ndarray) -> list[tuple]:
+    """For each shard the names of its numbers."""
+    order = np.lexsort((local, shard))
+    shard, local, name = shard[order], local[order], name[order]
+    return [(s, len(at), _packed_rising(local[at]), _packed(name[at]), *[None] * 6) for s, at in _cuts(shard)]
+
+
+def _locals(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """The shard and the number of each thing that a bin's rows list."""
+    size = np.array([r["size"] for r in rows], dtype=np.int64)
+    begin = np.array([r["first"] for r in rows], dtype=np.int64) - (np.cumsum(size) - size)
+    return np.repeat(np.array([r["shard"] for r in rows], dtype=np.int64), size), np.arange(int(size.sum())) + np.repeat(begin, size)
+
+
+def _named_words(listed: DataFrame, bins: int, min_count: int) -> DataFrame:
+    """The frequent words of each bin, and their names to the shards that hold them."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.select(["shard", "lang", "first", "size", "left", "number"]).to_pylist()
+        total: Counter[tuple[str, bytes]] = Counter()
+        for r in rows:
+            for word, n in zip(r["left"].split(b"\n"), _unpacked(r["number"], r["size"]).tolist(), strict=True):
+                total[r["lang"], word] += n
+        bin_ = table.column("bin")[0].as_py()
+        frequent = {key: i * bins + bin_ + 1 for i, key in enumerate(k for k, n in total.items() if n >= min_count)}
+        found = [(None, None, None, None, name, None, None, lang, word.decode(), total[lang, word]) for (lang, word), name in frequent.items()]
+        name = np.array([frequent.get((r["lang"], word), 0) for r in rows for word in r["left"].split(b"\n")], dtype=np.int64)
+        shard, local = _locals(rows)
+        out = _rows(_NAMED, found + _answers(shard[name > 0], local[name > 0], name[name > 0]))
+        release_memory()
+        return out
+
+    return listed.groupBy("bin").applyInArrow(run, _NAMED)
+
+
+def _named_pairs(listed: DataFrame, bins: int, min_count: int) -> DataFrame:
+    """The frequent pairs of each bin, and their names to the shards that hold them."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.select(["shard", "first", "size", "left", "right", "number"]).to_pylist()
+        left = np.concatenate([_unpacked_rising(r["left"], r["size"]) for r in rows])
+        right, number = (np.concatenate([_unpacked(r[k], r["size"]) for r in rows]) for k in ("right", "number"))
+        order = np.lexsort((right, left))
+        a, b = left[order], right[order]
+        head = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+        f = np.add.reduceat(number[order], head)
+        frequent = f >= min_count
+        name = np.zeros(len(head), dtype=np.int64)
+        name[frequent] = np.arange(int(frequent.sum())) * bins + table.column("bin")[0].as_py() + 1
+        at = head[frequent]
+        found = [(None, None, None, None, *x[:3], None, None, x[3]) for x in zip(name[frequent].tolist(), a[at].tolist(), b[at].tolist(), f[frequent].tolist(), strict=True)]
+        each = np.repeat(name, np.diff(np.append(head, len(order))))
+        kept = order[each > 0]
+        shard, local = _locals(rows)
+        out = _rows(_NAMED, found + _answers(shard[kept], local[kept], each[each > 0]))
+        release_memory()
+        return out
+
+    return listed.groupBy("bin").applyInArrow(run, _NAMED)
 
 
 def neighbours(sequence: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -130,40 +234,40 @@ def neighbours(sequence: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, np.n
     return out, name[keys >> 32], name[keys & 0xFFFFFFFF], number
 
 
-def _paired(sequences: DataFrame, names: DataFrame) -> DataFrame:
-    """Each shard's sequence of pairs, and its pairs with counts. names: (shard, local, name) of what is frequent."""
+def _paired(sequences: DataFrame, names: DataFrame, bins: int) -> DataFrame:
+    """Each shard's sequence of pairs, and its list of pairs, from the names of what is frequent."""
 
     def run(held: pa.Table, named: pa.Table) -> pa.Table:
-        rows = []
+        out = []
         if held.num_rows and named.num_rows:
             shard = held.column("shard")[0].as_py()
             sequence = np.frombuffer(held.column("sequence")[0].as_py(), dtype=np.int32)
-            name = np.zeros(max(int(sequence.max(initial=0)), int(named.column("local").to_numpy().max())) + 1, dtype=np.int64)
-            name[named.column("local").to_numpy()] = named.column("name").to_numpy()
-            out, left, right, number = neighbours(sequence, name)
-            n = len(left)
-            rows = [pa.array([shard] * (n + 1), pa.int64()), pa.array([out.tobytes()] + [None] * n, pa.binary())]
-            rows += [pa.array(np.append(0, x), pa.int64(), mask=np.arange(n + 1) == 0) for x in (left, right)]
-            rows += [pa.array(np.arange(n + 1), pa.int32()), pa.array(np.append(0, number), pa.int64())]
-        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
-        result = pa.table(rows or [pa.array([], k) for k in kinds], names=["shard", "sequence", "left", "right", "local", "number"])
+            name = np.zeros(int(sequence.max(initial=0)) + 1, dtype=np.int64)
+            for r in named.select(["size", "local", "names"]).to_pylist():
+                name[_unpacked_rising(r["local"], r["size"])] = _unpacked(r["names"], r["size"])
+            pairs, left, right, number = neighbours(sequence, name)
+            mixed = (left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ right.astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
+            bin_ = (mixed >> np.uint64(32)).astype(np.int64) % bins
+            order = np.lexsort((left, bin_))
+            renumbered = np.zeros(len(order) + 1, dtype=np.int32)
+            renumbered[order + 1] = np.arange(1, len(order) + 1)
+            out.append((shard, renumbered[pairs].tobytes(), *[None] * 8))
+            left, right, number = left[order], right[order], number[order]
+            for of, at in _cuts(bin_[order]):
+                out.append((shard, None, of, None, int(at[0]) + 1, len(at), _packed_rising(left[at]), _packed(right[at]), _packed(number[at]), int(number[at].sum())))
+        table = _rows(_LISTED, out)
         release_memory()
-        return result
+        return table
 
-    return sequences.groupBy("shard").cogroup(names.groupBy("shard")).applyInArrow(run, _PAIRS)
+    return sequences.groupBy("shard").cogroup(names.groupBy("shard")).applyInArrow(run, _LISTED)
 
 
-def _halves(df: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
-    """`df` as a table, read as two: the sequences, and the lists."""
+def _halves(df: DataFrame, kind: str, first: str, second: str) -> tuple[DataFrame, DataFrame, str]:
+    """`df` as a table, read as two: the rows of one kind, and those of the other; and its place."""
     place = temporary(df.sparkSession, kind)
-    df.write.parquet(place)
-    sequences, listed = (df.sparkSession.read.schema(df.schema).parquet(place) for _ in range(2))
-    return sequences.where("sequence IS NOT NULL").select("shard", "sequence"), listed.where("sequence IS NULL").drop("sequence")
-
-
-def _named(counted: DataFrame, kind: str) -> DataFrame:
-    """`counted` as a table with a unique positive name for each row."""
-    return stored(counted.withColumn("name", F.monotonically_increasing_id() + 1), kind)
+    df.write.option("compression", "zstd").parquet(place)
+    read = df.sparkSession.read.schema(df.schema)
+    return read.parquet(place).where(first), read.parquet(place).where(second), place
 
 
 def _levels(docs: DataFrame, min_count: int, max_words: int, shard_words: int) -> tuple[list[DataFrame], DataFrame]:
@@ -172,17 +276,20 @@ def _levels(docs: DataFrame, min_count: int, max_words: int, shard_words: int) -
     Of a phrase: name, parents `left` and `right`, lang, phrase, last (its last
     word), f, and the frequencies of its first and last 1, 2, ... words.
     """
-    sequences, listed = _halves(_read(docs, shard_words), "shards")
-    total = listed.groupBy("lang").agg(F.sum("number").alias("n"))
-    one = _named(listed.groupBy("lang", "word").agg(F.sum("number").alias("f")).where(F.col("f") >= min_count), "words")
-    none = F.array().cast("array<long>")
-    levels = [one.select("name", F.lit(None).cast("long").alias("left"), F.lit(None).cast("long").alias("right"), "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", none.alias("first_f"), none.alias("last_f"))]
-    named = listed.join(one.select("lang", "word", "name"), ["lang", "word"]).select("shard", "local", "name")
+    spark = docs.sparkSession
+    bins = shard_count(spark, text_bytes(docs, "text"), BIN_BYTES)
+    sequences, listed, place = _halves(_read(docs, bins, shard_words), "shards", "sequence IS NOT NULL", "sequence IS NULL")
+    total = stored(listed.groupBy("lang").agg(F.sum("total").alias("n")), "totals")
+    found, named, _ = _halves(_named_words(listed, bins, min_count), "words", "name IS NOT NULL", "name IS NULL")
+    nothing, none = F.lit(None).cast("long"), F.array().cast("array<long>")
+    levels = [found.select("name", nothing.alias("left"), nothing.alias("right"), "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", none.alias("first_f"), none.alias("last_f"))]
     for size in range(2, max_words + 1):
-        sequences, listed = _halves(_paired(sequences, named), f"pairs{size}")
-        counted = _named(listed.groupBy("left", "right").agg(F.sum("number").alias("f")).where(F.col("f") >= min_count), f"names{size}")
-        named = listed.join(counted.select("left", "right", "name"), ["left", "right"]).select("shard", "local", "name")
-        a, b = levels[-1], levels[-1]
+        before = place
+        sequences, listed, place = _halves(_paired(sequences.select("shard", "sequence"), named.select("shard", "size", "local", "names"), bins), f"pairs{size}", "sequence IS NOT NULL", "sequence IS NULL")
+        remove(spark, before)  # all that it held is in the new table
+        found, named, _ = _halves(_named_pairs(listed, bins, min_count), f"names{size}", "name IS NOT NULL", "name IS NULL")
+        counted = found.select("name", "left", "right", "f")
+        a = b = levels[-1]
         first = a.select(F.col("name").alias("left"), "lang", F.col("phrase").alias("start"), F.col("f").alias("left_f"), F.col("first_f").alias("left_firsts"))
         then = b.select(F.col("name").alias("right"), "last", F.col("f").alias("right_f"), F.col("last_f").alias("right_lasts"))
         phrases = counted.join(first, "left").join(then, "right")
