@@ -42,6 +42,8 @@ _NEEDS = {
     "google": ("aiza",),
     "jwt": ("eyj",),
 }
+#: Left after each replacement to count it: a character for private use.
+_SEEN = "\ue000"
 #: The one letter beyond ASCII that patterns without case take for an ASCII letter and that has no ASCII lower case.
 _LONG_S = "\u017f"
 
@@ -72,19 +74,31 @@ def scrub(c: Column) -> Column:
 
 
 def _scrubbed(text: Column) -> Column:
+    """`scrub` of a text that may match: each pattern runs once.
+
+    Replacements leave `_SEEN` behind them, which is counted by the length that
+    goes when it is taken out again, before the next family looks. A text that
+    holds it already has its matches counted by the pattern.
+    """
     # one-element arrays bind each step's text once, so that it is not computed anew for its count and its replacement
-    step = F.array(F.struct(text.alias("text"), F.lit(0).cast("long").alias("hits"), F.lower(text).alias("low")))
+    step = F.array(F.struct(text.alias("text"), F.lit(0).cast("long").alias("hits"), F.lower(text).alias("low"), text.contains(_SEEN).alias("odd")))
     for family, pattern, replacement in FAMILIES:
 
-        def apply(s: Column, family: str = family, pattern: str = pattern, replacement: str = replacement) -> Column:
+        def mark(s: Column, family: str = family, pattern: str = pattern, replacement: str = replacement) -> Column:
             # replacements bring none of the needed texts, so the first text's lower case serves all steps
             there = s["low"].contains(_LONG_S)
             for need in _NEEDS[family]:
                 there = there | s["low"].contains(need)
-            hits = s["hits"] + F.regexp_count(s["text"], F.lit(pattern))
-            return F.when(there, F.struct(F.regexp_replace(s["text"], pattern, replacement).alias("text"), hits.alias("hits"), s["low"].alias("low"))).otherwise(s)
+            more = F.when(s["odd"], F.regexp_count(s["text"], F.lit(pattern))).otherwise(0)
+            marked = F.regexp_replace(s["text"], F.lit(pattern), F.when(s["odd"], replacement).otherwise(replacement + _SEEN))
+            return F.struct(F.when(there, marked).otherwise(s["text"]).alias("text"), (s["hits"] + F.when(there, more).otherwise(0)).alias("hits"), s["low"].alias("low"), s["odd"].alias("odd"))
+
+        def count(s: Column) -> Column:
+            clean = F.replace(s["text"], F.lit(_SEEN))
+            fresh = ~s["odd"] & s["text"].contains(_SEEN)
+            return F.when(fresh, F.struct(clean.alias("text"), (s["hits"] + F.length(s["text"]) - F.length(clean)).alias("hits"), s["low"].alias("low"), s["odd"].alias("odd"))).otherwise(s)
 
-        step = F.transform(step, _one(apply))
+        step = F.transform(F.transform(step, _one(mark)), _one(count))
     return F.element_at(F.transform(step, lambda s: F.struct(s["text"].alias("text"), s["hits"].alias("hits"))), 1)
 
 

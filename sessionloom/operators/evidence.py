@@ -106,27 +106,43 @@ def touched_files(events: DataFrame) -> DataFrame:
     return rows.groupBy("session_key", "path").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.count_if("mutating").alias("n_mutating"))
 
 
-def session_stats(trimmed: DataFrame, lines: DataFrame | None = None) -> DataFrame:
+def session_stats(trimmed: DataFrame, lines: DataFrame | None = None, most_tools: int = 15) -> DataFrame:
     """One row for each session: total_events, redactions, session_cwd, event_kinds, top_tools, invalid_lines.
 
     trimmed: events from `trim`; lines: parsed lines, of which bad ones are counted.
+    Events are counted by session, kind and tool in one aggregation, partly in
+    the tasks that have them; all else comes from these counts.
     """
     cwd = F.trim(F.regexp_extract("text", r"(?m)^cwd:\s*(.+)$", 1))
     found = F.when((F.col("kind") == ev.METADATA) & (cwd != ""), cwd)
     at = F.struct(*ORDER)
-    totals = trimmed.groupBy("session_key").agg(
-        F.count("*").alias("total_events"),
-        F.sum("redactions").alias("redactions"),
-        F.min_by(found, F.when(found.isNotNull(), at)).alias("session_cwd"),
+    parts = trimmed.groupBy("session_key", "kind", "tool_name").agg(
+        F.count("*").alias("n"), F.min(at).alias("first"), F.sum("redactions").alias("redactions"), F.min(F.when(found.isNotNull(), F.struct(at.alias("at"), found.alias("cwd")))).alias("cwd")
+    )
+    tool = (F.col("tool_name") != "") & (F.col("kind") != ev.METADATA)
+    facets = F.array(F.struct(F.lit(False).alias("tool"), F.col("kind").alias("value")), F.when(tool, F.struct(F.lit(True).alias("tool"), F.col("tool_name").alias("value"))))
+    # the counts of a session meet once; the steps below need no further exchange
+    rows = parts.repartition("session_key").withColumn("facet", F.explode(F.array_compact(facets)))
+    kind = ~F.col("facet.tool")
+    each = rows.groupBy("session_key", "facet").agg(
+        F.sum("n").alias("n"), F.min("first").alias("first"), F.sum(F.when(kind, F.col("redactions"))).alias("redactions"), F.min(F.when(kind, F.col("cwd"))).alias("cwd")
     )
+    place = F.row_number().over(Window.partitionBy("session_key", "facet.tool").orderBy(F.desc("n"), "first"))
+    each = each.withColumn("place", place)
 
-    def listed(rows: DataFrame, value: str, name: str, most: int | None = None) -> DataFrame:
-        key = F.struct((-F.col("n")).alias("o"), "first", F.struct(F.col(value).alias(value.removesuffix("_name")), "n").alias("e"))
-        items = F.transform(F.array_sort(F.collect_list(key)), lambda x: x["e"])
-        return rows.groupBy("session_key").agg((F.slice(items, 1, most) if most else items).alias(name))
+    def listed(name: str, of: Column) -> Column:
+        items = F.collect_list(F.when(of, F.struct("place", F.struct(F.col("facet.value").alias(name), "n").alias("e"))))
+        return F.transform(F.array_sort(items), lambda x: x["e"])
 
-    out = totals.join(listed(kind_counts(trimmed), "kind", "event_kinds"), "session_key", "left")
-    out = out.join(listed(tool_counts(trimmed), "tool_name", "top_tools"), "session_key", "left")
+    out = each.groupBy("session_key").agg(
+        F.sum(F.when(kind, F.col("n"))).alias("total_events"),
+        F.sum("redactions").alias("redactions"),
+        F.min("cwd")["cwd"].alias("session_cwd"),
+        listed("kind", kind).alias("event_kinds"),
+        listed("tool", ~kind & (F.col("place") <= most_tools)).alias("top_tools"),
+    )
+    # as for a session without tools before: none is null
+    out = out.withColumn("top_tools", F.when(F.size("top_tools") > 0, F.col("top_tools")))
     if lines is None:
         return out.withColumn("invalid_lines", F.lit(0).cast("long"))
     bad = lines.groupBy("session_key").agg(F.count_if(~F.col("ok")).alias("invalid_lines"))

@@ -15,7 +15,7 @@ from sessionloom.operators import block_log, discovery, evidence, patch_log, rel
 from sessionloom.plans import render
 from sessionloom.shared import checkpointed, remove
 from sessionloom.sources import heads, jsonl, vcs
-from sessionloom.sources.files import archive_path, exact_path, file_listing, memory_index, plain_path, sha256_file, write_atomic
+from sessionloom.sources.files import archive_path, digests, exact_path, file_listing, memory_index, plain_path, sha256_file, write_atomic
 
 DIALECTS = {"block": block_log, "rollout": rollout_log, "patch": patch_log}
 
@@ -132,6 +132,13 @@ def versions(spark: SparkSession, place: str) -> list[int]:
     return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in found or [])
 
 
+def source_digest(spark: SparkSession, path: str) -> str | None:
+    """The digest of a session's file, read in pieces by a task; null if it is gone, or only Spark can open it."""
+    if not heads.reachable(spark, path):
+        return None
+    return digests(spark.createDataFrame([(path,)], "session_key string")).first()["sha256"]
+
+
 def read_session(spark: SparkSession, path: str) -> DataFrame:
     """Parsed lines of one session; the reader is given its file alone."""
     return jsonl.read_jsonl(spark, exact_path(path))
@@ -195,7 +202,7 @@ def _report(spark: SparkSession, repo: str, out: str, session: dict, settings: d
     state, told = render.render_vcs(head, now), render.render_evidence(session, found, buckets, now)
     texts = {
         "evidence.md": told,
-        "session.json": render.session_meta(session, found, n_selected, {"root": head.root, **head.texts}, now, sha256_file(plain_path(session["path"])) or session.get("source_sha256")),
+        "session.json": render.session_meta(session, found, n_selected, {"root": head.root, **head.texts}, now, source_digest(spark, session["path"]) or session.get("source_sha256")),
         "git-state.txt": state,
         "prompt.md": render.render_prompt(spark, session, found, n_selected, head, state, told, int(settings["llm"].get("max_input_chars") or 120_000)),
         "report.md": render.render_report(session, found, buckets, relevant, memory, now, head),

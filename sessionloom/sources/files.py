@@ -6,12 +6,20 @@ import hashlib
 import os
 import re
 import tempfile
+from collections.abc import Iterator
 from datetime import datetime, timezone
 from urllib.parse import unquote
 
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sessionloom.shared import importable
+
+#: Names that file systems have in Spark's paths and otherwise in Arrow's.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "gcs": "gs"}
+
 
 def plain_path(uri: str) -> str:
     """A file's path as the file system has it, from the URI that Spark shows."""
@@ -31,21 +39,44 @@ def file_listing(spark: SparkSession, paths: str | list[str], pattern: str | Non
     return reader.load(paths).select(F.col("_metadata.file_path").alias("session_key"), F.col("_metadata.file_modification_time").alias("mtime"), F.col("_metadata.file_size").alias("size"))
 
 
-def digests(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """path and SHA-256 of files under 2 GiB, on the executors."""
-    return spark.read.format("binaryFile").load(paths).select("path", F.sha2("content", 256).alias("sha256"))
+def digests(files: DataFrame) -> DataFrame:
+    """session_key and SHA-256 of listed files of any size, each read in pieces by the task that holds its row; null if it can't be read."""
+    importable(files.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for uri in batch.column("session_key").to_pylist():
+                try:
+                    with open_path(uri) as f:
+                        found = sha256_stream(f)
+                except OSError:
+                    found = None
+                yield pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([found], pa.string())], names=["session_key", "sha256"])
 
+    return files.select("session_key").mapInArrow(run, "session_key string, sha256 string")
 
-def sha256_file(path: str, chunk: int = 1 << 20) -> str | None:
-    """The digest of a file of any size, on the driver; null if it can't be read."""
+
+def sha256_stream(stream, chunk: int = 1 << 20) -> str:
     found = hashlib.sha256()
+    while data := stream.read(chunk):
+        found.update(data)
+    return found.hexdigest()
+
+
+def open_path(uri: str) -> pa.NativeFile:
+    """A file by its full path, on any file system that Arrow knows."""
+    scheme, colon, rest = uri.partition(":")
+    files, path = pyarrow.fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}{colon}{rest}")
+    return files.open_input_stream(path, buffer_size=0)
+
+
+def sha256_file(path: str) -> str | None:
+    """The digest of one of the driver's own files, such as a report; null if it can't be read."""
     try:
         with open(path, "rb") as f:
-            while data := f.read(chunk):
-                found.update(data)
+            return sha256_stream(f)
     except OSError:
         return None
-    return found.hexdigest()
 
 
 def write_atomic(path: str, text: str) -> None:

@@ -6,18 +6,15 @@ import io
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 
 from sessionloom.shared import importable
+from sessionloom.sources.files import SCHEMES, open_path
 from sessionloom.sources.jsonl import parsed
 
 #: Bytes asked of a file at a time.
 CHUNK = 64 << 10
 
-#: Names that file systems have in Spark's paths and in Arrow's.
-_SCHEMES = {"s3a": "s3", "s3n": "s3", "gcs": "gs"}
-
 
 def head_lines(stream: io.RawIOBase, max_lines: int, max_chars: int) -> Iterator[str]:
     """The lines of a file up to `max_lines`, or until `max_chars` characters are reached; no more is read than that and a chunk.
@@ -35,18 +32,11 @@ def head_lines(stream: io.RawIOBase, max_lines: int, max_chars: int) -> Iterator
         yield line.rstrip("\n")
 
 
-def open_path(uri: str) -> pa.NativeFile:
-    """A file by its full path, on any file system that Arrow knows."""
-    scheme, colon, rest = uri.partition(":")
-    files, path = pyarrow.fs.FileSystem.from_uri(f"{_SCHEMES.get(scheme, scheme)}{colon}{rest}")
-    return files.open_input_stream(path, buffer_size=0)
-
-
 def reachable(spark: SparkSession, root: str) -> bool:
     """Can tasks open the files below `root` by themselves?"""
     place = spark._jvm.org.apache.hadoop.fs.Path(root)
     scheme = place.getFileSystem(spark._jsc.hadoopConfiguration()).getUri().getScheme()
-    return scheme in (*_SCHEMES, "file", "hdfs", "s3", "gs")
+    return scheme in (*SCHEMES, "file", "hdfs", "s3", "gs")
 
 
 def read_head_lines(files: DataFrame, max_lines: int, max_chars: int) -> DataFrame:

@@ -101,7 +101,7 @@ def test_files(spark, tmp_path):
     write_atomic(path, "two")
     assert open(path).read() == "two" and os.listdir(tmp_path) == ["a.md"]
     assert archive_path(str(tmp_path), "a.md").endswith("a-1.md")
-    assert sha256_file(path) == digests(spark, path).first()["sha256"] and sha256_file("/nowhere") is None
+    assert sha256_file(path) == digests(file_listing(spark, path)).first()["sha256"] and sha256_file("/nowhere") is None
     assert file_listing(spark, str(tmp_path)).first()["size"] == 3
     got = memory_index(spark, [("x", "Notes", str(tmp_path)), ("x", "File", path), ("x", "None", "/nowhere")], {"a.md"}).collect()
     assert got[0]["detail"].startswith("1 file(s), newest ") and got[1]["detail"] == "3 B, untracked" and len(got) == 2
