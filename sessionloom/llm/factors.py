@@ -6,7 +6,7 @@ from collections.abc import Iterable
 
 
 class Reference:
-    """A block of reference text: its words, and the first place of each phrase of `size` words.
+    """A block of reference text: its words, and all places of each phrase of `size` words.
 
     Phrases are looked up and compared as the words themselves, so that a factor
     is a true match whatever any hash says.
@@ -15,35 +15,40 @@ class Reference:
     def __init__(self, size: int):
         self.size = size
         self.words: list[bytes | None] = []
-        self.place: dict[bytes, int] = {}
+        self.places: dict[bytes, list[int]] = {}
 
     def add(self, words: list[bytes]) -> None:
         """Appends words to the block; no match reaches over their end."""
         at = len(self.words)
         self.words += [*words, None]
         for i in range(len(words) - self.size + 1):
-            self.place.setdefault(b" ".join(words[i : i + self.size]), at + i)
+            self.places.setdefault(b" ".join(words[i : i + self.size]), []).append(at + i)
 
-    def _longest(self, words: list[bytes], start: int) -> tuple[int, int]:
-        """The place in the block and the length of the match at `start`; of length 0 under `size` words.
+    def longest(self, words: list[bytes], start: int) -> tuple[int, int]:
+        """The place in the block and the length of the longest match at `start`, the first of several; of length 0 under `size` words.
 
-        The match is the one of the phrase's first place, extended word by word.
+        Of the phrase's places only those that go on beyond the longest match so
+        far are followed.
         """
         phrase = words[start : start + self.size]
-        at = self.place.get(b" ".join(phrase)) if len(phrase) == self.size else None
-        if at is None:
-            return 0, 0
-        length, block = self.size, self.words
-        while start + length < len(words) and block[at + length] == words[start + length]:
-            length += 1
-        return at, length
+        places = self.places.get(b" ".join(phrase), ()) if len(phrase) == self.size else ()
+        best, most, block, left = 0, 0, self.words, len(words) - start
+        for at in places:
+            if most and (most == left or block[at + most] != words[start + most]):
+                continue
+            length = self.size
+            while length < left and block[at + length] == words[start + length]:
+                length += 1
+            if length > most:
+                best, most = at, length
+        return best, most
 
     def parse(self, words: list[bytes]) -> list[tuple[int, int] | bytes]:
-        """The greedy parse: factors (place, length) of at least `size` words, and single words where none fits."""
+        """The greedy parse: longest factors (place, length) of at least `size` words, and single words where none fits."""
         out: list[tuple[int, int] | bytes] = []
         i = 0
         while i < len(words):
-            at, length = self._longest(words, i)
+            at, length = self.longest(words, i)
             out.append((at, length) if length else words[i])
             i += length or 1
         return out
@@ -56,18 +61,24 @@ class Reference:
         return out
 
     def spans(self, words: list[bytes]) -> list[tuple[int, int]]:
-        """Ranges of words that are covered by phrases of the block: the factors, and the phrases across their boundaries.
+        """Ranges of words that are covered by phrases of the block: the factors of the parse, and the phrases across their ends.
 
-        After a factor the next phrase that it does not hold as a whole starts
-        inside it, at its boundary; phrases from there on are looked up too, so
-        every occurring phrase lies in a range.
+        Within a factor every phrase occurs; where there is none the parse has
+        looked. What is left are phrases that start inside a factor and reach
+        over its end: these are looked up, from the first on.
         """
         out: list[tuple[int, int]] = []
-        i = 0
-        while i + self.size <= len(words):
-            _, length = self._longest(words, i)
-            if length:
-                out.append((i, i + length))
-                i += length - self.size
-            i += 1
+        at = 0
+        for x in self.parse(words):
+            if isinstance(x, bytes):
+                at += 1
+                continue
+            begin, at = at, at + x[1]
+            out.append((begin, at))
+            i = at - self.size + 1
+            while i < at:
+                length = self.longest(words, i)[1]
+                if length:
+                    out.append((i, i + length))
+                i += length - self.size + 1 if length else 1
         return out

@@ -17,20 +17,22 @@ text, are its *passage*.
 1. Shards send the hashes of their anchors, once for each distinct passage and
    at most `VARIANTS` for one anchor. Bins answer which anchors occur again, and
    how many passages there are.
-2. A shard sends each distinct passage of such an anchor, as text, to the block
-   that the anchor's hash names. Copies within the shard are found by comparing
-   texts and are not sent, so a passage that a third of all documents holds
-   comes once from each shard. The windows of an anchor with very many passages
-   are told apart further: by their offset, and by the text that all windows of
-   such offsets share (`_split`), so that a common line does not gather all its
-   surroundings in one block.
-3. A block has every passage that can share a window. It decides by comparing
+2. Of an anchor with over `UNSPLIT` passages, such as one in a line that very
+   many documents hold in differing surroundings, shards announce the hash of
+   every window. Bins answer which of these occur again: those inside the line,
+   and not those over its edges.
+3. A shard sends each distinct passage of an anchor that occurs again, as text,
+   to the block that the anchor's hash names; of an anchor with very many
+   passages each window that occurs again, to the block that the window's hash
+   names. Copies within the shard are found by comparing texts and are not sent.
+   So a key gets at most `UNSPLIT` passages, or one window from each shard.
+4. A block has every passage that can share a window. It decides by comparing
    texts, and answers with ranges.
-4. Shards unite the ranges and give each document's result.
+5. Shards unite the ranges and give each document's result.
 
 Hashes route, they never decide: equality is always found by words or bytes.
 Blocks and shards are as many as the input's size asks; nothing is collected on
-the driver but one sum. Documents are shuffled once; the three passes read the
+the driver but one sum. Documents are shuffled once; the four passes read the
 same exchange. Windows of a long document are worked off piece by piece.
 
 Nulls and ties: a null text is an empty one; null ids go last in the order of
@@ -51,7 +53,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sessionloom.llm import rolling
-from sessionloom.llm.common import keyed_text, release_memory, shard_count, text_bytes
+from sessionloom.llm.common import keyed_text, release_memory, shard_count, stored, text_bytes
 from sessionloom.llm.factors import Reference
 from sessionloom.llm.rolling import Prefix, U
 
@@ -61,9 +63,10 @@ CHUNK_BYTES = 1 << 19
 
 #: Passages of one anchor that a shard announces one by one; more are announced as a number.
 VARIANTS = 4
-#: Passages of one anchor up to which its windows are not split; 16 times as many for each further split.
+#: Passages of one anchor up to which its windows stay together.
 UNSPLIT = 2048
-SPLITS = 4
+#: What `known` says of a hash: an anchor, an anchor whose windows are told apart, or such a window.
+WHOLE, SPLIT, WINDOW = 0, 1, 2
 
 _LAST = np.iinfo(np.int64).max
 _SPACE = np.zeros(256, dtype=bool)
@@ -71,6 +74,7 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 _ANCHOR = "bin int, shard int, gram long, passage int, number int"
 _KNOWN = "shard int, gram long, split int"
+_WINDOWS = "bin int, shard int, hashes binary"
 _PASSAGE = "bin int, own boolean, shard int, seq long, rank long, start long, n long, offset int, copies boolean, gram long, text binary"
 _RANGE = "shard int, seq long, start long, n long"
 _RESULT = "doc_id long, n long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, ends array<long>"
@@ -166,6 +170,13 @@ class _Shard:
             yield _Chunk(held, words)
 
 
+def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of `x` are in `known`, which is sorted."""
+    if not len(known):
+        return np.zeros(len(x), dtype=bool)
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
+
+
 def _hash32(x: np.ndarray) -> np.ndarray:
     return (x >> U(32)).astype(np.uint32).view(np.int32)
 
@@ -225,11 +236,40 @@ class Plan:
         again = (np.bincount(of) > 1)[of]
         distinct = new | np.append(True, passage[1:] != passage[:-1]) | (number > 1)
         passages = np.bincount(of, weights=np.where(distinct, number, 0))
-        split = np.clip(np.ceil(np.log(np.maximum(passages, 1) / self.unsplit) / np.log(16)), 0, SPLITS).astype(np.int32)[of]
+        split = np.where(passages > self.unsplit, SPLIT, WHOLE).astype(np.int32)[of]
         known = np.unique(np.stack([gram, shard.astype(np.int64), split.astype(np.int64)])[:, again], axis=1)
         return _table(_KNOWN, known[1].astype(np.int32), known[0], known[2].astype(np.int32))
 
-    # 3. shard: the distinct passages of such anchors, and the ranges of copies within the shard
+    # 3. shard: the windows of anchors with very many passages
+    def announce_windows(self, docs: pa.Table, known: pa.Table) -> pa.Table:
+        if not docs.num_rows or not known.num_rows:
+            return _table(_WINDOWS, [], [], [])
+        shard, found = _Shard(docs), [np.empty(0, dtype=np.uint64)]
+        hot = np.sort(known.column("gram").to_numpy().view(np.uint64))
+        for chunk in self._chunks(shard):
+            a = rolling.anchors(chunk.prefix, chunk.starts, chunk.ends, self.size, self.gram)
+            rows = np.flatnonzero(_among(a.gram, hot))
+            start, _ = rolling.spread(a.first[rows], a.last[rows])
+            found.append(np.unique(self._window_keys(chunk, start)))
+        keys = np.unique(np.concatenate(found))
+        bins, order = keys % U(self.bins), np.argsort(keys % U(self.bins), kind="stable")
+        values, first = np.unique(bins[order], return_index=True)
+        parts = np.split(keys[order], first[1:]) if len(keys) else []
+        return _table(_WINDOWS, values.astype(np.int32), np.full(len(parts), shard.number, dtype=np.int32), [p.tobytes() for p in parts])
+
+    def _window_keys(self, chunk: _Chunk, start: np.ndarray) -> np.ndarray:
+        return rolling.mix(chunk.prefix.ranges(start, start + self.size) ^ U(0xA24BAED4963EE407))
+
+    # 4. bin: which windows occur in several shards
+    def judge_windows(self, table: pa.Table) -> pa.Table:
+        parts = [np.frombuffer(h, dtype=np.uint64) for h in table.column("hashes").to_pylist()]
+        shard = np.repeat(table.column("shard").to_numpy(), [len(p) for p in parts])
+        keys = np.concatenate(parts)
+        _, inverse, count = np.unique(keys, return_inverse=True, return_counts=True)
+        again = count[inverse] > 1
+        return _table(_KNOWN, shard[again], keys[again].view(np.int64), np.full(int(again.sum()), WINDOW, dtype=np.int32))
+
+    # 5. shard: the distinct passages of such anchors, and the ranges of copies within the shard
     def compare(self, docs: pa.Table, known: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return _table(_PASSAGE, *[[]] * 11)
@@ -289,46 +329,30 @@ class Plan:
 
     def _selected(self, shard: _Shard, known: pa.Table) -> list[np.ndarray]:
         """Passages (piece, first and last window in the piece, offset of the anchor, key) whose anchor may occur again."""
-        known_gram, known_split = known.column("gram").to_numpy().view(np.uint64), known.column("split").to_numpy()
-        by = np.argsort(known_gram)
-        known_gram, known_split = known_gram[by], known_split[by]
+        gram, split = known.column("gram").to_numpy().view(np.uint64), known.column("split").to_numpy()
+        whole, hot, windows = (np.sort(gram[split == kind]) for kind in (WHOLE, SPLIT, WINDOW))
         parts: list[list[np.ndarray]] = []
         n_pieces = 0
         for chunk in self._chunks(shard):
             a = rolling.anchors(chunk.prefix, chunk.starts, chunk.ends, self.size, self.gram)
-            split = np.full(len(a.gram), -1, dtype=np.int64)
-            if len(known_gram):
-                at = np.minimum(np.searchsorted(known_gram, a.gram), len(known_gram) - 1)
-                split = np.where(known_gram[at] == a.gram, known_split[at], -1)
-            base = chunk.starts
-            whole = split <= 0
-            parts.append([a.doc[whole] + n_pieces, (a.first - base[a.doc])[whole], (a.last - base[a.doc])[whole], (a.at - a.first)[whole], a.gram[whole], split[whole]])
-            for level in np.unique(split[~whole]):
-                for piece, first, last, offset, key in self._split(chunk, a, split == level, int(level)):
-                    parts.append([piece + n_pieces, first, last, offset, key, np.full(len(key), level)])
+            base, many = chunk.starts, _among(a.gram, hot)
+            one = ~many
+            parts.append([a.doc[one] + n_pieces, (a.first - base[a.doc])[one], (a.last - base[a.doc])[one], (a.at - a.first)[one], a.gram[one], _among(a.gram[one], whole)])
+            rows = np.flatnonzero(many)
+            start, of = rolling.spread(a.first[rows], a.last[rows])
+            if len(start):
+                doc, key = a.doc[rows][of], self._window_keys(chunk, start)
+                parts.append([doc + n_pieces, start - base[doc], start - base[doc], a.at[rows][of] - start, key, _among(key, windows)])
             n_pieces += len(chunk.doc)
         if not parts:
             return [np.empty(0, dtype=np.int64)] * 4 + [np.empty(0, dtype=np.uint64)]
-        piece, first, last, offset, key, split = (np.concatenate(x) for x in zip(*parts, strict=True))
+        piece, first, last, offset, key, elsewhere = (np.concatenate(x) for x in zip(*parts, strict=True))
         _, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
-        keep = np.flatnonzero((split >= 0) | (count[inverse] > 1))
+        keep = np.flatnonzero(elsewhere | (count[inverse] > 1))
         keep = keep[np.lexsort((first[keep], piece[keep]))]
         return [x[keep] for x in (piece, first, last, offset, key)]
 
-    def _split(self, chunk: _Chunk, a: rolling.Anchors, rows: np.ndarray, level: int) -> Iterator[tuple]:
-        """The windows of anchors dealt by 2**level ranges of offsets; a range's key is the text that its windows share."""
-        at, first, last, doc = a.at[rows], a.first[rows], a.last[rows], a.doc[rows]
-        free = self.size - self.gram + 1
-        cuts = np.unique(np.linspace(0, free, min(1 << level, free) + 1).astype(np.int64))
-        for number, (low, high) in enumerate(zip(cuts[:-1].tolist(), (cuts[1:] - 1).tolist(), strict=True)):
-            begin, end = np.maximum(first, at - high), np.minimum(last, at - low)
-            ok = np.flatnonzero(begin <= end)
-            x = at[ok]
-            key = rolling.mix(chunk.prefix.ranges(x - low, x - high + self.size) + U((level << 16 | number) + 1) * U(0x9E3779B97F4A7C15))
-            base = chunk.starts[doc[ok]]
-            yield doc[ok], begin[ok] - base, end[ok] - base, x - begin[ok], key
-
-    # 4. block: which windows of its passages occur again
+    # 6. block: which windows of its passages occur again
     def settle(self, table: pa.Table) -> pa.Table:
         own = table.column("own").to_numpy(zero_copy_only=False)
         names = [f.split()[0] for f in _RANGE.split(", ")]
@@ -341,7 +365,7 @@ class Plan:
         found = _table(_RANGE, shard[record], seq[record], start[record] + begin, n)
         return pa.concat_tables([out, found])
 
-    # 5. shard: ranges of each document
+    # 7. shard: ranges of each document
     def conclude(self, docs: pa.Table, ranges: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return _columns([], [])
@@ -503,7 +527,9 @@ def _run(df: DataFrame, id_col: str, text_col: str, words: bool, size: int, gram
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("seq"))
     by_shard = docs.select(F.pmod(F.xxhash64("doc_id", "seq"), F.lit(shards)).cast("int").alias("shard"), "doc_id", "seq", "text").groupBy("shard")
     plan = Plan(words, size, gram, first_stays, shards, decide, finish, VARIANTS, UNSPLIT, CHUNK_BYTES)
-    known = by_shard.applyInArrow(_tidy(plan.announce), _ANCHOR).groupBy("bin").applyInArrow(_tidy(plan.judge), _KNOWN)
+    known = stored(by_shard.applyInArrow(_tidy(plan.announce), _ANCHOR).groupBy("bin").applyInArrow(_tidy(plan.judge), _KNOWN), "anchors")
+    windows = by_shard.cogroup(known.where(F.col("split") == SPLIT).groupBy("shard")).applyInArrow(_tidy_two(plan.announce_windows), _WINDOWS)
+    known = known.unionByName(windows.groupBy("bin").applyInArrow(_tidy(plan.judge_windows), _KNOWN))
     passages = by_shard.cogroup(known.groupBy("shard")).applyInArrow(_tidy_two(plan.compare), _PASSAGE)
     ranges = passages.groupBy("bin").applyInArrow(_tidy(plan.settle), _RANGE)
     return by_shard.cogroup(ranges.groupBy("shard")).applyInArrow(_tidy_two(plan.conclude), _RESULT)

@@ -133,6 +133,26 @@ def test_factors_rebuild_the_text():
         seen.update(tuple(words[p : p + 3]) for p in range(len(words) - 2))
 
 
+def test_factors_are_the_longest():
+    from sessionloom.llm.factors import Reference
+
+    block = Reference(3)
+    block.add(list(map(bytes, [b"a", b"b", b"c", b"x"])))
+    block.add([b"a", b"b", b"c", b"d", b"e", b"f"])
+    assert block.parse([b"a", b"b", b"c", b"d", b"e", b"f"]) == [(5, 6)]
+    for case in range(40):
+        gen = random.Random(case)
+        block, texts = Reference(2), [[gen.choice([b"a", b"b"]) for _ in range(gen.randrange(14))] for _ in range(6)]
+        for words in texts:
+            i = 0
+            for x in block.parse(words):
+                n = 1 if isinstance(x, bytes) else x[1]
+                best = max((k for k in range(2, len(words) - i + 1) if any(block.words[p : p + k] == words[i : i + k] for p in range(len(block.words)))), default=1)
+                assert n == best
+                i += n
+            block.add(words)
+
+
 def test_suffix_order():
     from sessionloom.llm.rolling import BYTE_VALUES, Prefix, suffix_order, verified_order
 
