@@ -34,7 +34,7 @@ class Reference:
         places = self.places.get(b" ".join(phrase), ()) if len(phrase) == self.size else ()
         best, most, block, left = 0, 0, self.words, len(words) - start
         for at in places:
-            if most and (most == left or block[at + most] != words[start + most]):
+            if most and (most == left or at + most >= len(block) or block[at + most] != words[start + most]):
                 continue
             length = self.size
             while length < left and block[at + length] == words[start + length]:
