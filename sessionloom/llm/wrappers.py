@@ -12,15 +12,16 @@ Each page is then matched against its host's wrapper, and what its texts match
 decides with the page's own marks (tags, roles and class words of menus,
 headers, footers, sidebars, notices, adverts, forms and comments):
 
-* text that the pages of the host share, in a place of its own, is template
-  text and goes;
-* a repeated group whose slots are all links is a menu or a list of teasers
-  and goes;
-* the other slots are the page's text, in its article, else in its main
-  element, else wherever they stand.
-
-A host of fewer than `MIN_PAGES` pages, or whose pages share most of their text
-(copies), says nothing about fixed text.
+* what stands in the page's article is its text, else what stands in its main
+  element, and nothing of that goes but by its own marks;
+* of a page without either, text that the pages of the host share, in a place of
+  its own, is template text and goes, and a repeated group whose slots are all
+  links is a menu or a list of teasers and goes, unless a class names it the
+  article's own references;
+* the other slots are the page's text.
+
+A host of fewer than `MIN_PAGES` pages (copies that one task reads count once),
+or whose pages share most of their text, says nothing about fixed text.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import lru_cache, reduce
 
 import pandas as pd
 import pyarrow as pa
@@ -45,9 +46,10 @@ from sessionloom.llm.common import checkpointed, importable, slices
 HELD = 2_000
 #: Nesting up to which tags take part in inference; deeper text counts for the element at that depth.
 DEPTH = 100
-#: Pages of a host from which on shared text is template text, and from which on that holds in articles too.
+#: Pages of a host from which on shared text is template text.
 MIN_PAGES = 3
-MIN_PAGES_INSIDE = 5
+#: Kinds of runs beside each other up to which each is kept by its own sign; of more, those of few pages are one kind for each tag.
+KINDS = 64
 #: Share of a repeated group's text that is links in a menu.
 LINKED = 0.8
 #: Pairs of runs that are aligned in order; an element with more is one repeated group.
@@ -80,7 +82,7 @@ _ENDS = {name: {e for e, by in _ENDED_BY.items() if name in by} for name in set(
 _SCOPE = {"table", "ul", "ol", "dl", "article", "section", "div", "body", "main", "td", "th", "blockquote", "select", "html"}
 _OUT_TAGS = set("nav header footer aside form script style head template noscript iframe button select textarea svg canvas object audio video map menu dialog title datalist noembed noframes xmp math".split())
 _OUT_ROLES = set("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar tablist".split())
-#: Words of a class or id that mark what is not the article.
+#: Names of a class or id that mark what is not the article, and words that may stand beside them in one.
 _OUT_WORDS = set(
     "ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors promo promos promoted promotion "
     "nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager toolbar topbar masthead header footer sidebar sidebars aside "
@@ -88,9 +90,15 @@ _OUT_WORDS = set(
     "newsletter subscribe subscription signup login share sharing social related recommended recommendations teaser teasers widget widgets "
     "comment comments commentlist respond replies reply disqus discussion search form copyright".split()
 )
+_BESIDE = set(
+    "area bar block body bottom box btn button buttons col column container content contents fixed footer global group head heading holder icons inner "
+    "item items left link links list main message module page panel post posts primary right row secondary section site slot strip text title top unit wrap wrapper".split()
+)
+#: Words of a class or id that mark a list of links as the article's own.
+_OWN_LINKS = set("bibliography citations endnotes footnotes notes references refs sources".split())
 _HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 #: Elements whose class words don't count.
-_TRUSTED = {"html", "body", "article", "main", "p", "h1", "h2", "h3", "h4", "h5", "h6"}
+_TRUSTED = {"html", "body", "main", "p", "h1", "h2", "h3", "h4", "h5", "h6"}
 
 
 def _attributes(rest: str) -> dict[str, str]:
@@ -109,8 +117,17 @@ def _is_out(name: str, attrs: dict[str, str]) -> bool:
         return True
     if name in _TRUSTED:
         return False
-    words = set(_WORD.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}".lower()))
-    return bool(words & _OUT_WORDS)
+    return any(_marks_out(name) for name in f"{attrs.get('class', '')} {attrs.get('id', '')}".lower().split())
+
+
+@lru_cache(maxsize=4096)
+def _marks_out(name: str) -> bool:
+    """Is a class or id a name of what is not the article, by itself or beside words that say nothing?
+
+    `cookie-notice` and `related-posts` are; `social-history`, which names what a text is about, is not.
+    """
+    words = {w for w in _WORD.findall(name) if not w.isdigit()}
+    return bool(words & _OUT_WORDS) and words <= _OUT_WORDS | _BESIDE
 
 
 @dataclass
@@ -226,11 +243,16 @@ class Node:
 
 
 def read(page: str) -> tuple[Node, list[tuple[str, int]]]:
-    """The page's runs as they stand, and its blocks of kept text with their rank (2 in an article, 1 in main, else 0)."""
+    """The page's runs as they stand, and its blocks of kept text with their rank (2 in an article, 1 in main, else 0).
+
+    Where a main element has more text outside its articles than in them, they
+    are parts of its text and rank with it.
+    """
     root = Node("")
     walker, nodes = _Walker(), [root]
     blocks: list[tuple[str, int]] = []
     held: list[str] = []
+    both: list[int] = []  # blocks in an article that is in a main element
     linked, in_link = 0, False
 
     def flush() -> None:
@@ -238,6 +260,8 @@ def read(page: str) -> tuple[Node, list[tuple[str, int]]]:
         text = " ".join(html_lib.unescape("".join(held)).split())
         if text:
             rank = 2 if walker.names["article"] else 1 if walker.names["main"] else 0
+            if rank == 2 and walker.names["main"]:
+                both.append(len(blocks))
             nodes[-1].parts.append(Node(TEXT, text, len(text), min(linked, len(text)), block=len(blocks)))
             blocks.append((text, rank))
         held.clear()
@@ -267,6 +291,10 @@ def read(page: str) -> tuple[Node, list[tuple[str, int]]]:
                 nodes[-1].parts.append(node)
                 nodes.append(node)
     flush()
+    if both and sum(len(t) for t, r in blocks if r == 1) > sum(len(t) for t, r in blocks if r == 2):
+        for i in both:
+            blocks[i] = blocks[i][0], 1
+        blocks = [(t, 0 if r == 2 else r) for t, r in blocks]
     return root, blocks
 
 
@@ -316,9 +344,45 @@ def align(a: Node, b: Node, add: bool = True) -> Node:
     """The least wrapper of two of the same sign; `add` if they are of different pages."""
     out = Node(a.sign, a.text if a.text == b.text else None, a.length + b.length, a.linked + b.linked, a.count + b.count if add else max(a.count, b.count), a.optional or b.optional, a.repeated or b.repeated)
     out.parts = _grouped(_interleaved(a.parts, b.parts, add), add)
+    _merge_rare(out)
     return out
 
 
+def _any_of(sign: str) -> str:
+    """The sign of all runs of a tag."""
+    return sign.split(".")[0].rstrip("!") + ".*" + "!" * sign.endswith("!")
+
+
+def _merge_rare(node: Node) -> None:
+    """With over `KINDS` kinds of parts, those that under a `KINDS`th of the pages have become one repeated kind for each tag.
+
+    So classes that name a page keep no place of their own, and the wrapper does
+    not grow with the pages.
+    """
+    kinds = [m for p in node.parts for m in _members(p)]
+    if len(kinds) <= KINDS:
+        return
+    parts: list[Node | str] = []  # a merged kind by its sign, where its first member stood
+    rare: dict[str, Node] = {}
+    for p in node.parts:
+        kept = []
+        for m in _members(p):
+            if m.sign == TEXT or (m.count * KINDS >= node.count and m.sign != _any_of(m.sign)):
+                kept.append(m)
+                continue
+            m.sign = _any_of(m.sign)
+            if m.sign not in rare:
+                parts.append(m.sign)
+            rare[m.sign] = align(rare[m.sign], m) if m.sign in rare else m
+        if len(kept) == len(_members(p)):
+            parts.append(p)
+        elif kept:
+            parts.append(Node(GROUP, optional=p.optional, repeated=True, parts=kept) if len(kept) > 1 else kept[0])
+    for m in rare.values():
+        m.optional = m.repeated = True
+    node.parts = [rare[p] if isinstance(p, str) else p for p in parts]
+
+
 def _alike(x: Node, y: Node) -> bool:
     if x.sign == y.sign:
         return True
@@ -396,29 +460,30 @@ class Wrapper:
         slots = sum(t.length for t in _texts(root) if t.text is None)
         self.tells = root.count >= MIN_PAGES and 2 * slots >= sum(t.length for t in _texts(root))
 
-    def match(self, page: Node) -> dict[int, tuple[Node, str, bool]]:
-        """For each block of the page's runs: the wrapper's text, the sign of its element, and whether it is in a repeated group."""
-        out: dict[int, tuple[Node, str, bool]] = {}
-        todo = [(self.root, page, False)]
+    def match(self, page: Node) -> dict[int, tuple[Node, str, bool, bool]]:
+        """For each block of the page's runs: the wrapper's text, the sign of its element, whether it is in a repeated group, and whether that is the article's own."""
+        out: dict[int, tuple[Node, str, bool, bool]] = {}
+        todo = [(self.root, page, False, False)]
         while todo:
-            node, run, repeated = todo.pop()
+            node, run, repeated, own = todo.pop()
             known = {m.sign: m for p in node.parts for m in _members(p)}
+            own = own or not _OWN_LINKS.isdisjoint(run.sign.split("."))
             for p in run.parts:
-                m = known.get(p.sign)
+                m = known.get(p.sign) or known.get(_any_of(p.sign))
                 if m is not None and p.sign == TEXT:
-                    out[p.block] = m, run.sign, repeated or m.repeated
+                    out[p.block] = m, run.sign, repeated or m.repeated, own
                 elif m is not None:
-                    todo.append((m, p, repeated or m.repeated))
+                    todo.append((m, p, repeated or m.repeated, own))
         return out
 
 
-def _goes(rank: int, text: Node, sign: str, repeated: bool, tells: bool) -> bool:
-    """Does the wrapper say that a block is not the page's text?"""
-    if repeated:
-        return not rank and text.linked >= LINKED * text.length
-    if text.text is None or not tells:
+def _goes(rank: int, text: Node, sign: str, repeated: bool, tells: bool, own: bool) -> bool:
+    """Does the wrapper say that a block is not the page's text? Never of what stands in its article or main element."""
+    if rank or own:
         return False
-    return text.count >= (MIN_PAGES_INSIDE if rank else MIN_PAGES) and sign.split(".")[0] not in _HEADINGS
+    if repeated:
+        return text.linked >= LINKED * text.length
+    return text.text is not None and tells and text.count >= MIN_PAGES and sign.split(".")[0] not in _HEADINGS
 
 
 def extract(page: str | None, wrapper: Wrapper | None = None) -> str:
@@ -431,7 +496,7 @@ def extract(page: str | None, wrapper: Wrapper | None = None) -> str:
     root, blocks = read(page or "")
     most = max((r for _, r in blocks), default=0)
     found = wrapper.match(root) if wrapper else {}
-    rest = [t for i, (t, r) in enumerate(blocks) if r == most and not (i in found and _goes(r, *found[i], wrapper.tells))]
+    rest = [t for i, (t, r) in enumerate(blocks) if r == most and not (i in found and _goes(r, *found[i][:3], wrapper.tells, found[i][3]))]
     return "\n".join(rest or [t for t, r in blocks if r == most])
 
 
@@ -461,13 +526,17 @@ def host_wrappers(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, Node] = {}
+        seen: set[int] = set()  # copies that a task holds count once
         for batch in slices(batches):
             for host, text in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
+                if (page := hash((host, text))) in seen:
+                    continue
+                seen.add(page)
                 tree = folded(read(text)[0])
                 held[host] = align(held[host], tree) if host in held else tree
             if len(held) > HELD:
                 yield sent(held)
-                held = {}
+                held, seen = {}, set()
         yield sent(held)
 
     def joined(group: pd.DataFrame) -> tuple[str, Node]:

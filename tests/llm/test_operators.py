@@ -603,10 +603,57 @@ def test_a_wrapper_tells_what_no_mark_tells():
     for i, p in enumerate(pages):
         assert wrappers.extract(p, wrapper) == plain_text(i)
         assert "small files" in wrappers.extract(p) and "Another story" in wrappers.extract(p)
-    # fixed text inside an article needs more pages, and headings stay
-    inside = [f"<article><h1>T{i}</h1><h2>Method</h2><p>Body {i} says more than all that the pages share, and says it otherwise</p><div>Tell your friends</div></article>" for i in range(5)]
-    for n, kept in ((4, "\nTell your friends"), (5, "")):
-        assert wrappers.extract(inside[0], wrappers.Wrapper(wrappers.infer(inside[:n]))) == f"T0\nMethod\nBody 0 says more than all that the pages share, and says it otherwise{kept}"
+    # nothing inside an article goes because pages share it
+    inside = [f"<article><h1>T{i}</h1><h2>Method</h2><p>Body {i} says more than all that the pages share, and says it otherwise</p><div>By our own writer</div></article>" for i in range(9)]
+    assert wrappers.extract(inside[0], wrappers.Wrapper(wrappers.infer(inside))) == "T0\nMethod\nBody 0 says more than all that the pages share, and says it otherwise\nBy our own writer"
+
+
+def test_copies_of_an_article_keep_its_lede():
+    pages = [f"<article><h1>T{i}</h1><p>Body {i} of a story</p></article>" for i in range(100)] + ["<article><h1>Copied</h1><p class=lede>The lede</p><p>Its body</p></article>"] * 6
+    wrapper = wrappers.Wrapper(wrappers.infer(pages))
+    assert wrappers.extract(pages[-1], wrapper) == "Copied\nThe lede\nIts body"
+    # the same without an article element: what only copies share is no template text
+    pages = [f"<div class=c><h1>T{i}</h1><p>Body {i} of a story</p></div>" for i in range(100)] + ["<div class=c><h1>Copied</h1><p class=lede>The lede</p><p>Its body</p></div>"] * 6
+    spread = [wrappers.extract(p, wrappers.Wrapper(wrappers.infer(list(dict.fromkeys(pages))))) for p in pages]
+    assert spread[-1] == "Copied\nThe lede\nIts body" and spread[3] == "T3\nBody 3 of a story"
+
+
+def test_a_teaser_is_no_article():
+    assert wrappers.extract("<main><h1>Main</h1><p>text</p><article class='teaser'>x</article></main>") == "Main\ntext"
+    assert wrappers.extract("<main><h1>Main</h1><p>a long enough text</p><article>x</article></main>") == "Main\na long enough text\nx"
+    assert wrappers.extract("<main><p>Home</p><article><h1>T</h1><p>The long text</p></article></main>") == "T\nThe long text"
+    pages = [f"<div class=c><h1>T{i}</h1><p>One {i}</p><p>Two {i}</p></div><article class=teaser>More {i}</article>" for i in range(20)]
+    wrapper = wrappers.Wrapper(wrappers.infer(pages))
+    assert [wrappers.extract(p, wrapper) for p in pages] == [f"T{i}\nOne {i}\nTwo {i}" for i in range(20)]
+
+
+def test_references_are_no_menu():
+    body = lambda i: f"<div class=c><h1>T{i}</h1><p>Text {i}</p><ul class=refs>" + "".join(f"<li><a href=/{i}{k}>Source {i} {k}</a></li>" for k in range(4)) + "</ul></div>"
+    pages = [body(i) for i in range(12)]
+    wrapper = wrappers.Wrapper(wrappers.infer(pages))
+    assert wrappers.extract(pages[2], wrapper) == "T2\nText 2\nSource 2 0\nSource 2 1\nSource 2 2\nSource 2 3"
+
+
+def test_a_class_counts_as_a_whole():
+    kept = ("form-of-government", "social-history", "related-work", "share-prices", "header-files", "search-theory", "comment-on-law")
+    gone = ("ad", "ad-slot", "cookie-notice", "related-posts", "site-header", "share-buttons", "x newsletter", "comments", "nav_main", "widget-2", "search-form")
+    for name in kept:
+        assert wrappers.extract(f"<article><p>a</p><div class='{name}'>b</div><section id='{name}'>c</section></article>") == "a\nb\nc", name
+    for name in gone:
+        assert wrappers.extract(f"<article><p>a</p><div class='{name}'>b</div></article>") == "a", name
+
+
+def test_a_wrapper_does_not_grow_with_the_pages():
+    import time
+
+    took, size = {}, {}
+    for n in (1000, 4000):
+        pages = [f"<div class='post-{i * 7919 % 99991:x}z'><h1>T{i}</h1><p>Body {i} which says a good deal more</p></div><div class=f>Fixed words of the host</div>" for i in range(n)]
+        began = time.time()
+        root = wrappers.infer(pages)
+        took[n], size[n] = time.time() - began, len(root.pattern())
+        assert wrappers.extract(pages[5], wrappers.Wrapper(root)) == "T5\nBody 5 which says a good deal more"
+    assert took[4000] < 12 * took[1000] and size[4000] < 2 * size[1000]
 
 
 def test_copies_tell_nothing():
