@@ -75,6 +75,17 @@ def select_buckets(events: DataFrame, limits: Limits = Limits(), buckets: list |
     return rows.withColumn("rank", F.row_number().over(again)).withColumn("bucket", F.col("__tag.bucket")).drop("__tag", "__n")
 
 
+def merge_buckets(selected: DataFrame, limits: Limits = Limits(), order: list[str] | None = None) -> DataFrame:
+    """Rows of several `select_buckets` of the same sessions, of disjoint events, as one selection of all their events."""
+    order = order or ORDER
+    bounds = F.create_map(*[F.lit(x) for name, _, last, n in buckets_of(limits) for x in (name, (-1 if last else 1) * n)])
+    rows = selected.withColumn("__most", bounds[F.col("bucket")])
+    w = Window.partitionBy("session_key", "bucket").orderBy(*[F.signum("__most") * F.col(c) for c in order])
+    rows = rows.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= F.abs("__most"))
+    again = Window.partitionBy("session_key", "bucket").orderBy(*order)
+    return rows.withColumn("rank", F.row_number().over(again)).drop("__most", "__n")
+
+
 def distinct_selected(selected: DataFrame, key: list[str] | None = None) -> DataFrame:
     """session_key and events_selected: events in any bucket, each counted once."""
     return selected.groupBy("session_key").agg(F.countDistinct(*(key or ORDER)).alias("events_selected"))
@@ -106,6 +117,25 @@ def touched_files(events: DataFrame) -> DataFrame:
     return rows.groupBy("session_key", "path").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.count_if("mutating").alias("n_mutating"))
 
 
+def session_counts(trimmed: DataFrame) -> DataFrame:
+    """Events of each session by kind and tool: n, first, redactions, and the first folder that metadata names; these can be added up."""
+    cwd = F.trim(F.regexp_extract("text", r"(?m)^cwd:\s*(.+)$", 1))
+    found = F.when((F.col("kind") == ev.METADATA) & (cwd != ""), cwd)
+    at = F.struct(*ORDER)
+    return trimmed.groupBy("session_key", "kind", "tool_name").agg(
+        F.count("*").alias("n"), F.min(at).alias("first"), F.sum("redactions").alias("redactions"), F.min(F.when(found.isNotNull(), F.struct(at.alias("at"), found.alias("cwd")))).alias("cwd")
+    )
+
+
+def added_counts(counts: DataFrame) -> DataFrame:
+    """Several `session_counts` in one table, added up."""
+    return counts.groupBy("session_key", "kind", "tool_name").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.sum("redactions").alias("redactions"), F.min("cwd").alias("cwd"))
+
+
+def bad_lines(lines: DataFrame) -> DataFrame:
+    return lines.groupBy("session_key").agg(F.count_if(~F.col("ok")).alias("invalid_lines"))
+
+
 def session_stats(trimmed: DataFrame, lines: DataFrame | None = None, most_tools: int = 15) -> DataFrame:
     """One row for each session: total_events, redactions, session_cwd, event_kinds, top_tools, invalid_lines.
 
@@ -113,16 +143,15 @@ def session_stats(trimmed: DataFrame, lines: DataFrame | None = None, most_tools
     Events are counted by session, kind and tool in one aggregation, partly in
     the tasks that have them; all else comes from these counts.
     """
-    cwd = F.trim(F.regexp_extract("text", r"(?m)^cwd:\s*(.+)$", 1))
-    found = F.when((F.col("kind") == ev.METADATA) & (cwd != ""), cwd)
-    at = F.struct(*ORDER)
-    parts = trimmed.groupBy("session_key", "kind", "tool_name").agg(
-        F.count("*").alias("n"), F.min(at).alias("first"), F.sum("redactions").alias("redactions"), F.min(F.when(found.isNotNull(), F.struct(at.alias("at"), found.alias("cwd")))).alias("cwd")
-    )
+    return stats_of(session_counts(trimmed), None if lines is None else bad_lines(lines), most_tools)
+
+
+def stats_of(counts: DataFrame, bad: DataFrame | None = None, most_tools: int = 15) -> DataFrame:
+    """`session_stats` from `session_counts` and `bad_lines`."""
     tool = (F.col("tool_name") != "") & (F.col("kind") != ev.METADATA)
     facets = F.array(F.struct(F.lit(False).alias("tool"), F.col("kind").alias("value")), F.when(tool, F.struct(F.lit(True).alias("tool"), F.col("tool_name").alias("value"))))
     # the counts of a session meet once; the steps below need no further exchange
-    rows = parts.repartition("session_key").withColumn("facet", F.explode(F.array_compact(facets)))
+    rows = counts.repartition("session_key").withColumn("facet", F.explode(F.array_compact(facets)))
     kind = ~F.col("facet.tool")
     each = rows.groupBy("session_key", "facet").agg(
         F.sum("n").alias("n"), F.min("first").alias("first"), F.sum(F.when(kind, F.col("redactions"))).alias("redactions"), F.min(F.when(kind, F.col("cwd"))).alias("cwd")
@@ -143,7 +172,6 @@ def session_stats(trimmed: DataFrame, lines: DataFrame | None = None, most_tools
     )
     # as for a session without tools before: none is null
     out = out.withColumn("top_tools", F.when(F.size("top_tools") > 0, F.col("top_tools")))
-    if lines is None:
+    if bad is None:
         return out.withColumn("invalid_lines", F.lit(0).cast("long"))
-    bad = lines.groupBy("session_key").agg(F.count_if(~F.col("ok")).alias("invalid_lines"))
     return out.join(bad, "session_key", "full").fillna(0, ["total_events", "redactions", "invalid_lines"])

@@ -54,17 +54,19 @@ def _changed(changes: Column) -> Column:
     )
 
 
-def first_ids(lines: DataFrame) -> DataFrame:
+def first_ids(lines: DataFrame, earlier: DataFrame | None = None) -> DataFrame:
     """session_key, first_id and named_at: the first session id of each file and its place.
 
     Only lines whose text holds the key are parsed for it.
     """
     found = F.nullif(scalar_at(F.col("v"), "$.payload.session_id"), F.lit(""))
     rows = lines.where(F.col("raw").contains('"session_id"')).where("ok").select("session_key", F.struct("block_start", "line_no").alias("at"), found.alias("id")).where("id IS NOT NULL")
+    if earlier is not None:
+        rows = rows.unionByName(earlier.select("session_key", F.col("named_at").alias("at"), F.col("first_id").alias("id")))
     return rows.groupBy("session_key").agg(F.min_by("id", "at").alias("first_id"), F.min("at").alias("named_at"))
 
 
-def normalize(lines: DataFrame, dedupe: bool = True) -> DataFrame:
+def normalize(lines: DataFrame, dedupe: bool = True, earlier: DataFrame | None = None, named: DataFrame | None = None) -> DataFrame:
     """Events of rollout-dialect lines (see `read_jsonl`).
 
     A line's session is the first one named so far in its file. A user's text
@@ -72,14 +74,24 @@ def normalize(lines: DataFrame, dedupe: bool = True) -> DataFrame:
     holds it. Both are found first, from the few lines that can tell: session
     ids, and the places of repeats, go to the tasks that read the lines, so that
     no text is shuffled (ids and places beyond `FEW_ROWS` are joined instead).
+    Where `lines` go on from lines that were read before, `earlier` holds the
+    digests (see `user_digests`) and `named` the `first_ids` of those.
     """
     out = _events(lines)
     if dedupe:
-        users = _events(lines.where(F.col("raw").rlike('"user"|"UserMessage"'))).where(F.col("kind") == ev.USER)
-        out = out.join(few_broadcast(repeats(users)), PLACE, "left_anti")
-    out = out.join(few_broadcast(first_ids(lines)), "session_key", "left")
-    named = F.struct("block_start", "line_no") >= F.col("named_at")
-    return out.withColumn("session_id", F.when(named, F.col("first_id")).otherwise("")).select(*ev.COLUMNS)
+        out = out.join(few_broadcast(repeats(user_digests(lines), earlier)), PLACE, "left_anti")
+    out = out.join(few_broadcast(first_ids(lines, named)), "session_key", "left")
+    since = F.struct("block_start", "line_no") >= F.col("named_at")
+    return out.withColumn("session_id", F.when(since, F.col("first_id")).otherwise("")).select(*ev.COLUMNS)
+
+
+def user_digests(lines: DataFrame) -> DataFrame:
+    """Place and digest of each user message; of lines, only those that can hold one are parsed."""
+    return digested(_events(lines.where(F.col("raw").rlike('"user"|"UserMessage"'))).where(F.col("kind") == ev.USER))
+
+
+def digested(users: DataFrame) -> DataFrame:
+    return users.select(*PLACE, sha256_text(strip(F.col("text"))).alias("digest"))
 
 
 def _events(lines: DataFrame) -> DataFrame:
@@ -141,16 +153,16 @@ def _events(lines: DataFrame) -> DataFrame:
     return ev.table(rows, AGENT, ev.one(ev.event(kind, text, raw, spoken, F.col("tool"), paths, F.col("failed"), mutating), heard))
 
 
-def repeats(users: DataFrame) -> DataFrame:
+def repeats(digests: DataFrame, earlier: DataFrame | None = None) -> DataFrame:
     """Places of user messages whose stripped text the session already had; only digests are shuffled."""
-    rows = users.select(*PLACE, sha256_text(strip(F.col("text"))).alias("digest"))
+    rows = digests if earlier is None else digests.unionByName(earlier.select(digests.columns))
     order = Window.partitionBy("session_key", "digest").orderBy("block_start", "line_no", "sub_no")
     return rows.withColumn("n", F.row_number().over(order)).where("n > 1").select(*PLACE)
 
 
 def first_of_repeats(events: DataFrame) -> DataFrame:
     """Events without the user messages whose stripped text the session already had."""
-    return events.join(few_broadcast(repeats(events.where(F.col("kind") == ev.USER))), PLACE, "left_anti")
+    return events.join(few_broadcast(repeats(digested(events.where(F.col("kind") == ev.USER)))), PLACE, "left_anti")
 
 
 def probe(lines: DataFrame) -> DataFrame:

@@ -125,11 +125,12 @@ def update_catalogue(spark: SparkSession, agent: str, root: str, files: DataFram
     return spark.read.parquet(f"{place}/version={number}")
 
 
-def versions(spark: SparkSession, place: str) -> list[int]:
-    """Numbers of the versions below `place` that were written to their end."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{place}/version=*/_SUCCESS")
-    found = folder.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(folder)
-    return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in found or [])
+def versions(spark: SparkSession, place: str, table: str | None = None) -> list[int]:
+    """Numbers of the versions below `place` that were written to their end; of several tables, `table` is the last."""
+    found = spark._jvm.org.apache.hadoop.fs.Path("/".join(filter(None, (place, "version=*", table, "_SUCCESS"))))
+    done = found.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(found)
+    names = (f.getPath().getParent() for f in done or [])
+    return sorted(int((p.getParent() if table else p).getName().split("=")[1]) for p in names)
 
 
 def source_digest(spark: SparkSession, path: str) -> str | None:

@@ -63,13 +63,24 @@ def sha256_stream(stream, chunk: int = 1 << 20) -> str:
     return found.hexdigest()
 
 
-def open_path(uri: str) -> pa.NativeFile:
-    """A file by its full path, on any file system that Arrow knows."""
+def located(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The file system and the path of a full path, of any kind that Arrow knows."""
     scheme, colon, rest = uri.partition(":")
-    files, path = pyarrow.fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}{colon}{rest}")
+    return pyarrow.fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}{colon}{rest}")
+
+
+def open_path(uri: str) -> pa.NativeFile:
+    """A file to be read from its start on."""
+    files, path = located(uri)
     return files.open_input_stream(path, buffer_size=0)
 
 
+def open_file(uri: str) -> pa.NativeFile:
+    """A file to be read anywhere."""
+    files, path = located(uri)
+    return files.open_input_file(path)
+
+
 def sha256_file(path: str) -> str | None:
     """The digest of one of the driver's own files, such as a report; null if it can't be read."""
     try:
