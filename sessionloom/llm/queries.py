@@ -106,6 +106,16 @@ def secret_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.read_paths(spark, ledger)
 
 
+def secret_path_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What new rules find in all versions of all documents, those that are gone too, of a ledger filled under other rules."""
+    docs, ledger = _read(spark, sf_dir, "documents"), temporary(spark, "ledger")
+    older = docs.withColumn("text", F.when(F.col("lang") == "de", F.concat("text", F.lit(" token=abcdefgh"))).otherwise(F.col("text")))
+    for version in (older, docs):
+        secrets.update_ledger(version, ledger, secrets.RULES[:1])
+    secrets.rescan(spark, ledger)
+    return secrets.digest(secrets.findings_of_paths(spark, ledger), "version").select("doc_id", "version", "n_assign", "n_access", "n_hex")
+
+
 def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The counts and the base verdict of op7_quality_rules alone, which SQL can say."""
     out = quality.quality_rules(_read(spark, sf_dir, "documents"), [])
@@ -117,6 +127,7 @@ QUERIES = {
     for f in (
         secret_counts,
         secret_history,
+        secret_path_findings,
         quality_counts,
         op1_html_extraction,
         op2_language_id,
@@ -206,6 +217,16 @@ SELECT doc_id,
   CAST(len(list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 16)) AS BIGINT) AS n_access,
   CAST(len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), lambda x: length(x) >= 32)) AS BIGINT) AS n_hex
 FROM documents
+""",
+    "secret_path_findings": r"""
+WITH old AS (SELECT DISTINCT doc_id, coalesce(CASE WHEN lang = 'de' THEN text || ' token=abcdefgh' ELSE text END, '') AS t FROM documents),
+new AS (SELECT DISTINCT doc_id, coalesce(text, '') AS t FROM documents),
+versions AS (SELECT doc_id, CAST(1 AS INT) AS version, t FROM old UNION ALL SELECT doc_id, CAST(2 AS INT) AS version, t FROM new ANTI JOIN old USING (doc_id, t))
+SELECT doc_id, version,
+  CAST(len(list_filter(regexp_extract_all(t, '(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 8)) AS BIGINT) AS n_assign,
+  CAST(len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 16)) AS BIGINT) AS n_access,
+  CAST(len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda x: length(x) >= 32)) AS BIGINT) AS n_hex
+FROM versions
 """,
     "secret_history": r"""
 WITH old AS (SELECT DISTINCT doc_id, sha256(coalesce(CASE WHEN lang = 'de' THEN text || ' (draft)' ELSE text END, '')) AS blob FROM documents),

@@ -1,21 +1,25 @@
 """Secret scans with an incremental blob ledger.
 
 Each version of a document is addressed by the SHA-256 of its text, its blob.
-The ledger is a folder of two tables:
+The ledger is a folder of three tables:
 
-* `paths` (doc_id, version, blob): every content a document has had; a run that
-  finds new ones numbers them with the next version;
+* `paths` (doc_id, version, blob): every content a document has had, numbered
+  by the document's own versions;
+* `blobs` (blob, text): the text of each, stored once, by which versions that
+  are long gone can be scanned under new rules (`rescan`);
 * `findings` (blob, rule_version, spans): each blob scanned so far under a
   version of the rules, with what was found.
 
-A run scans only pairs of blob and rule version that `findings` lacks, and
-joins findings back to all paths.
+A run scans only pairs of blob and rule version that `findings` lacks, each
+once, and `findings_of_paths` joins findings back to all paths. One run writes a
+ledger at a time; a pair or a text that a broken run wrote counts once.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,8 +31,6 @@ from sessionloom.llm.common import checkpointed, few_broadcast, join_to_one, key
 
 #: Unseen blobs up to which they are broadcast, so that texts are scanned where they lie.
 BROADCAST_BLOBS = 500_000
-#: Blobs that a task remembers as scanned before it starts anew.
-REMEMBERED = 500_000
 
 
 @dataclass(frozen=True)
@@ -85,6 +87,7 @@ def find(text: str, rules: list[tuple[Rule, re.Pattern]]) -> list[tuple[str, int
 _SPANS = "array<struct<kind:string,start:long,end:long>>"
 _FINDINGS = f"blob string, rule_version string, spans {_SPANS}"
 _PATHS = "doc_id long, version int, blob string"
+_SCANNED = f"blob string, text string, rule_version string, spans {_SPANS}"
 
 
 def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -104,47 +107,58 @@ def read_paths(spark: SparkSession, ledger: str) -> DataFrame:
     return _read(spark, f"{ledger}/paths", _PATHS).groupBy("doc_id", "blob").agg(F.min("version").alias("version")).select("doc_id", "version", "blob")
 
 
+def findings_of_paths(spark: SparkSession, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(doc_id, version, blob, spans) of every version of every document that was scanned under `rules`."""
+    found = read_findings(spark, ledger).where(F.col("rule_version") == rule_version(rules)).select("blob", "spans")
+    return join_to_one(checkpointed(read_paths(spark, ledger)), found, "blob").select("doc_id", "version", "blob", "spans")
+
+
 def _scan(todo: DataFrame, rules: tuple[Rule, ...], version: str) -> DataFrame:
+    """Rows (blob, text, stored) scanned; the text is handed on if it is not stored yet."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled = [(r, r.compiled()) for r in rules]
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-        seen: set[str] = set()
         for batch in slices(batches):
-            blobs, found = [], []
-            for blob, text in zip(batch.column("blob").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                if blob in seen:
-                    continue
-                if len(seen) >= REMEMBERED:
-                    seen.clear()
-                seen.add(blob)
-                blobs.append(blob)
-                found.append([{"kind": k, "start": s, "end": e} for k, s, e in find(text or "", compiled)])
-            yield pa.RecordBatch.from_arrays([pa.array(blobs, pa.string()), pa.array([version] * len(blobs), pa.string()), pa.array(found, kind)], names=["blob", "rule_version", "spans"])
-
-    return todo.select("blob", "text").mapInArrow(run, _FINDINGS)
-
-
-def _unseen(docs: DataFrame, rows: DataFrame, known: DataFrame) -> DataFrame:
-    """Documents that hold all blobs that are not known, moved only if there are very many of them.
-
-    Without known blobs, or with few unseen ones, texts stay in their tasks,
-    and a task scans a blob once. Else one row of each unseen blob is picked by
-    blob and id, which deals copies evenly.
+            texts = batch.column("text").to_pylist()
+            found = [[{"kind": k, "start": s, "end": e} for k, s, e in find(text or "", compiled)] for text in texts]
+            new = [None if stored else text for text, stored in zip(texts, batch.column("stored").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("blob"), pa.array(new, pa.string()), pa.array([version] * len(texts), pa.string()), pa.array(found, kind)], names=["blob", "text", "rule_version", "spans"])
+
+    return todo.select("blob", "text", "stored").mapInArrow(run, _SCANNED)
+
+
+def _unseen(docs: DataFrame, rows: DataFrame, known: DataFrame, stored: DataFrame) -> DataFrame:
+    """One row of each blob that is not known, with whether its text is stored.
+
+    The row is picked by blob and id. With few such blobs texts stay in their
+    tasks; else they are dealt by blob and id, which deals copies evenly.
     """
-    if known.isEmpty():
-        return docs
-    unseen = checkpointed(rows.groupBy("blob").agg(F.min("doc_id").alias("rep")).join(known.select("blob"), "blob", "left_anti"))
-    if unseen.count() <= BROADCAST_BLOBS:
-        return docs.join(F.broadcast(unseen.select("blob")), "blob", "left_semi")
-    unseen = unseen.withColumnRenamed("blob", "rep_blob").hint("shuffle_hash")
-    return docs.join(unseen, (docs["blob"] == unseen["rep_blob"]) & docs["doc_id"].eqNullSafe(unseen["rep"]), "left_semi")
+    unseen = rows.groupBy("blob").agg(F.min("doc_id").alias("rep")).join(known.select("blob"), "blob", "left_anti")
+    unseen = checkpointed(unseen.join(stored.select("blob", F.lit(True).alias("stored")), "blob", "left").select(F.col("blob").alias("rep_blob"), "rep", F.coalesce("stored", F.lit(False)).alias("stored")))
+    unseen = F.broadcast(unseen) if unseen.count() <= BROADCAST_BLOBS else unseen.hint("shuffle_hash")
+    return docs.join(unseen, (docs["blob"] == unseen["rep_blob"]) & docs["doc_id"].eqNullSafe(unseen["rep"])).select("blob", "text", "stored")
+
+
+def _append(found: DataFrame, ledger: str) -> None:
+    """Scanned rows to the ledger: texts to its blobs, and what was found in them to its findings."""
+    spark, place = found.sparkSession, f"{ledger}/blobs/run={uuid.uuid4().hex}"
+    found.write.parquet(place)
+    pairs = spark.read.schema(_SCANNED).parquet(place).groupBy("blob", "rule_version").agg(F.first("spans").alias("spans"))
+    pairs.write.mode("append").parquet(f"{ledger}/findings")
+
+
+def read_blobs(spark: SparkSession, ledger: str) -> DataFrame:
+    """(blob, text): the stored text of every version of every document, though a broken run may have left one twice."""
+    return _read(spark, f"{ledger}/blobs", _SCANNED).where("text IS NOT NULL").select("blob", "text")
 
 
 def update_ledger(df: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Brings the ledger in folder `ledger` up to date; returns (doc_id, blob) of every row, and (blob, spans) of blobs with findings.
 
-    Texts are read twice, to be addressed and to be scanned, and not shuffled
-    unless a later run has over `BROADCAST_BLOBS` unseen blobs.
+    Texts are read twice, to be addressed and, one for each unseen blob, to be
+    scanned and stored; they are not shuffled unless a run has over
+    `BROADCAST_BLOBS` unseen blobs.
     """
     spark = df.sparkSession
     version = rule_version(rules)
@@ -152,20 +166,27 @@ def update_ledger(df: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, i
     docs = docs.withColumn("blob", blob_of(F.col("text")))
     rows = checkpointed(docs.select("doc_id", "blob"))
 
-    paths = read_paths(spark, ledger)
-    number = (paths.agg(F.max("version")).first()[0] or 0) + 1
-    pairs = rows.distinct()
-    if number > 1:
-        same = pairs["doc_id"].eqNullSafe(paths["doc_id"]) & (pairs["blob"] == paths["blob"])
-        pairs = pairs.join(paths, same, "left_anti")
-    pairs.select("doc_id", F.lit(number).alias("version"), "blob").write.mode("append").parquet(f"{ledger}/paths")
+    pairs, paths = rows.distinct(), read_paths(spark, ledger)
+    pairs = pairs.join(paths.select(F.col("doc_id").alias("of"), F.col("blob").alias("had")), F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("blob") == F.col("had")), "left_anti")
+    last = paths.groupBy(F.col("doc_id").alias("of")).agg(F.max("version").alias("last"))
+    new = pairs.join(last, F.col("doc_id").eqNullSafe(F.col("of")), "left").select("doc_id", (F.coalesce("last", F.lit(0)) + 1).alias("version"), "blob")
+    checkpointed(new).write.mode("append").parquet(f"{ledger}/paths")
 
     known = _read(spark, f"{ledger}/findings", _FINDINGS).where(F.col("rule_version") == version)
-    found = _scan(_unseen(docs, rows, known), rules, version)
-    found.groupBy("blob", "rule_version").agg(F.first("spans").alias("spans")).write.mode("append").parquet(f"{ledger}/findings")
+    _append(_scan(_unseen(docs, rows, known, read_blobs(spark, ledger).select("blob").distinct()), rules, version), ledger)
     return rows, read_findings(spark, ledger).where((F.col("rule_version") == version) & (F.size("spans") > 0)).select("blob", "spans")
 
 
+def rescan(spark: SparkSession, ledger: str, rules: tuple[Rule, ...] = RULES) -> int:
+    """Scans every stored blob, of old versions too, that was not scanned under `rules`; returns how many pairs the ledger gained."""
+    version = rule_version(rules)
+    known = _read(spark, f"{ledger}/findings", _FINDINGS).where(F.col("rule_version") == version)
+    before = known.select("blob").distinct().count()
+    todo = read_blobs(spark, ledger).join(known.select("blob"), "blob", "left_anti").withColumn("stored", F.lit(True))
+    _append(_scan(todo, rules, version), ledger)
+    return _read(spark, f"{ledger}/findings", _FINDINGS).where(F.col("rule_version") == version).select("blob").distinct().count() - before
+
+
 def blob_of(text: F.Column) -> F.Column:
     """The address of a text; a null one counts as empty."""
     return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
@@ -199,8 +220,8 @@ def redact_secrets(df: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES,
     return rows.select(*[text.alias(c) if c == text_col else F.col(c) for c in df.columns], cut.alias("__cut"))
 
 
-def digest(scanned: DataFrame) -> DataFrame:
-    """Counts and digests of the spans that `scan_secrets` returns."""
+def digest(scanned: DataFrame, *more: str) -> DataFrame:
+    """Counts and digests of the spans that `scan_secrets` returns, beside doc_id and the columns `more`."""
 
     def joined(spans):
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
@@ -210,7 +231,7 @@ def digest(scanned: DataFrame) -> DataFrame:
 
     base = F.filter("spans", lambda s: s["kind"].isin(*[r.kind for r in BASE]))
     counts = [F.size(F.filter("spans", of(r.kind))).cast("long").alias(f"n_{r.kind}") for r in BASE]
-    return scanned.select("doc_id", *counts, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    return scanned.select("doc_id", *more, *counts, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
 def redact(text: F.Column, spans: F.Column, mark: str = "[SECRET]") -> F.Column:
