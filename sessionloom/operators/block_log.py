@@ -64,8 +64,8 @@ def normalize(lines: DataFrame) -> DataFrame:
         injected = (F.col("role") == "user") & ~F.col("compact") & is_injected_context(text)
         name, value = scalar_at(b, "$.name"), object_at(b, "$.input")
         bad = F.coalesce(F.try_variant_get(b, "$.is_error", "boolean"), F.lit(False))
-        call = ev.event(ev.TOOL_CALL, describe_input(name, value), raw, F.col("role"), name, F.coalesce(paths_of_input(value), F.array().cast("array<string>")), None, is_mutating_tool(name))
-        result = ev.event(F.when(bad, ev.TOOL_ERROR).otherwise(ev.TOOL_RESULT), flatten_result(F.try_variant_get(b, "$.content", "variant")), raw, F.col("role"), error=bad)
+        call = ev.event(ev.TOOL_CALL, describe_input(name, value), raw, F.col("role"), name, F.coalesce(paths_of_input(value), F.array().cast("array<string>")), None, is_mutating_tool(name), scalar_at(b, "$.id"))
+        result = ev.event(F.when(bad, ev.TOOL_ERROR).otherwise(ev.TOOL_RESULT), flatten_result(F.try_variant_get(b, "$.content", "variant")), raw, F.col("role"), error=bad, call=scalar_at(b, "$.tool_use_id"))
         of = string_at(b, "$.type")
         return F.when((of == "text") & ~is_blank(text) & ~injected, ev.event(said, text, raw, F.col("role"))).when(of == "tool_use", call).when(of == "tool_result", result)
 

@@ -10,13 +10,13 @@ TOOL_CALL, TOOL_RESULT, TOOL_ERROR = "tool_call", "tool_result", "tool_error"
 COMPACTION, METADATA = "compaction", "session_metadata"
 CONVERSATION = (USER, ASSISTANT, TOOL_CALL, TOOL_RESULT, TOOL_ERROR)
 
-_FIELDS = "kind:string,role:string,text:string,tool_name:string,file_paths:array<string>,is_error:boolean,raw_type:string,mutating:boolean"
+_FIELDS = "kind:string,role:string,text:string,tool_name:string,file_paths:array<string>,is_error:boolean,raw_type:string,mutating:boolean,call_id:string"
 EVENT = f"struct<{_FIELDS}>"
 #: Columns of the event table, in order.
-COLUMNS = ["agent", "session_key", "session_id", "block_start", "line_no", "sub_no", "ts_raw", "ts", "kind", "role", "text", "tool_name", "file_paths", "is_error", "raw_type", "mutating"]
+COLUMNS = ["agent", "session_key", "session_id", "block_start", "line_no", "sub_no", "ts_raw", "ts", "kind", "role", "text", "tool_name", "file_paths", "is_error", "raw_type", "mutating", "call_id"]
 
 
-def event(kind: Column | str, text: Column, raw_type: Column, role: Column | None = None, tool: Column | None = None, paths: Column | None = None, error: Column | None = None, mutating: Column | None = None) -> Column:
+def event(kind: Column | str, text: Column, raw_type: Column, role: Column | None = None, tool: Column | None = None, paths: Column | None = None, error: Column | None = None, mutating: Column | None = None, call: Column | None = None) -> Column:
     """One event as a struct; what is not given is empty."""
     none = F.lit(None).cast("string")
     return F.struct(
@@ -28,6 +28,7 @@ def event(kind: Column | str, text: Column, raw_type: Column, role: Column | Non
         (F.lit(False) if error is None else error).alias("is_error"),
         raw_type.alias("raw_type"),
         (F.lit(False) if mutating is None else mutating).alias("mutating"),
+        (none if call is None else F.nullif(call, F.lit(""))).alias("call_id"),
     )
 
 

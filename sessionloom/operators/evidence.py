@@ -10,33 +10,48 @@ from sessionloom.functions.classify import base_name, is_credential_name, is_cre
 from sessionloom.functions.redact import scrub
 from sessionloom.functions.text import truncate_text
 from sessionloom.operators import events as ev
+from sessionloom.shared import few_broadcast
 
 # What stands in for withheld text.
 WITHHELD_FILE = "[REDACTED: content of a file that looks like a credential store]"
 WITHHELD_CALL = "[REDACTED: tool call referencing a possible credential file]"
 
+WITHHELD_RESULT = "[REDACTED: result of a tool call that was withheld]"
+
 ORDER = ["block_start", "line_no", "sub_no"]
 
 
-def trim(events: DataFrame, limits: Limits = Limits()) -> DataFrame:
+def trim(events: DataFrame, limits: Limits = Limits(), strict: bool = False) -> DataFrame:
     """Events with their text redacted or withheld, then truncated, and `redactions`, the secrets replaced.
 
     It is a projection, so texts are short before anything is shuffled. What a
-    session describes about itself is left as it is.
+    session describes about itself is left as it is. `strict`: the result of a
+    call that is withheld is withheld too; the calls' ids are found first, and
+    go to the tasks that have the results.
     """
+    if strict:
+        events = events.join(few_broadcast(withheld_calls(events)), ["session_key", "call_id"], "left")
+    hidden = F.coalesce(F.col("__hidden"), F.lit(False)) if strict else F.lit(False)
     tool = F.col("kind").isin(ev.TOOL_CALL, ev.TOOL_RESULT, ev.TOOL_ERROR)
     by_path = (F.size("file_paths") > 0) & F.exists("file_paths", lambda p: is_credential_path(p))
     by_text = is_credential_name(F.col("__base"))
     zero = F.lit(0).cast("long")
     kept = lambda text: F.struct(F.lit(text).alias("text"), zero.alias("hits"))
     done = F.when(F.col("kind") == ev.METADATA, F.struct(F.col("text").alias("text"), zero.alias("hits")))
-    done = done.when(by_path, kept(WITHHELD_FILE)).when(by_text, kept(WITHHELD_CALL)).otherwise(scrub(F.col("text")))
+    done = done.when(by_path, kept(WITHHELD_FILE)).when(hidden & (F.col("kind") != ev.TOOL_CALL), kept(WITHHELD_RESULT)).when(by_text, kept(WITHHELD_CALL)).otherwise(scrub(F.col("text")))
     limit = F.when(tool, limits.max_tool_text_chars).otherwise(limits.max_text_chars)
     label = F.when(F.col("kind").isin(ev.TOOL_RESULT, ev.TOOL_ERROR), "tool result").otherwise("text")
     events = events.withColumn("__base", F.when(F.col("kind") == ev.TOOL_CALL, base_name(F.left("text", F.lit(400)))))
     rows = events.withColumn("__done", done)
     text = F.when(F.col("kind") == ev.METADATA, F.col("__done.text")).otherwise(truncate_text(F.col("__done.text"), limit, label))
-    return rows.withColumn("text", text).withColumn("redactions", F.col("__done.hits")).drop("__done", "__base")
+    return rows.withColumn("text", text).withColumn("redactions", F.col("__done.hits")).drop("__done", "__base", "__hidden")
+
+
+def withheld_calls(events: DataFrame) -> DataFrame:
+    """(session_key, call_id, __hidden) of calls whose text `trim` withholds."""
+    calls = events.where((F.col("kind") == ev.TOOL_CALL) & F.col("call_id").isNotNull())
+    secret = F.exists("file_paths", lambda p: is_credential_path(p)) | is_credential_name(base_name(F.left("text", F.lit(400))))
+    return calls.where(secret).select("session_key", "call_id", F.lit(True).alias("__hidden")).distinct()
 
 
 def buckets_of(limits: Limits) -> list[tuple[str, Column, bool, int]]:

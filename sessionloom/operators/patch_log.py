@@ -149,14 +149,15 @@ def flatten_result(value: Column) -> Column:
     return F.when(is_kind(value, "STRING"), string_at(value, "$")).when(is_kind(value, "ARRAY"), listed).when(is_kind(value, "OBJECT"), whole).otherwise(scalar_at(value, "$"))
 
 
-def _piece(which: str, name: Column | None = None, value: Column | None = None) -> Column:
+def _piece(which: str, name: Column | None = None, value: Column | None = None, call: Column | None = None) -> Column:
     name = F.lit(None).cast("string") if name is None else name
     value = F.lit(None).cast("variant") if value is None else value
-    return F.struct(F.lit(which).alias("which"), name.alias("name"), value.alias("value"))
+    call = F.lit(None).cast("string") if call is None else F.nullif(call, F.lit(""))
+    return F.struct(F.lit(which).alias("which"), name.alias("name"), value.alias("value"), call.alias("call"))
 
 
 def pieces(rows: DataFrame) -> DataFrame:
-    """Rows (v, raw) as one row for each thing that a message says, calls or answers, in order: sub_no, which, name, value, said.
+    """Rows (v, raw) as one row for each thing that a message says, calls or answers, in order: sub_no, which, name, value, call, said.
 
     Things come out of the message before they are described, so that each is
     described by columns of its own row.
@@ -165,11 +166,13 @@ def pieces(rows: DataFrame) -> DataFrame:
     get = lambda of, path: F.try_variant_get(of, path, "variant")
     rows = rows.withColumn("parts", parts_of(v, "$.content")).withColumn("said", visible_text(parts))
     answers = F.filter(parts, lambda x: object_at(x, "$.functionResponse").isNotNull())
-    answered = F.transform(answers, lambda x: _piece("result", string_at(x, "$.functionResponse.name"), get(x, "$.functionResponse.response")))
+    answered = F.transform(answers, lambda x: _piece("result", string_at(x, "$.functionResponse.name"), get(x, "$.functionResponse.response"), scalar_at(x, "$.functionResponse.id")))
     calls = F.filter(F.transform(parts, lambda x: object_at(x, "$.functionCall")), lambda c: c.isNotNull())
-    called = F.transform(calls, lambda c: _piece("call", scalar_at(c, "$.name"), get(c, "$.args")))
+    called = F.transform(calls, lambda c: _piece("call", scalar_at(c, "$.name"), get(c, "$.args"), scalar_at(c, "$.id")))
     tools = F.filter(F.coalesce(list_at(v, "$.toolCalls"), F.array().cast("array<variant>")), lambda c: is_kind(c, "OBJECT"))
-    used = F.flatten(F.transform(tools, lambda c: F.array(_piece("call", scalar_at(c, "$.name"), get(c, "$.args")), _piece("result", scalar_at(c, "$.name"), get(c, "$.result")))))
+    # a call and its result stand in one record; without an id they are known by the message and their place in it
+    own = lambda c, i: F.coalesce(F.nullif(scalar_at(c, "$.id"), F.lit("")), F.concat(scalar_at(v, "$.id"), F.lit("#"), i.cast("string")))
+    used = F.flatten(F.transform(tools, lambda c, i: F.array(_piece("call", scalar_at(c, "$.name"), get(c, "$.args"), own(c, i)), _piece("result", scalar_at(c, "$.name"), get(c, "$.result"), own(c, i)))))
     used = F.filter(used, lambda x: (x["which"] == "call") | (x["value"].isNotNull() & (kind(x["value"]) != "VOID")))
     user = F.when(F.size(answers) > 0, answered).otherwise(F.array(_piece("user")))
     found = F.when(raw == "error", F.array(_piece("error"))).when(raw == "user", user).when(raw.isin("gemini", "model"), F.concat(F.array(_piece("model")), called, used))
@@ -197,8 +200,8 @@ def described_pieces(rows: DataFrame) -> DataFrame:
     role = F.when(which == "model", "model").when((which == "user") & ~snapshot, "user")
     paths = F.when(which == "call", paths_of_args(value)).otherwise(F.array().cast("array<string>"))
     mutating = F.when(which == "call", tool_mutates(name, text)).otherwise(False)
-    e = ev.event(kinds, text, raw, role, name, paths, F.col("failed"), mutating)
-    kept = [c for c in rows.columns if c not in ("which", "raw", "name", "value", "said", "text", "trimmed", "failed")]
+    e = ev.event(kinds, text, raw, role, name, paths, F.col("failed"), mutating, F.col("call"))
+    kept = [c for c in rows.columns if c not in ("which", "raw", "name", "value", "call", "said", "text", "trimmed", "failed")]
     return rows.select(*kept, F.explode(ev.one(e, heard)).alias("e"))
 
 

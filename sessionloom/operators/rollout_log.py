@@ -148,9 +148,9 @@ def _events(lines: DataFrame) -> DataFrame:
     paths = F.when(what == "FileChange", F.map_keys("changes")).otherwise(F.array().cast("array<string>"))
     raw = F.when(what.isin("session_meta", "compacted"), t).when(t == "response_item", F.concat_ws("/", t, pt)).otherwise(F.concat(t, F.lit("/item/"), what))
     mutating = F.when(what == "call", is_mutating_tool(F.col("tool")) | mutates_by_shell(text)).otherwise(what == "FileChange")
-    rows = rows.withColumns({"tool": named, "session_id": F.lit(""), "ts_raw": ts_to_iso(get(v, "$.timestamp"))})
+    rows = rows.withColumns({"call": F.when(what.isin("call", "output"), scalar_at(p, "$.call_id")), "tool": named, "session_id": F.lit(""), "ts_raw": ts_to_iso(get(v, "$.timestamp"))})
     spoken = F.when(what == "UserMessage", "user").otherwise(role)
-    return ev.table(rows, AGENT, ev.one(ev.event(kind, text, raw, spoken, F.col("tool"), paths, F.col("failed"), mutating), heard))
+    return ev.table(rows, AGENT, ev.one(ev.event(kind, text, raw, spoken, F.col("tool"), paths, F.col("failed"), mutating, F.col("call")), heard))
 
 
 def repeats(digests: DataFrame, earlier: DataFrame | None = None) -> DataFrame:

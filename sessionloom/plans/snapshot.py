@@ -45,9 +45,9 @@ def all_events(spark: SparkSession, roots: dict[str, str]) -> DataFrame:
     return out
 
 
-def build_evidence(events: DataFrame, lines: DataFrame | None = None, limits: Limits = Limits()) -> tuple[DataFrame, DataFrame]:
-    """(selected events in their buckets, one row of statistics for each session)."""
-    trimmed = evidence.trim(events, limits)
+def build_evidence(events: DataFrame, lines: DataFrame | None = None, limits: Limits = Limits(), strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(selected events in their buckets, one row of statistics for each session); `strict` as in `evidence.trim`."""
+    trimmed = evidence.trim(events, limits, strict)
     return evidence.select_buckets(trimmed, limits), evidence.session_stats(trimmed, lines)
 
 

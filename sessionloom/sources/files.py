@@ -64,9 +64,13 @@ def sha256_stream(stream, chunk: int = 1 << 20) -> str:
 
 
 def located(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    """The file system and the path of a full path, of any kind that Arrow knows."""
+    """The file system and the path of a local path, or of a URI of any kind that Arrow knows."""
+    if uri.startswith("/"):
+        return pyarrow.fs.LocalFileSystem(), uri
+    if uri.startswith("file:"):
+        return pyarrow.fs.LocalFileSystem(), plain_path(uri)
     scheme, colon, rest = uri.partition(":")
-    return pyarrow.fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}{colon}{rest}")
+    return pyarrow.fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}{colon}{rest.replace(' ', '%20')}")
 
 
 def open_path(uri: str) -> pa.NativeFile:
