@@ -5,13 +5,14 @@ The ledger is a folder of three tables:
 
 * `paths` (doc_id, version, blob): every content a document has had, numbered
   by the document's own versions;
-* `blobs` (blob, text): the text of each, stored once, by which versions that
-  are long gone can be scanned under new rules (`rescan`);
+* `blobs` (blob, text): the text of each, by which versions that are long gone
+  can be scanned under new rules (`rescan`);
 * `findings` (blob, rule_version, spans): each blob scanned so far under a
   version of the rules, with what was found.
 
-A run scans only pairs of blob and rule version that `findings` lacks, each
-once, and `findings_of_paths` joins findings back to all paths. One run writes a
+A run scans only pairs of blob and rule version that `findings` lacks (each once,
+but for the first run over a large table, where copies in several tasks are
+scanned in each), and `findings_of_paths` joins findings back to all paths. One run writes a
 ledger at a time; a pair or a text that a broken run wrote counts once.
 """
 
@@ -30,7 +31,9 @@ from pyspark.sql import functions as F
 from sessionloom.llm.common import checkpointed, few_broadcast, join_to_one, keyed_text, slices
 
 #: Unseen blobs up to which they are broadcast, so that texts are scanned where they lie.
-BROADCAST_BLOBS = 500_000
+BROADCAST_BLOBS = 100_000
+#: Blobs that a task remembers as scanned before it starts anew.
+REMEMBERED = 500_000
 
 
 @dataclass(frozen=True)
@@ -114,12 +117,21 @@ def findings_of_paths(spark: SparkSession, ledger: str, rules: tuple[Rule, ...]
 
 
 def _scan(todo: DataFrame, rules: tuple[Rule, ...], version: str) -> DataFrame:
-    """Rows (blob, text, stored) scanned; the text is handed on if it is not stored yet."""
+    """Rows (blob, text, stored) scanned, copies that a task meets once; the text is handed on if it is not stored yet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled = [(r, r.compiled()) for r in rules]
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+        seen: set[str] = set()
         for batch in slices(batches):
+            fresh = []
+            for i, blob in enumerate(batch.column("blob").to_pylist()):
+                if blob not in seen:
+                    seen.add(blob)
+                    fresh.append(i)
+            if len(seen) > REMEMBERED:
+                seen.clear()
+            batch = batch.take(pa.array(fresh, pa.int64()))
             texts = batch.column("text").to_pylist()
             found = [[{"kind": k, "start": s, "end": e} for k, s, e in find(text or "", compiled)] for text in texts]
             new = [None if stored else text for text, stored in zip(texts, batch.column("stored").to_pylist(), strict=True)]
@@ -129,14 +141,20 @@ def _scan(todo: DataFrame, rules: tuple[Rule, ...], version: str) -> DataFrame:
 
 
 def _unseen(docs: DataFrame, rows: DataFrame, known: DataFrame, stored: DataFrame) -> DataFrame:
-    """One row of each blob that is not known, with whether its text is stored.
+    """Rows (blob, text, stored) that hold all blobs that are not known; `stored`: is the text in the ledger?
 
-    The row is picked by blob and id. With few such blobs texts stay in their
-    tasks; else they are dealt by blob and id, which deals copies evenly.
+    Up to `BROADCAST_BLOBS` such blobs go to the tasks that have the texts, and
+    one row of each is picked by its id. With more, a ledger that is empty takes
+    all rows as they lie, a copy once from each task that holds it; to one that
+    is not, one row of each is dealt by blob and id, which deals copies evenly.
     """
     unseen = rows.groupBy("blob").agg(F.min("doc_id").alias("rep")).join(known.select("blob"), "blob", "left_anti")
-    unseen = checkpointed(unseen.join(stored.select("blob", F.lit(True).alias("stored")), "blob", "left").select(F.col("blob").alias("rep_blob"), "rep", F.coalesce("stored", F.lit(False)).alias("stored")))
-    unseen = F.broadcast(unseen) if unseen.count() <= BROADCAST_BLOBS else unseen.hint("shuffle_hash")
+    unseen = unseen.join(stored.select("blob", F.lit(True).alias("stored")), "blob", "left").select(F.col("blob").alias("rep_blob"), "rep", F.coalesce("stored", F.lit(False)).alias("stored"))
+    unseen = checkpointed(unseen)
+    few = unseen.count() <= BROADCAST_BLOBS
+    if not few and known.isEmpty() and stored.isEmpty():
+        return docs.select("blob", "text", F.lit(False).alias("stored"))
+    unseen = F.broadcast(unseen) if few else unseen.hint("shuffle_hash")
     return docs.join(unseen, (docs["blob"] == unseen["rep_blob"]) & docs["doc_id"].eqNullSafe(unseen["rep"])).select("blob", "text", "stored")
 
 
@@ -149,16 +167,15 @@ def _append(found: DataFrame, ledger: str) -> None:
 
 
 def read_blobs(spark: SparkSession, ledger: str) -> DataFrame:
-    """(blob, text): the stored text of every version of every document, though a broken run may have left one twice."""
+    """(blob, text): the stored text of every version of every document, though tasks of one run may each have stored a copy."""
     return _read(spark, f"{ledger}/blobs", _SCANNED).where("text IS NOT NULL").select("blob", "text")
 
 
 def update_ledger(df: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Brings the ledger in folder `ledger` up to date; returns (doc_id, blob) of every row, and (blob, spans) of blobs with findings.
 
-    Texts are read twice, to be addressed and, one for each unseen blob, to be
-    scanned and stored; they are not shuffled unless a run has over
-    `BROADCAST_BLOBS` unseen blobs.
+    Texts are read twice, to be addressed and to be scanned and stored; they are
+    not shuffled unless a later run has over `BROADCAST_BLOBS` unseen blobs.
     """
     spark = df.sparkSession
     version = rule_version(rules)
