@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from sessionloom.config import Limits
 from sessionloom.functions import classify, redact, text
 from sessionloom.operators import archive, block_log, discovery, evidence, patch_log, relevance, rollout_log
+from sessionloom.plans import reports
 from sessionloom.sources.jsonl import parsed
-from sessionloom.tables import block_lines, block_tool_lines, conversation_events, log_events, patch_lines, patch_note_lines, patch_operations, patch_set_lines, patch_tool_lines, read, rollout_lines, rollout_tool_lines
+from sessionloom.tables import block_lines, block_plain_lines, block_tool_lines, conversation_events, log_events, patch_lines, patch_note_lines, patch_operations, patch_set_lines, patch_tool_lines, read, rollout_lines, rollout_tool_lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -505,3 +506,85 @@ def log_times(spark: SparkSession, d: str) -> DataFrame:
     micros = F.unix_micros(ts)
     given = F.when(F.col("event_id") % 3 == 0, F.floor(micros / 1000).cast("string")).when(F.col("event_id") % 3 == 1, F.floor(micros / 1000000).cast("string")).otherwise(F.concat(F.lit('"'), F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit('Z"')))
     return read(spark, d, "events").select("event_id", text.ts_to_iso(F.parse_json(given)).alias("shown"))
+
+
+@query("""SELECT event_type, change_kind, count(*) AS n FROM (SELECT event_type, CASE WHEN c = '??' THEN 'untracked' WHEN contains(c, 'U') OR c IN ('AA', 'DD') THEN 'conflicted' WHEN contains(c, 'R') THEN 'renamed'
+  WHEN contains(c, 'D') THEN 'deleted' WHEN contains(c, 'A') THEN 'added' ELSE 'modified' END AS change_kind
+FROM (SELECT event_type, list_value('??', 'UU', 'AA', 'DD', 'R ', ' D', 'A ', ' M', 'MM', 'RM')[event_id % 10 + 1] AS c FROM events)) GROUP BY ALL""")
+def status_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Changes of each kind, with event types as repositories."""
+    codes = F.array(*[F.lit(c) for c in ("??", "UU", "AA", "DD", "R ", " D", "A ", " M", "MM", "RM")])
+    line = F.concat(F.element_at(codes, (F.col("event_id") % 10 + 1).cast("int")), F.lit(" p"), F.col("event_id").cast("string"))
+    rows = read(spark, d, "events").select("event_type", line.alias("line"), F.col("event_id").alias("pos"))
+    return relevance.status_counts(relevance.classify_status(rows, keys=["event_type"]), ["event_type"])
+
+
+@query(f"""WITH {_TURNS}, g AS (SELECT session_key, kind, count(*) AS n, min(line_no) AS f FROM turns GROUP BY ALL)
+SELECT session_key, kind, n, row_number() OVER (PARTITION BY session_key ORDER BY n DESC, f) AS rank FROM g
+QUALIFY row_number() OVER (PARTITION BY session_key ORDER BY n DESC, f) <= 2""")
+def session_top_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """The two most frequent kinds of events of each conversation."""
+    return evidence.counts_by(_conversations(spark, d), "kind", 2).select("session_key", "kind", "n", F.col("rank").cast("long").alias("rank"))
+
+
+@query("""SELECT name, left(name, 15) AS generated, 'block' AS agent, 's' || doc_id AS session, CASE WHEN doc_id % 3 = 0 THEN '2' ELSE '' END AS copy FROM (
+  SELECT doc_id, '2026' || lpad(CAST(doc_id % 12 + 1 AS VARCHAR), 2, '0') || '01-' || lpad(CAST(doc_id % 240000 AS VARCHAR), 6, '0') || '-block-s' || doc_id || CASE WHEN doc_id % 3 = 0 THEN '-2' ELSE '' END || '.md' AS name FROM documents)
+ORDER BY name DESC LIMIT 20""")
+def history_listing(spark: SparkSession, d: str) -> DataFrame:
+    """The 20 newest reports of an archive, their names taken apart."""
+    day = F.concat(F.lit("2026"), F.lpad((F.col("doc_id") % 12 + 1).cast("string"), 2, "0"), F.lit("01-"), F.lpad((F.col("doc_id") % 240000).cast("string"), 6, "0"))
+    name = F.concat(day, F.lit("-block-s"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 3 == 0, "-2").otherwise(""), F.lit(".md"))
+    return archive.history(read(spark, d, "documents").select(name.alias("name")))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN u ELSE 'rollout-' || doc_id END AS rollout_id, CASE WHEN doc_id % 2 = 0 THEN left(h, 8) ELSE 'session-' || doc_id END AS patch_id, CASE WHEN doc_id % 2 = 0 THEN 'rollout-' || u ELSE 'rollout-' || doc_id END AS block_id
+FROM (SELECT *, concat_ws('-', h[1:8], h[9:12], h[13:16], h[17:20], h[21:32]) AS u FROM (SELECT doc_id, md5(CAST(doc_id AS VARCHAR)) AS h FROM documents))""")
+def session_ids_of_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Ids that session files carry in their names, in each dialect."""
+    h, plain = F.md5(F.col("doc_id").cast("string").cast("binary")), F.col("doc_id").cast("string")
+    u = F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    even = F.col("doc_id") % 2 == 0
+    rollout = F.concat(F.lit("/l/2026/rollout-"), F.when(even, u).otherwise(plain), F.lit(".jsonl"))
+    patch = F.concat(F.lit("/l/p/chats/session-"), F.when(even, F.concat(F.lit("2026-"), F.left(h, F.lit(8)))).otherwise(plain), F.lit(".jsonl"))
+    ids = [discovery.session_id_of_path(path, agent).alias(f"{agent}_id") for agent, path in (("rollout", rollout), ("patch", patch), ("block", rollout))]
+    return read(spark, d, "documents").select("doc_id", *ids)
+
+
+@query(r"""SELECT doc_id, left(h, 8) AS short_id, left(h, 12) AS short_head, regexp_replace(replace(text, ' ', chr(10) || chr(10)), '\n{3,}', chr(10) || chr(10), 'g') AS spaced FROM (SELECT doc_id, text, md5(CAST(doc_id AS VARCHAR)) AS h FROM documents)""")
+def short_names(spark: SparkSession, d: str) -> DataFrame:
+    """Hashes cut short, and texts without runs of empty lines."""
+    h = F.md5(F.col("doc_id").cast("string").cast("binary"))
+    spaced = text.collapse_blank_lines(F.replace(F.col("text"), F.lit(" "), F.lit("\n\n")))
+    return read(spark, d, "documents").select("doc_id", text.short_id(h).alias("short_id"), text.short_head(h).alias("short_head"), spaced.alias("spaced"))
+
+
+@query(_SAID)
+def block_plain_content(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations in the block dialect, users' content as plain text, assistants' after their thinking."""
+    return block_log.normalize(parsed(block_plain_lines(read(spark, d, "conversations")))).select("session_key", "line_no", "kind", "text")
+
+
+@query(f"""WITH {_TURNS}, c AS (
+  SELECT session_key, line_no, kind, CASE WHEN regexp_matches(text, '\\S') THEN '### ' || replace(kind, '_', ' ') || chr(10) || chr(10) || regexp_replace(text, {_STRIP}, '', 'g') || chr(10) END AS chunk
+  FROM turns WHERE kind IN ('user_message', 'assistant_message')),
+u AS (SELECT * FROM c WHERE kind = 'user_message'),
+s AS (
+  SELECT session_key, 'began' AS part, line_no, chunk FROM c QUALIFY row_number() OVER (PARTITION BY session_key ORDER BY line_no) <= 20
+  UNION ALL SELECT session_key, 'first' AS part, line_no, chunk FROM u QUALIFY row_number() OVER (PARTITION BY session_key ORDER BY line_no) <= 20
+  UNION ALL SELECT session_key, 'last' AS part, line_no, chunk FROM u QUALIFY row_number() OVER (PARTITION BY session_key ORDER BY line_no DESC) <= 20
+  UNION ALL SELECT session_key, 'ended' AS part, line_no, chunk FROM c QUALIFY row_number() OVER (PARTITION BY session_key ORDER BY line_no DESC) <= 60),
+b AS (SELECT session_key, part, coalesce(string_agg(chunk, chr(10) ORDER BY line_no), '_No events of this kind._' || chr(10)) || chr(10) AS body FROM s GROUP BY ALL),
+p AS (SELECT session_key, max(body) FILTER (part = 'began') AS began, max(body) FILTER (part = 'first') AS first, max(body) FILTER (part = 'last') AS last, max(body) FILTER (part = 'ended') AS ended FROM b GROUP BY ALL),
+t AS (SELECT session_key, count(*) AS n FROM turns GROUP BY ALL),
+x AS (SELECT session_key, replace('# Evidence of a session||> Generated at now|> Source: table|> Session: ' || session_key || '|> Transcript: ' || session_key || '|> Events parsed: ' || n || '||Quoted from the transcript and cut where marked; the repository decides.||---||## How the session began||', '|', chr(10))
+  || coalesce(began, '_No events of this kind._' || chr(10) || chr(10))
+  || CASE WHEN first IS NULL THEN '' ELSE replace('|---||## What the user asked||### First ones||', '|', chr(10)) || first || replace('### Last ones||', '|', chr(10)) || last END
+  || replace('|---||## How the session ended||', '|', chr(10)) || coalesce(ended, '_No events of this kind._' || chr(10) || chr(10)) AS text FROM t LEFT JOIN p USING (session_key))
+SELECT session_key, sha256(regexp_replace(text, '\\n{{3,}}', chr(10) || chr(10), 'g')) AS digest FROM x""")
+def evidence_files(spark: SparkSession, d: str) -> DataFrame:
+    """The evidence file of every conversation."""
+    rows = _conversations(spark, d).withColumn("redactions", F.lit(0).cast("long"))
+    stats = evidence.session_stats(rows)
+    sessions = stats.select(F.lit("table").alias("agent"), F.col("session_key").alias("session_id"), F.col("session_key").alias("path"))
+    texts = reports.evidence_texts(sessions, evidence.select_buckets(rows), stats, "now")
+    return texts.select("session_key", text.sha256_text(F.col("text")).alias("digest"))

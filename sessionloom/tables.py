@@ -46,6 +46,15 @@ def block_lines(rows: DataFrame) -> DataFrame:
     return _lines(rows, F.struct(F.col("role").alias("type"), F.col("conv_id").cast("string").alias("sessionId"), message.alias("message")))
 
 
+def block_plain_lines(rows: DataFrame) -> DataFrame:
+    """Conversations as lines of the block dialect: users' content is plain text, others' a thought and then a text."""
+    thought = F.struct(F.lit("thinking").alias("type"), F.col("text").alias("thinking"), F.lit(None).cast("string").alias("text"))
+    said = F.struct(F.lit("text").alias("type"), F.lit(None).cast("string").alias("thinking"), F.col("text"))
+    plain = _lines(rows.where("role = 'user'"), F.struct(F.col("role").alias("type"), F.struct(F.col("role"), F.col("text").alias("content")).alias("message")))
+    listed = _lines(rows.where("role <> 'user'"), F.struct(F.col("role").alias("type"), F.struct(F.col("role"), F.array(thought, said).alias("content")).alias("message")))
+    return plain.unionByName(listed)
+
+
 def rollout_lines(rows: DataFrame) -> DataFrame:
     """Conversations as lines of the rollout dialect."""
     block = F.struct(F.when(F.col("role") == "user", "input_text").otherwise("output_text").alias("type"), F.col("text"))
