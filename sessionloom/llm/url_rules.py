@@ -74,17 +74,17 @@ def url_tokens() -> Column:
 
 
 def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """Rules (antecedent, confidence, support, lift) from rows (page_id, url, bad).
+    """Rules (antecedent, lists, confidence, support, lift) from rows (page_id, url, bad).
 
     All rules that pass support, confidence and the test against chance, but
     those that one with a part of their tokens beats. The test is Chernoff's
     bound: if a share `base` of all labelled URLs is bad, then n URLs have a bad
     share of `confidence` or more with a chance of at most
     exp(-n * KL(confidence, base)), and that times the number of combinations
-    tried must not exceed `CHANCE`. Tokens that stand in the same labelled URLs are mined
-    as one and told apart again at the end, and a token that is bad wherever it
-    stands needs no company; neither changes the rules. Without labelled rows
-    there are none.
+    tried must not exceed `CHANCE`. Tokens that stand in the same labelled URLs
+    are mined as one: a rule's `lists` has them all, any one of which will do,
+    and its antecedent the first of each. A token that is bad wherever it stands
+    needs no company. Without labelled rows there are none.
     """
     rows = labelled.where("bad IS NOT NULL").orderBy(F.xxhash64("page_id", "url"), "page_id").limit(max_labelled)
     rows = split_url(rows).withColumn("tokens", url_tokens()).where((F.size("tokens") > 0) | F.col("bad"))
@@ -96,7 +96,7 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     alike = places.groupBy("places", "hits").agg(F.min("token").alias("item"), F.collect_list("token").alias("tokens"))
     alike = checkpointed(alike.select("item", "tokens", "hits", F.size("places").alias("n")))
     sure = alike.where("hits = n").select(F.explode("tokens").alias("token"), "hits")
-    sure = sure.select(F.array("token").alias("antecedent"), F.lit(1.0).alias("confidence"), (F.col("hits") / total).alias("support"), F.lit(total / max(n_bad, 1)).alias("lift"))
+    sure = sure.select(F.array("token").alias("antecedent"), F.array(F.array("token")).alias("lists"), F.lit(1.0).alias("confidence"), (F.col("hits") / total).alias("support"), F.lit(total / max(n_bad, 1)).alias("lift"))
     items = spread.join(alike.where("hits < n").select(F.col("item").alias("token")), "token").groupBy("row").agg(F.collect_list("token").alias("items"))
     none = F.array().cast("array<string>")
     basket = F.concat(F.coalesce("items", none), F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(none))
@@ -106,18 +106,34 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     base = n_bad / max(total, 1)
     rules = model.associationRules.where(F.col("consequent") == F.array(F.lit(BAD))).where(_beyond_chance(total, base, tried))
     sure = sure.where(_beyond_chance(total, base, tried))
-    rules = checkpointed(rules.select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support", "lift"))
-    # a rule goes if one with a part of its tokens is as sure
-    shorter = inverted_index(rules).select("token", F.col("antecedent").alias("part"), F.col("confidence").alias("as_sure"))
-    longer = rules.select("antecedent", "confidence", F.explode("antecedent").alias("token"))
-    beaten = longer.join(shorter, "token").where((F.size("part") < F.size("antecedent")) & (F.size(F.array_except("part", "antecedent")) == 0) & (F.col("as_sure") >= F.col("confidence")))
-    rules = rules.join(beaten.select("antecedent").distinct(), "antecedent", "left_anti")
-    # each choice of one token for each item
+    rules = _unbeaten(checkpointed(rules.select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support", "lift")))
     lists = rules.select("*", F.explode("antecedent").alias("item")).join(alike.select("item", "tokens"), "item")
     lists = lists.groupBy("antecedent", "confidence", "support", "lift").agg(F.collect_list("tokens").alias("lists"))
-    choices = F.expr("aggregate(lists, array(cast(array() AS array<string>)), (some, list) -> flatten(transform(some, s -> transform(list, t -> concat(s, array(t))))))")
-    each = lists.select(F.explode(choices).alias("antecedent"), "confidence", "support", "lift").withColumn("antecedent", F.array_sort("antecedent"))
-    return checkpointed(each.unionByName(sure))
+    return checkpointed(lists.select("antecedent", "lists", "confidence", "support", "lift").unionByName(sure))
+
+
+def _unbeaten(rules: DataFrame) -> DataFrame:
+    """Rules without those that one with a part of their tokens, as sure, makes needless.
+
+    From the shortest on: those of a size are measured against the shorter ones
+    that are left, which is enough, as what beats a rule that went beats all that
+    it beats. So correlated tokens, of which very many combinations are as sure,
+    are told off by the few that are not.
+    """
+    sizes = sorted(r[0] for r in rules.select(F.size("antecedent")).distinct().collect())  # a URL's tokens at most
+    kept, rest = None, rules
+    for size in sizes:
+        level = rest.where(F.size("antecedent") == size)
+        kept = level if kept is None else kept.unionByName(level)
+        if size == sizes[-1]:
+            break
+        # of what is left, what this level beats goes
+        index = inverted_index(level.withColumn("lists", F.transform("antecedent", lambda t: F.array(t)))).select("token", F.flatten("lists").alias("part"), F.col("confidence").alias("as_sure"))
+        longer = rest.where(F.size("antecedent") > size)
+        met = longer.select("antecedent", "confidence", F.explode("antecedent").alias("token")).join(index, "token")
+        beaten = met.where((F.col("as_sure") >= F.col("confidence")) & (F.size(F.array_except("part", "antecedent")) == 0))
+        rest = checkpointed(longer.join(beaten.select("antecedent").distinct(), "antecedent", "left_anti"))
+    return rules if kept is None else kept
 
 
 def _beyond_chance(total: int, base: float, tried: int) -> Column:
@@ -130,11 +146,11 @@ def _beyond_chance(total: int, base: float, tried: int) -> Column:
 
 
 def inverted_index(rules: DataFrame) -> DataFrame:
-    """(token, antecedent, confidence): each rule under the token that the fewest rules have."""
-    spread = rules.select("antecedent", "confidence", F.explode("antecedent").alias("token"))
-    weight = spread.groupBy("token").agg(F.count("*").alias("n"))
-    best = spread.join(weight, "token").groupBy("antecedent", "confidence").agg(F.min(F.struct("n", "token")).alias("least"))
-    return best.select(F.col("least.token").alias("token"), "antecedent", "confidence")
+    """(token, lists, confidence): each rule under the tokens of its list that the fewest rules have."""
+    spread = rules.select("antecedent", "lists", "confidence", F.explode("lists").alias("list")).withColumn("first", F.array_min("list"))
+    weight = spread.groupBy("first").agg(F.count("*").alias("n"))
+    best = spread.join(weight, "first").groupBy("antecedent", "lists", "confidence").agg(F.min(F.struct("n", "list")).alias("least"))
+    return best.select(F.explode("least.list").alias("token"), "lists", "confidence")
 
 
 def filter_urls(pages: DataFrame, labelled: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple[tuple[str, str], ...] = RULES, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
@@ -154,13 +170,13 @@ def filter_urls(pages: DataFrame, labelled: DataFrame, id_col: str = "page_id",
     rows = split_url(pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.monotonically_increasing_id().alias("row")))
     rows = rows.withColumn("listed", listed_rule(rules))
     if n_mined:
-        index = inverted_index(mined)
-        index = F.broadcast(index) if n_mined <= BROADCAST_RULES else index
+        index = checkpointed(inverted_index(mined))
+        index = F.broadcast(index) if index.count() <= BROADCAST_RULES else index
         rows = rows.withColumn("tokens", url_tokens())
         number = F.array(F.concat(F.lit("#"), F.pmod("row", F.lit(4096))))  # no token, dealt evenly
         looked = F.when(F.col("listed").isNull() & (F.size("tokens") > 0), F.col("tokens")).otherwise(number)
         spread = rows.withColumn("token", F.explode(looked)).join(index, "token", "left")
-        fires = F.when(F.size(F.array_except("antecedent", "tokens")) == 0, F.col("confidence"))
+        fires = F.when(F.forall("lists", lambda some: F.arrays_overlap(some, "tokens")), F.col("confidence"))
         kept = [F.first(c).alias(c) for c in ("page_id", "host", "path", "listed")]
         rows = spread.groupBy("row").agg(*kept, F.max(fires).alias("confidence"))
     else:

@@ -567,6 +567,74 @@ def test_noise_gives_no_url_rule(spark):
     assert [r["antecedent"] for r in url_rules.mine(planted).collect()] == [["q:spam"]]
 
 
+def brute_rules(rows, min_support, min_confidence):
+    """The rules, by trying every combination. rows: (tokens, bad)."""
+    import itertools
+    import math
+
+    total, n_bad = len(rows), sum(bad for _, bad in rows)
+    least, base = max(math.ceil(min_support * total), url_rules.MIN_ROWS), n_bad / total
+    places = collections.defaultdict(set)
+    for i, (tokens, _) in enumerate(rows):
+        for t in tokens:
+            places[t].add(i)
+    bad = {i for i, (_, b) in enumerate(rows) if b}
+    alike = collections.defaultdict(list)
+    for t, where in places.items():
+        if len(where & bad) >= least:
+            alike[frozenset(where)].append(t)
+    items = {min(ts): where for where, ts in alike.items() if not where <= bad}
+    names = {min(ts): sorted(ts) for ts in alike.values()}
+    tried, found = len(alike), {}
+    for size in range(1, len(items) + 1):
+        for combo in itertools.combinations(sorted(items), size):
+            where = frozenset.intersection(*(items[t] for t in combo))
+            if len(where) >= least:
+                tried += 1
+                hits = len(where & bad)
+                if hits >= least and hits / len(where) >= min_confidence:
+                    found[combo] = (hits / len(where), hits)
+
+    def beyond(confidence, hits):
+        good = 1 - confidence
+        apart = confidence * math.log(confidence / base) + (good * math.log(good / (1 - base)) if good else 0)
+        return confidence > base and hits / confidence * apart >= math.log(tried / url_rules.CHANCE)
+
+    found = {c: r for c, r in found.items() if beyond(*r)}
+    kept = {c: r for c, r in found.items() if not any(set(p) < set(c) and found[p][0] >= r[0] for p in found)}
+    out = {(tuple(tuple(names[t]) for t in c), round(r[0], 9)) for c, r in kept.items()}
+    sure = {t: len(where) for where, ts in alike.items() if where <= bad for t in ts}
+    return out | {(((t,),), 1.0) for t, n in sure.items() if beyond(1.0, n)}
+
+
+@pytest.mark.parametrize("case", range(3))
+def test_mined_rules_are_all_rules(spark, case):
+    gen = random.Random(case)
+    rows = []
+    for i in range(400):
+        keys = [k for k in "abcdef" if gen.random() < (0.9 if case == 0 else 0.5)]
+        bad = gen.random() < (0.9 if {"a", "c"} <= set(keys) or "f" in keys and case == 1 else 0.15)
+        twin = "t1&t2" if "b" in keys else "z"
+        rows.append((i, f"http://h{i % 3}.org/p{'/x/y' if bad and i % 5 == 0 else ''}?{'&'.join(keys)}&{twin}", bad))
+    labelled = spark.createDataFrame(rows, "page_id long, url string, bad boolean")
+    tokens = {r["page_id"]: r["t"] for r in url_rules.split_url(labelled).select("page_id", url_rules.url_tokens().alias("t")).collect()}
+    got = url_rules.mine(labelled, 0.02, 0.6).collect()
+    have = {(tuple(sorted(tuple(sorted(x)) for x in r["lists"])), round(r["confidence"], 9)) for r in got}
+    want = {(tuple(sorted(lists)), c) for lists, c in brute_rules([(tokens[i], bad) for i, _, bad in rows], 0.02, 0.6)}
+    assert have == want and want
+
+
+def test_correlated_tokens_do_not_explode(spark):
+    import time
+
+    gen = random.Random(1)
+    keys = [f"k{j}" for j in range(14)]
+    rows = [(i, "http://x.net/b?" + "&".join(k for k in keys if gen.random() > 0.03), gen.random() < 0.9) for i in range(300)] + [(300 + i, f"http://y.org/c{i}", False) for i in range(300)]
+    began = time.time()
+    assert url_rules.mine(spark.createDataFrame(rows, "page_id long, url string, bad boolean")).count() > 0
+    assert time.time() - began < 120
+
+
 def test_many_rows_of_one_url(spark):
     pages = spark.range(10_000).selectExpr("cast(null AS long) AS page_id", "'http://example.com/en/1' AS url")
     got = url_rules.filter_urls(pages, spark.createDataFrame([], "page_id long, url string, bad boolean"))
