@@ -46,41 +46,63 @@ def flatten_result(value: Column) -> Column:
     return F.when(is_kind(value, "STRING"), string_at(value, "$")).when(is_kind(value, "ARRAY"), listed).when(is_kind(value, "OBJECT"), whole).otherwise(scalar_at(value, "$"))
 
 
+def pieces(rows: DataFrame) -> DataFrame:
+    """Rows (v, raw_type) as one row for each thing that a line holds, in order: sub_no, which and b, a block or the line itself.
+
+    Blocks come out of the line before they are described, so that each is
+    described by columns of its own row.
+    """
+    v, raw = F.col("v"), F.col("raw_type")
+    whole = lambda which: F.array(F.struct(F.lit(which).alias("which"), v.alias("b")))
+    listed = F.transform(list_at(v, "$.message.content"), lambda b: F.struct(F.lit("block").alias("which"), b.alias("b")))
+    found = F.when(raw == "summary", whole("summary")).when(raw == "system", whole("boundary")).when(is_kind(v, "STRING", "$.message.content"), whole("plain")).otherwise(listed)
+    kept = [c for c in rows.columns if c != "v"]
+    return rows.select(*kept, F.posexplode(found).alias("sub_no", "x")).select(*kept, "sub_no", "x.*")
+
+
 def normalize(lines: DataFrame) -> DataFrame:
     """Events of block-dialect lines (see `read_jsonl`); a line gives none, one or one for each block.
 
     An injected message is dropped only from a list of blocks, not where the
-    content is plain text.
+    content is plain text. sub_no is a block's place in its line.
     """
-    v, raw = F.col("v"), F.col("raw_type")
+    v, raw, b, which = (F.col(c) for c in ("v", "raw_type", "b", "which"))
     rows = lines.where("ok").select("session_key", "block_start", "line_no", "v", scalar_at(v, "$.type").alias("raw_type"), scalar_at(v, "$.sessionId").alias("session_id"), ts_to_iso(F.try_variant_get(v, "$.timestamp", "variant")).alias("ts_raw"))
     rows = rows.where(raw.isin("user", "assistant", "summary") | ((raw == "system") & (string_at(v, "$.subtype") == "compact_boundary")))
     compact = F.coalesce(F.try_variant_get(v, "$.isCompactSummary", "boolean"), F.lit(False))
     rows = rows.withColumn("role", F.coalesce(F.nullif(scalar_at(v, "$.message.role"), F.lit("")), raw)).withColumn("compact", compact)
-    said = F.when(F.col("compact"), ev.COMPACTION).otherwise(F.when(F.col("role") == "user", ev.USER).otherwise(ev.ASSISTANT))
-
-    def block(b: Column) -> Column:
-        text = scalar_at(b, "$.text")
-        injected = (F.col("role") == "user") & ~F.col("compact") & is_injected_context(text)
-        name, value = scalar_at(b, "$.name"), object_at(b, "$.input")
-        bad = F.coalesce(F.try_variant_get(b, "$.is_error", "boolean"), F.lit(False))
-        call = ev.event(ev.TOOL_CALL, describe_input(name, value), raw, F.col("role"), name, F.coalesce(paths_of_input(value), F.array().cast("array<string>")), None, is_mutating_tool(name), scalar_at(b, "$.id"))
-        result = ev.event(F.when(bad, ev.TOOL_ERROR).otherwise(ev.TOOL_RESULT), flatten_result(F.try_variant_get(b, "$.content", "variant")), raw, F.col("role"), error=bad, call=scalar_at(b, "$.tool_use_id"))
-        of = string_at(b, "$.type")
-        return F.when((of == "text") & ~is_blank(text) & ~injected, ev.event(said, text, raw, F.col("role"))).when(of == "tool_use", call).when(of == "tool_result", result)
-
-    summary = F.coalesce(F.nullif(scalar_at(v, "$.summary"), F.lit("")), scalar_at(v, "$.text"))
-    meta = object_at(v, "$.compactMetadata")
-    boundary = F.when(meta.isNull() | (json_text(meta) == "{}"), F.lit("compaction boundary")).otherwise(json_text(meta))
-    plain = string_at(v, "$.message.content")
-    blocks = F.filter(F.transform(list_at(v, "$.message.content"), block), lambda e: e.isNotNull())
-    found = (
-        F.when(raw == "summary", ev.one(ev.event(ev.COMPACTION, summary, raw)))
-        .when(raw == "system", ev.one(ev.event(ev.COMPACTION, boundary, raw)))
-        .when(plain.isNotNull(), ev.one(ev.event(said, plain, raw, F.col("role")), ~is_blank(plain)))
-        .otherwise(blocks)
+    rows = pieces(rows)
+    # each step's columns are used several times by the next, and computed once
+    rows = rows.withColumn("of", F.when(which == "block", string_at(b, "$.type")).otherwise(which))
+    of, role, compact = F.col("of"), F.col("role"), F.col("compact")
+    rows = rows.where(of.isin("text", "tool_use", "tool_result", "summary", "boundary", "plain"))
+    call, result = of == "tool_use", of == "tool_result"
+    meta = object_at(b, "$.compactMetadata")
+    rows = rows.withColumns({
+        "name": F.when(call, scalar_at(b, "$.name")),
+        "input": F.when(call, object_at(b, "$.input")),
+        "failed": result & F.coalesce(F.try_variant_get(b, "$.is_error", "boolean"), F.lit(False)),
+        "call": F.when(call, scalar_at(b, "$.id")).when(result, scalar_at(b, "$.tool_use_id")),
+    })
+    text = (
+        F.when(of == "text", scalar_at(b, "$.text"))
+        .when(call, describe_input(F.col("name"), F.col("input")))
+        .when(result, flatten_result(F.try_variant_get(b, "$.content", "variant")))
+        .when(of == "plain", string_at(b, "$.message.content"))
+        .when(of == "summary", F.coalesce(F.nullif(scalar_at(b, "$.summary"), F.lit("")), scalar_at(b, "$.text")))
+        .otherwise(F.when(meta.isNull() | (json_text(meta) == "{}"), F.lit("compaction boundary")).otherwise(json_text(meta)))
     )
-    return ev.table(rows, AGENT, found)
+    rows = rows.withColumn("text", text)
+    text, said = F.col("text"), of.isin("text", "plain")
+    kind = F.when(call, ev.TOOL_CALL).when(result, F.when(F.col("failed"), ev.TOOL_ERROR).otherwise(ev.TOOL_RESULT)).when(~said | compact, ev.COMPACTION).otherwise(F.when(role == "user", ev.USER).otherwise(ev.ASSISTANT))
+    injected = F.when((of == "text") & (role == "user") & ~compact, is_injected_context(text)).otherwise(False)
+    none = F.array().cast("array<string>")
+    paths = F.when(call, F.coalesce(paths_of_input(F.col("input")), none)).otherwise(none)
+    e = ev.event(kind, text, raw, F.when(of.isin("summary", "boundary"), F.lit(None)).otherwise(role), F.col("name"), paths, F.col("failed"), F.when(call, is_mutating_tool(F.col("name"))).otherwise(False), F.col("call"))
+    # kept by a generator: a filter would be pushed below all the steps and repeat them
+    heard = ~(said & (is_blank(text) | injected))
+    out = rows.select("session_key", "session_id", "block_start", "line_no", "sub_no", "ts_raw", F.explode(ev.one(e, heard)).alias("e"))
+    return out.select(F.lit(AGENT).alias("agent"), "*", F.col("ts_raw").try_cast("timestamp").alias("ts")).select("agent", "session_key", "session_id", "block_start", "line_no", "sub_no", "ts_raw", "ts", "e.*").select(*ev.COLUMNS)
 
 
 def probe(lines: DataFrame) -> DataFrame:
