@@ -86,8 +86,21 @@ def normalize(lines: DataFrame, dedupe: bool = True, earlier: DataFrame | None =
 
 
 def user_digests(lines: DataFrame) -> DataFrame:
-    """Place and digest of each user message; of lines, only those that can hold one are parsed."""
-    return digested(_events(lines.where(F.col("raw").rlike('"user"|"UserMessage"'))).where(F.col("kind") == ev.USER))
+    """Place and digest of each user message; of lines, only those that can hold one are parsed, and of those only the texts read."""
+    get = lambda of, path: F.try_variant_get(of, path, "variant")
+    v, p, item = F.col("v"), F.col("p"), F.col("item")
+    rows = lines.where(F.col("ok") & F.col("raw").rlike('"user"|"UserMessage"')).withColumn("p", object_at(v, "$.payload"))
+    rows = rows.select("session_key", "block_start", "line_no", "p", scalar_at(v, "$.type").alias("t"), scalar_at(p, "$.type").alias("pt"), object_at(p, "$.item").alias("item"))
+    message = (F.col("t") == "response_item") & (F.col("pt") == "message") & (scalar_at(p, "$.role") == "user")
+    turn = (F.col("t") == "event_msg") & (F.col("pt") == "item_completed") & (scalar_at(item, "$.type") == "UserMessage")
+    rows = rows.withColumn("body", F.when(message, get(p, "$.content")).when(turn, get(item, "$.content")))
+    for _ in range(2):
+        rows = rows.withColumn("body", inner_content(F.col("body")))
+    rows = rows.withColumn("text", flat_content(F.col("body")))
+    text = F.col("text")
+    # kept by a generator, as in `_events`
+    heard = F.when(~is_blank(text) & ~is_injected_context(text), F.array(sha256_text(strip(text)))).otherwise(F.array().cast("array<string>"))
+    return rows.select("session_key", "block_start", "line_no", F.lit(0).alias("sub_no"), F.explode(heard).alias("digest"))
 
 
 def digested(users: DataFrame) -> DataFrame:
