@@ -8,11 +8,13 @@
    depends on the lengths there are and not on the pieces. It does so twice,
    by document (each goes where it fits best) and by sequence (each takes what
    fills it best), and keeps what needs fewer sequences.
-3. Dual-feasible functions bound from below how many sequences a partition
-   needs. Where the count meets the bound the packing is certified and stays.
+3. Dual-feasible functions bound from below how many sequences are needed. The
+   one that binds most over all pieces certifies each partition: where it fills
+   the partition's sequences, no packing of anything saves there, and they stay.
    Partitions with a gap exchange: their pieces are dealt anew, by another hash,
    to fewer and larger partitions of up to `PIECES` pieces, and packed again.
-   That ends without gaps, or when it saves no sequence.
+   That ends when the sequences meet the bound, without gaps, or when it saves
+   no sequence.
 
 A partition has `PIECES` pieces at most on average, of some 60 bytes, so its
 memory is bounded; the driver gets counts. Each round is a written table, so a
@@ -30,6 +32,7 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from fractions import Fraction
 from functools import lru_cache
 
 import numpy as np
@@ -48,7 +51,7 @@ ROUNDS = 5
 FEWER = 16
 
 _PIECE = "key long, doc_id long, piece int, start long, length long, ids_crc32 long"
-_PACKED = _PIECE + ", part int, bin long, offset long, gap int, bins long"
+_PACKED = _PIECE + ", part int, bin long, offset long, gap long, bins long"
 _NAMES = [f.split()[0] for f in _PIECE.split(", ")]
 _KINDS = {"int": pa.int32(), "long": pa.int64()}
 
@@ -142,12 +145,21 @@ def _functions(capacity: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(rows), np.array(full, dtype=np.int64)
 
 
-def lower_bound(counts: np.ndarray, capacity: int) -> int:
-    """So many sequences any packing of these lengths needs; counts: how many pieces have each length from 0 on."""
+def binding(counts: np.ndarray, capacity: int) -> tuple[int, int, np.ndarray]:
+    """(sum, full, function) of the function that asks for most: sum / full sequences are needed; counts: how many pieces have each length from 0 on."""
     rows, full = _functions(capacity)
-    if counts.sum() < 2**42 // capacity:
-        return int((-(-(rows @ counts) // full)).max())
-    return max(-(-sum(r * c for r, c in zip(row.tolist(), counts.tolist(), strict=True)) // int(f)) for row, f in zip(rows, full, strict=True))
+    # exact whatever the counts: a few hundred functions of as many lengths as there are
+    there = np.flatnonzero(counts)
+    many = counts[there].astype(object)
+    sums = [int((row[there].astype(object) * many).sum()) for row in rows] if counts.sum() >= 2**42 // capacity else (rows @ counts).tolist()
+    best = max(range(len(sums)), key=lambda i: Fraction(sums[i], int(full[i])))
+    return sums[best], int(full[best]), rows[best]
+
+
+def lower_bound(counts: np.ndarray, capacity: int) -> int:
+    """So many sequences any packing of these lengths needs."""
+    total, full, _ = binding(counts, capacity)
+    return -(-total // full)
 
 
 # --- best fit on counts; a pattern is (number of sequences, ((length, times), ...))
@@ -212,8 +224,8 @@ def by_sequence(counts: np.ndarray, capacity: int) -> list[Pattern]:
     return out
 
 
-def pack(length: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, int, int]:
-    """For each piece its sequence and offset; the number of sequences, and how many of them the bound does not need."""
+def pack(length: np.ndarray, capacity: int, full: int, function: np.ndarray) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """For each piece its sequence and offset; the number of sequences, and the gap: what the function leaves of them unfilled, in its own units."""
     counts = np.bincount(length, minlength=capacity + 1)
     found = min((f(counts, capacity) for f in (by_document, by_sequence)), key=lambda patterns: sum(n for n, _ in patterns))
     order = np.argsort(length, kind="stable")
@@ -229,18 +241,26 @@ def pack(length: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, int
             at[size] += number * times
             filled += size * times
         bins += number
-    return bin_, offset, bins, bins - lower_bound(counts, capacity)
+    return bin_, offset, bins, bins * full - int(function @ counts)
 
 
 # --- rounds
 
 
-def _packed(rows: DataFrame, parts: int, number: int, capacity: int) -> DataFrame:
+def length_counts(rows: DataFrame, capacity: int) -> np.ndarray:
+    """How many pieces have each length."""
+    counts = np.zeros(capacity + 1, dtype=np.int64)
+    for r in rows.groupBy("length").count().collect():  # a row for each length
+        counts[r["length"]] = r["count"]
+    return counts
+
+
+def _packed(rows: DataFrame, parts: int, number: int, capacity: int, full: int, function: np.ndarray) -> DataFrame:
     """`rows` dealt to `parts` partitions and packed."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("key")
-        bin_, offset, bins, gap = pack(table.column("length").to_numpy(), capacity)
+        bin_, offset, bins, gap = pack(table.column("length").to_numpy(), capacity, full, function)
         columns = [*(table.column(n).combine_chunks() for n in _NAMES), table.column("part").combine_chunks(), bin_, offset, np.full(len(bin_), gap), np.full(len(bin_), bins)]
         out = pa.Table.from_batches([_record(_PACKED, columns)])
         release_memory()
@@ -268,19 +288,23 @@ def best_fit(rows: DataFrame, capacity: int = 1024) -> DataFrame:
         place = F.lit(number).cast("long") * (1 << 56) + F.col("part").cast("long") * (1 << 32) + F.col("bin")
         out.append(df.withColumn("sequence_id", place))
 
-    parts = max(shuffle_partitions(spark), math.ceil(small.count() / PIECES))
-    packed = _packed(small, parts, 0, capacity)
+    counts = length_counts(small, capacity)
+    total, full, function = binding(counts, capacity)
+    parts = max(shuffle_partitions(spark), math.ceil(int(counts.sum()) / PIECES))
+    packed = _packed(small, parts, 0, capacity, full, function)
+    spare = _bins(packed) - -(-total // full)  # sequences beyond the bound
     for number in range(ROUNDS + 1):
         open_ = packed.where("gap > 0")
         before, left = _bins(open_), open_.count()
-        if not left or number == ROUNDS:
+        if not left or not spare or number == ROUNDS:
             break
         parts = max(math.ceil(left / PIECES), parts // FEWER)
-        again = _packed(open_, parts, number + 1, capacity)
-        if _bins(again) >= before:
+        again = _packed(open_, parts, number + 1, capacity, full, function)
+        saved = before - _bins(again)
+        if saved <= 0:
             break
         keep(packed.where("gap <= 0"), number)
-        packed = again
+        packed, spare = again, spare - saved
     keep(packed, number)
     columns = [*_NAMES, "sequence_id", "offset"]
     total = out[0].select(columns)
@@ -297,7 +321,5 @@ def best_fit_packing(df: DataFrame, tokenizer_path: str, pattern: str = SUPPORTE
 
 def certificate(packed: DataFrame, capacity: int = 1024) -> dict[str, int]:
     """Sequences of a packing, and the bound that no packing of its pieces is under."""
-    counts = np.zeros(capacity + 1, dtype=np.int64)
-    for r in packed.groupBy("length").count().collect():
-        counts[r["length"]] = r["count"]
+    counts = length_counts(packed, capacity)
     return {"sequences": packed.agg(F.countDistinct("sequence_id")).first()[0], "bound": lower_bound(counts, capacity)}
