@@ -100,8 +100,25 @@ def test_against_sql(spark, name):
     assert sorted(pick(tuple(r), df.columns) for r in df.collect()) == sorted(pick(r, columns) for r in cursor.fetchall())
 
 
+#: Queries whose contract asks for other rows than one for each input row.
+OTHER_ROWS = {"secret_history", "secret_path_findings", "op11_embedding_whitening", "op12_phrase_collocations", "op13_best_fit_packing"}
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
-@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - {"secret_history"}))
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - OTHER_ROWS))
 def test_one_row_for_each_input_row(spark, name):
     table = "pages" if name.startswith(("op1_", "op3_")) else "documents"
     assert queries.QUERIES[name](spark, SF).count() == spark.read.parquet(f"{SF}/{table}.parquet").count()
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_rows_of_new_queries(spark):
+    vectors = spark.read.parquet(f"{SF}/embeddings.parquet").count()
+    got = queries.QUERIES["op11_embedding_whitening"](spark, SF)
+    assert got.count() == 8 * vectors and {t for _, t in got.dtypes} == {"bigint", "int", "double"} and got.columns[:7] == ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").count()
+    got = queries.QUERIES["op13_best_fit_packing"](spark, SF)
+    tokens = queries.QUERIES["op9_byte_bpe"](spark, SF).selectExpr("sum(n_tokens + 1)", "sum(ceil((n_tokens + 1) / 1024))").first()
+    found = got.selectExpr("sum(length)", "count(*)", "count(distinct doc_id)", "max(length)").first()
+    assert tuple(found)[:2] == (tokens[0], tokens[1]) and found[2] == docs and found[3] <= 1024
+    assert got.dtypes == [("doc_id", "bigint"), ("piece", "int"), ("start", "bigint"), ("length", "bigint"), ("ids_crc32", "bigint"), ("sequence_id", "bigint"), ("offset", "bigint")]
