@@ -27,7 +27,7 @@ REWIND, REPLACE, UPSERT = "rewind", "replace", "upsert"
 
 
 def operations(lines: DataFrame) -> DataFrame:
-    """session_key, block_start, line_no, op, id (of a rewind) and messages: what each line does to the message list."""
+    """session_key, block_start, line_no, op, id (of a rewind), ids and messages: what each line does to the message list."""
     v = F.col("v")
     rows = lines.where("ok").select(
         "session_key",
@@ -43,12 +43,13 @@ def operations(lines: DataFrame) -> DataFrame:
     listed = F.when(update.isNotNull(), list_at(update, "$.messages")).when(header, list_at(v, "$.messages")).when(named, F.array(v))
     rows = rows.withColumn("listed", F.when(rewind.isNull(), listed))
     op = F.when(rewind.isNotNull(), REWIND).when(update.isNotNull(), F.when(F.col("listed").isNotNull(), REPLACE)).when(header | named, UPSERT)
-    messages = F.transform(
-        F.filter(F.coalesce("listed", F.array().cast("array<variant>")), lambda m: string_at(m, "$.id").isNotNull()),
-        lambda m: F.struct(string_at(m, "$.id").alias("id"), json_text(m).alias("body")),
-    )
-    done = F.struct(op.alias("op"), rewind.alias("id"), messages.alias("messages"))
-    return rows.select("session_key", "block_start", "line_no", F.explode(F.filter(F.array(done), lambda x: x["op"].isNotNull())).alias("x")).select("session_key", "block_start", "line_no", "x.*")
+    done = F.struct(op.alias("op"), rewind.alias("id"))
+    rows = rows.select("session_key", "block_start", "line_no", "listed", F.explode(F.filter(F.array(done), lambda x: x["op"].isNotNull())).alias("x"))
+    # ids stand by themselves too, so that what needs no message carries none
+    listed = F.filter(F.coalesce("listed", F.array().cast("array<variant>")), lambda m: string_at(m, "$.id").isNotNull())
+    ids = F.transform(listed, lambda m: string_at(m, "$.id"))
+    messages = F.transform(listed, lambda m: F.struct(string_at(m, "$.id").alias("id"), m.alias("m")))
+    return rows.select("session_key", "block_start", "line_no", "x.*", ids.alias("ids"), messages.alias("messages"))
 
 
 class Live:
@@ -96,19 +97,24 @@ def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
-def replay(ops: DataFrame) -> DataFrame:
-    """session_key, pos, id, block_start, line_no and body of the messages that are left after all operations.
+def live_messages(ops: DataFrame) -> DataFrame:
+    """session_key, pos, id, block_start, line_no and v (VARIANT) of the messages that are left after all operations.
 
     Ids and places of operations are dealt by log, sorted by Spark, and folded
     as they come, in time linear in the log; the messages themselves are joined
     to the places that are left.
     """
     importable(ops.sparkSession)
-    told = ops.select("session_key", "block_start", "line_no", "op", "id", F.col("messages.id").alias("ids"))
+    told = ops.select("session_key", "block_start", "line_no", "op", "id", "ids")
     sorted_ = told.repartition("session_key").sortWithinPartitions("session_key", "block_start", "line_no")
     live = sorted_.mapInArrow(_folded, "session_key string, pos int, id string, block_start long, line_no long, item int")
-    bodies = ops.select("session_key", "block_start", "line_no", F.posexplode("messages").alias("item", "m")).select("session_key", "block_start", "line_no", "item", "m.body")
-    return live.join(bodies, ["session_key", "block_start", "line_no", "item"]).select("session_key", "pos", "id", "block_start", "line_no", "body")
+    bodies = ops.select("session_key", "block_start", "line_no", F.posexplode("messages").alias("item", "m")).select("session_key", "block_start", "line_no", "item", F.col("m.m").alias("v"))
+    return live.join(bodies, ["session_key", "block_start", "line_no", "item"]).select("session_key", "pos", "id", "block_start", "line_no", "v")
+
+
+def replay(ops: DataFrame) -> DataFrame:
+    """`live_messages`, each as JSON in `body`."""
+    return live_messages(ops).select("session_key", "pos", "id", "block_start", "line_no", json_text(F.col("v")).alias("body"))
 
 
 def parts_of(v: Column, path: str) -> Column:
@@ -240,7 +246,7 @@ def normalize(lines: DataFrame) -> DataFrame:
     named = F.when(string_at(v, "$.projectHash").isNotNull(), string_at(v, "$.sessionId"))
     at = F.when(F.nullif(named, F.lit("")).isNotNull(), F.struct("block_start", "line_no"))
     ids = lines.where("ok").groupBy("session_key").agg(F.coalesce(F.min_by(named, at), F.lit("")).alias("session_id"))
-    live = replay(operations(lines)).join(ids, "session_key", "left").withColumn("v", F.parse_json("body"))
+    live = live_messages(operations(lines)).join(ids, "session_key", "left")
     rows = live.select("session_key", "session_id", F.lit(0).cast("long").alias("block_start"), F.col("pos").cast("long").alias("line_no"), "v", scalar_at(v, "$.type").alias("raw"), ts_to_iso(F.try_variant_get(v, "$.timestamp", "variant")).alias("ts_raw"))
     out = described_pieces(pieces(rows)).withColumn("agent", F.lit(AGENT)).withColumn("ts", F.col("ts_raw").try_cast("timestamp"))
     out = out.select("agent", "session_key", "session_id", "block_start", "line_no", "sub_no", "ts_raw", "ts", "e.*").select(*ev.COLUMNS)

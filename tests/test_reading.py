@@ -200,11 +200,12 @@ def test_replay_agrees_with_the_model(spark):
 def test_replay_is_linear(spark):
     """100,000 messages in one log, each rewritten once, and rewinds in between."""
     n = 100_000
-    ids = spark.range(2 * n).select(F.lit("s").alias("session_key"), F.lit(0).cast("long").alias("block_start"), F.col("id").alias("line_no"), F.lit("upsert").alias("op"), F.lit(None).cast("string").alias("id"), F.array(F.struct(F.concat(F.lit("m"), (F.col("id") % n).cast("string")).alias("id"), F.col("id").cast("string").alias("body"))).alias("messages"))
-    none = F.array().cast("array<struct<id:string,body:string>>")
+    ids = spark.range(2 * n).select(F.lit("s").alias("session_key"), F.lit(0).cast("long").alias("block_start"), F.col("id").alias("line_no"), F.lit("upsert").alias("op"), F.lit(None).cast("string").alias("id"), F.array(F.struct(F.concat(F.lit("m"), (F.col("id") % n).cast("string")).alias("id"), F.parse_json(F.col("id").cast("string")).alias("m"))).alias("messages"))
+    none = F.array().cast("array<struct<id:string,m:variant>>")
     back = spark.range(1, 11).select(F.lit("s").alias("session_key"), F.lit(0).cast("long").alias("block_start"), (F.col("id") + 2 * n).alias("line_no"), F.lit("rewind").alias("op"), F.concat(F.lit("m"), (n - F.col("id") * 100).cast("string")).alias("id"), none.alias("messages"))
     began = time.time()
-    row = patch_log.replay(ids.unionByName(back)).agg(F.count("*").alias("n"), F.max("pos").alias("most"), F.min(F.col("body").cast("long")).alias("least"), F.bool_and(F.col("body").cast("long") == F.col("pos") + n).alias("last")).first()
+    ops = ids.unionByName(back).withColumn("ids", F.col("messages.id"))
+    row = patch_log.replay(ops).agg(F.count("*").alias("n"), F.max("pos").alias("most"), F.min(F.col("body").cast("long")).alias("least"), F.bool_and(F.col("body").cast("long") == F.col("pos") + n).alias("last")).first()
     assert (row["n"], row["most"], row["least"], row["last"]) == (n - 1000, n - 1001, n, True) and time.time() - began < 30
 
 
