@@ -109,7 +109,8 @@ def live_messages(ops: DataFrame) -> DataFrame:
     sorted_ = told.repartition("session_key").sortWithinPartitions("session_key", "block_start", "line_no")
     live = sorted_.mapInArrow(_folded, "session_key string, pos int, id string, block_start long, line_no long, item int")
     bodies = ops.select("session_key", "block_start", "line_no", F.posexplode("messages").alias("item", "m")).select("session_key", "block_start", "line_no", "item", F.col("m.m").alias("v"))
-    return live.join(bodies, ["session_key", "block_start", "line_no", "item"]).select("session_key", "pos", "id", "block_start", "line_no", "v")
+    # Spark guesses their size from the file's, whatever lists and values hold, and would broadcast millions
+    return live.join(bodies.hint("merge"), ["session_key", "block_start", "line_no", "item"]).select("session_key", "pos", "id", "block_start", "line_no", "v")
 
 
 def replay(ops: DataFrame) -> DataFrame:

@@ -201,6 +201,17 @@ def test_replay_against_a_model(spark):
     assert got == expected
 
 
+def test_replay_broadcasts_no_messages(spark):
+    """40,000 messages that Spark takes for 11 KiB, as a file of a hundred MB may hold ten million."""
+    listed = F.transform(F.sequence(F.lit(0), F.lit(199)), lambda i: F.struct(F.concat(F.lit("m"), i.cast("string")).alias("id")))
+    update = F.to_json(F.struct(F.struct(listed.alias("messages")).alias("$set")))
+    rows = spark.range(200).select((F.col("id") % 20).cast("string").alias("session_key"), F.lit(0).cast("long").alias("block_start"), F.col("id").alias("line_no"), update.alias("line"))
+    live = patch_log.replay(patch_log.operations(parsed(rows)))
+    got = live.collect()
+    assert sorted((r["session_key"], r["pos"], r["id"], r["line_no"]) for r in got) == sorted((str(s), k, f"m{k}", 180 + s) for s in range(20) for k in range(200))
+    assert "Broadcast" not in live._jdf.queryExecution().executedPlan().toString()
+
+
 def test_patch_messages(spark):
     call = {"name": "write_file", "args": {"file_path": "/f", "content": "x"}, "result": "done"}
     records = [
